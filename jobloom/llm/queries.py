@@ -10,6 +10,7 @@ from . import oracles
 from .bpe import op6_forced_boundary_bpe
 from .license_scan import op10_license_rules
 from .line_dedup import op9_window_line_dedup
+from .ngram_join import op8_ngram_join
 from .quality_rules import op5_rule_ledger
 from .sharding import op4_rendezvous_shards
 from .token_store import op2_token_frames
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
+    "op8_ngram_join": op8_ngram_join,
     "op9_window_line_dedup": op9_window_line_dedup,
     "op10_license_rules": op10_license_rules,
 }
