@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .bpe import op6_forced_boundary_bpe
+from .decontamination import op1_decontamination
 from .license_scan import op10_license_rules
 from .line_dedup import op9_window_line_dedup
 from .ngram_join import op8_ngram_join
@@ -16,6 +17,7 @@ from .sharding import op4_rendezvous_shards
 from .token_store import op2_token_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_frames": op2_token_frames,
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_rule_ledger": op5_rule_ledger,

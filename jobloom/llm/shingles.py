@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The other way to cut: every ASCII byte but letters and digits separates.
+ALNUM_ONLY = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,7 +44,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words(NamedTuple):
-    """Words of several texts in order: the text each is in, its hash, and its bytes' place."""
+    """Words of several texts in order: the text each is in, and its hash."""
 
     n_texts: int
     text: np.ndarray
@@ -60,9 +62,10 @@ def text_steps(batch: pa.RecordBatch, text: int = 1, step_bytes: int = STEP_BYTE
         start = end
 
 
-def hash_words(column: pa.Array) -> Words:
+def hash_words(column: pa.Array, separators: np.ndarray = _SPACE) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased; a null text has none.
 
+    ``separators``: a flag for each byte value that takes the place of white space.
     A word's hash is a polynomial of its bytes, taken from prefix sums over all texts.
     """
     if column.null_count:
@@ -73,7 +76,7 @@ def hash_words(column: pa.Array) -> Words:
         return Words(len(column), np.empty(0, np.int64), np.empty(0, np.uint64))
     raw = _LOWER[np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
     offsets -= offsets[0]
-    space = _SPACE[raw]
+    space = separators[raw]
     edges = offsets[(offsets > 0) & (offsets < len(raw))]
     first = np.concatenate(([True], space[:-1]))
     first[edges] = True
