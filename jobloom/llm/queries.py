@@ -10,6 +10,7 @@ from . import oracles
 from .bpe import op6_forced_boundary_bpe
 from .decontamination import op1_decontamination
 from .license_scan import op10_license_rules
+from .line_crf import op3_line_crf
 from .line_dedup import op9_window_line_dedup
 from .ngram_join import op8_ngram_join
 from .quality_rules import op5_rule_ledger
@@ -19,6 +20,7 @@ from .token_store import op2_token_frames
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_frames": op2_token_frames,
+    "op3_line_crf": op3_line_crf,
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
