@@ -13,6 +13,7 @@ from .license_scan import op10_license_rules
 from .line_crf import op3_line_crf
 from .line_dedup import op9_window_line_dedup
 from .ngram_join import op8_ngram_join
+from .pii import op7_weak_supervision_pii
 from .quality_rules import op5_rule_ledger
 from .sharding import op4_rendezvous_shards
 from .token_store import op2_token_frames
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
+    "op7_weak_supervision_pii": op7_weak_supervision_pii,
     "op8_ngram_join": op8_ngram_join,
     "op9_window_line_dedup": op9_window_line_dedup,
     "op10_license_rules": op10_license_rules,
