@@ -8,9 +8,10 @@ shingles and makes the candidate pairs; a pair is verified only if it shares pre
 elements under two more orders (by hash, upwards and downwards) as well.
 
 Equal sets are joined as one class first. The result is one row per document with the
-smallest id that links lead to. A prefix element that many classes hold is first tried
-against a few hubs; what links so far needs no further pairs, and only pairs of classes
-that are still apart are then verified, each of them. No link between components is lost.
+smallest id that links lead to. The classes of a prefix element that many of them hold are
+first tried against a few hubs. What is linked so far needs no further pairs; classes that
+are still apart are then held against the others block by block. No link between
+components is lost, and no task gets more than a block.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BUCKET = 1_000_000
 HEAVY = 64
 #: Prefix elements of up to so many classes make all their pairs at once; beyond, hubs come first.
 SMALL, HUBS = 8, 3
+#: Sets on each side of a block of pairs that one task verifies.
+BLOCK = 2048
 
 _KEY = np.uint64((1 << 48) - 1)
 _PACKED = "bucket int, chunk long, keys binary, docs binary, heavy binary, heavy_n binary, ids array<long>, sizes binary, prints binary, own binary, own_n binary, own_docs binary"
@@ -272,35 +275,69 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     starred = hubs.where(F.col("rep") != F.col("hub.rep")).where(_fits(F.col("n"), F.col("hub.n"), percent)).select(*_pairs(F.col("rep"), F.col("hub.rep")))
     links = materialise(verified(close.unionByName(starred).distinct(), sets, percent), "ngram-links")
     found = materialise(connected_components(links), "ngram-components")
-    many = many.select("token", "rep", "n")
-    at_least = None
-    while True:
-        # Of the larger lists: how many pairs of sets that are still apart do they hold?
-        placed = many.join(found, many["rep"] == found["node"], "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        groups = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-        apart = groups.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "component")).alias("top")).where("m * m > sq")
-        open_ = materialise(placed.join(apart.select("token", "m", "sq", F.col("top.component").alias("top")), "token"), "ngram-open")
-        rows, pairs = open_.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("sq")) / F.col("m") / 2), F.lit(0))).first()
-        if not rows:
-            return found
-        outside = open_.where(F.col("component") != F.col("top"))
-        last = pairs <= 2 * SMALL * rows or at_least is not None and pairs > 0.7 * at_least
-        at_least = pairs
-        if last:
-            # What is left is verified pair by pair: each set outside its list's largest component against all that are apart from it.
-            right = open_.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            pairs = outside.join(right, "token").where(F.col("component") != F.col("component2")).where(_fits(F.col("n"), F.col("n2"), percent))
-            pairs = pairs.where((F.col("component2") == F.col("top")) | (F.col("rep") < F.col("rep2")))
-            pairs = pairs.select(*_pairs(F.col("rep"), F.col("rep2")))
-        else:
-            hubs = open_.groupBy("token").agg(*(F.min(F.when(F.col("component") == F.col("top"), F.struct(F.xxhash64("rep", F.lit(f"{r}/{at_least}")).alias("h"), "rep", "n"))).alias(f"hub{r}") for r in range(HUBS)))
-            pairs = outside.join(hubs, "token").select("rep", "n", F.explode(F.array(*(F.col(f"hub{r}") for r in range(HUBS)))).alias("hub"))
-            pairs = pairs.where(_fits(F.col("n"), F.col("hub.n"), percent)).select(*_pairs(F.col("rep"), F.col("hub.rep")))
-        more = verified(pairs.distinct(), sets, percent)
-        links = materialise(found.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "ngram-links")
-        found = materialise(connected_components(links), "ngram-components")
-        if last:
-            return found
+    more = _links_of_apart(many.select("token", F.col("hub0.rep").alias("hub"), "rep"), found, sets, percent)
+    known = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialise(connected_components(known.unionByName(more)), "ngram-components")
+
+
+def _links_of_apart(posts: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that some list of ``posts`` (token, hub, rep) still holds apart.
+
+    Lists with one hub form a group, which holds each rep once. The reps outside the group's
+    largest component are a query set against the whole group: both sides are cut into blocks
+    of about BLOCK sets, and every pair of blocks is verified in a task of its own.
+    """
+    placed = posts.join(found, F.col("rep") == F.col("node"), "left").select("token", "hub", "rep", F.coalesce("component", "rep").alias("component"))
+    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    members = materialise(placed.join(apart, "token").select("hub", "rep", "component").distinct(), "ngram-apart")
+    by_component = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_component.groupBy("hub").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("top"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    rows = members.join(sizes, "hub").select("hub", "rep", "component", blocks(F.col("m")).alias("all"), blocks(F.col("m") - F.col("top.c")).alias("out"), F.col("top.component").alias("top"))
+    rows = rows.join(sets.select("rep", "n", "k", "shared"), "rep")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    what = ["hub", "rep", "component", "n", "k", "shared"]
+    left = rows.where(F.col("component") != F.col("top")).select(*what, F.lit(True).alias("query"), own("out").alias("i"), every("all").alias("j"))
+    right = rows.select(*what, F.lit(False).alias("query"), own("all").alias("j"), every("out").alias("i"))
+    return left.unionByName(right).groupBy("hub", "i", "j").applyInArrow(_verify_block(percent), "a long, b long")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set of the left its overlap with every set of the right, through an inverted index."""
+    tokens = np.concatenate(right)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(right)), [len(x) for x in right])[order]
+    for x in left:
+        lo = np.searchsorted(tokens, x, "left")
+        size = np.searchsorted(tokens, x, "right") - lo
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        yield np.bincount(owner[at], minlength=len(right))
+
+
+def _verify_block(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Of a block of query sets and one of sets to try: a link for each query and component that it is linked with."""
+        query = rows.column("query").to_numpy()
+        rep, component, n, k = (rows.column(x).to_numpy() for x in ("rep", "component", "n", "k"))
+        lists = rows.column("shared").combine_chunks()
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        shared = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        q, r = np.flatnonzero(query), np.flatnonzero(~query)
+        out: tuple[list, list] = ([], [])
+        if len(q) and len(r):
+            first, last = ([x[:m] for x, m in zip(shared, k, strict=True)], [x[len(x) - m :] for x, m in zip(shared, k, strict=True)])
+            pick = lambda sets, at: [sets[i] for i in at]
+            counts = [_overlaps(pick(x, q), pick(x, r)) for x in (first, last, shared)]
+            for i, upwards, downwards, common in zip(q, *counts, strict=True):
+                linked = (upwards > 0) & (downwards > 0) & (common * (100 + percent) >= (n[i] + n[r]) * percent) & (component[r] != component[i])
+                _, one = np.unique(component[r][linked], return_index=True)
+                for j in r[linked][one]:
+                    out[0].append(max(rep[i], rep[j]))
+                    out[1].append(min(rep[i], rep[j]))
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -48,14 +48,20 @@ def brute(docs, items, threshold=d.THRESHOLD, least=(d.QUESTION, d.ANSWER)):
         row = {t: math.log1p((len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * b.count(t) * (d.K1 + 1) / (b.count(t) + d.K1 * (1 - d.B + d.B * len(b) / average)) for t in set(b)}
         whole = sum(row.values())
         impacts.append({t: x / whole for t, x in row.items()})
+    of_item = {}
+    for s, (k, _) in enumerate(bags):
+        of_item.setdefault(k, []).append(s)
     out = []
     for doc, text in docs:
         w = words(text)
+        every = set(w)
         for k in parts:
+            if all(sum(x for t, x in impacts[s].items() if t in every) < threshold - d.SLACK for s in of_item[k]):
+                continue
             spans, best = [], 0.0
             for a in range(0, len(w), d.SEGMENT):
                 here = set(w[a : a + 2 * d.SEGMENT])
-                scores = [sum(x for t, x in impacts[s].items() if t in here) for s, (item, _) in enumerate(bags) if item == k]
+                scores = [sum(x for t, x in impacts[s].items() if t in here) for s in of_item[k]]
                 hit = [x for x in scores if x >= threshold - d.SLACK]
                 if hit:
                     spans.append(a)

@@ -66,6 +66,7 @@ def test_same_components_as_all_pairs(spark, seed):
 def test_hub_rounds_lose_no_link(spark, monkeypatch, seed, small):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "HUBS", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
     rows = corpus(seed, groups=4, copies=30, edit=0.12)
     assert got(spark, rows) == brute(rows)
 
