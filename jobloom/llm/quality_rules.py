@@ -160,7 +160,9 @@ def keep_good(docs: DataFrame, policy: str | Sequence[str] = POLICY, text_col: s
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     ledger = rule_ledger(docs.select(row, F.col(text_col).alias("_body")), "_row", "_body")
-    return ledger.where(passes(policy)).select("_row.*")
+    # A filter would be pushed below the ledger and repeat its expressions; a generator's output is not.
+    kept = ledger.select(F.explode_outer(F.when(passes(policy), F.array("_row"))).alias("_kept"))
+    return kept.where(F.col("_kept").isNotNull()).select("_kept.*")
 
 
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
