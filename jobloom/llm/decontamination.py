@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,8 +36,8 @@ THRESHOLD = 0.5
 QUESTION, ANSWER, NGRAM = 0.6, 0.6, 3
 #: Items with fewer words cannot be told from ordinary phrases and are not indexed.
 LEAST_WORDS = 5
-#: Bytes of items in one index, and blocks of its segments.
-SHARD_BYTES, BLOCKS, BLOCK = 32 << 20, 256, 16
+#: Bytes of items in one index; blocks of an index, and segments of a block at least.
+SHARD_BYTES, BLOCKS, BLOCK = 32 << 20, 256, 2
 #: Room for rounding between the two ways of summing a bound.
 SLACK = 1e-9
 
@@ -70,12 +70,16 @@ def _grams(hashes: np.ndarray, size: int = NGRAM) -> np.ndarray:
 
 @dataclass
 class Postings:
-    """One term: segments in order with their impacts, and per block the largest impact."""
+    """A term's postings in one block: segments in order, their impacts, and the largest impact."""
 
-    segments: list[int]
-    impacts: list[float]
-    most: float
-    blocks: dict[int, float] = field(default_factory=dict)
+    segments: list[int] = field(default_factory=list)
+    impacts: list[float] = field(default_factory=list)
+    most: float = 0.0
+
+    def add(self, segment: int, impact: float) -> None:
+        self.segments.append(segment)
+        self.impacts.append(impact)
+        self.most = max(self.most, impact)
 
 
 class Bm25Index:
@@ -97,23 +101,25 @@ class Bm25Index:
         idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
         self.block = max(BLOCK, math.ceil(n / BLOCKS))
         self.n_blocks = math.ceil(n / self.block)
-        self.postings = [Postings([], [], 0.0) for _ in self.vocabulary]
+        #: For each block its terms' postings.
+        self.blocks: list[dict[int, Postings]] = [{} for _ in range(self.n_blocks)]
         for s, ((t, tf), (_, part)) in enumerate(zip(counted, bags, strict=True)):
             ids = np.searchsorted(self.vocabulary, t)
             impact = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(part) / average))
+            block = self.blocks[s // self.block]
             for i, x in zip(ids.tolist(), (impact / impact.sum()).tolist(), strict=True):
-                p, b = self.postings[i], s // self.block
-                p.segments.append(s)
-                p.impacts.append(x)
-                p.most = max(p.most, x)
-                p.blocks[b] = max(p.blocks.get(b, 0.0), x)
-        # For the bounds of many passages at once: terms in most blocks count alike in all.
-        common = np.array([2 * len(p.blocks) > self.n_blocks for p in self.postings], bool)
-        self.everywhere = np.array([p.most if c else 0.0 for p, c in zip(self.postings, common, strict=True)])
-        rows = [[] if c else list(p.blocks.items()) for p, c in zip(self.postings, common, strict=True)]
+                block.setdefault(i, Postings()).add(s, x)
+        # For the bounds of many passages at once; a term in most blocks counts alike in all.
+        most: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
+        for b, block in enumerate(self.blocks):
+            for i, p in block.items():
+                most[i].append((b, p.most))
+        common = [2 * len(x) > self.n_blocks for x in most]
+        self.everywhere = np.array([max(y for _, y in x) if c else 0.0 for x, c in zip(most, common, strict=True)])
+        rows = [[] if c else x for x, c in zip(most, common, strict=True)]
         self.first = np.cumsum([0, *map(len, rows)])
         self.block_of = np.array([b for r in rows for b, _ in r], np.int64)
-        self.block_most = np.array([x for r in rows for _, x in r])
+        self.block_most = np.array([x for r in rows for _, x in r], float)
 
     def term_ids(self, hashes: np.ndarray) -> np.ndarray:
         """Term of each word; -1 for words that no item has."""
@@ -127,51 +133,51 @@ class Bm25Index:
         size = self.first[term + 1] - self.first[term]
         at = np.repeat(self.first[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
         sums = np.bincount(np.repeat(chunk, size) * self.n_blocks + self.block_of[at], self.block_most[at], minlength=n_chunks * self.n_blocks)
-        return sums.reshape(n_chunks, self.n_blocks), np.bincount(chunk, self.everywhere[term], minlength=n_chunks)
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All segments whose score for the distinct ``terms`` reaches the threshold: block-max WAND."""
-        found, end = [], len(self.item_of)
-        lists = [[self.postings[t], 0] for t in terms]
-        here = lambda x: x[0].segments[x[1]] if x[1] < len(x[0].segments) else end
-
-        def move(x: list, to: int) -> None:
-            places, i = x[0].segments, x[1]
-            while i < len(places) and places[i] < to:
-                i += 1
-            x[1] = i
-
-        while True:
+        flat = np.bincount(chunk, self.everywhere[term], minlength=n_chunks)
+        return sums.astype(float).reshape(n_chunks, self.n_blocks), flat.astype(float)
+
+    def search(self, terms: list[int], threshold: float, blocks: Iterable[int] | None = None) -> list[tuple[int, float]]:
+        """All segments whose score for the distinct ``terms`` reaches the threshold: block-max WAND.
+
+        ``blocks``: those that may hold such a segment, by ``bounds``; without, all are looked at.
+        """
+        found: list[tuple[int, float]] = []
+        for b in range(self.n_blocks) if blocks is None else blocks:
+            lists = [[p, 0] for t in terms if (p := self.blocks[b].get(t))]
+            if sum(x[0].most for x in lists) >= threshold - SLACK:
+                found += self._wand(lists, threshold)
+        return found
+
+    @staticmethod
+    def _wand(lists: list[list], threshold: float) -> list[tuple[int, float]]:
+        """Within a block: lists in the order of their next segment; the pivot is the first segment that their maxima can lift to the threshold."""
+        found = []
+        here = lambda x: x[0].segments[x[1]]
+        while lists:
             lists.sort(key=here)
-            total, pivot = 0.0, None
-            for i, x in enumerate(lists):
-                if here(x) == end:
-                    break
+            total = 0.0
+            for pivot, x in enumerate(lists):
                 total += x[0].most
                 if total >= threshold - SLACK:
-                    pivot = i
                     break
-            if pivot is None:
-                return found
+            else:
+                break
             segment = here(lists[pivot])
-            while pivot + 1 < len(lists) and here(lists[pivot + 1]) == segment:
-                pivot += 1
-            block = segment // self.block
-            if sum(x[0].blocks.get(block, 0.0) for x in lists[: pivot + 1]) < threshold - SLACK:
-                # No segment can reach it before this block ends or the next list begins.
-                to = min((block + 1) * self.block, here(lists[pivot + 1]) if pivot + 1 < len(lists) else end)
-                for x in lists[: pivot + 1]:
-                    move(x, to)
-            elif here(lists[0]) == segment:
+            if here(lists[0]) == segment:
                 score = 0.0
-                for x in lists[: pivot + 1]:
+                for x in lists:
+                    if here(x) != segment:
+                        break
                     score += x[0].impacts[x[1]]
                     x[1] += 1
                 if score >= threshold - SLACK:
                     found.append((segment, score))
             else:
                 for x in lists[:pivot]:
-                    move(x, segment)
+                    while x[1] < len(x[0].segments) and here(x) < segment:
+                        x[1] += 1
+            lists = [x for x in lists if x[1] < len(x[0].segments)]
+        return found
 
 
 def _hits(index: Bm25Index, hashes: np.ndarray, text: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, list[tuple[int, float]]]]:
@@ -196,10 +202,12 @@ def _hits(index: Bm25Index, hashes: np.ndarray, text: np.ndarray, threshold: flo
     flat[:-1][follows[:-1]] += flat[1:][follows[:-1]]
     ends = np.append(chunk_begin[1:], len(text))
     term_cut = np.searchsorted(of, np.arange(n_chunks + 1))
-    for c in np.flatnonzero(sums.max(axis=1) + flat >= threshold - 2 * SLACK).tolist():
+    sums += flat[:, None]
+    for c in np.flatnonzero(sums.max(axis=1) >= threshold - 2 * SLACK).tolist():
         last = c + 1 if follows[c] else c
         terms = np.unique(term[term_cut[c] : term_cut[last + 1]]).tolist()
-        if hits := index.search(terms, threshold):
+        blocks = np.flatnonzero(sums[c] >= threshold - 2 * SLACK).tolist()
+        if hits := index.search(terms, threshold, blocks):
             yield int(chunk_text[c]), int(chunk_begin[c]), int(ends[last]), hits
 
 

@@ -118,8 +118,10 @@ def test_wand_finds_all_segments_over_any_threshold():
         terms = rng.sample(range(len(index.vocabulary)), rng.randint(1, 120))
         scores = {}
         for t in terms:
-            for s, x in zip(index.postings[t].segments, index.postings[t].impacts, strict=True):
-                scores[s] = scores.get(s, 0.0) + x
+            for block in index.blocks:
+                if p := block.get(t):
+                    for s, x in zip(p.segments, p.impacts, strict=True):
+                        scores[s] = scores.get(s, 0.0) + x
         for threshold in (0.05, 0.2, 0.5):
             assert {s for s, _ in index.search(terms, threshold)} == {s for s, x in scores.items() if x >= threshold - d.SLACK}
 
