@@ -55,8 +55,7 @@ def upsert_postings(old: DataFrame, seen: DataFrame, as_of: str | Column) -> Dat
     new = seen.select("*", *(v.alias(k) for k, v in extra.items() if k not in seen.columns))
     if "first_seen_at" in old.columns and "first_seen_at" not in seen.columns:
         new = new.withColumn("first_seen_at", as_of_column(as_of))
-    if "id" in rules or "id" not in new.columns:
-        rules = {**rules, "id": lambda o, n: o}
+    rules["id"] = lambda o, n: o
     return merge_frames(old, new, ["source_id", "external_id"], rules)
 
 
@@ -94,8 +93,8 @@ def reconcile_absent(postings: DataFrame, seen: DataFrame, polled: DataFrame, as
 def duplicate_pairs(postings: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """(loser_id, keeper_id): per live posting the most similar strictly better one of another source of its company.
 
-    Blocks of one company are joined by shared title words as well: titles that reach 0.9
-    share a word or a trigram set so close that their first three letters agree.
+    A company is the block, as in the statement this stands for. Equal titles need no
+    trigrams; the cheap conditions come before the similarity.
     """
     live = postings.where(F.col("status") == "live")
     rank = [F.col("parse_confidence"), F.char_length(F.coalesce("description_text", F.lit(""))), -F.unix_micros(F.col("first_seen_at").cast("timestamp")), -F.col("id")]
@@ -107,7 +106,6 @@ def duplicate_pairs(postings: DataFrame, threshold: float = SIMILAR) -> DataFram
     same = lambda c, unknown: (F.col(c) == F.col(f"b_{c}")) | unknown(F.col(c)) | unknown(F.col(f"b_{c}"))
     close = side.join(b, "company_id").where((F.col("source_id") != F.col("b_source_id")) & worse)
     close = close.where(same("city", lambda x: x.isNull()) & same("mode", lambda x: x == "unknown"))
-    # The size of a trigram set is at most the title's length and its words: far apart means unlike.
     close = close.withColumn("sim", F.when(F.col("title") == F.col("b_title"), 1.0).otherwise(similarity(F.col("title"), F.col("b_title")))).where(F.col("sim") >= threshold)
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "b_id"))
     return close.withColumn("_n", first).where("_n = 1").select(F.col("id").alias("loser_id"), F.col("b_id").alias("keeper_id"))

@@ -42,8 +42,7 @@ for _name, _where in {
 
 _sql("feed_newest", FEED, f"""SELECT id, company, vendor, title, fresh_at AS sort_key FROM feed
 WHERE status = 'live' AND field <> 'other' AND fresh_at >= {_NOW} - INTERVAL '336' HOUR ORDER BY fresh_at DESC, id DESC LIMIT 26""", LIVE)
-_sql("feed_comp_usd", FEED, f"SELECT id, comp_currency, round(usd, 2) AS usd FROM (SELECT *, {_USD} AS usd FROM feed WHERE status = 'live') ORDER BY feed_usd DESC, id DESC LIMIT 26".replace("feed_usd", "usd"), LIVE)
-ORACLES["feed_comp_usd"] = ORACLES["feed_comp_usd"].replace("round(usd, 2) AS usd FROM (SELECT *,", "round(u, 2) AS usd FROM (SELECT *,").replace(" AS usd FROM feed WHERE", " AS u FROM feed WHERE").replace("ORDER BY usd", "ORDER BY u")
+_sql("feed_comp_usd", FEED, f"SELECT id, comp_currency, round(u, 2) AS usd FROM (SELECT *, {_USD} AS u FROM feed WHERE status = 'live') ORDER BY u DESC, id DESC LIMIT 26", LIVE)
 _sql("feed_keyset_page2", FEED, """SELECT id, fresh_at AS sort_key FROM feed WHERE status = 'live'
 AND (fresh_at < TIMESTAMP '2001-07-01 00:00:00' OR (fresh_at = TIMESTAMP '2001-07-01 00:00:00' AND id < 1000)) ORDER BY fresh_at DESC, id DESC LIMIT 26""", LIVE)
 _sql("feed_not_dismissed", (*FEED, "dismissed_postings"), f"""SELECT id FROM feed WHERE status = 'live' AND field <> 'other'
