@@ -23,7 +23,10 @@ from pyspark.sql import types as T
 from .common import fresh, importable, table
 
 #: Entries of a worker's caches, and the length of what is cached: together they bound its memory.
-CACHE_ENTRIES, CACHED_LENGTH = 400_000, 48
+CACHE_ENTRIES, CACHED_LENGTH = 600_000, 32
+#: Letters whose lower case and word pattern need no library, if a probe of the file agrees.
+LATIN = "".join(chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7))
+MARKS = ".,;:!?"
 #: Texts that are encoded together.
 STEP = 256
 
@@ -47,45 +50,81 @@ class ForcedBoundaryBpe:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         suffix = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        self.last = Tokenizer(models.BPE(model["vocab"], merges, end_of_word_suffix=suffix or None))
+        self.last = models.BPE(model["vocab"], merges, end_of_word_suffix=suffix or None)
         #: Fragments before the last of a word carry no end-of-word suffix.
-        self.inner = Tokenizer(models.BPE(model["vocab"], merges))
+        self.inner = models.BPE(model["vocab"], merges)
         self.joined = {a + b for token in model["vocab"] for a, b in pairwise(token.removesuffix(suffix) if suffix else token)}
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
         self.tokens = [""] * size
         for token, i in chain(model["vocab"].items(), self.special.items()):
             self.tokens[i] = token
-        self.pieces: dict[str, bytes] = {"": b""}
         self.fragments: dict[tuple[str, bool], list[int]] = {}
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.alphabet = {i: chr(i if i in plain else next(rest)) for i in range(256)}
+        self.latin = re.compile(f"[{LATIN}]+") if self._words(LATIN) == [self._spelled(LATIN)] else None
+        self.marks = {c: self._encode_words(c) for c in MARKS} if all(self._words(f"a{c}") == ["a", c] for c in MARKS) else {}
+        self.pieces: dict[str, bytes] = {"": b""}
 
     def cut(self, word: str) -> list[str]:
         """The fragments of a word: cut between two bytes that no token joins."""
         at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined]
         return [word[a:b] for a, b in pairwise([0, *at, len(word)])]
 
+    def _spelled(self, word: str) -> str:
+        """A word of Latin letters in the byte-level alphabet, in lower case."""
+        return word.lower().encode().decode("latin-1").translate(self.alphabet)
+
+    def _words(self, text: str) -> list[str]:
+        return [word for word, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text) if self.normalizer else text)]
+
     def _fragment(self, text: str, last: bool) -> list[int]:
         ids = self.fragments.get((text, last))
         if ids is None:
-            ids = (self.last if last else self.inner).encode(text, add_special_tokens=False).ids
+            ids = [x.id for x in (self.last if last else self.inner).tokenize(text)]
             if len(text) <= CACHED_LENGTH:
                 if len(self.fragments) >= CACHE_ENTRIES:
                     self.fragments.clear()
                 self.fragments[text, last] = ids
         return ids
 
-    def _encode_piece(self, piece: str) -> bytes:
+    def _encode_word(self, word: str) -> list[int]:
+        *inner, end = self.cut(word)
+        ids: list[int] = []
+        for fragment in inner:
+            ids += self._fragment(fragment, False)
+        return ids + self._fragment(end, True)
+
+    def _encode_words(self, piece: str) -> bytes:
         ids: list[int] = []
         for part in self.special_pattern.split(piece) if self.special_pattern and "<" in piece else (piece,):
             if part in self.special:
                 ids.append(self.special[part])
                 continue
-            for word, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part) if self.normalizer else part):
-                *inner, end = self.cut(word)
-                for fragment in inner:
-                    ids += self._fragment(fragment, False)
-                ids += self._fragment(end, True)
+            for word in self._words(part):
+                ids += self._encode_word(word)
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _encode_piece(self, piece: str) -> bytes:
+        """The ids of a piece without spaces; a closing mark is a word of its own."""
+        if self.latin and self.latin.fullmatch(piece):
+            return np.array(self._encode_word(self._spelled(piece)), dtype="<u4").tobytes()
+        if self.latin and piece[-1] in self.marks and self.latin.fullmatch(piece, 0, len(piece) - 1):
+            body = piece[:-1]
+            return (self.pieces.get(body) or self._kept(body)) + self.marks[piece[-1]]
+        return self._encode_words(piece)
+
+    def _kept(self, piece: str) -> bytes:
+        """Encodes a piece and keeps it for the next time, unless it is long."""
+        ids = self._encode_piece(piece)
+        if len(piece) <= CACHED_LENGTH:
+            if len(self.pieces) >= CACHE_ENTRIES:
+                self.pieces.clear()
+                self.pieces[""] = b""
+            self.pieces[piece] = ids
+        return ids
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for text in texts:
@@ -100,12 +139,7 @@ class ForcedBoundaryBpe:
             for piece in pieces:
                 ids = known.get(piece)
                 if ids is None:
-                    ids = self._encode_piece(piece)
-                    if len(piece) <= CACHED_LENGTH:
-                        if len(known) >= CACHE_ENTRIES:
-                            known.clear()
-                            known[""] = b""
-                        known[piece] = ids
+                    ids = self._kept(piece)
                 out.append(ids)
             yield b"".join(out)
 
