@@ -62,8 +62,8 @@ PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
 
 #: Every known sentence holds one of these: a text without any needs no cutting.
 ANCHORS = ("license", "permission", "redistribution")
-#: Where a sentence ends: line ends, or white space after closing punctuation.
-BREAK = r"\n|(?<=[.!?])[\x20\x09-\x0D]+"
+#: Where a sentence ends: white space after closing punctuation.
+STOP = r"(?<=[.!?])[\x20\x09-\x0D]+"
 
 
 def normalised(sentence: str) -> str:
@@ -75,23 +75,34 @@ if missing := [t for t in KNOWN if not any(a in t for a in ANCHORS)]:
     raise AssertionError(f"sentences without an anchor: {missing}")
 
 
-def _normal(x: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+def _marked(text: Column) -> Column:
+    """Lower-case words with a space between them, or with what may end a sentence there.
+
+    ``P``: closing punctuation, always an end. Line ends and ``L`` (after a semicolon or
+    colon) may be ends or stand inside a sentence. Indentation, comment marks and frames
+    hold no words, so they go; a line without words leaves two line ends.
+    """
+    marked = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for pattern, by in ((STOP, "P"), (r"(?<=[;:])(?=[\x20\x09-\x0D])", "L"), (r"[^a-z0-9PL\n]+", " "), (r"(?<=[PL\n])\x20|\x20(?=[PL\n])", "")):
+        marked = F.regexp_replace(marked, pattern, by)
+    return F.btrim(marked)
+
+
+#: One inner line end of a wrapped sentence, or a space; a blank line is neither.
+_BETWEEN = r"(?:\x20|L?\nL?|L)"
+#: A known sentence between two ends. The longest come first: a sentence may begin with another.
+_FIND = "(?<![a-z0-9 ])(?:" + "|".join(_BETWEEN.join(k.split()) for k in sorted(KNOWN, key=len, reverse=True)) + ")(?![a-z0-9 ])"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known licence sentences of a text, in order.
+    """Identifiers of the known licence sentences of a text, in the order of their places.
 
-    Long sentences that span lines in a wrapped licence text are matched after joining
-    lines that do not end a sentence, so both readings of the text are tried.
+    A sentence may lie in one line or be wrapped anywhere, indented or commented; every
+    place is looked at on its own, so one sentence's layout does not hide another.
     """
-    known = list(KNOWN)
     to_id = F.create_map(*(F.lit(v) for kv in KNOWN.items() for v in kv))
-    by_line = F.transform(F.split(text, BREAK), _normal)
-    joined = F.transform(F.split(F.regexp_replace(text, r"(?<![.;:!?])\n(?=[a-z(])", " "), BREAK), _normal)
-    ids = lambda parts: F.transform(F.filter(parts, lambda s: s.isin(known)), lambda s: to_id[s])
-    a, b = ids(by_line), ids(joined)
-    return F.when(F.size(b) > F.size(a), b).otherwise(a)
+    found = F.regexp_extract_all(_marked(text), F.lit(_FIND), F.lit(0))
+    return F.transform(found, lambda s: to_id[F.regexp_replace(s, r"[L\n]+", " ")])
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -91,3 +91,78 @@ def test_licences(spark):
     assert out.columns == ["doc_id", "text", "licenses", "license_sentence_ids", "_licenses"]
     got = {r.doc_id: (r.license_sentence_ids, r._licenses) for r in out.collect()}
     assert got == {1: ([2, 16], ["MIT"]), 2: ([], []), 3: ([], []), 4: ([], [])} and out.count() == 5
+
+
+BSD = """Copyright (c) 2020, A. Author
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+
+You should have received a copy of the GNU
+General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+WIDE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not
+use this file except in compliance with the License. You may obtain a copy of
+the License at
+http://www.apache.org/licenses/LICENSE-2.0"""
+LAYOUTS = {
+    "plain": lambda t: t,
+    "indented": lambda t: "\n".join("    " + x for x in t.split("\n")),
+    "starred": lambda t: "/*\n" + "\n".join(f" * {x}".rstrip() for x in t.split("\n")) + "\n */\nint main",
+    "hashed": lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")) + "\nimport os",
+    "slashed": lambda t: "\n".join(f"// {x}" for x in t.split("\n")),
+    "semicolons": lambda t: "\n".join(f"; {x}" for x in t.split("\n")),
+    "framed": lambda t: "\n".join(f" * {x:<90} *" for x in t.split("\n")),
+    "windows": lambda t: t.replace("\n", "\r\n"),
+}
+
+
+def test_published_licences_in_every_layout(spark):
+    expected = {
+        "BSD": (BSD, [16, 17, 18, 19], ["BSD-3-Clause"]),
+        "BSD2": (BSD[: BSD.index("3. ")], [16, 17, 18], ["BSD-2-Clause"]),
+        "GPL": (GPL, [10, 11], ["GPL-3.0-or-later"]),
+        "MIT": (MIT, [3, 4], ["MIT"]),
+        "APACHE": (APACHE, [6, 7, 8], ["Apache-2.0"]),
+        "WIDE": (WIDE, [6, 7, 8], ["Apache-2.0"]),
+        "APACHE and GPL": (APACHE + "\n\n" + GPL, [6, 7, 8, 10, 11], ["Apache-2.0", "GPL-3.0-or-later"]),
+    }
+    rows = [(f"{name} {how}", lay(text)) for name, (text, _, _) in expected.items() for how, lay in LAYOUTS.items()]
+    rows += [("none", "Licensed under. The MIT License."), ("blank", "Licensed under the\n\nMIT License."), ("inside", "It is not released under the MIT License today."), ("long", "; " * 50_000 + "\n" * 50_000 + "*" * 50_000 + " license")]
+    got = {r.name: (r.license_sentence_ids, r.licenses) for r in scan_licenses(spark.createDataFrame(rows, "name string, text string")).collect()}
+    for name, (_, ids, licenses) in expected.items():
+        for how in LAYOUTS:
+            assert got[f"{name} {how}"] == (ids, licenses), (name, how)
+    assert all(got[x] == ([], []) for x in ("none", "blank", "inside", "long"))
