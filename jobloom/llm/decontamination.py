@@ -5,7 +5,8 @@ divided by the segment's score against itself, so a score says which share of th
 segment's BM25 weight a passage holds, and one threshold fits all segments. Every
 document is cut into overlapping passages; every passage queries the index and gets all
 segments above the threshold. A hit counts only if the passages around it hold enough of
-the word n-grams of both the item's question and its answer.
+the word n-grams of both the item's question and its answer. An item of a few words is
+looked for as a phrase. In scripts without spaces every character is a word.
 
 The index travels with the tasks. It is made for shards of the items, whose bytes are
 checked, so its size is bounded however many items there are.
@@ -34,7 +35,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: Share of the n-grams of question and of answer that the passages of a hit must hold.
 QUESTION, ANSWER, NGRAM = 0.6, 0.6, 3
-#: Items with fewer words cannot be told from ordinary phrases and are not indexed.
+#: Items with fewer words cannot be told from ordinary phrases by weights: only a copy of all their words in order is a leak.
 LEAST_WORDS = 5
 #: Bytes of items in one index; blocks of an index, and segments of a block at least.
 SHARD_BYTES, BLOCKS, BLOCK = 32 << 20, 256, 2
@@ -42,7 +43,7 @@ SHARD_BYTES, BLOCKS, BLOCK = 32 << 20, 256, 2
 SLACK = 1e-9
 
 FOUND = "doc_id long, item_id long, n_passages long, score double, question_overlap double, answer_overlap double"
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*(?=\S)")
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -57,7 +58,7 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 def _words(text: str) -> np.ndarray:
-    return hash_words(pa.array([text]), ALNUM_ONLY).hash
+    return hash_words(pa.array([text]), ALNUM_ONLY, unspaced=True).hash
 
 
 def _grams(hashes: np.ndarray, size: int = NGRAM) -> np.ndarray:
@@ -68,6 +69,10 @@ def _grams(hashes: np.ndarray, size: int = NGRAM) -> np.ndarray:
     return np.unique(windows(Words(1, np.zeros(len(hashes), np.int64), hashes), size)[1])
 
 
+def _whole(hashes: np.ndarray) -> np.uint64:
+    return windows(Words(1, np.zeros(len(hashes), np.int64), hashes), len(hashes))[1][0]
+
+
 @dataclass
 class Postings:
     """A term's postings in one block: segments in order, their impacts, and the largest impact."""
@@ -89,10 +94,14 @@ class Bm25Index:
         self.items = [i for i, _, _ in items]
         self.parts = [(_grams(_words(q)), _grams(_words(a))) for _, q, a in items]
         bags: list[tuple[int, np.ndarray]] = []
+        #: Items of fewer than LEAST_WORDS words, by their number of words and the hash of them all.
+        self.phrases: dict[int, dict[int, list[int]]] = {}
         for k, (_, q, a) in enumerate(items):
             every = np.concatenate((_words(q), _words(a)))
             if len(every) >= LEAST_WORDS:
                 bags += [(k, part) for part in np.array_split(every, math.ceil(len(every) / SEGMENT))]
+            elif len(every):
+                self.phrases.setdefault(len(every), {}).setdefault(int(_whole(every)), []).append(k)
         self.item_of = [k for k, _ in bags]
         counted = [np.unique(part, return_counts=True) for _, part in bags]
         terms = np.concatenate([t for t, _ in counted]) if bags else np.empty(0, np.uint64)
@@ -211,6 +220,21 @@ def _hits(index: Bm25Index, hashes: np.ndarray, text: np.ndarray, threshold: flo
             yield int(chunk_text[c]), int(chunk_begin[c]), int(ends[last]), hits
 
 
+def _phrases(index: Bm25Index, words: Words) -> dict[tuple[int, int], set[int]]:
+    """For each text and short item whose words it holds in order, the passages (by number) with all of them."""
+    found: dict[tuple[int, int], set[int]] = {}
+    for size, items in index.phrases.items():
+        at, hashes = windows(words, size)
+        for i in np.flatnonzero(np.isin(hashes, np.array(list(items), np.uint64))).tolist():
+            text = int(words.text[at[i]])
+            place = int(at[i] - np.searchsorted(words.text, text))
+            chunk, rest = divmod(place, SEGMENT)
+            passages = {chunk, chunk - 1} if chunk and rest + size <= SEGMENT else {chunk}
+            for item in items[int(hashes[i])]:
+                found.setdefault((text, item), set()).update(passages)
+    return found
+
+
 @dataclass
 class Leak:
     """A text of a batch, an item that it leaks, and the evidence."""
@@ -223,8 +247,8 @@ class Leak:
 
 
 def _leaks(index: Bm25Index, column: pa.Array, threshold: float, least: tuple[float, float]) -> Iterator[Leak]:
-    """Verified hits of the texts of a column, by text and item."""
-    words = hash_words(column, ALNUM_ONLY)
+    """Verified hits of the texts of a column, by text and item; then the short items."""
+    words = hash_words(column, ALNUM_ONLY, unspaced=True)
     found: dict[tuple[int, int], tuple[dict, list]] = {}
     for text, start, end, hits in _hits(index, words.hash, words.text, threshold):
         for segment, score in hits:
@@ -239,6 +263,8 @@ def _leaks(index: Bm25Index, column: pa.Array, threshold: float, least: tuple[fl
         overlaps = [float(np.isin(grams, near).mean()) if len(grams) else 1.0 for grams in index.parts[item]]
         if all(x >= y for x, y in zip(overlaps, least, strict=True)):
             yield Leak(text, item, len(scores), max(scores.values()), overlaps)
+    for (text, item), passages in sorted(_phrases(index, words).items()):
+        yield Leak(text, item, len(passages), 1.0, [1.0, 1.0])
 
 
 def _grams_any(hashes: np.ndarray) -> np.ndarray:
@@ -272,7 +298,8 @@ def find_contamination(
 
     ``n_passages`` counts the passages that retrieved the item, ``score`` is the best. Items
     come with question and answer columns or with one text (see ``question_and_answer``).
-    Items without text or with fewer than LEAST_WORDS words are left out; null and empty
+    Items of fewer than LEAST_WORDS words are leaked by a copy of all their words in order,
+    with score and overlaps 1. Items without any word are left out; null and empty
     documents leak nothing; null ids are kept; repeated rows are each reported; empty tables
     on either side give no rows. Other columns are not read. Documents are read once per
     shard of items and are not shuffled.

@@ -22,6 +22,18 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 ALNUM_ONLY = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
+def _code_points(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(1 << 16, bool)
+    for a, b in ranges:
+        out[a : b + 1] = True
+    return out
+
+
+#: Scripts without spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo and Han; and their full-width punctuation.
+_UNSPACED = _code_points((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
+_WIDE_MARKS = _code_points((0x3000, 0x3004), (0x3008, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64): every input bit reaches every output bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -62,10 +74,23 @@ def text_steps(batch: pa.RecordBatch, text: int = 1, step_bytes: int = STEP_BYTE
         start = end
 
 
-def hash_words(column: pa.Array, separators: np.ndarray = _SPACE) -> Words:
+def _unspaced(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, length) of each character of a script without spaces, and the first bytes of wide punctuation."""
+    lead = np.flatnonzero(raw >= 0xE0)
+    high = raw[lead] >= 0xF0
+    three, four = lead[~high], lead[high]
+    code = ((raw[three] & 15).astype(np.int32) << 12) | ((raw[three + 1] & 63).astype(np.int32) << 6) | (raw[three + 2] & 63)
+    # Han beyond the first plane: U+20000 to U+3FFFF.
+    four = four[(raw[four] == 0xF0) & (raw[four + 1] >= 0xA0)]
+    alone = three[_UNSPACED[code]]
+    return np.concatenate((alone, four)), np.repeat((3, 4), (len(alone), len(four))), three[_WIDE_MARKS[code]]
+
+
+def hash_words(column: pa.Array, separators: np.ndarray = _SPACE, unspaced: bool = False) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased; a null text has none.
 
     ``separators``: a flag for each byte value that takes the place of white space.
+    ``unspaced``: each character of a script without spaces is a word, and wide punctuation separates.
     A word's hash is a polynomial of its bytes, taken from prefix sums over all texts.
     """
     if column.null_count:
@@ -77,11 +102,19 @@ def hash_words(column: pa.Array, separators: np.ndarray = _SPACE) -> Words:
     raw = _LOWER[np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
     offsets -= offsets[0]
     space = separators[raw]
+    if unspaced:
+        alone, sizes, marks = _unspaced(raw)
+        for k in range(3):
+            space[marks + k] = True
     edges = offsets[(offsets > 0) & (offsets < len(raw))]
     first = np.concatenate(([True], space[:-1]))
     first[edges] = True
     last = np.concatenate((space[1:], [True]))
     last[edges - 1] = True
+    if unspaced:
+        after = alone + sizes
+        first[alone] = last[after - 1] = True
+        first[after[after < len(raw)]] = last[alone[alone > 0] - 1] = True
     starts, ends = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space) + 1
     power, inverse = _power_tables(len(raw))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * power)))

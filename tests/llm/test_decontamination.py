@@ -152,3 +152,23 @@ def test_documents_against_brute_force(spark, sf_dir):
     docs, items = read("documents", "doc_id", "text"), read("benchmark", "item_id", "text")
     want = brute(docs[:60], items)
     assert got(spark, docs[:60], items) == want
+
+
+def test_short_items_are_phrases(spark):
+    items = [(1, "12 * 13 = ? 156"), (2, "Capital of France? Paris."), (3, "Capital of France? Paris."), (4, "..."), (5, "Eureka")]
+    filler = lambda n: " ".join(f"x{i}" for i in range(n))
+    docs = [(1, "so 12 * 13 = 156, he said"), (2, "13 12 156"), (3, filler(62) + " capital of France: Paris " + filler(100)), (4, "capital of France is Paris"), (5, filler(70) + " 12 13 156 " + filler(5)), (6, "capital of"), (7, "France Paris"), (8, "a eureka!"), (9, None), (10, "")]
+    assert got(spark, docs, items) == sorted((d, i, n, 1.0, 1.0, 1.0) for d, i, n in (("1", "1", 1), ("3", "2", 1), ("3", "3", 1), ("5", "1", 2), ("8", "5", 1)))
+    kept = drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 6, 7, 9, 10]
+
+
+def test_scripts_without_spaces(spark):
+    chinese = "\u54ea\u6761\u6cb3\u6d41\u7ecf\u8fd9\u5ea7\u53e4\u8001\u7684\u9996\u90fd\uff1f\u8fd9\u6761\u6cb3\u53eb\u505a\u6c38\u5b9a\u6cb3\u3002"
+    japanese = "\u65e5\u672c\u3067\u4e00\u756a\u9ad8\u3044\u5c71\u306f\u4f55\u3067\u3059\u304b\uff1f\u305d\u308c\u306f\u5bcc\u58eb\u5c71\u3067\u3059\u3002"
+    thai = "\u0e40\u0e21\u0e37\u0e2d\u0e07\u0e2b\u0e25\u0e27\u0e07\u0e02\u0e2d\u0e07\u0e1b\u0e23\u0e30\u0e40\u0e17\u0e28\u0e44\u0e17\u0e22\u0e04\u0e37\u0e2d\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e"
+    far = "\U00020000\U00020001\U00020002"
+    assert question_and_answer(chinese) == (chinese[:13], chinese[13:])
+    items = list(enumerate((chinese, japanese, thai, far, "\u5317\u4eac")))
+    docs = [(k, "\u524d" + text.rstrip("\u3002") + "\u540e\u9762 and more") for k, text in items] + [(10, chinese[:13] + "\u4e0d\u77e5\u9053"), (11, "\u4eac\u5317"), (12, far[::-1])]
+    assert [x[:2] for x in got(spark, docs, items)] == [(str(k), str(k)) for k, _ in items]
