@@ -37,7 +37,7 @@ PATTERNS: dict[str, str] = {
     # A search for [0-9]([\x20-]?[0-9])+ takes whole runs; only those of 14 to 19 digits count.
     "card": _RUN + r"{13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9+/_.-]{8,256}+[\"']?",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+[\"']?",
     "account": _RUN + r"{12,18}+(?![\x20-]?[0-9])",
     "local_phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",

@@ -102,3 +102,11 @@ def test_edges_and_redaction(spark):
     assert out.columns == docs.columns
     assert {r.base: r.text for r in out.collect()} == {5: "write to [email] or [phone]!", 6: "write to [email] or [phone]!", 7: "[ip]", 8: None, 9: ""}
     assert len(KINDS) == len(set(KINDS))
+
+
+def test_long_secrets_are_taken_whole(spark):
+    values = [hashlib.sha512(str(i).encode()).hexdigest() * 40 for i in range(30)]
+    docs = spark.createDataFrame([(i, f'api token = "{v}" end') for i, v in enumerate(values)] + [(99, "token=" * 20_000 + "a" * 200_000)], "doc_id long, text string")
+    found = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in pii_spans(docs).collect()}
+    assert all(found[i] == [("secret", 4, 4 + len(f'token = "{v}"'))] for i, v in enumerate(values))
+    assert {r.text for r in redact(docs).where("doc_id < 99").collect()} == {"api [secret] end"}
