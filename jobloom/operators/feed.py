@@ -14,6 +14,8 @@ from urllib.parse import parse_qs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.search import search
+
 # Units of a currency for one US dollar; others count as 1.
 USD_RATES = {"GBP": 0.738359, "EUR": 0.861401, "CAD": 1.386295, "SGD": 1.271737, "AUD": 1.395860, "JPY": 159.787727, "SEK": 9.580693, "INR": 95.201365}
 # Experience bands as (lowest, highest) least years.
@@ -119,7 +121,7 @@ def yoe_predicate(bands: tuple[str, ...]) -> Column | None:
 
 
 def predicate(f: FeedFilter, as_of: str | Column) -> Column:
-    """All row-wise conditions of a filter."""
+    """All row-wise conditions of a filter; ``matching`` adds those that need other tables."""
     keep = F.col("status") == "live"
     if f.countries:
         keep &= F.col("country").isin(*f.countries) | F.col("country").isNull()
@@ -179,8 +181,32 @@ def with_saved(postings: DataFrame, applications: DataFrame, viewer: int) -> Dat
     return postings.join(own, postings["id"] == own["saved_id"], "left").withColumn("saved", F.col("saved_id").isNotNull()).drop("saved_id")
 
 
-def sort_key(name: str) -> Column:
-    return comp_usd() if name == "comp" else freshness()
+def matching(rows: DataFrame, f: FeedFilter, as_of: str | Column, *, posting_skills: DataFrame | None = None, dismissed: DataFrame | None = None, viewer: int | None = None) -> DataFrame:
+    """Rows that pass all of a filter but its bands: row-wise conditions, text query (adds ``rank``), skills, dismissals.
+
+    A condition whose table is not given is an error, never left out. Without a viewer nothing is dismissed.
+    """
+    out = rows.where(predicate(f, as_of))
+    if f.query:
+        out = search(out, f.query, "title", "description_text")
+    if f.skills:
+        if posting_skills is None:
+            raise FilterError("skills need the table of posting skills")
+        out = with_all_skills(out, posting_skills, f.skills)
+    if viewer is not None and not f.include_dismissed:
+        if dismissed is None:
+            raise FilterError("a viewer's feed needs the table of dismissed postings")
+        out = without_dismissed(out, dismissed, viewer)
+    return out
+
+
+def needs_ranking(f: FeedFilter) -> bool:
+    return f.sort == "match" or bool(f.bands)
+
+
+def sort_key(name: str, query: str = "") -> Column:
+    """Relevance to no query is no order, so it falls back to the newest."""
+    return comp_usd() if name == "comp" else F.col("rank") if name == "relevance" and query else freshness()
 
 
 def encode_cursor(values: dict) -> str:
@@ -200,16 +226,44 @@ def after(key: Column, key_value: object, id_value: int, kind: str) -> Column:
     return (key < value) | ((key == value) & (F.col("id") < id_value))
 
 
-def page(rows: DataFrame, f: FeedFilter, as_of: str | Column) -> DataFrame:
-    """One keyset page plus one row, which says that there is more: filter, order, limit."""
-    kind = "double" if f.sort == "comp" else "timestamp_ntz"
-    out = rows.where(predicate(f, as_of)).withColumn("sort_key", sort_key(f.sort))
+def page(rows: DataFrame, f: FeedFilter, as_of: str | Column, *, posting_skills: DataFrame | None = None, dismissed: DataFrame | None = None, viewer: int | None = None, profile=None) -> DataFrame:
+    """One page plus one row, which says that there is more: filter, order, limit.
+
+    Bands and the order by match need the viewer's ``profile`` (see ``scoring.Profile``) and
+    the posting skills: they rank the CANDIDATES most recent rows, with an offset as cursor.
+    All other pages are keyset pages.
+    """
+    out = matching(rows, f, as_of, posting_skills=posting_skills, dismissed=dismissed, viewer=viewer)
+    if needs_ranking(f):
+        from .scoring import ranked
+
+        if profile is None or posting_skills is None:
+            raise FilterError("ranking needs a viewer's profile and the posting skills")
+        lists = skill_arrays(posting_skills)
+        out = out.join(lists, out["id"] == lists["posting_id"], "left").drop("posting_id")
+        return ranked(out, profile, as_of, CANDIDATES, _offset(f), f.limit + 1, f.bands)
+    kind = "double" if f.sort == "comp" or (f.sort == "relevance" and f.query) else "timestamp_ntz"
+    out = out.withColumn("sort_key", sort_key(f.sort, f.query))
     if f.cursor:
         at = decode_cursor(f.cursor)
+        if not {"k", "i"} <= set(at):
+            raise FilterError("bad cursor")
         out = out.where(after(F.col("sort_key"), at["k"], at["i"], kind))
     return out.orderBy(F.desc("sort_key"), F.desc("id")).limit(f.limit + 1)
 
 
+def _offset(f: FeedFilter) -> int:
+    offset = decode_cursor(f.cursor).get("o") if f.cursor else 0
+    if not isinstance(offset, int) or offset < 0:
+        raise FilterError("bad cursor")
+    return offset
+
+
+def rehydrate(places: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of a ranked page (id, place) in its order; ids that are gone are dropped."""
+    return places.select("id", "place").join(postings, "id").orderBy("place")
+
+
 @dataclass(frozen=True)
 class Page:
     """A collected page: at most ``limit`` rows, and where the next one begins."""
@@ -218,12 +272,13 @@ class Page:
     cursor: str = ""
 
 
-def collect_page(rows: DataFrame, f: FeedFilter, as_of: str | Column) -> Page:
-    found = page(rows, f, as_of).collect()
+def collect_page(rows: DataFrame, f: FeedFilter, as_of: str | Column, **more) -> Page:
+    """``more``: the tables, viewer and profile of ``page``."""
+    found = page(rows, f, as_of, **more).collect()
     if len(found) <= f.limit:
         return Page(found)
     last = found[f.limit - 1]
-    return Page(found[: f.limit], encode_cursor({"k": str(last["sort_key"]), "i": last["id"]}))
+    return Page(found[: f.limit], encode_cursor({"o": _offset(f) + f.limit} if needs_ranking(f) else {"k": str(last["sort_key"]), "i": last["id"]}))
 
 
 def yoe_bucket() -> Column:

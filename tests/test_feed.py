@@ -116,3 +116,35 @@ def test_children_boards_and_export(spark):
     users = spark.createDataFrame([(1, 5, 4.0, "t", ["US"], [], None), (2, 0, None, None, [], [], None)], "id long, n_skills int, total_yoe double, current_title string, countries array<string>, modes array<string>, comp_min double")
     assert {(r.id, r.strength) for r in account.profile_strength(users).collect()} == {(1, 67), (2, 0)}
     assert account.export({"users": users, "applications": spark.createDataFrame([(1, 7)], "user_id long, id long")}, 1).count() == 2
+
+
+def test_pages_read_query_skills_bands_dismissals_and_sorts(spark, rows):
+    from pyspark.sql import functions as F
+
+    bodies = {1: "go and spark", 2: "spark spark spark", 3: "java", 4: "go", 5: "spark"}
+    text = F.create_map(*(F.lit(x) for kv in bodies.items() for x in kv))
+    full = rows.withColumns({"description_text": text[F.col("id").cast("int")], "yoe_max": F.lit(None).cast("int"), "parse_confidence": F.lit(0.9)})
+    skills = spark.createDataFrame([(1, "go", "must_have"), (1, "sql", "must_have"), (2, "rust", "must_have"), (2, "sql", "must_have"), (4, "go", "must_have"), (4, "c", "must_have")], "posting_id long, skill string, requirement string")
+    dismissed = spark.createDataFrame([(7, 1), (8, 2)], "user_id long, posting_id long")
+    profile = scoring.Profile(skills=("go", "sql"))
+    more = {"posting_skills": skills, "dismissed": dismissed, "profile": profile}
+    ids = lambda query, **x: [r.id for r in feed.page(full, parse_query(query), NOW.isoformat(), **{**more, **x}).collect()]
+    assert ids("q=spark") == [1, 2, 5] and ids("q=spark&sort=relevance") == [2, 5, 1] and ids("sort=relevance") == ids("")
+    assert ids("skills=go,sql") == [1] and ids("skills=sql") == [1, 2]
+    assert 1 not in ids("", viewer=7) and 1 in ids("dismissed=1", viewer=7) and 1 in ids("")
+    best = scoring.ranked(feed.matching(full, FeedFilter(), NOW.isoformat()).join(feed.skill_arrays(skills).withColumnRenamed("posting_id", "id"), "id", "left"), profile, NOW.isoformat(), limit=50).collect()
+    assert ids("sort=match") == [r.id for r in best] and best[0].id == 1 and ids("sort=match") != ids("")
+    assert ids("band=strong,stretch") == [r.id for r in best if r.band in ("strong", "stretch")] and 0 < len(ids("band=strong")) < len(best)
+    for query in ("limit=2&sort=match", "limit=2&q=spark&sort=relevance"):
+        f, seen, cursor = parse_query(query), [], ""
+        for _ in range(6):
+            got = feed.collect_page(full, parse_query(f"{query}&cursor={cursor}"), NOW.isoformat(), **more)
+            seen, cursor = seen + [r.id for r in got.rows], got.cursor
+            if not cursor:
+                break
+        assert f.limit == 2 and seen == ids(query.replace("limit=2&", ""))
+    for query, without in (("skills=go", {"posting_skills": None}), ("band=strong", {"profile": None}), ("sort=match", {"profile": None}), ("", {"viewer": 7, "dismissed": None})):
+        with pytest.raises(FilterError):
+            ids(query, **without)
+    places = spark.createDataFrame([(5, 0), (99, 1), (2, 2)], "id long, place int")
+    assert [r.id for r in feed.rehydrate(places, full).collect()] == [5, 2]
