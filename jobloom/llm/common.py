@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A key with more rows than this, or than an average task gets, is hot; below LEAST_HOT it never is.
+TASK_ROWS, LEAST_HOT = 1_000_000, 500
+#: Keys that one broadcast may hold: a key and a few numbers each, well under 100 MB.
+BROADCAST_KEYS = 1_000_000
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -25,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own; on a
+    cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-jobloom-")
@@ -58,6 +66,29 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hot_rows(spark: SparkSession, total: int) -> int:
+    """Rows from which a key of a table of ``total`` rows is hot: the share of an average shuffle task, within fixed bounds.
+
+    A table has at most max(shuffle partitions, total / TASK_ROWS) hot keys.
+    """
+    return max(LEAST_HOT, min(TASK_ROWS, math.ceil(total / int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def split_join(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, limit: int) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which holds each key once and in ``n`` how many rows have it.
+
+    Rows of hot keys (more than ``limit``) stay where they are and meet a broadcast of these
+    keys; only the other rows are shuffled, so no task gets more of one key than ``limit``.
+    ``n`` is in the result. With more hot keys than a broadcast may hold, all rows are shuffled
+    and Spark splits skewed partitions.
+    """
+    hot = per_key.where(F.col(n) > limit)
+    if hot.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        return rows.join(per_key, key)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(per_key.where(F.col(n) <= limit), key))
+
+
 def importable(spark: SparkSession) -> None:
     """Lets local Python workers import this package when the driver's cwd is elsewhere."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_rows, materialise, split_join
 
 ROUNDS = 60
 
@@ -19,19 +19,22 @@ def connected_components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes: each node points to
     the smallest neighbour it knows of, and the number of edges never grows. A node's
-    neighbours are never gathered: its minimum is an aggregate that is joined back.
+    neighbours are never gathered: its minimum is an aggregate that is joined back, for
+    nodes of many neighbours without moving these.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "star-edges")
     before = _state(edges)
     for _ in range(rounds):
         if not before[0]:
             break
+        limit = hot_rows(links.sparkSession, 2 * before[0])
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = split_join(both, least, ["a"], "n", limit).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Every large-star edge points down, so a node's smaller neighbours are its "b"s.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))).where("a <> b").distinct()
+        large = materialise(large, "star-large")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = split_join(large, low, ["a"], "n", limit).select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))).where("a <> b").distinct()
         edges = materialise(small, "star-edges")
         if (after := _state(edges)) == before:
             break

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, importable, materialise, table
+from .common import fresh, hot_rows, importable, materialise, split_join, table
 from .components import connected_components
 from .shingles import hash_words, mix, shingle_sets, text_steps
 
@@ -38,8 +38,8 @@ BUCKET = 1_000_000
 HEAVY = 64
 #: Prefix elements of up to so many classes make all their pairs at once; beyond, hubs come first.
 SMALL, HUBS = 8, 3
-#: Sets on each side of a block of pairs that one task verifies.
-BLOCK = 2048
+#: Sets, and shingles of sets, on each side of a block of pairs that one task verifies.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
 _KEY = np.uint64((1 << 48) - 1)
 _PACKED = "bucket int, chunk long, keys binary, docs binary, heavy binary, heavy_n binary, ids array<long>, sizes binary, prints binary, own binary, own_n binary, own_docs binary"
@@ -81,8 +81,9 @@ def _pack_chunk(chunk: int, held: list, buckets: int) -> pa.RecordBatch:
     heavy = np.repeat(count > HEAVY, count)
     own, own_n = hashes[begin][count > HEAVY], count[count > HEAVY].astype("<u4")
     own_docs, hashes, docs = docs[heavy], hashes[~heavy], docs[~heavy]
-    edges = np.arange(buckets + 1, dtype=np.uint64)
-    cut, own_cut = np.searchsorted(_bucket(hashes, buckets), edges), np.searchsorted(_bucket(own, buckets), edges)
+    of, own_of = _bucket(hashes, buckets), _bucket(own, buckets)
+    used = np.union1d(of[_runs(of)], own_of[_runs(own_of)])
+    cut, own_cut = ((np.searchsorted(x, used), np.searchsorted(x, used, "right")) for x in (of, own_of))
     keys, docs, own_keys, own_n_raw = _narrow(hashes), docs.tobytes(), _narrow(own), own_n.tobytes()
     rows: dict[str, list] = {x.split()[0]: [] for x in _PACKED.split(", ")}
 
@@ -90,10 +91,8 @@ def _pack_chunk(chunk: int, held: list, buckets: int) -> pa.RecordBatch:
         for name, column in rows.items():
             column.append(values.get(name))
 
-    for b in range(buckets):
-        i, j, k, m = int(cut[b]), int(cut[b + 1]), int(own_cut[b]), int(own_cut[b + 1])
-        if j > i or m > k:
-            add(bucket=b, chunk=chunk, keys=keys[6 * i : 6 * j], docs=docs[2 * i : 2 * j], heavy=own_keys[6 * k : 6 * m], heavy_n=own_n_raw[4 * k : 4 * m])
+    for b, i, j, k, m in zip(used.tolist(), *(x.tolist() for x in (*cut, *own_cut)), strict=True):
+        add(bucket=b, chunk=chunk, keys=keys[6 * i : 6 * j], docs=docs[2 * i : 2 * j], heavy=own_keys[6 * k : 6 * m], heavy_n=own_n_raw[4 * k : 4 * m])
     add(bucket=chunk % buckets, chunk=chunk, ids=ids.to_pylist(), sizes=sizes.astype("<i8").tobytes(), prints=prints.tobytes(), own=own.astype("<u8").tobytes(), own_n=own_n_raw, own_docs=own_docs.tobytes())
     kinds = {"bucket": pa.int32(), "chunk": pa.int64(), "ids": pa.list_(pa.int64())}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()], names=list(rows))
@@ -265,41 +264,44 @@ def _pairs(left: Column, right: Column) -> list[Column]:
 def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(rep, component): components of the sets under "Jaccard similarity of at least percent"."""
     posts = sets.select("rep", "n", F.explode("rare").alias("token"))
+    limit = hot_rows(sets.sparkSession, sets.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0])
     hub = lambda r: F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "n"))
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *(hub(r).alias(f"hub{r}") for r in range(HUBS))).where("m > 1")
-    posts = materialise(posts.join(lists, "token"), "ngram-postings")
-    few, many = posts.where(F.col("m") <= SMALL), posts.where(F.col("m") > SMALL).select("token", "rep", "n", *(f"hub{r}" for r in range(HUBS)))
+    posts = materialise(split_join(posts, lists, ["token"], "m", limit), "ngram-postings")
+    few, many = posts.where(F.col("m") <= SMALL), posts.where(F.col("m") > SMALL)
     other = few.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
     close = few.join(other, "token").where(F.col("rep") < F.col("rep2")).where(_fits(F.col("n"), F.col("n2"), percent)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     hubs = many.select("rep", "n", F.explode(F.array(*(F.col(f"hub{r}") for r in range(HUBS)))).alias("hub"))
     starred = hubs.where(F.col("rep") != F.col("hub.rep")).where(_fits(F.col("n"), F.col("hub.n"), percent)).select(*_pairs(F.col("rep"), F.col("hub.rep")))
     links = materialise(verified(close.unionByName(starred).distinct(), sets, percent), "ngram-links")
     found = materialise(connected_components(links), "ngram-components")
-    more = _links_of_apart(many.select("token", F.col("hub0.rep").alias("hub"), "rep"), found, sets, percent)
+    more = _links_of_apart(many.select("token", "m", F.col("hub0.rep").alias("hub"), "rep", "n"), limit, found, sets, percent)
     known = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
     return materialise(connected_components(known.unionByName(more)), "ngram-components")
 
 
-def _links_of_apart(posts: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components that some list of ``posts`` (token, hub, rep) still holds apart.
+def _links_of_apart(posts: DataFrame, limit: int, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that some list of ``posts`` (token, m, hub, rep, n) still holds apart.
 
     Lists with one hub form a group, which holds each rep once. The reps outside the group's
     largest component are a query set against the whole group: both sides are cut into blocks
-    of about BLOCK sets, and every pair of blocks is verified in a task of its own.
+    of about BLOCK sets or BLOCK_SHINGLES shingles, and every pair of blocks is verified in a
+    task of its own.
     """
-    placed = posts.join(found, F.col("rep") == F.col("node"), "left").select("token", "hub", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    members = materialise(placed.join(apart, "token").select("hub", "rep", "component").distinct(), "ngram-apart")
-    by_component = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = by_component.groupBy("hub").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("top"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    rows = members.join(sizes, "hub").select("hub", "rep", "component", blocks(F.col("m")).alias("all"), blocks(F.col("m") - F.col("top.c")).alias("out"), F.col("top.component").alias("top"))
+    placed = posts.join(found, F.col("rep") == F.col("node"), "left").select("token", "m", "hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("size")).where("lo < hi").select("token", "size")
+    members = materialise(split_join(placed, apart, ["token"], "size", limit).select("hub", "rep", "n", "component").distinct(), "ngram-apart")
+    by_component = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    sizes = by_component.groupBy("hub").agg(F.sum("c").alias("m"), F.sum("w").alias("mw"), F.max(F.struct("c", "component", "w")).alias("top"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / F.lit(BLOCK), w / F.lit(BLOCK_SHINGLES))).cast("int")
+    sizes = sizes.select("hub", "m", blocks(F.col("m"), F.col("mw")).alias("all"), blocks(F.col("m") - F.col("top.c"), F.col("mw") - F.col("top.w")).alias("out"), F.col("top.component").alias("top"))
+    rows = split_join(members, sizes, ["hub"], "m", limit).select("hub", "rep", "component", "all", "out", "top")
     rows = rows.join(sets.select("rep", "n", "k", "shared"), "rep")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     what = ["hub", "rep", "component", "n", "k", "shared"]
     left = rows.where(F.col("component") != F.col("top")).select(*what, F.lit(True).alias("query"), own("out").alias("i"), every("all").alias("j"))
-    right = rows.select(*what, F.lit(False).alias("query"), own("all").alias("j"), every("out").alias("i"))
+    right = rows.where("out > 0").select(*what, F.lit(False).alias("query"), own("all").alias("j"), every("out").alias("i"))
     return left.unionByName(right).groupBy("hub", "i", "j").applyInArrow(_verify_block(percent), "a long, b long")
 
 
@@ -351,12 +353,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     profile = profiles(docs, id_col, text_col, words, percent)
     found = set_links(_candidate_sets(profile), percent)
-    solid = profile.where(F.col("n") > 0).where(F.col("doc_id").isNotNull())
-    classes = solid.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    classes = materialise(classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("print").alias("class"), F.coalesce("component", "rep").alias("component")), "ngram-classes")
-    whole = profile.select("doc_id", "n", "print").join(classes, F.col("print") == F.col("class"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return whole.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    solid = profile.where(linkable).select("doc_id", "n", "print")
+    # Equal texts share a print: a class may hold a large share of all rows.
+    classes = solid.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"))
+    classes = materialise(classes.join(found, F.col("rep") == F.col("node"), "left").select("print", "m", F.coalesce("component", "rep").alias("component")), "ngram-classes")
+    limit = hot_rows(docs.sparkSession, classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
+    placed = split_join(solid, classes, ["print"], "m", limit).select("doc_id", "n", "component")
+    whole = placed.unionByName(profile.where(~linkable).select("doc_id", "n", F.col("doc_id").alias("component")))
+    return whole.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

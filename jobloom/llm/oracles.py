@@ -103,6 +103,23 @@ WITH docs0 AS (SELECT doc_id, text FROM documents),
 SELECT doc_id, n_lines_removed, md5(coalesce(text, '')) AS text_md5 FROM deduped0
 """
 
+ORACLES["op8_ngram_join"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM docs
+), sized AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n + b.n) AS n, count(*) AS c FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY 1, 2
+),
+one_way AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (n - c)),
+links AS (SELECT a, b FROM one_way UNION ALL SELECT b, a FROM one_way),
+reached(node, other) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a)
+SELECT doc_id, n AS n_shingles, m AS component_id FROM sized JOIN (SELECT node, min(other) AS m FROM reached GROUP BY node) ON node = doc_id
+"""
+
 
 def _licenses() -> str:
     known = ", ".join(f"('{text}', {i})" for text, i in KNOWN.items())
