@@ -1,8 +1,12 @@
-"""Line deduplication over overlapping three-line windows.
+"""Line deduplication over overlapping windows of three lines.
 
 Every run of three consecutive lines is hashed. A window that the corpus holds more
 than once stays where it comes first; the lines of every later occurrence are covered,
 overlapping cover is merged, and the covered lines go.
+
+A line of over LONG words counts as several: it is cut behind the ends of its sentences,
+and after PIECE words at the latest. So a repeated long line or paragraph holds windows
+of its own, whatever stands around it.
 """
 
 from __future__ import annotations
@@ -10,31 +14,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, fresh, materialise, table
+from .common import WHITE, fresh, hot_rows, materialise, split_join, table
 
 WINDOW = 3
-#: A window with over 1/HOT of all occurrences is hot; there are fewer than HOT of them.
-HOT = 1000
+#: Words up to which a line is one unit, and words of a unit of a longer line at most.
+LONG, PIECE = 50, 16
+
+_IN, _OUT = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+#: A line of over LONG words; it begins at the line's start only, so a search is linear.
+LONG_LINE = rf"\A{_OUT}*(?:{_IN}+{_OUT}+){{{LONG}}}{_IN}"
+#: A unit of a long line: words that end no sentence, and one more word.
+UNIT = rf"{_OUT}*(?:{_IN}*[^\x20\x09-\x0D.!?]{_OUT}+){{0,{PIECE - 1}}}{_IN}+{_OUT}*"
+
+
+def _units_of(line: Column) -> Column:
+    long = (F.char_length(line) > 2 * LONG) & line.rlike(LONG_LINE)
+    return F.when(long, F.regexp_extract_all(line, F.lit(UNIT), F.lit(0))).otherwise(F.array(line))
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _bare(x: Column) -> Column:
+    return F.btrim(x, F.lit(WHITE))
+
+
+def _text_hash(text: Column) -> Column:
+    """60 bits of the text, by which rows that share an id are told apart and ordered."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def window_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, text hash, position, two hashes) of every window of non-blank, trimmed lines.
+    """(id, text hash, position, two hashes) of every window of non-blank, trimmed units.
 
-    Positions count non-blank lines. Two 64-bit hashes stand for a window.
+    Positions count non-blank units. Two 64-bit hashes stand for a window.
     """
-    lines = F.filter(F.transform(_lines(F.col(text_col)), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
-    parts = lambda i: [F.get("_lines", i + k) for k in range(window)]
+    units = F.filter(F.transform(F.flatten(F.transform(_lines(F.col(text_col)), _units_of)), _bare), lambda x: x != "")
+    parts = lambda i: [F.get("_units", i + k) for k in range(window)]
     windows = F.transform(
-        F.sequence(F.lit(0), F.size("_lines") - window), lambda i: F.struct(i.alias("pos"), F.xxhash64(*parts(i)).alias("h1"), F.xxhash64(F.lit("second"), *parts(i)).alias("h2"))
+        F.sequence(F.lit(0), F.size("_units") - window), lambda i: F.struct(i.alias("pos"), F.xxhash64(*parts(i)).alias("h1"), F.xxhash64(F.lit("second"), *parts(i)).alias("h2"))
     )
     return (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), lines.alias("_lines"))
-        .where(F.size("_lines") >= window)
+        .select(F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("th"), units.alias("_units"))
+        .where(F.size("_units") >= window)
         .select("id", "th", F.inline(windows))
     )
 
@@ -43,50 +67,47 @@ def later_occurrences(occurrences: DataFrame) -> DataFrame:
     """(id, th, pos) of each occurrence of a repeated window but its first, by id, text hash and position.
 
     A window that a large share of documents hold has one row in the table of repeated
-    windows but a large share of the rows to be looked up. Such windows, fewer than HOT
-    by their definition, are broadcast; no key of the shuffled join holds more than 1/HOT.
+    windows but a large share of the rows to be looked up: these are not shuffled.
     """
     at = F.struct("id", "th", "pos")
-    total = occurrences.count()
     repeated = materialise(occurrences.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-windows")
-    hot = repeated.where(F.col("n") * HOT > total).select("h1", "h2", F.col("first").alias("hot"))
-    cold = repeated.where(F.col("n") * HOT <= total).select("h1", "h2", F.col("first").alias("cold"))
-    rare = occurrences.join(F.broadcast(hot), ["h1", "h2"], "left_anti")
-    return (
-        occurrences.join(F.broadcast(hot), ["h1", "h2"]).where(~at.eqNullSafe(F.col("hot"))).select("id", "th", "pos")
-        .unionByName(rare.join(cold, ["h1", "h2"]).where(~at.eqNullSafe(F.col("cold"))).select("id", "th", "pos"))
-    )
+    limit = hot_rows(occurrences.sparkSession, occurrences.count())
+    return split_join(occurrences, repeated, ["h1", "h2"], "n", limit).where(~at.eqNullSafe(F.col("first"))).select("id", "th", "pos")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with later occurrences of repeated windows cut from the text, and ``n_lines_removed``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, removed_col: str = "n_units_removed") -> DataFrame:
+    """``docs`` with later occurrences of repeated windows cut from the text, and ``n_units_removed``.
 
-    Lines compare without outer white space. Blank lines are in no window and stay.
-    A text of fewer than three non-blank lines, a null text and a row with a null id stay
-    as they are. Rows that repeat both id and text count as one document. Every row stays,
-    even with an emptied text. The new column gets a leading underscore if the name is taken.
+    Units (lines, or pieces of long lines) compare without outer white space. Blank lines are
+    in no window and stay; what is left of a line stays in one line. A text of fewer than
+    three non-blank units, a null text and a row with a null id stay as they are. Rows that
+    repeat both id and text count as one document; of other rows with one id the order is
+    that of a hash of their texts. Every row stays, even with an emptied text. The new column
+    gets a leading underscore if the name is taken.
     """
-    (removed,) = fresh(docs, "n_lines_removed")
+    (removed,) = fresh(docs, removed_col)
     occurrences = materialise(window_occurrences(docs, id_col, text_col, window), "line-windows")
     cover = later_occurrences(occurrences).groupBy(F.col("id").alias("cid"), F.col("th").alias("cth")).agg(F.array_sort(F.collect_set("pos")).alias("starts"))
-    # Covered positions, merged: a window adds only lines that the window before it left.
+    # Covered positions, merged: a window adds only units that the window before it left.
     covered = F.flatten(
         F.transform(
             "starts", lambda p, i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: p + k), lambda q: (i == 0) | (q >= F.get("starts", i - 1) + window))
         )
     )
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("rid"), F.xxhash64(text_col).alias("rth"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("rid"), _text_hash(F.col(text_col)).alias("rth"))
     text = F.col("row").getField(text_col)
-    solid = F.filter(F.transform(_lines(text), lambda x, i: F.when(F.btrim(x, F.lit(WHITE)) != "", i)), lambda i: i.isNotNull())
+    units = F.flatten(F.transform(_lines(text), lambda x, i: F.transform(_units_of(x), lambda u: F.struct(i.alias("line"), u.alias("raw")))))
+    solid = F.filter(F.transform("units", lambda u, i: F.when(_bare(u["raw"]) != "", i)), lambda i: i.isNotNull())
     hit = F.col("starts").isNotNull()
+    joined = F.array_join(F.transform("left", lambda u, i: F.concat(F.when((i == 0) | (u["line"] == F.get("left", i - 1)["line"]), "").otherwise("\n"), u["raw"])), "")
     out = (
-        rows.join(cover.hint("shuffle_hash"), (F.col("rid") == F.col("cid")) & (F.col("rth") == F.col("cth")), "left")
-        .withColumn("raw", F.when(hit, _lines(text)))
+        rows.join(cover, (F.col("rid") == F.col("cid")) & (F.col("rth") == F.col("cth")), "left")
+        .withColumn("units", F.when(hit, units))
         .withColumn("solid", F.when(hit, solid))
         .withColumn("covered", F.when(hit, covered))
         .withColumn("cut", F.transform("covered", lambda p: F.get("solid", p)))
-        .withColumn("left", F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), F.col("cut")))
-        .withColumn("kept", F.when(hit, F.array_join(F.transform("left", lambda i: F.get("raw", i)), "\n")).otherwise(text))
+        .withColumn("left", F.transform(F.array_except(F.sequence(F.lit(0), F.size("units") - 1), F.col("cut")), lambda i: F.get("units", i)))
+        .withColumn("kept", F.when(hit, joined).otherwise(text))
     )
     return out.select(
         *(F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns), F.when(hit, F.size("cut")).otherwise(0).cast("long").alias(removed)
@@ -95,4 +116,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op9_window_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    return out.select("doc_id", "n_units_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))

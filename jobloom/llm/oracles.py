@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import ANCHORS, KNOWN, PART_OF, RULES
+from .line_dedup import LONG_LINE, UNIT
 
 ORACLES: dict[str, str] = {}
 
@@ -67,32 +68,37 @@ ledger AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM ledger
 """
 
-#: Removes later occurrences of repeated three-line windows; reads a relation ``docs0`` (doc_id, text, ...).
-LINE_DEDUP = r"""
+#: Removes later occurrences of repeated three-unit windows; reads a relation ``docs0`` (doc_id, text, ...).
+LINE_DEDUP = rf"""
 lines0 AS (
-  SELECT DISTINCT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS raw, unnest(string_split(text, chr(10))) AS line
-  FROM docs0 WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS raw, unnest(string_split(text, chr(10))) AS line
+  FROM (SELECT DISTINCT doc_id, text FROM docs0 WHERE doc_id IS NOT NULL AND text IS NOT NULL)
 ),
+cut0 AS (SELECT *, CASE WHEN regexp_matches(line, '{LONG_LINE}') THEN regexp_extract_all(line, '{UNIT}') ELSE [line] END AS u FROM lines0),
+units0 AS (SELECT doc_id, text, raw, generate_subscripts(u, 1) AS piece, unnest(u) AS unit FROM cut0),
 solid0 AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY raw) AS pos FROM (
-    SELECT doc_id, text, raw, trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS line FROM lines0) WHERE line <> ''
+  SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY raw, piece) AS pos FROM (
+    SELECT doc_id, text, raw, piece, trim(unit, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS line FROM units0) WHERE line <> ''
 ),
 windows0 AS (
   SELECT doc_id, text, pos, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c FROM solid0 WINDOW o AS (PARTITION BY doc_id, text ORDER BY pos)
 ),
 later0 AS (
   SELECT doc_id, text, pos FROM (
-    SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth FROM windows0 WHERE c IS NOT NULL) WHERE nth > 1
+    SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, substr(md5(text), 1, 15), pos) AS nth FROM windows0 WHERE c IS NOT NULL) WHERE nth > 1
 ),
-cut0 AS (
-  SELECT DISTINCT s.doc_id, s.text, s.raw FROM solid0 s JOIN later0 l ON s.doc_id = l.doc_id AND s.text = l.text AND s.pos BETWEEN l.pos AND l.pos + 2
+gone0 AS (
+  SELECT DISTINCT s.doc_id, s.text, s.raw, s.piece FROM solid0 s JOIN later0 l ON s.doc_id = l.doc_id AND s.text = l.text AND s.pos BETWEEN l.pos AND l.pos + 2
+),
+rest0 AS (
+  SELECT u.doc_id, u.text, u.raw, string_agg(u.unit, '' ORDER BY u.piece) FILTER (g.raw IS NULL) AS line, count(g.raw) AS n
+  FROM units0 u LEFT JOIN gone0 g ON u.doc_id = g.doc_id AND u.text = g.text AND u.raw = g.raw AND u.piece = g.piece GROUP BY u.doc_id, u.text, u.raw
 ),
 left0 AS (
-  SELECT l.doc_id, l.text, coalesce(string_agg(l.line, chr(10) ORDER BY l.raw) FILTER (c.raw IS NULL), '') AS new_text, count(c.raw) AS n
-  FROM lines0 l LEFT JOIN cut0 c ON l.doc_id = c.doc_id AND l.text = c.text AND l.raw = c.raw GROUP BY l.doc_id, l.text
+  SELECT doc_id, text, coalesce(string_agg(line, chr(10) ORDER BY raw) FILTER (line IS NOT NULL), '') AS new_text, sum(n)::BIGINT AS n FROM rest0 GROUP BY doc_id, text
 ),
 deduped0 AS (
-  SELECT d.* REPLACE (coalesce(l.new_text, d.text) AS text), coalesce(l.n, 0)::BIGINT AS n_lines_removed
+  SELECT d.* REPLACE (coalesce(l.new_text, d.text) AS text), coalesce(l.n, 0)::BIGINT AS n_units_removed
   FROM docs0 d LEFT JOIN left0 l ON d.doc_id = l.doc_id AND d.text = l.text
 )
 """
@@ -100,7 +106,7 @@ deduped0 AS (
 ORACLES["op9_window_line_dedup"] = f"""
 WITH docs0 AS (SELECT doc_id, text FROM documents),
 {LINE_DEDUP}
-SELECT doc_id, n_lines_removed, md5(coalesce(text, '')) AS text_md5 FROM deduped0
+SELECT doc_id, n_units_removed, md5(coalesce(text, '')) AS text_md5 FROM deduped0
 """
 
 ORACLES["op8_ngram_join"] = r"""

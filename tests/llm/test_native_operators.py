@@ -77,13 +77,36 @@ def test_ledger(docs):
 
 def test_line_windows(spark):
     rows = [(2, "h\na\nb\nc\nd\nz", 1), (1, "a\n b\n\nc\nd", 1), (3, None, 1), (4, "", 1), (None, "a\nb\nc", 1), (5, "q\nq\nq\nq", 1), (1, "a\n b\n\nc\nd", 1)]
-    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines_removed int"))
-    assert out.columns == ["doc_id", "text", "n_lines_removed", "_n_lines_removed"]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_units_removed int"))
+    assert out.columns == ["doc_id", "text", "n_units_removed", "_n_units_removed"]
     got = sorted((repr(r.doc_id), r.text, r[3]) for r in out.collect() if r.text is not None)
     assert got == sorted([("2", "h\nz", 4), ("1", "a\n b\n\nc\nd", 0), ("1", "a\n b\n\nc\nd", 0), ("4", "", 0), ("None", "a\nb\nc", 0), ("5", "q", 3)])
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_long_lines(spark):
+    """A paragraph of over 50 words that repeats goes, as a line of its own or inside one, with or without sentences."""
+    flat = " ".join(f"w{i}" for i in range(60))
+    told = "It begins here, as it must. " + " ".join(f"v{i}" for i in range(40)) + ". It goes on! And then, after that, it ends?"
+    rows = [(1, flat), (2, told), (3, f"Own words.\n{flat}\nMore."), (4, flat), (5, f"{told} A tail of its own. {told}"), (6, "short\nlines"), (7, "short\nlines"), (8, " ".join(f"x{i}" for i in range(70)))]
+    out = {r.doc_id: (r.text, r.n_units_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == (flat, 0) and out[2] == (told, 0) and out[8] == (rows[7][1], 0)
+    assert out[3] == ("Own words.\nMore.", 4) and out[4] == ("", 4)
+    assert out[5][0].strip() == "A tail of its own."
+    assert out[6] == out[7] == ("short\nlines", 0)
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, f"a\nb\nc\n{x}") for x in "pqrs"] + [(0, "z\na\nb\nc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in dedup_lines(docs).collect())
+    assert got == [(0, "z\na\nb\nc", 0), *((1, x, 3) for x in "pqrs")]
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    same = db.sql(ORACLES["op9_window_line_dedup"].replace("md5(coalesce(text, ''))", "text")).fetchall()
+    assert sorted((d, t, n) for d, n, t in same) == got
+
+
 def test_licences(spark):
     text = "Prose.\nLicensed under the MIT License. More prose.\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
     rows = [(1, text, 0), (2, None, 0), (3, "", 0), (4, "license " * 20_000, 0), (1, text, 0)]

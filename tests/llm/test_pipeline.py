@@ -29,18 +29,36 @@ def good(text):
     return not (n < 50 or 100 * len(covered) > 50 * n or 100 * symbols > 25 * n or (2 * dups > len(lines) >= 4) or chars > 20 * n or chars < 2 * n or 100 * capitals > 40 * chars or 100 * shouts > 40 * n)
 
 
+def units(line):
+    """(words of) a line, cut at sentence ends and after 16 words if it has over 50; with what stands between them."""
+    words = list(test_ngram_join.WORD.finditer(line))
+    if len(words) <= 50:
+        return [line]
+    ends, n = [], 0
+    for w in words:
+        n += 1
+        if w[0][-1] in ".!?" or n == 16:
+            ends, n = [*ends, w.end()], 0
+    starts = [0] + [next(w.start() for w in words if w.start() >= e) for e in ends if e < words[-1].end()]
+    return [line[a:b] for a, b in zip(starts, [*starts[1:], len(line)], strict=True)]
+
+
 def dedup(rows):
     seen, cut = set(), {}
     for i, (doc, text) in sorted(enumerate(rows), key=lambda x: x[1][0]):
-        lines = text.split("\n")
-        solid = [k for k, x in enumerate(lines) if x.strip(WHITE)]
+        parts = [(n, u) for n, line in enumerate(text.split("\n")) for u in units(line)]
+        solid = [k for k, (_, u) in enumerate(parts) if u.strip(WHITE)]
         gone = set()
         for a in range(len(solid) - 2):
-            key = tuple(lines[k].strip(WHITE) for k in solid[a : a + 3])
+            key = tuple(parts[k][1].strip(WHITE) for k in solid[a : a + 3])
             if key in seen:
                 gone |= set(solid[a : a + 3])
             seen.add(key)
-        cut[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        lines = {}
+        for k, (n, u) in enumerate(parts):
+            if k not in gone:
+                lines[n] = lines.get(n, "") + u
+        cut[i] = "\n".join(lines.values())
     return [(doc, cut[i]) for i, (doc, _) in enumerate(rows)]
 
 
@@ -91,3 +109,18 @@ def test_empty_documents(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), f"test-{name}")
         assert docs.count() == 0
+
+
+def test_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns whose names operators use themselves."""
+    prose = " ".join(f"word{i} of a sentence that says number {i * 7}." for i in range(30))
+    rows = [(1, prose, None, None, None, "a"), (1, prose, None, None, None, "a"), (2, "", "en", "s", 0, "b"), (3, None, None, None, None, None), (None, prose + " End.", "en", "s", 1, "c"), (4, "long word " * 60_000, "en", "s", 5, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_units_removed string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), f"odd-{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_units_removed"]
+    assert sorted(docs.collect(), key=repr) == sorted([rows[0], rows[1], rows[4]], key=repr)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert sorted(repr(r.doc_id) for r in out.collect()) == ["1", "1", "None"]
+    narrow = corpus_pipeline.line_dedup(spark, docs.select("doc_id", "text"), sf_dir)
+    assert narrow.columns == ["doc_id", "text"]
