@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.bpe import digests
-from jobloom.llm.common import materialise, table
+from jobloom.llm.common import fresh, materialise, table
 from jobloom.llm.decontamination import drop_contaminated
 from jobloom.llm.line_dedup import dedup_lines
 from jobloom.llm.ngram_join import keep_one
@@ -25,10 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of repeated three-line windows; n_chars follows the text."""
-    out = dedup_lines(docs)
-    changed = F.col(out.columns[-1]) > 0
-    return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Texts without later occurrences of repeated three-line windows; n_chars, where it is there, follows the text."""
+    (removed,) = fresh(docs, "n_units_removed")
+    out = dedup_lines(docs, removed_col=removed)
+    length = F.char_length("text").cast("long")
+    return out.select(*(F.when(F.col(removed) > 0, length).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
