@@ -88,8 +88,9 @@ def test_estimate_finds_the_unreliable_labeler():
         vote = lambda p: (1 if true else -1) if rng.random() < p else (-1 if true else 1)  # noqa: B023, E731
         votes = (vote(0.9), vote(0.85), vote(0.8), rng.choice((-1, 1)))
         counts[votes] = counts.get(votes, 0) + 1
-    model = estimate([("ssn", dict(zip(("pattern", "gazetteer", "context", "edges"), v, strict=True)), 0, float(n)) for v, n in sorted(counts.items())])
-    right = {name: (model.reliability[name][1][1] + model.reliability[name][-1][0]) / 2 for name in model.reliability}
+    model = estimate([("ssn", dict(zip(("pattern", "gazetteer", "context", "edges"), v, strict=True)), {}, float(n)) for v, n in sorted(counts.items())])
+    right = {name: (kinds["ssn"][1][1] + kinds["ssn"][-1][0]) / 2 for name, kinds in model.reliability.items()}
+    assert model.reliability["pattern"]["iban"] != model.reliability["pattern"]["ssn"]
     assert abs(right["pattern"] - 0.9) < 0.04 and abs(right["edges"] - 0.5) < 0.04
     assert estimate([]).weights == {}
 
@@ -110,3 +111,76 @@ def test_long_secrets_are_taken_whole(spark):
     found = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in pii_spans(docs).collect()}
     assert all(found[i] == [("secret", 4, 4 + len(f'token = "{v}"'))] for i, v in enumerate(values))
     assert {r.text for r in redact(docs).where("doc_id < 99").collect()} == {"api [secret] end"}
+
+
+def mod_97(country, body):
+    turned = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(turned) % 97:02d}{body}"
+
+
+def card(rng, size):
+    digits = "4" + "".join(rng.choice("0123456789") for _ in range(size - 2))
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
+def planted():
+    """For each added kind true spans in sentences, and sentences with what only looks like one."""
+    rng = random.Random(11)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(4, 9)))
+    name = lambda: word().capitalize()
+    given = lambda: rng.choice(["James", "Mary", "Hans", "Sophie", "María", "Pierre", "Karen"])
+    true = {
+        "secret": lambda: rng.choice([f'api_key = "{hexes(32)}"', f"token: {hexes(40)}", "AKIA" + "".join(rng.choice("ABCDEFGHJK23456") for _ in range(16)), f"aws_secret_key={hexes(40)}", f"password = {word()}{d(9)}"]),
+        "local_phone": lambda: f"({rng.randint(2, 9)}{d(2)}) {rng.randint(2, 9)}{d(2)}-{d(4)}",
+        "ssn": lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        "iban": lambda: rng.choice([mod_97("DE", d(18)), mod_97("ES", d(20)), mod_97("GB", "WEST" + d(14))]),
+        "masked_email": lambda: f"{word()} [at] {word()} [dot] com",
+        "person": lambda: rng.choice([f"Mr. {name()}", f"{given()} {name()}", f"Dr. {given()} {name()}", f"Frau {name()}"]),
+        "address": lambda: rng.choice([f"{rng.randint(1, 999)} {name()} Street", f"{name()}straße {rng.randint(1, 99)}", f"{rng.randint(1, 99)} rue de {name()}", f"Calle {name()} {rng.randint(1, 99)}"]),
+    }
+    cue = {"secret": "the config has", "local_phone": "please call", "ssn": "the social security number is", "iban": "pay to the bank account", "masked_email": "write to", "person": "regards,", "address": "deliver it to"}
+    false = {
+        "secret": lambda: rng.choice(["the secret: everything", "a token = whatever"]),
+        "local_phone": lambda: f"isbn {rng.randint(0, 1)}{d(2)} {rng.randint(0, 1)}{d(2)} {d(4)}",
+        "ssn": lambda: f"version 000-{d(2)}-{d(4)}",
+        "iban": lambda: f"serial XQ{d(2)}{d(16)}",
+        "masked_email": lambda: f"he was {word()} (at) {word()}",
+        "person": lambda: f"{name()} {name()} went home",
+        "address": lambda: f"{rng.randint(1, 99)} {word()} street",
+    }
+    rows, spans = [], {}
+    for kind in true:
+        for i in range(80):
+            if i % 2:
+                text = f"{word()} {word()} {false[kind]()} {word()}."
+            else:
+                head, span = f"{word()} {word()} {cue[kind] if i % 4 else word()} ", true[kind]()
+                text = f"{head}{span}, {word()} {word()}."
+                spans[len(rows)] = (kind, len(head), len(head) + len(span))
+            rows.append((len(rows), text))
+    return rows, spans
+
+
+def test_recall_and_precision_of_planted_spans(spark):
+    rows, spans = planted()
+    plain = [(len(rows) + i, " ".join(["Some quiet words about nothing. In The End, he said; 12 of 40 were there"] * 5)) for i in range(200)]
+    found = {r.doc_id: {(x.kind, x.start, x.end) for x in r.spans} for r in pii_spans(spark.createDataFrame(rows + plain, "doc_id long, text string")).collect()}
+    for kind in {k for k, _, _ in spans.values()}:
+        own = {i: s for i, s in spans.items() if s[0] == kind}
+        hit = sum(s in found[i] for i, s in own.items())
+        said = sum(x[0] == kind for i in found for x in found[i])
+        assert hit >= 0.9 * len(own), (kind, hit, len(own), [(rows[i][1], found[i]) for i, s in own.items() if s not in found[i]][:5])
+        assert hit >= 0.9 * said, (kind, hit, said)
+    assert not any(found[i] for i, _ in plain)
+
+
+def test_accounts_with_a_wrong_check_digit_in_context(spark):
+    rng = random.Random(5)
+    numbers = [card(rng, 16) for _ in range(40)]
+    wrong = [x[:-1] + str((int(x[-1]) + 3) % 10) for x in numbers]
+    docs = [(i, f"my card, please: {x}") for i, x in enumerate(numbers)] + [(100 + i, f"my card, please: {x} end") for i, x in enumerate(wrong)]
+    found = {r.doc_id: [x.kind for x in r.spans] for r in pii_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(found[i] == ["card"] for i in range(40))
+    assert sum(found[100 + i] == ["account"] for i in range(40)) in (0, 40)
