@@ -74,19 +74,26 @@ def hot_rows(spark: SparkSession, total: int) -> int:
     return max(LEAST_HOT, min(TASK_ROWS, math.ceil(total / int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
-def split_join(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, limit: int) -> DataFrame:
-    """Inner join of ``rows`` with ``per_key``, which holds each key once and in ``n`` how many rows have it.
+def hot_keys(per_key: DataFrame, key: list[str], n: str, limit: int) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, if there are any and a broadcast may hold them.
 
-    Rows of hot keys (more than ``limit``) stay where they are and meet a broadcast of these
-    keys; only the other rows are shuffled, so no task gets more of one key than ``limit``.
-    ``n`` is in the result. With more hot keys than a broadcast may hold, all rows are shuffled
-    and Spark splits skewed partitions.
+    ``per_key``: a written table with each key once and in ``n`` how many rows have it.
     """
-    hot = per_key.where(F.col(n) > limit)
-    if hot.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+    hot = per_key.where(F.col(n) > limit).select(*key)
+    return hot if 0 < hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else None
+
+
+def split_join(rows: DataFrame, per_key: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which holds each key once.
+
+    Rows of ``hot`` keys stay where they are and meet a broadcast of these keys' rows; only the
+    others are shuffled, so no task gets all rows of a hot key. Without a list of hot keys all
+    rows are shuffled, and Spark splits skewed partitions.
+    """
+    if hot is None:
         return rows.join(per_key, key)
-    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(cold.join(per_key.where(F.col(n) <= limit), key))
+    part = lambda df, how: df.join(F.broadcast(hot), key, how)
+    return part(rows, "left_semi").join(F.broadcast(part(per_key, "left_semi")), key).unionByName(part(rows, "left_anti").join(part(per_key, "left_anti"), key))
 
 
 def importable(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_rows, materialise, split_join
+from .common import hot_keys, hot_rows, materialise, split_join
 
 ROUNDS = 60
 
@@ -27,14 +27,13 @@ def connected_components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        limit = hot_rows(links.sparkSession, 2 * before[0])
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = split_join(both, least, ["a"], "n", limit).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # Every large-star edge points down, so a node's smaller neighbours are its "b"s.
-        large = materialise(large, "star-large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = split_join(large, low, ["a"], "n", limit).select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))).where("a <> b").distinct()
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "star-least")
+        hot = hot_keys(least, ["a"], "n", hot_rows(links.sparkSession, 2 * before[0]))
+        large = split_join(both, least.drop("n"), ["a"], hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # Every large-star edge points down, so a node's smaller neighbours are its "b"s; it has no more of them than neighbours before.
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = split_join(large, low, ["a"], hot).select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))).where("a <> b").distinct()
         edges = materialise(small, "star-edges")
         if (after := _state(edges)) == before:
             break

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, fresh, hot_rows, materialise, split_join, table
+from .common import WHITE, fresh, hot_keys, hot_rows, materialise, split_join, table
 
 WINDOW = 3
 #: Words up to which a line is one unit, and words of a unit of a longer line at most.
@@ -71,8 +71,8 @@ def later_occurrences(occurrences: DataFrame) -> DataFrame:
     """
     at = F.struct("id", "th", "pos")
     repeated = materialise(occurrences.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-windows")
-    limit = hot_rows(occurrences.sparkSession, occurrences.count())
-    return split_join(occurrences, repeated, ["h1", "h2"], "n", limit).where(~at.eqNullSafe(F.col("first"))).select("id", "th", "pos")
+    hot = hot_keys(repeated, ["h1", "h2"], "n", hot_rows(occurrences.sparkSession, occurrences.count()))
+    return split_join(occurrences, repeated, ["h1", "h2"], hot).where(~at.eqNullSafe(F.col("first"))).select("id", "th", "pos")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, removed_col: str = "n_units_removed") -> DataFrame:

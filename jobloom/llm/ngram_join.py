@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, hot_rows, importable, materialise, split_join, table
+from .common import fresh, hot_keys, hot_rows, importable, materialise, split_join, table
 from .components import connected_components
 from .shingles import hash_words, mix, shingle_sets, text_steps
 
@@ -267,7 +267,9 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     limit = hot_rows(sets.sparkSession, sets.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0])
     hub = lambda r: F.min(F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), "rep", "n"))
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *(hub(r).alias(f"hub{r}") for r in range(HUBS))).where("m > 1")
-    posts = materialise(split_join(posts, lists, ["token"], "m", limit), "ngram-postings")
+    lists = materialise(lists, "ngram-lists")
+    hot = hot_keys(lists, ["token"], "m", limit)
+    posts = materialise(split_join(posts, lists, ["token"], hot), "ngram-postings")
     few, many = posts.where(F.col("m") <= SMALL), posts.where(F.col("m") > SMALL)
     other = few.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
     close = few.join(other, "token").where(F.col("rep") < F.col("rep2")).where(_fits(F.col("n"), F.col("n2"), percent)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
@@ -275,27 +277,28 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     starred = hubs.where(F.col("rep") != F.col("hub.rep")).where(_fits(F.col("n"), F.col("hub.n"), percent)).select(*_pairs(F.col("rep"), F.col("hub.rep")))
     links = materialise(verified(close.unionByName(starred).distinct(), sets, percent), "ngram-links")
     found = materialise(connected_components(links), "ngram-components")
-    more = _links_of_apart(many.select("token", "m", F.col("hub0.rep").alias("hub"), "rep", "n"), limit, found, sets, percent)
+    more = _links_of_apart(many.select("token", F.col("hub0.rep").alias("hub"), "rep", "n"), hot, limit, found, sets, percent)
     known = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
     return materialise(connected_components(known.unionByName(more)), "ngram-components")
 
 
-def _links_of_apart(posts: DataFrame, limit: int, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components that some list of ``posts`` (token, m, hub, rep, n) still holds apart.
+def _links_of_apart(posts: DataFrame, hot: DataFrame | None, limit: int, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that some list of ``posts`` (token, hub, rep, n) still holds apart.
 
     Lists with one hub form a group, which holds each rep once. The reps outside the group's
     largest component are a query set against the whole group: both sides are cut into blocks
     of about BLOCK sets or BLOCK_SHINGLES shingles, and every pair of blocks is verified in a
     task of its own.
     """
-    placed = posts.join(found, F.col("rep") == F.col("node"), "left").select("token", "m", "hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("size")).where("lo < hi").select("token", "size")
-    members = materialise(split_join(placed, apart, ["token"], "size", limit).select("hub", "rep", "n", "component").distinct(), "ngram-apart")
+    placed = posts.join(found, F.col("rep") == F.col("node"), "left").select("token", "hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    members = materialise(split_join(placed, apart, ["token"], hot).select("hub", "rep", "n", "component").distinct(), "ngram-apart")
     by_component = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     sizes = by_component.groupBy("hub").agg(F.sum("c").alias("m"), F.sum("w").alias("mw"), F.max(F.struct("c", "component", "w")).alias("top"))
     blocks = lambda n, w: F.ceil(F.greatest(n / F.lit(BLOCK), w / F.lit(BLOCK_SHINGLES))).cast("int")
     sizes = sizes.select("hub", "m", blocks(F.col("m"), F.col("mw")).alias("all"), blocks(F.col("m") - F.col("top.c"), F.col("mw") - F.col("top.w")).alias("out"), F.col("top.component").alias("top"))
-    rows = split_join(members, sizes, ["hub"], "m", limit).select("hub", "rep", "component", "all", "out", "top")
+    sizes = materialise(sizes, "ngram-groups")
+    rows = split_join(members, sizes, ["hub"], hot_keys(sizes, ["hub"], "m", limit)).select("hub", "rep", "component", "all", "out", "top")
     rows = rows.join(sets.select("rep", "n", "k", "shared"), "rep")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -359,7 +362,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = solid.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"))
     classes = materialise(classes.join(found, F.col("rep") == F.col("node"), "left").select("print", "m", F.coalesce("component", "rep").alias("component")), "ngram-classes")
     limit = hot_rows(docs.sparkSession, classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
-    placed = split_join(solid, classes, ["print"], "m", limit).select("doc_id", "n", "component")
+    placed = split_join(solid, classes, ["print"], hot_keys(classes, ["print"], "m", limit)).select("doc_id", "n", "component")
     whole = placed.unionByName(profile.where(~linkable).select("doc_id", "n", F.col("doc_id").alias("component")))
     return whole.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
