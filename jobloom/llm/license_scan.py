@@ -7,74 +7,16 @@ lists of identifiers, one or more per licence. Other text may stand between them
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, table
+from .licences import ALONE, ANCHOR, FIRST_NOTICE, KNOWN, LICENCES, NAMES, NOTICE, PART_OF, RULES, TAG
 
-#: Sentences of public licences and of the usual notices, by identifier.
-SENTENCES: dict[int, str] = {
-    1: "Released under the MIT License.",
-    2: "Licensed under the MIT License.",
-    3: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    4: "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    5: "Licensed under the Apache License, Version 2.0.",
-    6: "Licensed under the Apache License, Version 2.0 (the \"License\");",
-    7: "you may not use this file except in compliance with the License.",
-    8: "You may obtain a copy of the License at",
-    9: "This work is licensed under the GNU General Public License, version 3.",
-    10: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    11: "You should have received a copy of the GNU General Public License along with this program.",
-    12: "Licensed under CC BY-NC 4.0.",
-    13: "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    14: "Licensed under CC BY 4.0.",
-    15: "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    16: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    17: "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    18: "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    19: "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    20: "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
-    21: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-}
-
-#: Rules: (licence, identifiers in order). The longest rules come first within a family.
-RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
-    ("MIT", (3, 4)),
-    ("MIT", (1,)),
-    ("MIT", (2,)),
-    ("Apache-2.0", (6, 7, 8)),
-    ("Apache-2.0", (5,)),
-    ("GPL-3.0-or-later", (10, 11)),
-    ("GPL-3.0-only", (9,)),
-    ("CC-BY-NC-4.0", (12,)),
-    ("CC-BY-NC-4.0", (13,)),
-    ("CC-BY-4.0", (14,)),
-    ("CC-BY-4.0", (15,)),
-    ("BSD-3-Clause", (16, 17, 18, 19)),
-    ("BSD-2-Clause", (16, 17, 18)),
-    ("MPL-2.0", (20,)),
-    ("ISC", (21,)),
-)
-#: A licence named here is not reported beside the one that its rule is a part of.
-PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
-
-#: Every known sentence holds one of these: a text without any needs no cutting.
-ANCHORS = ("license", "permission", "redistribution")
 #: Where a sentence ends: white space after closing punctuation.
 STOP = r"(?<=[.!?])[\x20\x09-\x0D]+"
 
 
-def normalised(sentence: str) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
-
-
-KNOWN = {normalised(text): i for i, text in SENTENCES.items()}
-if missing := [t for t in KNOWN if not any(a in t for a in ANCHORS)]:
-    raise AssertionError(f"sentences without an anchor: {missing}")
-
-
 def _marked(text: Column) -> Column:
     """Lower-case words with a space between them, or with what may end a sentence there.
 
@@ -90,44 +32,56 @@ def _marked(text: Column) -> Column:
 
 #: One inner line end of a wrapped sentence, or a space; a blank line is neither.
 _BETWEEN = r"(?:\x20|L?\nL?|L)"
-#: A known sentence between two ends. The longest come first: a sentence may begin with another.
-_FIND = "(?<![a-z0-9 ])(?:" + "|".join(_BETWEEN.join(k.split()) for k in sorted(KNOWN, key=len, reverse=True)) + ")(?![a-z0-9 ])"
+
+
+def _any(texts) -> str:
+    """The longest come first: one may begin with another."""
+    return "|".join(sorted(texts, key=len, reverse=True)).replace(" ", _BETWEEN)
+
+
+#: A known sentence, tag or notice between two ends. A tag's names stand behind it in one line.
+_FIND = (
+    f"(?<![a-z0-9 ])(?:{_any(KNOWN)}|{TAG.replace(' ', _BETWEEN)}[a-z0-9]++(?:\\x20[a-z0-9]++)*+|{NOTICE.replace(' ', _BETWEEN)}(?:{_any(NAMES)}))(?![a-z0-9 ])"
+)
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known licence sentences of a text, in the order of their places.
+    """Identifiers of the known licence sentences, notices and tags of a text, in the order of their places.
 
     A sentence may lie in one line or be wrapped anywhere, indented or commented; every
-    place is looked at on its own, so one sentence's layout does not hide another.
+    place is looked at on its own, so one sentence's layout does not hide another. A notice
+    has the identifier of the licence that it names, a tag those of all that it names.
     """
-    to_id = F.create_map(*(F.lit(v) for kv in KNOWN.items() for v in kv))
-    found = F.regexp_extract_all(_marked(text), F.lit(_FIND), F.lit(0))
-    return F.transform(found, lambda s: to_id[F.regexp_replace(s, r"[L\n]+", " ")])
+    lookup = lambda values: F.create_map(*(F.lit(v) for kv in values.items() for v in kv))
+    to_id, of_name = lookup(KNOWN), lookup(NAMES)
+    found = F.transform(F.regexp_extract_all(_marked(text), F.lit(_FIND), F.lit(0)), lambda s: F.regexp_replace(s, r"[L\n]+", " "))
+    # "or later" is a part of a name.
+    parts = lambda s: F.split(F.replace(F.substring(s, F.lit(len(TAG) + 1), F.char_length(s)), F.lit(" or later"), F.lit(" +")), " (?:or|and|with) ")
+    tagged = lambda s: F.transform(parts(s), lambda x: of_name[F.replace(x, F.lit(" +"), F.lit(" or later"))])
+    one = lambda s: F.array(F.coalesce(to_id[s], of_name[F.regexp_replace(s, f"^{NOTICE}", "")]))
+    return F.array_compact(F.flatten(F.transform(found, lambda s: F.when(s.startswith(TAG), tagged(s)).otherwise(one(s)))))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``license_sentence_ids`` (array<int>) and ``licenses`` (sorted array<string>).
 
-    Rules hold when their identifiers occur in order. Null and empty texts have no
+    Rules hold when their identifiers occur in order; a notice or tag names its licence. Null and empty texts have no
     sentences and no licences. Row by row, without a shuffle. New columns get a leading
     underscore where the name is taken.
     """
     ids, found = fresh(docs, "license_sentence_ids", "licenses")
     text = F.col("row")[text_col]
-    lower = F.lower(text)
-    anchored = F.lit(False)
-    for anchor in ANCHORS:
-        anchored = anchored | lower.contains(anchor)
-    part_of = F.create_map(*(F.lit(v) for kv in PART_OF.items() for v in kv))
+    anchored = F.lower(text).rlike(ANCHOR)
     line = F.concat(F.lit(","), F.array_join(F.col("ids").cast("array<string>"), ",,"), F.lit(","))
     hits = F.array(*(F.when(F.col("line").like("%" + "%".join(f",{i}," for i in seq) + "%"), F.lit(name)) for name, seq in RULES))
-    names = F.filter("all", lambda x: ~F.array_contains("all", F.coalesce(part_of[x], F.lit(""))))
+    noticed = F.transform(F.filter("ids", lambda i: i >= FIRST_NOTICE), lambda i: F.get(F.array(*map(F.lit, LICENCES)), i - FIRST_NOTICE))
+    covered = F.array_compact(F.array(*(F.when(F.array_contains("all", whole), F.lit(part)) for part, whole in PART_OF), F.when(F.size("all") > 1, F.lit(ALONE))))
     return (
         docs.select(F.struct("*").alias("row"))
         .withColumn("ids", F.when(F.coalesce(anchored, F.lit(False)), sentence_ids(text)).otherwise(F.array().cast("array<int>")))
         .withColumn("line", line)
-        .withColumn("all", F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))))
-        .withColumn("found", names)
+        .withColumn("all", F.array_sort(F.array_distinct(F.concat(F.array_compact(hits), noticed))))
+        .withColumn("found", F.array_except("all", covered))
         .select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("ids").alias(ids), F.col("found").alias(found))
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import ANCHORS, KNOWN, PART_OF, RULES
+from .licences import ALONE, FIRST_NOTICE, KNOWN, LICENCES, NAMES, NOTICE, PART_OF, RULES, TAG
 from .line_dedup import LONG_LINE, UNIT
 
 ORACLES: dict[str, str] = {}
@@ -128,29 +128,46 @@ SELECT doc_id, n AS n_shingles, m AS component_id FROM sized JOIN (SELECT node,
 
 
 def _licenses() -> str:
-    known = ", ".join(f"('{text}', {i})" for text, i in KNOWN.items())
+    """Another way to the same sentences: texts are cut at all ends that a sentence may have, and runs of pieces are looked up."""
+    pairs = lambda values: ", ".join(f"('{a}', {b!r})" for a, b in values)
     rules = ", ".join(f"('{name}', '%{'%'.join(f',{i},' for i in seq)}%')" for name, seq in RULES)
-    parts = ", ".join(f"('{part}', '{whole}')" for part, whole in PART_OF.items())
-    anchored = " OR ".join(f"contains(lower(text), '{a}')" for a in ANCHORS)
-    normal = lambda x: rf"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
-    cut = lambda x: rf"string_split_regex(regexp_replace({x}, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n')"
-    unwrapped = r"regexp_replace(text, '([^.;:!?])\n([a-z(])', '\1 \2', 'g')"
+    longest = max(len(x) for x in KNOWN) // 10
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}), rules(name, pattern) AS (VALUES {rules}), parts(part, whole) AS (VALUES {parts}),
-docs AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce({anchored}, false) AS anchored FROM documents),
-pieces AS (
-  SELECT rid, 0 AS how, generate_subscripts(p, 1) AS place, unnest(p) AS piece FROM (SELECT rid, {cut('text')} AS p FROM docs WHERE anchored)
+WITH known(sentence, id) AS (VALUES {pairs(KNOWN.items())}), names(name, id) AS (VALUES {pairs(NAMES.items())}), rules(name, pattern) AS (VALUES {rules}), parts(part, whole) AS (VALUES {pairs(PART_OF)}),
+licences(id, name) AS (VALUES {", ".join(f"({FIRST_NOTICE + i}, '{x}')" for i, x in enumerate(LICENCES))}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+stopped AS (SELECT rid, regexp_replace(regexp_replace(t, '[.!?][\x20\x09-\x0D]+', chr(1), 'g'), '([;:])([\x20\x09-\x0D])', '\1' || chr(2) || '\2', 'g') AS t FROM docs),
+bare AS (SELECT rid, regexp_replace(regexp_replace(t, '[^a-z0-9\n\x01\x02]+', ' ', 'g'), ' ?([\n\x01\x02]) ?', '\1', 'g') AS t FROM stopped),
+segments AS (SELECT rid, generate_subscripts(s, 1) AS seg, unnest(s) AS t FROM (SELECT rid, string_split(regexp_replace(t, '\x02?\n\x02?', chr(2), 'g'), chr(1)) AS s FROM bare)),
+pieces AS (SELECT rid, seg, generate_subscripts(p, 1) AS place, unnest(p) AS piece FROM (SELECT rid, seg, string_split(t, chr(2)) AS p FROM segments)),
+solid AS (SELECT rid, seg, place, trim(piece) AS piece, place - row_number() OVER (PARTITION BY rid, seg ORDER BY place) AS island FROM pieces WHERE trim(piece) <> ''),
+runs AS (
+  SELECT a.rid, a.seg, a.place AS s, b.place AS e, b.piece AS last,
+    string_agg(c.piece, ' ' ORDER BY c.place) AS sentence, coalesce(string_agg(c.piece, ' ' ORDER BY c.place) FILTER (c.place < b.place), '') AS head
+  FROM solid a JOIN solid b ON a.rid = b.rid AND a.seg = b.seg AND a.island = b.island AND b.place BETWEEN a.place AND a.place + {longest}
+  JOIN solid c ON c.rid = a.rid AND c.seg = a.seg AND c.place BETWEEN a.place AND b.place
+  GROUP BY a.rid, a.seg, a.place, b.place, b.piece
+),
+found AS (
+  SELECT rid, seg, s, e, 0 AS how, [id] AS ids FROM runs JOIN known USING (sentence)
+  UNION ALL
+  SELECT rid, seg, s, e, 1, (SELECT list(n.id ORDER BY k) FROM (SELECT replace(unnest(x), ' +', ' or later') AS name, generate_subscripts(x, 1) AS k FROM (SELECT string_split_regex(replace(substr(sentence, {len(TAG) + 1}), ' or later', ' +'), ' (?:or|and|with) ') AS x)) u JOIN names n USING (name))
+  FROM runs WHERE starts_with(sentence, '{TAG}') AND starts_with('{TAG}', CASE WHEN head = '' THEN '' ELSE head || ' ' END)
   UNION ALL
-  SELECT rid, 1, generate_subscripts(p, 1), unnest(p) FROM (SELECT rid, {cut(unwrapped)} AS p FROM docs WHERE anchored)
+  SELECT rid, seg, s, e, 2, [n.id] FROM runs JOIN names n ON regexp_matches(sentence, '^{NOTICE}') AND n.name = regexp_replace(sentence, '^{NOTICE}', '')
+),
+kept AS (
+  SELECT DISTINCT ON (rid, seg, s, e) * FROM found f
+  WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.rid = f.rid AND g.seg = f.seg AND ((g.s < f.s AND g.e >= f.s) OR (g.s = f.s AND g.e > f.e))) ORDER BY rid, seg, s, e, how
 ),
-hits AS (SELECT rid, how, list(id ORDER BY place) AS ids FROM pieces JOIN known ON {normal('piece')} = sentence GROUP BY rid, how),
-best AS (SELECT rid, arg_max(ids, 2 * len(ids) - how) AS ids FROM hits GROUP BY rid),
+best AS (SELECT rid, flatten(list(coalesce(ids, []) ORDER BY seg, s)) AS ids FROM kept GROUP BY rid),
 named AS (
-  SELECT DISTINCT rid, name FROM (SELECT rid, ',' || array_to_string(ids, ',,') || ',' AS line FROM best) JOIN rules ON line LIKE pattern
+  SELECT rid, name FROM (SELECT rid, ',' || array_to_string(ids, ',,') || ',' AS line FROM best) JOIN rules ON line LIKE pattern
+  UNION SELECT rid, name FROM (SELECT rid, unnest(ids) AS id FROM best) JOIN licences USING (id)
 ),
 final AS (
   SELECT rid, string_agg(name, ',' ORDER BY name) AS names FROM named n
-  WHERE NOT EXISTS (SELECT 1 FROM named m JOIN parts ON m.name = whole WHERE m.rid = n.rid AND part = n.name) GROUP BY rid
+  WHERE NOT EXISTS (SELECT 1 FROM named m JOIN parts ON m.name = whole WHERE m.rid = n.rid AND part = n.name) AND (name <> '{ALONE}' OR (SELECT count(*) FROM named m WHERE m.rid = n.rid) = 1) GROUP BY rid
 )
 SELECT doc_id, coalesce(len(ids), 0)::BIGINT AS n_license_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(names, '') AS licenses
 FROM docs LEFT JOIN best USING (rid) LEFT JOIN final USING (rid)

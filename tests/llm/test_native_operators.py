@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import duckdb
 import pytest
 
 from jobloom.llm import quality_rules
+from jobloom.llm.licences import ALONE, ANCHOR, KNOWN, LICENCES, NAMES, RULES
 from jobloom.llm.license_scan import scan_licenses
 from jobloom.llm.line_dedup import dedup_lines
 from jobloom.llm.queries import ORACLES, QUERIES
@@ -189,3 +191,40 @@ def test_published_licences_in_every_layout(spark):
         for how in LAYOUTS:
             assert got[f"{name} {how}"] == (ids, licenses), (name, how)
     assert all(got[x] == ([], []) for x in ("none", "blank", "inside", "long"))
+
+
+NOTICES = {
+    "// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;": ["Apache-2.0", "MIT"],
+    "/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */": ["GPL-2.0-or-later"],
+    "Copyright 2020, A. Author. All rights reserved.": [ALONE],
+    "All rights reserved.\n\nLicense: BSD-3-Clause": ["BSD-3-Clause"],
+    "Released under the MIT License.\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": ["ISC", "MIT"],
+    "This project is licensed under the terms of the GNU Lesser General Public License v3.0 or later.": ["LGPL-3.0-or-later"],
+    "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.": ["GPL-2.0-or-later"],
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License.": ["LGPL-2.1-only"],
+    "Distributed under the Boost Software License, Version 1.0.": ["BSL-1.0"],
+    "This work is available under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": ["CC-BY-SA-3.0"],
+    "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+    "Licensed under CC0 1.0 Universal.": ["CC0-1.0"],
+    "He is licensed under the influence of MIT License holders.": [],
+}
+
+
+def test_notices_and_tags(spark):
+    assert len(LICENCES) >= 100 and all(any(re.search(ANCHOR, t) for t, i in KNOWN.items() if i in seq) for _, seq in RULES)
+    rows = [*NOTICES, *(f"Licensed under the {name}." for name in NAMES), *(f"SPDX-License-Identifier: {x}" for x in LICENCES)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == list(NOTICES.values())
+    assert [got[len(NOTICES) + i] for i in range(len(NAMES))] == [[LICENCES[i - 1000]] for i in NAMES.values()]
+    assert [got[len(NOTICES) + len(NAMES) + i] for i in range(len(LICENCES))] == [[x] for x in LICENCES]
+
+
+def test_licences_like_sql_in_every_layout(spark):
+    texts = [lay(x) for x in (BSD, GPL, MIT, APACHE, WIDE, APACHE + "\n\n" + GPL, *NOTICES) for lay in LAYOUTS.values()]
+    docs = spark.createDataFrame([*enumerate(texts), (None, None), (-1, "")], "doc_id long, text string")
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    want = sorted(((None if d is None or d != d else int(d), n, ids, names) for d, n, ids, names in db.sql(ORACLES["op10_license_rules"]).fetchall()), key=repr)
+    got = sorted(((r.doc_id, len(r.license_sentence_ids), ",".join(map(str, r.license_sentence_ids)), ",".join(r.licenses)) for r in scan_licenses(docs).collect()), key=repr)
+    assert got == want
