@@ -31,15 +31,15 @@ from .shingles import hash_words, mix, shingle_sets, text_steps
 
 WORDS, PERCENT = 5, 75
 #: Shingles packed together by one task, and documents (their places take 16 bits).
-CHUNK, CHUNK_DOCS = 2_000_000, 60_000
+CHUNK, CHUNK_DOCS = 1_500_000, 60_000
 #: Shingles counted together in one group, on average.
-BUCKET = 1_000_000
+BUCKET = 750_000
 #: A shingle in more documents of a chunk than this is counted in the chunk first.
 HEAVY = 64
 #: Prefix elements of up to so many classes make all their pairs at once; beyond, hubs come first.
 SMALL, HUBS = 8, 3
 #: Sets, and shingles of sets, on each side of a block of pairs that one task verifies.
-BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
 _KEY = np.uint64((1 << 48) - 1)
 _PACKED = "bucket int, chunk long, keys binary, docs binary, heavy binary, heavy_n binary, ids array<long>, sizes binary, prints binary, own binary, own_n binary, own_docs binary"
