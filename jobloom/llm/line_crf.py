@@ -4,6 +4,11 @@ Every line is good or bad. Its evidence comes from binned measurements of the li
 and of the lines before and after it; the chain adds how labels follow one another.
 Forward-backward gives each line's probability of being good; their mean, weighted by the
 lines' lengths, is the document's quality, which a logistic curve makes a probability.
+
+Only documents have labels; the lines' are latent. All lines of a good document are good.
+A line of a bad one is bad unless lines like it, looked at alone, stand in good documents
+more than in bad ones; its least likely line is bad in any case. The chain is trained on
+these labels, so its links learn where labels change.
 """
 
 from __future__ import annotations
@@ -21,11 +26,11 @@ from pyspark.sql import functions as F
 from .common import importable, table
 from .shingles import hash_words, shingle_sets, text_steps
 
-#: Bound of the training sample: labelled documents, and bytes of one of them.
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 1 << 16
+#: Bound of the training sample: labelled documents, and bytes and lines of one of them; 80 MB of measurements at most.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LINES = 4000, 1 << 16, 1000
 FOLDS, CUT = 5, 0.3
 #: Training: passes, step size, and the weight of the squared parameters for each line.
-PASSES, RATE, RIDGE = 150, 0.1, 1e-4
+PASSES, RATE, RIDGE = 120, 0.1, 1e-4
 
 #: Upper edges of the bins of each measurement; below all edges is bin 0.
 EDGES: dict[str, tuple[float, ...]] = {
@@ -172,9 +177,13 @@ class LineCrf:
         kinds = np.arange(near.shape[2])
         return self.bias + sum(self.weights[k][kinds, near[k]].sum(axis=1) for k in range(3))
 
+    def good_lines(self, lines: Lines) -> np.ndarray:
+        """The probability that each line is good."""
+        return forward_backward(self.evidence(_neighbours(lines)), lines.begin, self.links)[0]
+
     def quality(self, lines: Lines) -> np.ndarray:
         """Length-weighted share of good lines of each text."""
-        good, _, _ = forward_backward(self.evidence(_neighbours(lines)), lines.begin, self.links)
+        good = self.good_lines(lines)
         total = lambda x: np.add.reduceat(x, lines.begin[:-1]) if len(lines.begin) > 1 else np.empty(0)
         return total(good * lines.weight) / total(lines.weight)
 
@@ -193,16 +202,42 @@ def _ascend(start: np.ndarray, gradient, passes: int, rate: float) -> np.ndarray
     return x
 
 
+def line_labels(lines: Lines, labels: np.ndarray, passes: int = PASSES, rate: float = RATE, ridge: float = RIDGE) -> np.ndarray:
+    """The latent label (True: good) of each line, from the labels (1 or 0) of the texts.
+
+    A logistic regression of the documents' labels on single lines gives how much more often
+    a line like this stands in a good document.
+    """
+    of_line = np.repeat(labels, np.diff(lines.begin)).astype(float)
+    if not len(of_line):
+        return of_line > 0
+    kinds = len(EDGES)
+    flat = np.arange(kinds) * N_BINS + lines.bins
+    odds = lambda x: x[:-1][flat].sum(axis=1) + x[-1]
+
+    def gradient(x: np.ndarray) -> np.ndarray:
+        off = of_line - 1 / (1 + np.exp(-odds(x)))
+        return np.append(np.bincount(flat.ravel(), np.repeat(off, kinds), minlength=kinds * N_BINS), off.sum()) / len(of_line) - ridge * x
+
+    alone = odds(_ascend(np.zeros(kinds * N_BINS + 1), gradient, passes, rate))
+    share = np.clip(of_line.mean(), 1e-6, 1 - 1e-6)
+    good = (of_line > 0) | (alone > np.log(share / (1 - share)))
+    text = np.repeat(np.arange(len(labels)), np.diff(lines.begin))
+    order = np.lexsort((np.arange(len(alone)), alone, text))
+    worst = order[np.concatenate(([True], text[order][1:] != text[order][:-1]))]
+    good[worst[of_line[worst] == 0]] = False
+    return good
+
+
 def fit(lines: Lines, labels: np.ndarray, passes: int = PASSES, rate: float = RATE, ridge: float = RIDGE) -> LineCrf:
-    """Maximum penalised likelihood; every line has its document's label.
+    """Maximum penalised likelihood of the latent line labels under the documents' ``labels`` (1 or 0 for each text).
 
-    ``labels``: 1 or 0 for each text. With one label only, or no text, scores are that share of ones
-    as far as the penalty lets them.
+    With one label only, or no text, scores are that share of ones as far as the penalty lets them.
     """
     near = _neighbours(lines)
     shape = (3, len(EDGES), N_BINS)
     size = int(np.prod(shape))
-    of_line = np.repeat(labels, np.diff(lines.begin)).astype(float)
+    of_line = line_labels(lines, labels, passes, rate, ridge).astype(float)
     inner = np.ones(len(of_line), bool)
     inner[lines.begin[:-1]] = False
     at = np.flatnonzero(inner)
@@ -238,10 +273,10 @@ def _fold(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> LineCrf:
-    """Fits a model on at most ``sample_docs`` labelled documents of at most ``sample_bytes`` bytes.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, sample_lines: int = SAMPLE_LINES) -> LineCrf:
+    """Fits a model on at most ``sample_docs`` labelled documents of at most ``sample_bytes`` bytes and ``sample_lines`` lines.
 
-    The sample is the labelled documents outside fold 0 with the smallest id hashes. Only
+    The sample is, but for longer ones, the labelled documents outside fold 0 with the smallest id hashes. Only
     their line measurements reach the driver. Null ids and labels are left out; of a
     document with several labels the lowest counts. Ties in the hash are broken by the id.
     """
@@ -250,6 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.octet_length(F.coalesce("_text", F.lit(""))) <= sample_bytes)
+    texts = texts.where(F.char_length(F.coalesce("_text", F.lit(""))) - F.char_length(F.replace(F.coalesce("_text", F.lit("")), F.lit("\n"), F.lit(""))) < sample_lines)
     # At most sample_docs rows of two numbers.
     sample = texts.join(F.broadcast(known), "_id").select("_label", "_text")
 
@@ -289,6 +325,26 @@ def score_texts(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_co
     return texts.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
+def label_lines(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, line, good, probability): the label of every line of every text, lines counted from 0.
+
+    A null or empty text is one empty line. Each repeated row has lines of its own.
+    """
+    importable(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in text_steps(batch):
+                lines = measure_lines(step.column(1))
+                many, good = np.diff(lines.begin), model.good_lines(lines)
+                ids = step.column(0).take(pa.array(np.repeat(np.arange(len(many)), many)))
+                place = np.arange(len(good)) - np.repeat(lines.begin[:-1], many)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(place.astype(np.int32)), pa.array(good >= 0.5), pa.array(good)], names=[id_col, "line", "good", "probability"])
+
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    return texts.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, line int, good boolean, probability double")
+
+
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
