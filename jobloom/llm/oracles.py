@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .licences import ALONE, FIRST_NOTICE, KNOWN, LICENCES, NAMES, NOTICE, PART_OF, RULES, TAG
 from .line_dedup import LONG_LINE, UNIT
+from .quality_rules import RULES as RULES_OF_QUALITY
 
 ORACLES: dict[str, str] = {}
 
@@ -30,16 +31,16 @@ WITH crc_table AS (
   SELECT *, [{", ".join(_score(s) for s in range(8))}] AS w, {_score(8)} AS more FROM summed
 ), placed AS (
   SELECT *, list_position(w, list_max(w)) - 1 AS shard,
-    ('0x' || substr(md5(k || '@' || crc), 1, 8))::BIGINT % greatest(1, (SELECT ceil(count(*) / 65536.0)::BIGINT FROM documents)) AS g
-  FROM scored
+    ('0x' || substr(md5(k || '@' || crc || CASE WHEN part > 0 THEN '#' || part ELSE '' END), 1, 8))::BIGINT % greatest(1, (SELECT ceil(count(*) / 65536.0)::BIGINT FROM documents)) AS g
+  FROM (SELECT *, (row_number() OVER (PARTITION BY k, size, crc) - 1) // 65536 AS part FROM scored)
 )
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY g, doc_id NULLS FIRST, size, crc) - 1)::BIGINT AS slot,
+  (row_number() OVER (PARTITION BY shard ORDER BY g, doc_id NULLS FIRST, size, crc, part) - 1)::BIGINT AS slot,
   (CASE WHEN more > list_max(w) THEN 8 ELSE shard END)::INTEGER AS grown_shard
 FROM placed
 """
 
-ORACLES["op5_rule_ledger"] = rf"""
+_LEDGER = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 cut AS (
   SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
@@ -65,9 +66,17 @@ ledger AS (
     + CASE WHEN 100 * n_capitals > 40 * word_chars THEN 64 ELSE 0 END + CASE WHEN 100 * n_exclamations > 40 * n_words THEN 128 ELSE 0 END)::BIGINT AS fail_bits
   FROM measured
 )
+"""
+
+ORACLES["op5_rule_ledger"] = f"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM ledger
 """
 
+ORACLES["rule_ablations"] = f"""{_LEDGER},
+bits(rule, bit) AS (VALUES {", ".join(f"('{rule.name}', {1 << i})" for i, rule in enumerate(RULES_OF_QUALITY))})
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_fail, count(*) FILTER (fail_bits = bit) AS n_only, count(*) FILTER (fail_bits & ~bit = 0) AS n_kept_without FROM bits, ledger GROUP BY rule
+"""
+
 #: Removes later occurrences of repeated three-unit windows; reads a relation ``docs0`` (doc_id, text, ...).
 LINE_DEDUP = rf"""
 lines0 AS (

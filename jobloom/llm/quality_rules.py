@@ -2,7 +2,9 @@
 
 Every rule is evaluated once per document. The ledger keeps the measurements and one
 integer whose bit r says that rule r failed; policies are masks over those bits, so a
-new policy, or the question what a rule costs, never reads a text again.
+new policy, or the question what a rule costs, never reads a text again. The names of the
+rules, in the order of their bits, travel with the ledger as metadata of ``fail_bits``,
+through Parquet too: what a bit means is read from the ledger and nowhere else.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, table, text_or_empty, words_of
+from .common import WHITE, materialise, table, text_or_empty, words_of
 
 #: Characters that prose hardly uses.
 SYMBOLS = "#*$%&|<>"
@@ -27,7 +29,7 @@ class Rule:
     fails: str
 
 
-#: The position of a rule is its bit: append only.
+#: The usual rules; a rule's position is its bit in the ledgers made with them.
 RULES: tuple[Rule, ...] = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
@@ -38,7 +40,6 @@ RULES: tuple[Rule, ...] = (
     Rule("shouting", "100 * n_capitals > 40 * word_chars"),
     Rule("exclamations", "100 * n_exclamations > 40 * n_words"),
 )
-BIT = {rule.name: 1 << i for i, rule in enumerate(RULES)}
 
 #: Policies by version: the rules that reject a document. Old versions stay.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -48,9 +49,18 @@ POLICIES: dict[str, tuple[str, ...]] = {
 POLICY = "strict-1"
 
 
-def mask_of(policy: str | Sequence[str]) -> int:
-    """The bits of a policy version or of a list of rule names."""
-    return sum(BIT[name] for name in (POLICIES[policy] if isinstance(policy, str) else set(policy)))
+def rule_names(ledger: DataFrame) -> list[str]:
+    """The rules that a ledger holds, in the order of their bits."""
+    return list(ledger.schema["fail_bits"].metadata["rules"])
+
+
+def mask_of(ledger: DataFrame, policy: str | Sequence[str]) -> int:
+    """The bits, in this ledger, of a policy version or of a list of rule names; a rule that it doesn't hold is an error."""
+    names = rule_names(ledger)
+    wanted = set(POLICIES[policy] if isinstance(policy, str) else policy)
+    if missing := wanted - set(names):
+        raise ValueError(f"the ledger has no rule {sorted(missing)[0]}")
+    return sum(1 << i for i, name in enumerate(names) if name in wanted)
 
 
 def _repeat_words(ids: Column, order: Column) -> Column:
@@ -115,23 +125,37 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Measurements and ``fail_bits`` (long), one row per input row, in one pass without a shuffle.
 
-    Null and empty texts have no words and fail ``few_words``; repeated rows are each
+    At most 63 rules, each with a name of its own. Null and empty texts have no words and fail ``few_words``; repeated rows are each
     measured; an empty table gives no rows. Only the id and text columns are read.
     """
+    names = [rule.name for rule in rules]
+    if len(names) > 63 or len(set(names)) < len(names):
+        raise ValueError("a ledger takes up to 63 rules with different names")
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs, id_col, text_col).withColumn("fail_bits", bits)
+    measured = measure(docs, id_col, text_col)
+    return measured.select("*", bits.alias("fail_bits", metadata={"rules": names}))
+
+
+def store_ledger(ledger: DataFrame, path: str) -> DataFrame:
+    """Writes a ledger as Parquet and reads it back."""
+    ledger.write.parquet(path)
+    return read_ledger(ledger.sparkSession, path)
 
 
-def passes(policy: str | Sequence[str], bits: Column | None = None) -> Column:
-    """Whether a ledger row passes a policy."""
-    return (F.col("fail_bits") if bits is None else bits).bitwiseAND(F.lit(mask_of(policy)).cast("long")) == 0
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def passes(ledger: DataFrame, policy: str | Sequence[str]) -> Column:
+    """Whether a row of this ledger passes a policy."""
+    return F.col("fail_bits").bitwiseAND(F.lit(mask_of(ledger, policy)).cast("long")) == 0
 
 
 def apply_policies(ledger: DataFrame, policies: Mapping[str, str | Sequence[str]]) -> DataFrame:
     """One boolean column per policy."""
-    return ledger.select("*", *(passes(p).alias(name) for name, p in policies.items()))
+    return ledger.select("*", *(passes(ledger, p).alias(name) for name, p in policies.items()))
 
 
 def ablations(ledger: DataFrame, policy: str | Sequence[str] = POLICY) -> DataFrame:
@@ -139,18 +163,20 @@ def ablations(ledger: DataFrame, policy: str | Sequence[str] = POLICY) -> DataFr
 
     The texts are gone by now: rows collapse to at most 2^rules distinct bit patterns.
     """
-    mask = mask_of(policy)
+    mask = mask_of(ledger, policy)
+    rules = [(name, 1 << i) for i, name in enumerate(rule_names(ledger)) if mask >> i & 1]
     patterns = ledger.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
-    rules = ledger.sparkSession.createDataFrame([(r.name, BIT[r.name]) for r in RULES if BIT[r.name] & mask], "rule string, bit long")
-    hit = F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long"))
+    hit, bit = F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")), F.col("x.bit")
     some = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
-    spread = patterns.select(F.explode(F.array(*(F.lit(BIT[r.name]).cast("long") for r in RULES if BIT[r.name] & mask))).alias("bit"), hit.alias("hit"), "n")
-    counts = spread.groupBy("bit").agg(
-        some(F.col("hit").bitwiseAND(F.col("bit")) != 0).alias("n_fail"),
-        some(F.col("hit") == F.col("bit")).alias("n_only"),
-        some(F.col("hit").bitwiseAND(F.bitwise_not(F.col("bit"))) == 0).alias("n_kept_without"),
+    every = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(b).cast("long").alias("bit")) for name, b in rules))
+    # A row of no documents for each rule, so that an empty ledger has all rules too.
+    none = ledger.sparkSession.range(1).select(F.lit(0).cast("long").alias("fail_bits"), F.lit(0).cast("long").alias("n"))
+    spread = patterns.unionByName(none).select(F.explode(every).alias("x"), hit.alias("hit"), "n")
+    return spread.groupBy(F.col("x.rule").alias("rule")).agg(
+        some(F.col("hit").bitwiseAND(bit) != 0).alias("n_fail"),
+        some(F.col("hit") == bit).alias("n_only"),
+        some(F.col("hit").bitwiseAND(F.bitwise_not(bit)) == 0).alias("n_kept_without"),
     )
-    return F.broadcast(rules).join(counts, "bit", "left").fillna(0, ["n_fail", "n_only", "n_kept_without"]).drop("bit")
 
 
 def keep_good(docs: DataFrame, policy: str | Sequence[str] = POLICY, text_col: str = "text") -> DataFrame:
@@ -161,13 +187,18 @@ def keep_good(docs: DataFrame, policy: str | Sequence[str] = POLICY, text_col: s
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     ledger = rule_ledger(docs.select(row, F.col(text_col).alias("_body")), "_row", "_body")
     # A filter would be pushed below the ledger and repeat its expressions; a generator's output is not.
-    kept = ledger.select(F.explode_outer(F.when(passes(policy), F.array("_row"))).alias("_kept"))
+    kept = ledger.select(F.explode_outer(F.when(passes(ledger, policy), F.array("_row"))).alias("_kept"))
     return kept.where(F.col("_kept").isNotNull()).select("_kept.*")
 
 
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = rule_ledger(table(spark, sf_dir, "documents"))
-    base_failed = ~passes("base-1")
+    ledger = materialise(rule_ledger(table(spark, sf_dir, "documents")), "rule-ledger")
+    base_failed = ~passes(ledger, "base-1")
     return ledger.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & passes(POLICY)).alias("kept"), "fail_bits"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & passes(ledger, POLICY)).alias("kept"), "fail_bits"
     )
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy costs, over all documents."""
+    return ablations(materialise(rule_ledger(table(spark, sf_dir, "documents")), "rule-ledger"))

@@ -14,7 +14,7 @@ from .line_crf import op3_line_crf
 from .line_dedup import op9_window_line_dedup
 from .ngram_join import op8_ngram_join
 from .pii import op7_weak_supervision_pii
-from .quality_rules import op5_rule_ledger
+from .quality_rules import op5_rule_ledger, rule_ablations
 from .sharding import op4_rendezvous_shards
 from .token_store import op2_token_frames
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_window_line_dedup": op9_window_line_dedup,
     "op10_license_rules": op10_license_rules,
+    "rule_ablations": rule_ablations,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import materialise, table, text_or_empty
 
 #: Rows numbered together in one group; the number of groups grows with the table.
 SLOT_GROUP = 65_536
@@ -45,7 +45,8 @@ def assign_shards(
 
     ``slot`` numbers the rows of a shard gaplessly from 0. Rows are numbered inside
     hashed groups of about ``slot_group`` rows and shifted by the rows of the groups
-    before, so no shard is ever sorted in one task.
+    before, so no shard is ever sorted in one task. Rows that are equal in key and text are
+    counted and travel as one row for each ``slot_group`` of them, each in a group of its own.
 
     A null key hashes as its own key; a null text has size 1 and the crc of no bytes.
     Repeated rows share a shard and get slots of their own; an empty table gives no rows.
@@ -54,31 +55,30 @@ def assign_shards(
     if not weights or min(*weights, grown_weight) <= 0:
         raise ValueError("weights must be positive")
     key, text = _key(F.col(key_col)), F.encode(text_or_empty(text_col), "UTF-8")
-    groups = max(1, -(-docs.count() // slot_group))
     best, more = F.col("_best"), F.col("_more")
+    columns = [key_col, "size", "text_crc32", "shard", "grown_shard", "_key"]
     rows = (
         docs.select(F.col(key_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("_key"))
         .withColumn("_best", rendezvous(F.col("_key"), weights))
         .withColumn("_more", shard_score(F.col("_key"), len(weights), grown_weight))
-        .select(
-            key_col,
-            "size",
-            "text_crc32",
-            F.lit("key").alias("law"),
-            (-best["minus"]).cast("int").alias("shard"),
-            F.when(more > best["score"], F.lit(len(weights))).otherwise(-best["minus"]).cast("int").alias("grown_shard"),
-            (_bits(F.concat(F.col("_key"), F.lit("@"), F.col("text_crc32")), 8) % groups).alias("_group"),
-        )
+        .withColumn("shard", (-best["minus"]).cast("int"))
+        .withColumn("grown_shard", F.when(more > best["score"], F.lit(len(weights))).otherwise(F.col("shard")).cast("int"))
     )
-    counts = rows.groupBy("shard", "_group").count()
-    before = counts.select(
-        "shard", "_group", (F.sum("count").over(Window.partitionBy("shard").orderBy("_group")) - F.col("count")).alias("_before")
-    )
-    within = Window.partitionBy("shard", "_group").orderBy(key_col, "size", "text_crc32")
+    # One row per key and text, read again for the counts and for the numbering.
+    rows = materialise(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "shard-rows")
+    groups = max(1, -(-(rows.agg(F.sum("_n")).first()[0] or 0) // slot_group))
+    part = F.explode(F.sequence(F.lit(0), F.expr(f"int((_n - 1) div {slot_group})")))
+    parts = rows.select(*columns, "_n", part.alias("_part")).withColumn("_m", F.least(F.lit(slot_group), F.col("_n") - F.col("_part") * slot_group))
+    place = F.concat(F.col("_key"), F.lit("@"), F.col("text_crc32"), F.when(F.col("_part") > 0, F.concat(F.lit("#"), F.col("_part"))).otherwise(""))
+    parts = parts.withColumn("_group", _bits(place, 8) % groups)
+    counts = parts.groupBy("shard", "_group").agg(F.sum("_m").alias("_all"))
+    before = counts.select("shard", "_group", (F.sum("_all").over(Window.partitionBy("shard").orderBy("_group")) - F.col("_all")).alias("_before"))
+    within = Window.partitionBy("shard", "_group").orderBy(key_col, "size", "text_crc32", "_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.withColumn("_n", F.row_number().over(within) - 1)
+        parts.withColumn("_end", F.sum("_m").over(within))
         .join(before, ["shard", "_group"])
-        .select(key_col, "size", "text_crc32", "law", "shard", (F.col("_before") + F.col("_n")).cast("long").alias("slot"), "grown_shard")
+        .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+        .select(key_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_end") - F.col("_m") + F.col("_i")).cast("long").alias("slot"), "grown_shard")
     )
 
 

@@ -51,6 +51,17 @@ def test_shards(docs, group):
     assert assign_shards(docs.limit(0)).count() == 0
 
 
+def test_equal_rows_are_split(spark):
+    """Thousands of rows of one key and text get slots of their own, in groups of at most slot_group."""
+    docs = spark.createDataFrame([(7, "same")] * 1000 + [(None, None)] * 300 + [(i, "x") for i in range(10, 110)], "doc_id long, text string")
+    rows = assign_shards(docs, slot_group=64).collect()
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 1400 and all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert sum(r.doc_id == 7 for r in rows) == 1000 and sum(r.doc_id is None for r in rows) == 300
+
+
 def test_weights(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'t' AS text")
     counts = {r["shard"]: r["count"] for r in assign_shards(docs, weights=(1.0, 3.0)).groupBy("shard").count().collect()}
@@ -74,7 +85,22 @@ def test_ledger(docs):
     kept = keep_good(docs, ["repeated_windows"])
     assert kept.columns == docs.columns and kept.count() == 5
     assert rule_ledger(docs.limit(0)).count() == 0 and keep_good(docs.limit(0)).count() == 0
-    assert quality_rules.mask_of("base-1") == 3
+    assert quality_rules.mask_of(ledger, "base-1") == 3
+    assert [tuple(r) for r in ablations(ledger.limit(0), "base-1").orderBy("rule").collect()] == [("few_words", 0, 0, 0), ("repeated_windows", 0, 0, 0)]
+
+
+def test_ledger_of_other_rules(docs, tmp_path):
+    """Bits mean what the ledger says, whatever other rules there are, also after it was stored."""
+    rules = [quality_rules.Rule("any_word", "n_words > 0"), quality_rules.RULES[0]]
+    ledger = quality_rules.store_ledger(rule_ledger(docs, rules=rules), str(tmp_path / "ledger"))
+    again = quality_rules.read_ledger(ledger.sparkSession, str(tmp_path / "ledger"))
+    assert quality_rules.rule_names(again) == ["any_word", "few_words"] and quality_rules.mask_of(again, ["few_words"]) == 2
+    got = sorted((r.n_words > 0, r.n_words < 50, r.a, r.b) for r in apply_policies(again, {"a": ["any_word"], "b": ["few_words"]}).collect())
+    assert len(got) == len(ROWS) and all(a == (not some) and b == (not few) for some, few, a, b in got)
+    with pytest.raises(ValueError):
+        quality_rules.passes(again, "base-1")
+    with pytest.raises(ValueError):
+        rule_ledger(docs, rules=[rules[0], rules[0]])
 
 
 def test_line_windows(spark):
