@@ -8,14 +8,19 @@ segments above the threshold. A hit counts only if the passages around it hold e
 the word n-grams of both the item's question and its answer. An item of a few words is
 looked for as a phrase. In scripts without spaces every character is a word.
 
-The index travels with the tasks. It is made for shards of the items, whose bytes are
-checked, so its size is bounded however many items there are.
+Weights come from all items: document frequencies, the number of segments and their mean
+length are counted by Spark before anything is indexed. The items are then dealt to shards
+of bounded bytes, tasks make one index file of each, and the tasks that read documents load
+those files. The driver sees only the files' names, and documents are read once.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from bisect import bisect_left
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, table
+from .common import importable, materialise, scratch_path, table
 from .shingles import ALNUM_ONLY, hash_words, text_steps, windows, Words
 
 #: Words of a segment; a passage has twice as many and starts every SEGMENT words, so that
@@ -39,6 +44,8 @@ QUESTION, ANSWER, NGRAM = 0.6, 0.6, 3
 LEAST_WORDS = 5
 #: Bytes of items in one index; blocks of an index, and segments of a block at least.
 SHARD_BYTES, BLOCKS, BLOCK = 32 << 20, 256, 2
+#: Indexes that a worker holds at a time. With more of them, texts are taken in groups of STEPS steps, each through all indexes.
+HELD, STEPS = 4, 64
 #: Room for rounding between the two ways of summing a bound.
 SLACK = 1e-9
 
@@ -87,28 +94,49 @@ class Postings:
         self.most = max(self.most, impact)
 
 
+def _bags(words: np.ndarray) -> list[np.ndarray]:
+    """The segments of an item's words; an item of fewer than LEAST_WORDS has none."""
+    return np.array_split(words, math.ceil(len(words) / SEGMENT)) if len(words) >= LEAST_WORDS else []
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: the number of segments, their mean length, and terms (sorted) with the number of segments that hold them."""
+
+    segments: int
+    average: float
+    terms: np.ndarray
+    frequency: np.ndarray
+
+
+def statistics(items: Iterable[np.ndarray]) -> Statistics:
+    """Statistics of items that are at hand, each the hashes of its words."""
+    bags = [bag for words in items for bag in _bags(words)]
+    terms, frequency = np.unique(np.concatenate([np.unique(x) for x in bags]) if bags else np.empty(0, np.uint64), return_counts=True)
+    return Statistics(len(bags), max(1.0, sum(map(len, bags)) / max(1, len(bags))), terms, frequency)
+
+
 class Bm25Index:
-    """Inverted index of the segments of some items, with block maxima."""
+    """Inverted index of the segments of some items, with block maxima; weighted by the statistics of all items."""
 
-    def __init__(self, items: list[tuple[int | None, str, str]]):
+    def __init__(self, items: list[tuple[int | None, str, str]], known: Statistics | None = None, block: int | None = None):
         self.items = [i for i, _, _ in items]
         self.parts = [(_grams(_words(q)), _grams(_words(a))) for _, q, a in items]
-        bags: list[tuple[int, np.ndarray]] = []
+        every = [np.concatenate((_words(q), _words(a))) for _, q, a in items]
+        known = known or statistics(every)
         #: Items of fewer than LEAST_WORDS words, by their number of words and the hash of them all.
         self.phrases: dict[int, dict[int, list[int]]] = {}
-        for k, (_, q, a) in enumerate(items):
-            every = np.concatenate((_words(q), _words(a)))
-            if len(every) >= LEAST_WORDS:
-                bags += [(k, part) for part in np.array_split(every, math.ceil(len(every) / SEGMENT))]
-            elif len(every):
-                self.phrases.setdefault(len(every), {}).setdefault(int(_whole(every)), []).append(k)
+        for k, words in enumerate(every):
+            if 0 < len(words) < LEAST_WORDS:
+                self.phrases.setdefault(len(words), {}).setdefault(int(_whole(words)), []).append(k)
+        bags = [(k, bag) for k, words in enumerate(every) for bag in _bags(words)]
         self.item_of = [k for k, _ in bags]
         counted = [np.unique(part, return_counts=True) for _, part in bags]
-        terms = np.concatenate([t for t, _ in counted]) if bags else np.empty(0, np.uint64)
-        self.vocabulary, frequency = np.unique(terms, return_counts=True)
-        n, average = len(bags), max(1.0, sum(len(p) for _, p in bags) / max(1, len(bags)))
-        idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-        self.block = max(BLOCK, math.ceil(n / BLOCKS))
+        self.vocabulary = np.unique(np.concatenate([t for t, _ in counted])) if bags else np.empty(0, np.uint64)
+        frequency = known.frequency[np.searchsorted(known.terms, self.vocabulary)]
+        n, average = len(bags), known.average
+        idf = np.log1p((known.segments - frequency + 0.5) / (frequency + 0.5))
+        self.block = block or max(BLOCK, math.ceil(n / BLOCKS))
         self.n_blocks = math.ceil(n / self.block)
         #: For each block its terms' postings.
         self.blocks: list[dict[int, Postings]] = [{} for _ in range(self.n_blocks)]
@@ -182,9 +210,9 @@ class Bm25Index:
                 if score >= threshold - SLACK:
                     found.append((segment, score))
             else:
+                # Nothing before the pivot's segment can reach the threshold: all lists skip to it.
                 for x in lists[:pivot]:
-                    while x[1] < len(x[0].segments) and here(x) < segment:
-                        x[1] += 1
+                    x[1] = bisect_left(x[0].segments, segment, x[1])
             lists = [x for x in lists if x[1] < len(x[0].segments)]
         return found
 
@@ -246,9 +274,8 @@ class Leak:
     overlaps: list[float]
 
 
-def _leaks(index: Bm25Index, column: pa.Array, threshold: float, least: tuple[float, float]) -> Iterator[Leak]:
-    """Verified hits of the texts of a column, by text and item; then the short items."""
-    words = hash_words(column, ALNUM_ONLY, unspaced=True)
+def _leaks(index: Bm25Index, words: Words, threshold: float, least: tuple[float, float]) -> Iterator[Leak]:
+    """Verified hits of some texts, by text and item; then the short items."""
     found: dict[tuple[int, int], tuple[dict, list]] = {}
     for text, start, end, hits in _hits(index, words.hash, words.text, threshold):
         for segment, score in hits:
@@ -273,21 +300,108 @@ def _grams_any(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([windows(whole, size)[1] for size in range(1, NGRAM + 1)])
 
 
-def _shards(items: DataFrame, id_col: str, question_col: str | None, answer_col: str | None, text_col: str, shard_bytes: int) -> Iterator[list[tuple[int, str, str]]]:
-    """The items in parts of about ``shard_bytes`` bytes, by a hash of their ids."""
-    text = F.concat_ws(" ", question_col, answer_col) if question_col else F.coalesce(F.col(text_col), F.lit(""))
-    rows = items.select(
-        F.col(id_col).cast("long").alias("id"), text.alias("text"), *((F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((question_col, "q"), (answer_col, "a"))) if question_col else ())
-    ).where(F.octet_length("text") > 0)
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / shard_bytes))
-    for s in range(shards):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == s)
-        if shards > 1 and part.agg(F.sum(F.octet_length("text"))).first()[0] > 4 * shard_bytes:
-            raise ValueError("a shard of the test items is far larger than its bound; an item may be too large")
-        found = part.orderBy("id", "text").collect()
-        if found:
-            yield [(r["id"], r["q"], r["a"]) if question_col else (r["id"], *question_and_answer(r["text"])) for r in found]
+_held: OrderedDict[str, Bm25Index] = OrderedDict()
+
+
+def _load(path: str) -> Bm25Index:
+    """An index of this job, kept by the worker while there is room."""
+    from pyarrow import fs
+
+    if path not in _held:
+        files, name = fs.FileSystem.from_uri(path)
+        with files.open_input_file(name) as file:
+            index = pickle.loads(file.read())
+        while len(_held) >= HELD:
+            _held.popitem(last=False)
+        _held[path] = index
+    _held.move_to_end(path)
+    return _held[path]
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, term, n, words): segments of an item that hold a term; and without a term its segments and their words."""
+    for batch in batches:
+        for shard, q, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            bags = _bags(np.concatenate((_words(q), _words(a))))
+            if bags:
+                terms, n = np.unique(np.concatenate([np.unique(x) for x in bags]), return_counts=True)
+                columns = [pa.array([*terms.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), len(bags)], pa.int64()), pa.array([0] * len(n) + [sum(map(len, bags))], pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * (len(n) + 1), pa.int64()), *columns], names=["shard", "term", "n", "words"])
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [question_and_answer(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in parts], pa.string()) for i in (0, 1))], names=["id", "q", "a"])
+
+
+def _write_index(folder: str, segments: int, average: float):
+    def run(key: tuple, items: pa.Table, terms: pa.Table) -> pa.Table:
+        """One shard's index file. Each attempt has a name of its own; the manifest names the one that counts."""
+        import uuid
+
+        from pyarrow import fs
+
+        hashes = terms.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        known = Statistics(segments, average, hashes[order], terms.column("df").to_numpy()[order])
+        rows = sorted(zip(*(items.column(x).to_pylist() for x in ("id", "q", "a")), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        name = f"index-{uuid.uuid4().hex}.pickle"
+        with files.open_output_stream(f"{root}/{name}") as out:
+            out.write(pickle.dumps(Bm25Index(rows, known)))
+        return pa.table({"path": pa.array([f"{folder}/{name}"])})
+
+    return run
+
+
+def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", question_col: str | None = None, answer_col: str | None = None, shard_bytes: int = SHARD_BYTES) -> list[str]:
+    """Index files of all items, one for each ``shard_bytes`` of them; rows that repeat id and text count once.
+
+    An item is never cut between files, so one that is larger makes a larger file.
+    """
+    spark = items.sparkSession
+    key = F.col(id_col).cast("long").alias("id")
+    if question_col:
+        rows = items.select(key, *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((question_col, "q"), (answer_col, "a")))).distinct()
+    else:
+        rows = items.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct().mapInArrow(_split, "id long, q string, a string")
+    rows = materialise(rows.where(F.octet_length("q") + F.octet_length("a") > 0), "bm25-items")
+    total = rows.agg(F.sum(F.octet_length("q") + F.octet_length("a"))).first()[0] or 0
+    if not total:
+        return []
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "q", "a"), F.lit(math.ceil(total / shard_bytes))))
+    counted = materialise(rows.select("shard", "q", "a").mapInArrow(_count_terms, "shard long, term long, n long, words long"), "bm25-terms")
+    segments, words = counted.where(F.col("term").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    terms = counted.where(F.col("term").isNotNull())
+    own = terms.select("shard", "term").distinct().join(terms.groupBy("term").agg(F.sum("n").alias("df")), "term").select("shard", "term", "df")
+    made = rows.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(_write_index(scratch_path(spark, "bm25"), segments, max(1.0, words / max(1, segments))), "path string")
+    return sorted(r["path"] for r in materialise(made, "bm25-manifest").collect())
+
+
+def _groups(batches: Iterator[pa.RecordBatch], text: int, many: bool) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for step in text_steps(batch, text):
+            held.append(step)
+            if not many or len(held) >= STEPS:
+                yield held
+                held = []
+    if held:
+        yield held
+
+
+def _leaks_of_steps(paths: list[str], batches: Iterator[pa.RecordBatch], text: int, threshold: float, least: tuple[float, float]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int | None, Leak]]]]:
+    """Each step of the batches with the leaks of its texts and the items' ids, through all indexes."""
+    for steps in _groups(batches, text, len(paths) > HELD):
+        words = [hash_words(step.column(text), ALNUM_ONLY, unspaced=True) for step in steps]
+        found: list[list] = [[] for _ in steps]
+        for path in paths:
+            index = _load(path)
+            for out, w in zip(found, words, strict=True):
+                out += [(index.items[x.item], x) for x in _leaks(index, w, threshold, least)]
+        yield from zip(steps, found, strict=True)
 
 
 def find_contamination(
@@ -301,40 +415,36 @@ def find_contamination(
     Items of fewer than LEAST_WORDS words are leaked by a copy of all their words in order,
     with score and overlaps 1. Items without any word are left out; null and empty
     documents leak nothing; null ids are kept; repeated rows are each reported; empty tables
-    on either side give no rows. Other columns are not read. Documents are read once per
-    shard of items and are not shuffled.
+    on either side give no rows. Other columns are not read. Items that repeat id and text
+    count once. Documents are read once and are not shuffled.
     """
     spark = docs.sparkSession
     importable(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = spark.createDataFrame([], FOUND)
-    for part in _shards(items, item_id_col, question_col, answer_col, item_text_col, shard_bytes):
-        out = out.unionByName(texts.mapInArrow(_report(Bm25Index(part), threshold, (question, answer)), FOUND))
-    return out
+    paths = build_indexes(items, item_id_col, item_text_col, question_col, answer_col, shard_bytes)
+    return texts.mapInArrow(_report(paths, threshold, (question, answer)), FOUND)
 
 
-def _report(index: Bm25Index, threshold: float, least: tuple[float, float]):
+def _report(paths: list[str], threshold: float, least: tuple[float, float]):
     names = [x.split()[0] for x in FOUND.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for step in text_steps(batch):
+        for step, found in _leaks_of_steps(paths, batches, 1, threshold, least):
+            if found:
                 ids = step.column(0).to_pylist()
-                rows = [(ids[x.text], index.items[x.item], x.n_passages, x.score, *x.overlaps) for x in _leaks(index, step.column(1), threshold, least)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows = [(ids[x.text], item, x.n_passages, x.score, *x.overlaps) for item, x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def _without(index: Bm25Index, place: int, threshold: float, least: tuple[float, float]):
+def _without(paths: list[str], place: int, threshold: float, least: tuple[float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for step in text_steps(batch, place):
-                clean = np.ones(step.num_rows, bool)
-                clean[[x.text for x in _leaks(index, step.column(place), threshold, least)]] = False
-                yield step.filter(pa.array(clean))
+        for step, found in _leaks_of_steps(paths, batches, place, threshold, least):
+            clean = np.ones(step.num_rows, bool)
+            clean[[x.text for _, x in found]] = False
+            yield step.filter(pa.array(clean))
 
     return run
 
@@ -349,9 +459,8 @@ def drop_contaminated(
     """
     importable(docs.sparkSession)
     place = docs.columns.index(text_col)
-    for part in _shards(items, item_id_col, question_col, answer_col, item_text_col, shard_bytes):
-        docs = docs.mapInArrow(_without(Bm25Index(part), place, threshold, (question, answer)), docs.schema)
-    return docs
+    paths = build_indexes(items, item_id_col, item_text_col, question_col, answer_col, shard_bytes)
+    return docs.mapInArrow(_without(paths, place, threshold, (question, answer)), docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
