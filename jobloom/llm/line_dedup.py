@@ -11,6 +11,8 @@ of its own, whatever stands around it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often and however deep inside lambdas it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _bare(x: Column) -> Column:
     return F.btrim(x, F.lit(WHITE))
 
@@ -97,20 +104,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("rid"), _text_hash(F.col(text_col)).alias("rth"))
     text = F.col("row").getField(text_col)
     units = F.flatten(F.transform(_lines(text), lambda x, i: F.transform(_units_of(x), lambda u: F.struct(i.alias("line"), u.alias("raw")))))
-    solid = F.filter(F.transform("units", lambda u, i: F.when(_bare(u["raw"]) != "", i)), lambda i: i.isNotNull())
-    hit = F.col("starts").isNotNull()
-    joined = F.array_join(F.transform("left", lambda u, i: F.concat(F.when((i == 0) | (u["line"] == F.get("left", i - 1)["line"]), "").otherwise("\n"), u["raw"])), "")
-    out = (
-        rows.join(cover, (F.col("rid") == F.col("cid")) & (F.col("rth") == F.col("cth")), "left")
-        .withColumn("units", F.when(hit, units))
-        .withColumn("solid", F.when(hit, solid))
-        .withColumn("covered", F.when(hit, covered))
-        .withColumn("cut", F.transform("covered", lambda p: F.get("solid", p)))
-        .withColumn("left", F.transform(F.array_except(F.sequence(F.lit(0), F.size("units") - 1), F.col("cut")), lambda i: F.get("units", i)))
-        .withColumn("kept", F.when(hit, joined).otherwise(text))
+    solid = lambda u: F.filter(F.transform(u, lambda x, i: F.when(_bare(x["raw"]) != "", i)), lambda i: i.isNotNull())
+    left = lambda u, cut: F.transform(F.array_except(F.sequence(F.lit(0), F.size(u) - 1), cut), lambda i: F.get(u, i))
+    joined = lambda x: F.array_join(F.transform(x, lambda u, i: F.concat(F.when((i == 0) | (u["line"] == F.get(x, i - 1)["line"]), "").otherwise("\n"), u["raw"])), "")
+    cut_out = lambda u, cut: F.struct(_once(left(u, cut), joined).alias("text"), F.size(cut).alias("n"))
+    result = _once(
+        units,
+        lambda u: _once(
+            F.struct(u.alias("units"), solid(u).alias("solid"), covered.alias("covered")),
+            lambda s: _once(F.struct(s["units"].alias("units"), F.transform(s["covered"], lambda p: F.get(s["solid"], p)).alias("cut")), lambda t: cut_out(t["units"], t["cut"])),
+        ),
     )
+    hit = F.col("starts").isNotNull()
+    out = rows.join(cover, (F.col("rid") == F.col("cid")) & (F.col("rth") == F.col("cth")), "left").withColumn("result", F.when(hit, result))
     return out.select(
-        *(F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns), F.when(hit, F.size("cut")).otherwise(0).cast("long").alias(removed)
+        *(F.when(hit, F.col("result.text")).otherwise(text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns),
+        F.coalesce("result.n", F.lit(0)).cast("long").alias(removed),
     )
 
 
