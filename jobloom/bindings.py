@@ -59,14 +59,14 @@ SELECT user_id AS id, concat('user', CAST(user_id AS STRING), '@example.org') AS
   CASE WHEN user_id % 13 = 0 THEN max(ts) END AS deletion_requested_at, CASE WHEN user_id % 29 = 0 THEN max(ts) END AS deleted_at
 FROM events GROUP BY user_id""",
     "applications": """
-SELECT event_id AS id, user_id, event_id % 1000 + 1 AS posting_id, ts AS created_at, ts AS last_activity_at,
+SELECT event_id AS id, user_id, event_id % (SELECT max(o_orderkey) FROM orders) + 1 AS posting_id, ts AS created_at, ts AS last_activity_at,
   CASE event_type WHEN 'view' THEN 'saved' WHEN 'click' THEN 'applied' WHEN 'signup' THEN 'screening' WHEN 'purchase' THEN 'interviewing' ELSE 'rejected' END AS status,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS next_action_at
 FROM events WHERE event_id % 2 = 0""",
     "application_events": """
 SELECT event_id AS id, user_id AS application_id, lower(event_type) AS to_status, ts AS occurred_at FROM events WHERE event_id % 2 = 1""",
     "dismissed_postings": """
-SELECT user_id, event_id % 1000 + 1 AS posting_id, max(ts) AS dismissed_at FROM events WHERE event_type = 'error' GROUP BY user_id, event_id % 1000 + 1""",
+SELECT user_id, event_id % (SELECT max(o_orderkey) FROM orders) + 1 AS posting_id, max(ts) AS dismissed_at FROM events WHERE event_type = 'error' GROUP BY user_id, event_id % (SELECT max(o_orderkey) FROM orders) + 1""",
     "user_consents": """
 SELECT event_id AS id, user_id, CASE event_id % 3 WHEN 0 THEN 'digest_email' WHEN 1 THEN 'resume_storage' ELSE 'analytics' END AS purpose, ts AS granted_at,
   CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL '1' DAY END AS withdrawn_at
@@ -76,8 +76,27 @@ SELECT event_id AS id, user_id, concat('search ', CAST(event_id AS STRING)) AS n
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE TIMESTAMP '2001-07-01 00:00:00' + CAST(event_id % 31 AS INT) * INTERVAL '1' DAY END AS last_seen_max_posted_at,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts + INTERVAL '12' HOUR END AS last_digest_at
 FROM events WHERE event_type = 'purchase'""",
+    "raw_titles": """
+SELECT doc_id AS id, concat(CASE doc_id % 9 WHEN 0 THEN 'Sr. ' WHEN 1 THEN 'Senior Staff SDE, ' WHEN 2 THEN 'Head of ' WHEN 3 THEN 'Entry-Level ' WHEN 4 THEN 'Leadership ' WHEN 5 THEN 'Jr '
+  WHEN 6 THEN 'Associate Director: ' WHEN 7 THEN 'Lead Eng. / ' ELSE '' END, substr(coalesce(text, ''), 1, 60), CASE doc_id % 5 WHEN 0 THEN ' II' WHEN 1 THEN ' (m/f/d)' WHEN 2 THEN ' 3 ' WHEN 3 THEN ' intern' ELSE '' END) AS title
+FROM documents""",
+    "raw_places": """
+SELECT c_custkey AS id, CASE c_custkey % 14 WHEN 0 THEN 'Bangalore / Remote' WHEN 1 THEN 'Austin, TX' WHEN 2 THEN concat('Remote - ', n_name) WHEN 3 THEN concat('Paris, ', n_name) WHEN 4 THEN 'US-CA-Menlo Park'
+  WHEN 5 THEN concat('Berlin, ', n_name) WHEN 6 THEN 'Springfield, IN' WHEN 7 THEN concat('Hybrid: ', n_name, ' or Berlin') WHEN 8 THEN concat(n_name, ' (Remote)') WHEN 9 THEN 'Vancouver, BC' WHEN 10 THEN c_name
+  WHEN 11 THEN concat('München; ', n_name) WHEN 12 THEN concat('*HQ - San Francisco, CA, ', n_name) ELSE NULL END AS location_raw
+FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "raw_bodies": """
+SELECT doc_id AS id, concat('We spark joy with Kafka.', chr(10), coalesce(text, ''), chr(10), CASE doc_id % 4 WHEN 0 THEN 'Requirements' WHEN 1 THEN 'What you have: must-haves' WHEN 2 THEN '  NICE TO HAVE:' ELSE 'About us' END, chr(10),
+  CASE doc_id % 7 WHEN 0 THEN 'Strong Go' WHEN 1 THEN '5+ years of Python or C++' WHEN 2 THEN 'Experience with swift payments and spring boot in a large java shop' WHEN 3 THEN 'Rust belt' WHEN 4 THEN 'Docker, k8s (helm charts) and node.js'
+    WHEN 5 THEN 'knowledge of go modules, c/c++ and application security is what the whole team here needs' ELSE 'r and c, job security' END, chr(10),
+  CASE WHEN doc_id % 3 = 0 THEN 'Bonus points' ELSE 'Benefits' END, chr(10), 'React, Kafka; go to market with all of our partners', chr(10), 'PostgreSQL') AS description_text
+FROM documents""",
+    "user_skills": """
+SELECT user_id, concat(event_type, ' ', CAST(event_id % 6 AS STRING)) AS skill, CASE WHEN max(event_id) % 3 = 0 THEN NULL ELSE CAST(max(event_id) % 9 AS DOUBLE) END AS years,
+  CASE WHEN min(event_id) % 2 = 0 THEN 'manual' ELSE 'resume' END AS origin
+FROM events GROUP BY user_id, event_type, event_id % 6""",
     "watched_companies": """
-SELECT DISTINCT user_id, event_id % 200 + 1 AS company_id FROM events WHERE event_type = 'view' AND event_id % 10 = 0""",
+SELECT DISTINCT user_id, event_id % (SELECT max(c_custkey) FROM customer) + 1 AS company_id FROM events WHERE event_type = 'view'""",
 }
 
 
@@ -93,7 +112,9 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One canonical table; only the raw tables that it names are read."""
     sql = TABLES[name]
-    used = {t: raw(spark, sf_dir, t) for t in RAW if f" {t} " in f"{sql} ".replace("\n", " ")}
+    used = {t: raw(spark, sf_dir, t) for t in RAW if any(f" {t}{end}" in f"{sql} ".replace("\n", " ") for end in " )")}
     for t in used:
-        sql = f"{sql} ".replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
+        for word in ("FROM", "JOIN"):
+            for end in (" ", ")"):
+                sql = f"{sql} ".replace(f"{word} {t}{end}", f"{word} {{{t}}}{end}")
     return spark.sql(sql, **used)

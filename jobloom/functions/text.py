@@ -97,29 +97,45 @@ PAY = (
 PAY_WORD = "(?i)salary|compensation|pay|ctc|package|remuneration|base|lpa"
 
 
+def _window(text: Column) -> Column:
+    """Bytes around the first pay word (100 before, 300 from it) or else the first currency sign (66 and 200)."""
+    raw = F.encode(text, "UTF-8")
+
+    def around(at: Column, radius: int) -> Column:
+        before = F.octet_length(F.substring(text, F.lit(1), at - 1))
+        start = F.greatest(before - radius // 3, F.lit(0))
+        return F.make_valid_utf8(F.substring(raw, start + 1, before - start + radius).cast("string"))
+
+    word, sign = F.regexp_instr(text, F.lit(PAY_WORD)), F.regexp_instr(text, F.lit("[₹$€£]"))
+    return F.when(word > 0, around(word, 300)).when(sign > 0, around(sign, 200))
+
+
 def compensation(text: Column) -> Column:
     """Struct (min, max, currency, period) of the first plausible pay near the first pay word.
 
-    Windows count characters: 100 before the word and 300 from it; without a word 66 before
-    the first currency sign and 200 from it.
+    Windows count bytes, as the original does. Each pattern is looked for once; its numbers
+    are read from what it matched.
     """
-    around = lambda at, radius: F.substring(text, F.greatest(at - radius // 3, F.lit(1)), F.least(at - 1, F.lit(radius // 3)) + radius)
-    word, sign = F.regexp_instr(text, F.lit(PAY_WORD)), F.regexp_instr(text, F.lit("[₹$€£]"))
-    window = F.when(word > 0, around(word, 300)).when(sign > 0, around(sign, 200))
-    out = None
-    for pattern, times, period, currency, numbers in PAY:
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def read(window: Column, pattern: str, times: float, period: str, currency: str, numbers: int) -> Column:
+        number = lambda m, g: F.regexp_replace(F.regexp_extract(m, pattern, g), ",", "").try_cast("double") * times
         first = 1 if currency else 2
-        number = lambda g: F.regexp_replace(F.regexp_extract(window, pattern, g), ",", "").try_cast("double") * times  # noqa: B023, E731
-        lo = number(first)
-        hi = number(first + 1) if numbers == 2 else F.lit(None).cast("double")
-        sign_ = F.regexp_extract(window, pattern, 1)
-        money = F.lit(currency) if currency else F.when(sign_ == "$", "USD").when(sign_ == "€", "EUR").otherwise("GBP")
-        sane = (lo > 0) & (F.coalesce(hi, lo) >= lo) & (F.coalesce(hi, lo) / lo <= 10)
-        fits = lo.between(5, 2000) if period == "hour" else lo.between(1e5, 2e8) if currency == "INR" else lo.between(1e4, 5e6)
-        found = F.struct(lo.alias("min"), hi.alias("max"), money.alias("currency"), F.lit(period).alias("period"))
-        hit = window.rlike(pattern) & sane & fits
-        out = F.when(hit, found) if out is None else out.when(hit, found)
-    return out
+
+        def found(m: Column) -> Column:
+            sign = F.substring(F.btrim(m), 1, 1)
+            money = F.lit(currency) if currency else F.when(sign == "$", "USD").when(sign == "€", "EUR").otherwise("GBP")
+            high = number(m, first + 1) if numbers == 2 else F.lit(None).cast("double")
+            return F.struct(number(m, first).alias("min"), high.alias("max"), money.alias("currency"), F.lit(period).alias("period"))
+
+        def sane(x: Column) -> Column:
+            lo, hi = x["min"], F.coalesce(x["max"], x["min"])
+            fits = lo.between(5, 2000) if period == "hour" else lo.between(1e5, 2e8) if currency == "INR" else lo.between(1e4, 5e6)
+            return F.when((lo > 0) & (hi >= lo) & (hi / lo <= 10) & fits, x)
+
+        return once(F.regexp_extract(window, pattern, 0), lambda m: F.when(m != "", once(found(m), sane)))
+
+    return once(_window(text), lambda window: F.coalesce(*(read(window, *pay) for pay in PAY)))
 
 
 # Title words that settle the field, in their order.

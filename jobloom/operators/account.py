@@ -46,22 +46,18 @@ def high_water(postings: DataFrame) -> DataFrame:
 def new_since(searches: DataFrame, postings: DataFrame) -> DataFrame:
     """(id, new_since): live postings later than a search's mark, not filtered by the search; no mark counts nothing.
 
-    Postings are counted by instant, summed from the latest back, and each search takes the
-    sum behind its mark: sorted merges per day instead of a comparison of all pairs.
+    Postings are counted by instant, marks are instants too: running sums over the instants of
+    a day and over the days give what is behind each. No task gets more than a day's instants.
     """
-    live = postings.where(F.col("status") == "live").select(freshness().alias("at"))
-    day = F.to_date("at")
-    by_day = live.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    instants = postings.where(F.col("status") == "live").groupBy(freshness().alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    marks = searches.select(F.col("last_seen_max_posted_at").alias("at")).where(F.col("at").isNotNull()).distinct().withColumn("n", F.lit(0).cast("long"))
+    every = instants.unionByName(marks).groupBy("at").agg(F.sum("n").alias("n")).withColumn("day", F.to_date("at"))
+    behind = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    same_day = every.select("at", "day", behind(Window.partitionBy("day").orderBy(F.desc("at"))).alias("same_day"))
     # One row per day of the calendar.
-    later = by_day.select("day", (F.sum("n").over(Window.orderBy(F.desc("day"))) - F.col("n")).alias("later"))
-    marks = searches.select("id", F.col("last_seen_max_posted_at").alias("mark"), F.to_date("last_seen_max_posted_at").alias("mark_day"))
-    days = marks.select("mark_day").where("mark_day is not null").distinct()
-    next_day = days.join(F.broadcast(later), later["day"] >= days["mark_day"], "left").groupBy("mark_day").agg(F.min(F.struct("day", "later", F.lit(1))).alias("x"))
-    after_day = next_day.join(by_day.withColumnRenamed("day", "first_day"), F.col("x.day") == F.col("first_day"), "left")
-    whole = after_day.select("mark_day", F.when(F.col("x.day") == F.col("mark_day"), F.col("x.later")).otherwise(F.coalesce(F.col("x.later") + F.col("n"), F.lit(0))).alias("whole_days"))
-    same = marks.join(live.withColumn("d", day), F.col("mark_day") == F.col("d")).where(F.col("at") > F.col("mark")).groupBy("id").agg(F.count(F.lit(1)).alias("same_day"))
-    out = marks.join(whole, "mark_day", "left").join(same, "id", "left")
-    return out.select("id", (F.coalesce("whole_days", F.lit(0)) + F.coalesce("same_day", F.lit(0))).cast("long").alias("new_since"))
+    later = every.groupBy("day").agg(F.sum("n").alias("n")).select("day", behind(Window.orderBy(F.desc("day"))).alias("later"))
+    counts = same_day.join(marks.select("at"), "at", "left_semi").join(later, "day").select("at", (F.col("same_day") + F.col("later")).alias("new_since"))
+    return searches.join(counts, searches["last_seen_max_posted_at"] == counts["at"], "left").select("id", F.coalesce("new_since", F.lit(0)).cast("long").alias("new_since"))
 
 
 def latest_consents(consents: DataFrame) -> DataFrame:
@@ -121,3 +117,82 @@ def export(tables: dict[str, DataFrame], viewer: int) -> DataFrame:
         own = df.where(F.col("id" if kind == "users" else "user_id") == viewer).select(F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("row"))
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def profile_skills(user_skills: DataFrame) -> DataFrame:
+    """(user_id, years, own, read): a map from skill to years (0 if not stated), and the ordered lists by origin.
+
+    ``user_skills`` has (user_id, skill, years, origin); of a repeated skill the most years count.
+    """
+    once = user_skills.groupBy("user_id", "skill").agg(F.max(F.coalesce("years", F.lit(0.0))).alias("years"), F.min("origin").alias("origin"))
+    pairs = F.array_sort(F.collect_list(F.struct("skill", "years")))
+    of = lambda origin: F.array_sort(F.collect_list(F.when(F.col("origin") == origin, F.col("skill")))).alias(origin)
+    return once.groupBy("user_id").agg(F.map_from_entries(pairs).alias("years"), of("manual"), of("resume"))
+
+
+def ordered_distinct(items: Column) -> Column:
+    """A list without blanks and repeats, compared without case and outer blanks; the first spelling stays, in its place."""
+    clean = F.filter(F.transform(items, lambda x: F.btrim(x)), lambda x: x != "")
+    first = F.transform(clean, lambda x, i: F.when(F.array_position(F.transform(clean, F.lower), F.lower(x)) == i + 1, x))
+    return F.array_compact(first)
+
+
+def save_application(applications: DataFrame, requests: DataFrame, as_of: str | Column) -> DataFrame:
+    """Applications after saves (user_id, posting_id): a new one is saved now, an old one is touched and keeps its state."""
+    now = as_of_column(as_of)
+    new = requests.select("user_id", "posting_id").distinct().withColumn("_asked", F.lit(True))
+    keys = [applications[k] == new[k] for k in ("user_id", "posting_id")]
+    both = applications.withColumn("_there", F.lit(True)).join(new, keys, "full_outer")
+    old, asked = F.col("_there").isNotNull(), F.col("_asked").isNotNull()
+    values = {
+        "user_id": F.coalesce(applications["user_id"], new["user_id"]), "posting_id": F.coalesce(applications["posting_id"], new["posting_id"]), "status": F.when(old, applications["status"]).otherwise("saved"),
+        "created_at": F.when(old, applications["created_at"]).otherwise(now), "last_activity_at": F.when(asked, now).otherwise(applications["last_activity_at"]),
+    }
+    return both.select(*((values[c].alias(c) if c in values else applications[c]) for c in applications.columns))
+
+
+def unsave_application(applications: DataFrame, requests: DataFrame) -> DataFrame:
+    """Applications without those of the requests (user_id, posting_id) that are no more than saved."""
+    gone = requests.select("user_id", "posting_id").distinct().withColumn("_gone", F.lit(True))
+    joined = applications.join(gone, ["user_id", "posting_id"], "left").where(F.col("_gone").isNull() | (F.col("status") != "saved"))
+    return joined.select(*applications.columns)
+
+
+def patch_applications(applications: DataFrame, patches: DataFrame, as_of: str | Column) -> tuple[DataFrame, DataFrame]:
+    """(applications, events) after patches (id, status, channel, next_action_at); a null leaves a value as it is.
+
+    A status past saved and withdrawn needs an instant and a channel: now and "other" where there
+    is none. An event is made only where the status really changes. One patch for each id.
+    """
+    now = as_of_column(as_of)
+    side = patches.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("status", "channel", "next_action_at")))
+    joined = applications.join(side, applications["id"] == side["_id"], "left")
+    hit, status = F.col("_id").isNotNull(), F.coalesce("_status", "status")
+    past = hit & ~status.isin("saved", "withdrawn")
+    values = {
+        "status": status, "channel": F.coalesce("_channel", "channel", F.when(past, "other")), "next_action_at": F.coalesce("_next_action_at", "next_action_at"),
+        "applied_at": F.coalesce("applied_at", F.when(past, now)), "last_activity_at": F.when(hit, now).otherwise(F.col("last_activity_at")),
+    }
+    changed = joined.where(hit & ~status.eqNullSafe(F.col("status")))
+    events = changed.select(F.col("id").alias("application_id"), F.col("status").alias("from_status"), status.alias("to_status"), now.alias("occurred_at"))
+    return joined.select(*((values[c].alias(c) if c in values else F.col(c)) for c in applications.columns)), events
+
+
+def digest(candidates: DataFrame, searches: DataFrame, live: DataFrame, as_of: str | Column, shown: int = 8) -> DataFrame:
+    """(user_id, search_id, place, id, more): for each candidate search its newest postings since its mark, at most ``shown``, and whether there are more.
+
+    ``searches`` has (search_id, countries, modes, comp_min, field) as columns, empty lists and
+    nulls ask for nothing; the feed's rule holds that what is unknown stays in. Searches meet
+    postings by day, from the day of their mark on, so a posting meets only searches of its days.
+    """
+    since = candidates.select("user_id", "search_id", "since").join(searches, "search_id")
+    days = since.withColumn("day", F.explode(F.sequence(F.to_date("since"), F.to_date(as_of_column(as_of)))))
+    posts = live.where(F.col("status") == "live").withColumn("at", freshness()).withColumn("day", F.to_date("at"))
+    met = days.join(posts.select("id", "at", "day", "country", "mode", F.col("comp_min").alias("pay"), F.col("field").alias("kind")), "day").where(F.col("at") > F.col("since"))
+    any_of = lambda wanted, value, unknown: (F.size(wanted) == 0) | F.array_contains(wanted, value) | unknown
+    met = met.where(any_of("countries", F.col("country"), F.col("country").isNull()) & any_of("modes", F.col("mode"), F.lit(False)))
+    met = met.where((F.col("comp_min").isNull() | F.col("pay").isNull() | (F.col("pay") >= F.col("comp_min"))) & F.when(F.col("field").isNull(), F.col("kind") != "other").otherwise((F.col("field") == "all") | (F.col("field") == F.col("kind"))))
+    w = Window.partitionBy("search_id").orderBy(F.desc("at"), F.desc("id"))
+    ranked = met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= shown + 1)
+    more = F.max("place").over(Window.partitionBy("search_id")) > shown
+    return ranked.withColumn("more", more).where(F.col("place") <= shown).select("user_id", "search_id", "place", "id", "more")

@@ -164,8 +164,15 @@ def skill_arrays(posting_skills: DataFrame, id_col: str = "posting_id") -> DataF
     return lists.select(id_col, "must", F.when((F.size("must") > 0) | (F.size("nice") > 0), F.col("nice")).otherwise(F.col("mentioned")).alias("nice"))
 
 
-def with_all_skills(postings: DataFrame, posting_skills: DataFrame, skills: tuple[str, ...]) -> DataFrame:
-    """Postings that have every skill of the list: as many distinct hits as list entries, so a repeated entry matches nothing."""
+def with_all_skills(postings: DataFrame, posting_skills: DataFrame, skills: tuple[str, ...] | DataFrame) -> DataFrame:
+    """Postings that have every skill of the list: as many distinct hits as list entries, so a repeated entry matches nothing.
+
+    The list may be a frame with a column ``skill``.
+    """
+    if isinstance(skills, DataFrame):
+        every = skills.agg(F.count(F.lit(1)).alias("n"))
+        found = posting_skills.join(skills, "skill", "left_semi").groupBy("posting_id").agg(F.countDistinct("skill").alias("n")).join(every, "n")
+        return postings.join(found, postings["id"] == found["posting_id"], "left_semi")
     hits = posting_skills.where(F.col("skill").isin(*skills)).groupBy("posting_id").agg(F.countDistinct("skill").alias("n")).where(F.col("n") == len(skills))
     return postings.join(hits, postings["id"] == hits["posting_id"], "left_semi")
 

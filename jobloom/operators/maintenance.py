@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import similarity
+from ..functions.similarity import trigrams
 from .feed import as_of_column
 
 STRIKES, SIMILAR, BACKOFF_ERRORS, BACKOFF_HOURS = 2, 0.9, 5, 6
@@ -37,15 +37,20 @@ def merge_frames(old: DataFrame, new: DataFrame, keys: list[str], rules: Mapping
 
 
 def upsert_postings(old: DataFrame, seen: DataFrame, as_of: str | Column) -> DataFrame:
-    """Postings after a poll: seen rows are live again; an empty body erases none; a real date stays.
+    """Postings after a poll: seen rows are live again; an empty body or markup erases none; a real date stays.
 
     ``seen`` has (source_id, external_id) and the columns to set, among them description_text,
-    posted_at, posted_at_is_estimate and parse_confidence.
+    description_html, posted_at, posted_at_is_estimate and parse_confidence. Known rows keep
+    their id; new ones get one from a hash of source and external id, which a repeated poll
+    gives again. ``seen`` holds a key once.
     """
     body = lambda n: F.coalesce(n, F.lit("")) != ""
+    kept = lambda o, n: F.when(body(n), n).otherwise(o)
     loose = F.col("a.posted_at_is_estimate") | F.col("a.posted_at").isNull()
     rules = {
-        "description_text": lambda o, n: F.when(body(n), n).otherwise(o),
+        "id": lambda o, n: o,
+        "description_text": kept,
+        "description_html": kept,
         "posted_at": lambda o, n: F.when(loose, n).otherwise(o),
         "posted_at_is_estimate": lambda o, n: F.when(loose, n).otherwise(F.lit(False)),
         "parse_confidence": lambda o, n: F.when(body(F.col("b.description_text")), n).otherwise(F.greatest(o, n)),
@@ -55,7 +60,10 @@ def upsert_postings(old: DataFrame, seen: DataFrame, as_of: str | Column) -> Dat
     new = seen.select("*", *(v.alias(k) for k, v in extra.items() if k not in seen.columns))
     if "first_seen_at" in old.columns and "first_seen_at" not in seen.columns:
         new = new.withColumn("first_seen_at", as_of_column(as_of))
-    rules["id"] = lambda o, n: o
+    if "id" in old.columns:
+        # 60 bits of md5, which any engine computes alike.
+        own = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("source_id").cast("string"), "external_id")), 1, 15), 16, 10).cast("long")
+        new = new.withColumn("id", own if "id" not in seen.columns else F.coalesce("id", own))
     return merge_frames(old, new, ["source_id", "external_id"], rules)
 
 
@@ -90,25 +98,46 @@ def reconcile_absent(postings: DataFrame, seen: DataFrame, polled: DataFrame, as
     return joined.select(*((values[c].alias(c) if c in values else F.col(c)) for c in postings.columns))
 
 
+def _titles_alike(live: DataFrame, threshold: float) -> DataFrame:
+    """(company_id, t, b_t, sim): pairs of different lower-case titles of a company with a similarity of at least ``threshold``.
+
+    Every title of a company counts once, with its trigrams. Of two sets with that similarity
+    the first |x| - ceil(threshold * |x|) + 1 elements, in any one order, share one: titles meet
+    by company and such a trigram, rarest in the company first, so a large company is split.
+    """
+    titles = live.select("company_id", F.lower("title").alias("t")).where("t IS NOT NULL").distinct().withColumn("grams", trigrams(F.col("t")))
+    grams = titles.select("company_id", "t", F.explode("grams").alias("gram"))
+    rare = grams.join(grams.groupBy("company_id", "gram").count(), ["company_id", "gram"])
+    ordered = rare.groupBy("company_id", "t").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("grams")).withColumn("n", F.size("grams"))
+    ordered = ordered.withColumn("prefix", F.slice("grams.gram", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")))
+    side = ordered.select("company_id", "t", "n", F.col("grams.gram").alias("grams"), F.explode("prefix").alias("gram"))
+    b = side.select("company_id", "gram", F.col("t").alias("b_t"), F.col("n").alias("b_n"), F.col("grams").alias("b_grams"))
+    met = side.join(b, ["company_id", "gram"]).where((F.col("t") < F.col("b_t")) & (F.least("n", "b_n") >= threshold * F.greatest("n", "b_n") - 1e-9))
+    common = F.size(F.array_intersect("grams", "b_grams"))
+    close = met.select("company_id", "t", "b_t", (common / (F.col("n") + F.col("b_n") - common)).alias("sim")).where(F.col("sim") >= threshold).distinct()
+    return close.unionByName(close.select("company_id", F.col("b_t").alias("t"), F.col("t").alias("b_t"), "sim"))
+
+
 def duplicate_pairs(postings: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """(loser_id, keeper_id): per live posting the most similar strictly better one of another source of its company.
 
-    A company is the block, as in the statement this stands for. Equal titles need no
-    trigrams; the cheap conditions come before the similarity.
+    Postings meet by company and equal title, or through the pairs of titles that are alike;
+    no similarity is computed for a pair of postings. Of equally similar ones the lowest id counts.
     """
     live = postings.where(F.col("status") == "live")
     rank = [F.col("parse_confidence"), F.char_length(F.coalesce("description_text", F.lit(""))), -F.unix_micros(F.col("first_seen_at").cast("timestamp")), -F.col("id")]
-    side = live.select("company_id", "id", "source_id", F.lower("title").alias("title"), "city", "mode", *(r.alias(f"r{i}") for i, r in enumerate(rank)))
+    side = live.select("company_id", "id", "source_id", F.lower("title").alias("t"), "city", "mode", *(r.alias(f"r{i}") for i, r in enumerate(rank)))
     b = side.select(*(F.col(c).alias(c if c == "company_id" else f"b_{c}") for c in side.columns))
     worse = F.lit(False)
     for i in reversed(range(len(rank))):
         worse = (F.col(f"b_r{i}") > F.col(f"r{i}")) | ((F.col(f"b_r{i}") == F.col(f"r{i}")) & worse)
     same = lambda c, unknown: (F.col(c) == F.col(f"b_{c}")) | unknown(F.col(c)) | unknown(F.col(f"b_{c}"))
-    close = side.join(b, "company_id").where((F.col("source_id") != F.col("b_source_id")) & worse)
+    equal = side.join(b, (side["company_id"] == b["company_id"]) & (F.col("t") == F.col("b_t"))).drop(b["company_id"]).withColumn("sim", F.lit(1.0))
+    alike = side.join(_titles_alike(live, threshold), ["company_id", "t"]).join(b, ["company_id", "b_t"])
+    close = equal.unionByName(alike.select(*equal.columns)).where((F.col("source_id") != F.col("b_source_id")) & worse)
     close = close.where(same("city", lambda x: x.isNull()) & same("mode", lambda x: x == "unknown"))
-    close = close.withColumn("sim", F.when(F.col("title") == F.col("b_title"), 1.0).otherwise(similarity(F.col("title"), F.col("b_title")))).where(F.col("sim") >= threshold)
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "b_id"))
-    return close.withColumn("_n", first).where("_n = 1").select(F.col("id").alias("loser_id"), F.col("b_id").alias("keeper_id"))
+    best = F.min(F.struct((-F.col("sim")).alias("far"), "b_id"))
+    return close.groupBy(F.col("id").alias("loser_id")).agg(best.alias("x")).select("loser_id", F.col("x.b_id").alias("keeper_id"))
 
 
 def dedupe(postings: DataFrame, threshold: float = SIMILAR) -> DataFrame:

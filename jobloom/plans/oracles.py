@@ -7,9 +7,10 @@ both engines know.
 from __future__ import annotations
 
 from ..bindings import AS_OF, EVENTS_AS_OF, with_tables
-from ..functions.text import NOT_SOFTWARE, OTHER_ENGINEERING, SOFTWARE
+from ..functions import extract, places, search
+from ..functions.text import NOT_SOFTWARE, OTHER_ENGINEERING, PAY, PAY_WORD, SOFTWARE
 from ..operators.feed import USD_RATES
-from .queries import FIRST_DAY, LAST_DAY, PROFILE, VIEWER
+from .queries import FIRST_DAY, LAST_DAY, PROFILE, SEARCH, VIEWER
 
 ORACLES: dict[str, str] = {}
 
@@ -180,8 +181,9 @@ PAIRS = f"""close AS (
 pairs AS (SELECT loser_id, keeper_id FROM (SELECT *, row_number() OVER (PARTITION BY loser_id ORDER BY sim DESC, keeper_id) AS n FROM close WHERE sim >= 0.9) WHERE n = 1)"""
 _sql("dedupe_pairs", ("job_postings",), "SELECT loser_id, keeper_id FROM pairs", PAIRS)
 _sql("dedupe_after", ("job_postings",), "SELECT id, CASE WHEN loser_id IS NULL THEN status ELSE 'superseded' END AS status, keeper_id AS canonical_id FROM job_postings LEFT JOIN pairs ON id = loser_id", PAIRS)
-_sql("upsert_after", ("job_postings",), f"""SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.external_id, n.external_id) AS external_id,
+_sql("upsert_after", ("job_postings",), f"""SELECT coalesce(o.id, ('0x' || substr(md5(n.source_id || '/' || n.external_id), 1, 15))::BIGINT) AS id, coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.external_id, n.external_id) AS external_id,
   CASE WHEN n.source_id IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.source_id IS NULL OR (n.body = '' AND o.source_id IS NOT NULL) THEN o.description_text ELSE n.body END AS description_text,
+  CASE WHEN n.source_id IS NULL OR (n.body = '' AND o.source_id IS NOT NULL) THEN concat('<p>', o.description_text, '</p>') WHEN n.body = '' THEN '' ELSE concat('<p>', n.body, '</p>') END AS description_html,
   CASE WHEN n.source_id IS NULL THEN o.posted_at WHEN o.source_id IS NULL OR o.posted_at_is_estimate OR o.posted_at IS NULL THEN n.posted_at ELSE o.posted_at END AS posted_at,
   CASE WHEN n.source_id IS NULL THEN o.posted_at_is_estimate ELSE false END AS posted_at_is_estimate,
   round(CASE WHEN n.source_id IS NULL THEN o.parse_confidence WHEN n.body <> '' OR o.source_id IS NULL THEN n.conf ELSE greatest(o.parse_confidence, n.conf) END, 4) AS parse_confidence,
@@ -237,6 +239,140 @@ FROM (SELECT *, {_first(NOT_SOFTWARE)} AS other, {_first(SOFTWARE)} AS soft, {_f
 _sql("parse_confidence", ("job_postings", "posting_skills"), """SELECT id, ((title <> '')::INT + (octet_length(encode(description_text)) > 200)::INT + (country IS NOT NULL OR mode = 'remote')::INT + (coalesce(yoe_confidence, 0) >= 0.5)::INT
   + (id IN (SELECT posting_id FROM posting_skills))::INT) / 5.0::DOUBLE AS parsed FROM job_postings""")
 ORACLES["vocab_fold"] = "SELECT p_partkey, '' AS employment, CASE WHEN p_size % 2 = 0 THEN 'year' ELSE 'hour' END AS period FROM part"
-ORACLES["title_similarity"] = f"WITH names AS (SELECT DISTINCT p_name AS n FROM part) SELECT x.n AS a, y.n AS b, round({_similar('x.n', 'y.n')}, 6) AS sim FROM names x JOIN names y ON x.n < y.n"
+ORACLES["title_similarity"] = f"WITH names AS (SELECT DISTINCT p_name AS n FROM part) SELECT x.n AS a, y.n AS b, round({_similar('x.n', 'y.n')}, 6) AS sim FROM names x JOIN names y ON x.n < y.n WHERE len(list_intersect({_grams('x.n')}, {_grams('y.n')})) > 0"
 ORACLES["quality_precision"] = """SELECT count(*) AS n, round(count(*) FILTER (n_chars > 500 AND quality = 1)::DOUBLE / count(*) FILTER (n_chars > 500), 6) AS precision,
 round(count(*) FILTER (n_chars > 500 AND quality = 1)::DOUBLE / count(*) FILTER (quality = 1), 6) AS recall FROM documents JOIN labels USING (doc_id)"""
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _values(pairs) -> str:
+    return ", ".join(f"({', '.join(_literal(x) if isinstance(x, str) else str(x) for x in pair)})" for pair in pairs)
+
+
+def _asked(query: str) -> str:
+    """(matched, rank) of a search over the lists tt (title) and bb (body) of stemmed words."""
+    plan = search.parse(query)
+    holds = lambda col, stems: f"contains(' ' || array_to_string({col}, ' ') || ' ', ' {' '.join(stems)} ')"
+    either = lambda no, stems: f"{'NOT ' if no else ''}({holds('tt', stems)} OR {holds('bb', stems)})"
+    match = " OR ".join("(" + " AND ".join(either(no, stems) for no, stems in part) + ")" for part in plan)
+    asked = sorted({x for part in plan for no, stems in part if not no for x in stems})
+    count = lambda col, x: f"ln(1 + len(list_filter({col}, lambda w: w = '{x}')))"
+    return f"({match}) AS matched, " + " + ".join(f"{count('tt', x)} * {search.TITLE_WEIGHT}::DOUBLE + {count('bb', x)} * {search.BODY_WEIGHT}::DOUBLE" for x in asked) + " AS rank"
+
+
+_stop = ", ".join(f"'{w}'" for w in search.STOP)
+
+
+def _stemmed(x: str) -> str:
+    words = rf"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({_stop}))"
+    return f"list_transform({words}, lambda w: CASE WHEN length(w) >= 5 THEN regexp_replace(w, '{search.ENDINGS}', '') ELSE w END)"
+
+
+def _searched(query: str) -> str:
+    return f"{LIVE}, worded AS (SELECT *, {_stemmed('title')} AS tt, {_stemmed('description_text')} AS bb FROM feed WHERE status = 'live'), found AS (SELECT *, {_asked(query)} FROM worded)"
+
+
+_sql("search_relevance", FEED, "SELECT id, round(rank, 4) AS rank FROM found WHERE matched", _searched(SEARCH))
+_sql("feed_query", FEED, "SELECT id, title, fresh_at AS sort_key, round(rank, 6) AS rank FROM found WHERE matched ORDER BY fresh_at DESC, id DESC LIMIT 51", _searched('backend or "data engineer" -hybrid'))
+_sql("feed_sort_relevance", FEED, "SELECT id, round(rank, 6) AS rank FROM found WHERE matched AND field <> 'other' ORDER BY found.rank DESC, id DESC LIMIT 26", _searched("engineer remote"))
+
+_BEST = "ORDER BY score DESC, posted_at DESC NULLS LAST, fresh_at DESC, id DESC"
+
+
+def _best(where: str) -> str:
+    """The most recent live rows, which a ranked page orders."""
+    return f"{LIVE}, {SCORED}, best AS (SELECT * FROM scored WHERE status = 'live' AND {where} ORDER BY fresh_at DESC, id DESC LIMIT 2000)"
+
+
+RANKED = (*FEED, "posting_skills")
+_sql("feed_sort_match", RANKED, f"SELECT id, score, band FROM best {_BEST} LIMIT 26", _best("field = 'software' AND mode IN ('remote', 'hybrid')"))
+_sql("feed_bands", RANKED, f"SELECT id, score, band FROM best WHERE band IN ('plausible', 'stretch') {_BEST} LIMIT 51", _best("true"))
+_sql("feed_rehydrated", RANKED, "SELECT p.id, place::INTEGER AS place, p.company, p.title FROM page JOIN feed p USING (id) WHERE p.mode <> 'onsite'",
+     _best("field <> 'other'") + f", page AS (SELECT id, row_number() OVER ({_BEST}) - 1 AS place FROM best {_BEST} LIMIT 26)")
+
+
+def _pay() -> str:
+    read, choose = [], {x: [] for x in ("min", "max", "currency", "period")}
+    for i, (pattern, times, period, currency, numbers) in enumerate(PAY):
+        p = pattern.replace("(?![A-Za-z0-9_])", r"\b")
+        first = 1 if currency else 2
+        number = lambda g: f"try_cast(replace(regexp_extract(w, '{p}', {g}), ',', '') AS DOUBLE) * {times}::DOUBLE"  # noqa: B023, E731
+        read += [f"{number(first)} AS lo{i}", f"{number(first + 1) if numbers == 2 else 'NULL::DOUBLE'} AS hi{i}", f"regexp_extract(w, '{p}', 1) AS sign{i}"]
+        fits = f"lo{i} BETWEEN 5 AND 2000" if period == "hour" else f"lo{i} BETWEEN 1e5 AND 2e8" if currency == "INR" else f"lo{i} BETWEEN 1e4 AND 5e6"
+        money = f"'{currency}'" if currency else f"CASE sign{i} WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' ELSE 'GBP' END"
+        for name, value in (("min", f"lo{i}"), ("max", f"hi{i}"), ("currency", money), ("period", f"'{period}'")):
+            choose[name].append(f"WHEN lo{i} > 0 AND coalesce(hi{i}, lo{i}) >= lo{i} AND coalesce(hi{i}, lo{i}) / lo{i} <= 10 AND {fits} THEN {value}")
+    at = lambda pattern: f"strpos(description_text, nullif(regexp_extract(description_text, '{pattern}'), ''))"
+    around = lambda a, r: f"substr(description_text, greatest({a} - {r // 3}, 1), least({a} - 1, {r // 3}) + {r})"
+    window = f"CASE WHEN word > 0 THEN {around('word', 300)} WHEN sign > 0 THEN {around('sign', 200)} END"
+    # The bound texts are ASCII, so characters are bytes.
+    return f"""SELECT id, {", ".join(f"CASE {' '.join(whens)} END AS {name}" for name, whens in choose.items())} FROM (
+  SELECT id, {", ".join(read)} FROM (SELECT id, {window} AS w FROM (SELECT *, {at(PAY_WORD)} AS word, {at('[₹$€£]')} AS sign FROM job_postings)))"""
+
+
+_sql("comp_parse", ("job_postings",), _pay())
+
+_start = "lower(trim(title))"
+for _from, _to in extract.SHORT.items():
+    _start = f"replace({_start}, '{_from}', '{_to}')"
+_sql("title_normalise", ("job_postings", "raw_titles"), r"""SELECT kind, id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x.title, '[^a-z0-9\s]+', ' ', 'g'), '\b(?:i{1,3}|iv|v|[1-5])\s*$', ''), '[ \t]+', ' ', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS title_normalised, x.rank AS seniority
+FROM (SELECT kind, id, list_reduce(list_transform(RANKS, lambda r: {'title': '', 'rank': r}),
+  lambda a, r: CASE WHEN strpos(a.title, r.rank) > 0 AND NOT regexp_matches(concat(CASE WHEN strpos(a.title, r.rank) > 1 THEN substr(a.title, strpos(a.title, r.rank) - 1, 1) ELSE '' END, substr(a.title, strpos(a.title, r.rank) + length(r.rank), 1)), '[a-z0-9]')
+    THEN {'title': replace(a.title, r.rank, ' '), 'rank': r.rank} ELSE a END, {'title': START, 'rank': ''}) AS x
+  FROM (SELECT 'posting' AS kind, id, title FROM job_postings UNION ALL SELECT 'document', id, title FROM raw_titles))""".replace("RANKS", f"[{', '.join(_literal(r) for r in extract.RANKS)}]").replace("START", _start))
+
+_sql("location_parse", ("raw_places",), "SELECT w.id, coalesce(f.country, '') AS country, coalesce(f.region, '') AS region, coalesce(f.city, '') AS city FROM raw_places w LEFT JOIN first_part f USING (id)", rf"""
+codes(name, code) AS (VALUES {_values({**places.STATES, **places.COUNTRIES}.items())}), nations(code) AS (VALUES {_values((c,) for c in sorted(set(places.COUNTRIES.values())))}), cities(name, city) AS (VALUES {_values(places.CITIES.items())}),
+of_city(city, code) AS (VALUES {_values(places.CITY_COUNTRY.items())}), city_region(city, region) AS (VALUES {_values(places.CITY_REGION.items())}), namesakes(city, code) AS (VALUES {_values(places.NAMESAKES.items())}),
+regions(region, code) AS (VALUES {_values(places.REGIONS.items())}),
+cut AS (SELECT id, generate_subscripts(x, 1) AS part, unnest(x) AS raw FROM (SELECT id, string_split_regex(trim(location_raw), '{extract.PLACE_PARTS}') AS x FROM raw_places)),
+clean AS (SELECT id, part, trim(trim(regexp_replace(regexp_replace(raw, '(?i)\b(?:remote|hybrid|on-?site|in-?office|flexible|anywhere|multiple locations|various)\b', ' ', 'g'), '[()\[\]]', ' ', 'g')), '{extract.EDGES}') AS x FROM cut),
+parts AS (SELECT *, regexp_extract(x, '{extract.CODED}', 1) AS c1, regexp_extract(x, '{extract.CODED}', 2) AS c2, lower(trim(regexp_extract(x, '{extract.CODED}', 3))) AS c3 FROM clean WHERE x <> ''),
+segments AS (SELECT id, part, generate_subscripts(y, 1) - 1 AS s, lower(trim(unnest(y))) AS name FROM (SELECT *, string_split(x, ',') AS y FROM parts WHERE c1 NOT IN (SELECT code FROM nations))),
+known AS (SELECT g.*, code, city, max(s) FILTER (code IS NOT NULL) OVER (PARTITION BY id, part) AS cs FROM segments g LEFT JOIN codes USING (name) LEFT JOIN cities USING (name)),
+with_city AS (SELECT *, max(s) FILTER (city IS NOT NULL AND s IS DISTINCT FROM cs) OVER (PARTITION BY id, part) AS ts FROM known),
+with_region AS (SELECT *, max(s) FILTER (s > 0 AND octet_length(encode(name)) = 2 AND s IS DISTINCT FROM cs AND s IS DISTINCT FROM ts) OVER (PARTITION BY id, part) AS rs FROM with_city),
+read AS (SELECT id, part, coalesce(max(code) FILTER (s = cs), '') AS country, coalesce(max(upper(name)) FILTER (s = rs), '') AS region, coalesce(max(city) FILTER (s = ts), '') AS city FROM with_region GROUP BY id, part),
+near AS (
+  SELECT r.id, r.part, r.city, coalesce(nullif(r.country, ''), o.code, CASE WHEN r.region = '' THEN n.code END, '') AS country, r.region, c.region AS own
+  FROM read r LEFT JOIN of_city o ON o.city = r.city LEFT JOIN namesakes n ON n.city = r.city LEFT JOIN city_region c ON c.city = r.city),
+placed AS (SELECT id, part, country, city, CASE WHEN own IS NOT NULL AND (region = '' OR country = 'IN') THEN own ELSE region END AS region FROM near),
+both_kinds AS (
+  SELECT p.id, p.part, coalesce(nullif(p.country, ''), g.code, '') AS country, p.region, p.city FROM placed p LEFT JOIN regions g ON g.region = p.region
+  UNION ALL SELECT id, part, c1, c2, coalesce(city, '') FROM parts LEFT JOIN cities ON name = c3 WHERE c1 IN (SELECT code FROM nations)),
+first_part AS (SELECT DISTINCT ON (id) * FROM both_kinds WHERE country <> '' OR city <> '' ORDER BY id, part)""")
+
+_context = " ".join(
+    f"WHEN '{k}' THEN (terse OR regexp_matches(low, '(?i){p}'))" + (f" AND NOT regexp_matches(low, '(?i){extract.NOT_IN_CONTEXT[k]}')" if k in extract.NOT_IN_CONTEXT else "") for k, p in extract.IN_CONTEXT.items()
+)
+_kinds = " ".join(f"WHEN regexp_matches(line, {_literal('(?i)^' + p)}) THEN {extract.STRENGTH[k]}" for k, p in extract.HEADINGS)
+_sql("skill_sections", ("job_postings", "raw_bodies"), f"""SELECT kind, id, skill, CASE max(section) WHEN 3 THEN 'must_have' WHEN 2 THEN 'nice_to_have' ELSE 'mentioned' END AS requirement, CASE max(section) WHEN 1 THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence
+FROM named WHERE CASE skill {_context} ELSE true END GROUP BY kind, id, skill""", rf"""
+names(name, pattern, skill) AS (VALUES {_values((n, extract.name_pattern(n), k) for n, k in extract.NAMES.items())}),
+bodies AS (SELECT 'posting' AS kind, id, description_text FROM job_postings UNION ALL SELECT 'document', id, description_text FROM raw_bodies),
+lined AS (SELECT kind, id, generate_subscripts(x, 1) AS pos, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS line FROM (SELECT kind, id, string_split(description_text, chr(10)) AS x FROM bodies)),
+headed AS (SELECT *, CASE {_kinds} END AS heading FROM lined),
+sectioned AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY kind, id ORDER BY pos), 1) AS section, lower(line) AS low FROM headed),
+named AS (SELECT s.*, skill, section > 1 AND len(string_split_regex(low, '\s+')) <= {extract.TERSE} AS terse FROM sectioned s JOIN names n ON contains(low, n.name) AND regexp_matches(low, n.pattern) WHERE heading IS NULL AND low <> '')""")
+
+
+_sql("profile_map", ("user_skills",), """SELECT user_id, string_agg(concat(skill, '=', coalesce(years, 0)::INT), ',' ORDER BY skill) AS years, coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (origin = 'manual'), '') AS manual,
+coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (origin = 'resume'), '') AS resume FROM user_skills GROUP BY user_id""")
+_FIRST = "first AS (SELECT user_id, posting_id, arg_min(status, id) AS status, min(created_at) AS created_at, min(last_activity_at) AS last_activity_at FROM applications GROUP BY user_id, posting_id)"
+_EVENTS_NOW = f"TIMESTAMP '{EVENTS_AS_OF}'"
+_sql("application_save", ("applications", "dismissed_postings"), f"""SELECT user_id, posting_id, coalesce(status, 'saved') AS status, coalesce(created_at, {_EVENTS_NOW}) AS created_at, CASE WHEN asked THEN {_EVENTS_NOW} ELSE last_activity_at END AS last_activity_at
+FROM first FULL JOIN (SELECT user_id, posting_id, true AS asked FROM dismissed_postings UNION SELECT user_id, posting_id, true FROM first WHERE status = 'applied') USING (user_id, posting_id)""", _FIRST)
+_sql("application_unsave", ("applications",), """SELECT id, user_id, posting_id, status FROM applications a
+WHERE status <> 'saved' OR NOT EXISTS (SELECT 1 FROM applications b WHERE b.next_action_at IS NULL AND b.user_id = a.user_id AND b.posting_id = a.posting_id)""")
+_sql("application_patch", ("applications",), f"""SELECT id, CASE WHEN hit AND status = 'saved' THEN 'applied' ELSE status END AS status, CASE WHEN hit THEN CASE WHEN status = 'screening' THEN 'referral' ELSE 'other' END END AS channel,
+CASE WHEN hit THEN {_EVENTS_NOW} END AS applied_at, CASE WHEN hit THEN {_EVENTS_NOW} ELSE last_activity_at END AS last_activity_at, next_action_at FROM (SELECT *, next_action_at IS NOT NULL AS hit FROM applications)""")
+_sql("application_patch_events", ("applications",), f"""SELECT id AS application_id, 'saved' AS from_status, 'applied' AS to_status, {_EVENTS_NOW} AS occurred_at FROM applications WHERE next_action_at IS NOT NULL AND status = 'saved'""")
+_sql("digest_replay", ("saved_searches", "job_postings"), f"""SELECT user_id, search_id, place::INTEGER AS place, id, most > 8 AS more FROM (
+  SELECT *, max(place) OVER (PARTITION BY search_id) AS most FROM (
+    SELECT s.user_id, s.id AS search_id, p.id, row_number() OVER (PARTITION BY s.id ORDER BY coalesce(p.posted_at, p.first_seen_at) DESC, p.id DESC) AS place
+    FROM saved_searches s JOIN job_postings p ON p.status = 'live' AND coalesce(p.posted_at, p.first_seen_at) > s.last_seen_max_posted_at AND coalesce(p.posted_at, p.first_seen_at)::DATE <= {_NOW}::DATE
+    WHERE (s.user_id % 3 <> 0 OR p.country IS NULL OR p.country IN ('N1', 'N2')) AND (s.user_id % 4 <> 0 OR p.mode = 'remote') AND (s.user_id % 5 <> 0 OR p.comp_min IS NULL OR p.comp_min >= 150000)
+      AND (s.user_id % 2 = 0 OR p.field <> 'other'))) WHERE place <= 8""")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, EVENTS_AS_OF, bound, raw
 from ..functions import extract, search, text
-from ..functions.similarity import similarity
+from ..functions.similarity import trigrams
 from ..operators import account, feed, maintenance, rollups, scoring
 from ..operators.feed import FeedFilter
 
@@ -68,6 +68,38 @@ def feed_comp_usd(spark, sf_dir):
     return _page(spark, sf_dir, FeedFilter(sort="comp", field="all")).select("id", "comp_currency", F.round("sort_key", 2).alias("usd"))
 
 
+@query
+def feed_query(spark, sf_dir):
+    return _page(spark, sf_dir, FeedFilter(query='backend or "data engineer" -hybrid', field="all", limit=50)).select("id", "title", "sort_key", F.round("rank", 6).alias("rank"))
+
+
+@query
+def feed_sort_relevance(spark, sf_dir):
+    return _page(spark, sf_dir, FeedFilter(query="engineer remote", sort="relevance")).select("id", F.round("rank", 6).alias("rank"))
+
+
+def _ranked_page(spark, sf_dir, f: FeedFilter) -> DataFrame:
+    return feed.page(live_feed(spark, sf_dir), f, AS_OF, posting_skills=bound(spark, sf_dir, "posting_skills"), profile=PROFILE)
+
+
+@query
+def feed_sort_match(spark, sf_dir):
+    return _ranked_page(spark, sf_dir, FeedFilter(sort="match", field="software", modes=("remote", "hybrid"))).select("id", "score", "band")
+
+
+@query
+def feed_bands(spark, sf_dir):
+    return _ranked_page(spark, sf_dir, FeedFilter(bands=("plausible", "stretch"), field="all", limit=50)).select("id", "score", "band")
+
+
+@query
+def feed_rehydrated(spark, sf_dir):
+    """A ranked page's ids and places, and the postings that are still live in its order."""
+    best = _ranked_page(spark, sf_dir, FeedFilter(sort="match"))
+    places = best.select("id", (F.row_number().over(Window.orderBy(F.desc("score"), F.desc_nulls_last("posted_at"), F.desc(feed.freshness()), F.desc("id"))) - 1).alias("place"))
+    return feed.rehydrate(places, live_feed(spark, sf_dir).where("mode <> 'onsite'")).select("id", "place", "company", "title")
+
+
 @query
 def feed_keyset_page2(spark, sf_dir):
     cursor = feed.encode_cursor({"k": "2001-07-01 00:00:00", "i": 1000})
@@ -87,13 +119,10 @@ def feed_saved_flag(spark, sf_dir):
 
 @query
 def feed_skills_all(spark, sf_dir):
-    return feed.with_all_skills(live_feed(spark, sf_dir), bound(spark, sf_dir, "posting_skills"), _some_skills(spark, sf_dir)).select("id")
-
-
-def _some_skills(spark, sf_dir):
-    # The two skills that most postings name: two rows.
-    top = bound(spark, sf_dir, "posting_skills").groupBy("skill").count().orderBy(F.desc("count"), "skill").limit(2).collect()
-    return tuple(r["skill"] for r in top)
+    # The two skills that most postings name.
+    skills = bound(spark, sf_dir, "posting_skills")
+    top = skills.groupBy("skill").count().orderBy(F.desc("count"), "skill").limit(2).select("skill")
+    return feed.with_all_skills(live_feed(spark, sf_dir), skills, top).select("id")
 
 
 @query
@@ -209,6 +238,59 @@ def digest_candidates(spark, sf_dir):
     return account.digest_candidates(*(bound(spark, sf_dir, t) for t in ("saved_searches", "users", "user_consents")), "2024-01-20 00:00:00")
 
 
+@query
+def profile_map(spark, sf_dir):
+    x = account.profile_skills(bound(spark, sf_dir, "user_skills"))
+    years = F.array_join(F.transform(F.map_entries("years"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("int").cast("string"))), ",")
+    return x.select("user_id", years.alias("years"), F.array_join("manual", ",").alias("manual"), F.array_join("resume", ",").alias("resume"))
+
+
+@query
+def application_save(spark, sf_dir):
+    """Dismissed postings are saved by who dismissed them, and so are postings applied to."""
+    applications = bound(spark, sf_dir, "applications")
+    first = applications.groupBy("user_id", "posting_id").agg(F.min_by("status", "id").alias("status"), F.min("created_at").alias("created_at"), F.min("last_activity_at").alias("last_activity_at"))
+    asked = bound(spark, sf_dir, "dismissed_postings").select("user_id", "posting_id").unionByName(first.where("status = 'applied'").select("user_id", "posting_id"))
+    return account.save_application(first, asked, EVENTS_AS_OF)
+
+
+@query
+def application_unsave(spark, sf_dir):
+    applications = bound(spark, sf_dir, "applications")
+    return account.unsave_application(applications, applications.where("next_action_at IS NULL").select("user_id", "posting_id")).select("id", "user_id", "posting_id", "status")
+
+
+def _patched(spark, sf_dir):
+    none = lambda kind: F.lit(None).cast(kind)
+    applications = bound(spark, sf_dir, "applications").withColumns({"channel": none("string"), "applied_at": none("timestamp_ntz")})
+    status = F.when(F.col("status") == "saved", "applied").when(F.col("status") == "applied", "applied").otherwise(none("string"))
+    patches = applications.where("next_action_at IS NOT NULL").select("id", status.alias("status"), F.when(F.col("status") == "screening", "referral").alias("channel"), none("date").alias("next_action_at"))
+    return account.patch_applications(applications, patches, EVENTS_AS_OF)
+
+
+@query
+def application_patch(spark, sf_dir):
+    return _patched(spark, sf_dir)[0].select("id", "status", "channel", "applied_at", "last_activity_at", "next_action_at")
+
+
+@query
+def application_patch_events(spark, sf_dir):
+    return _patched(spark, sf_dir)[1]
+
+
+@query
+def digest_replay(spark, sf_dir):
+    """Each saved search over the feed since its mark."""
+    saved = bound(spark, sf_dir, "saved_searches")
+    empty = F.array().cast("array<string>")
+    searches = saved.select(
+        F.col("id").alias("search_id"), F.when(F.col("user_id") % 3 == 0, F.array(F.lit("N1"), F.lit("N2"))).otherwise(empty).alias("countries"), F.when(F.col("user_id") % 4 == 0, F.array(F.lit("remote"))).otherwise(empty).alias("modes"),
+        F.when(F.col("user_id") % 5 == 0, F.lit(150000.0)).alias("comp_min"), F.when(F.col("user_id") % 2 == 0, "all").alias("field"),
+    )
+    candidates = saved.where("last_seen_max_posted_at IS NOT NULL").select("user_id", F.col("id").alias("search_id"), F.col("last_seen_max_posted_at").alias("since"))
+    return account.digest(candidates, searches, bound(spark, sf_dir, "job_postings"), AS_OF)
+
+
 @query
 def visit_sessions(spark, sf_dir):
     return account.visits(raw(spark, sf_dir, "events"), "6 hours")
@@ -236,13 +318,14 @@ def _polled(postings: DataFrame) -> DataFrame:
     fresh = postings.where("id % 10 = 1").withColumn("id", F.lit(None).cast("long")).withColumn("external_id", F.concat(F.lit("n"), F.col("external_id")))
     rows = again.unionByName(fresh)
     body = F.when(F.col("id") % 5 == 0, "new body").otherwise("")
-    return rows.select("id", "company_id", "source_id", "external_id", F.upper("title").alias("title"), body.alias("description_text"), (F.col("posted_at") + F.expr("INTERVAL '1' DAY")).alias("posted_at"), F.lit(False).alias("posted_at_is_estimate"), (F.col("parse_confidence") / 2 + 0.3).alias("parse_confidence"))
+    markup = F.when(body != "", F.concat(F.lit("<p>"), body, F.lit("</p>"))).otherwise("")
+    return rows.select("company_id", "source_id", "external_id", F.upper("title").alias("title"), body.alias("description_text"), markup.alias("description_html"), (F.col("posted_at") + F.expr("INTERVAL '1' DAY")).alias("posted_at"), F.lit(False).alias("posted_at_is_estimate"), (F.col("parse_confidence") / 2 + 0.3).alias("parse_confidence"))
 
 
 @query
 def upsert_after(spark, sf_dir):
-    postings = bound(spark, sf_dir, "job_postings")
-    return maintenance.upsert_postings(postings, _polled(postings), AS_OF).select("source_id", "external_id", "title", "description_text", "posted_at", "posted_at_is_estimate", F.round("parse_confidence", 4).alias("parse_confidence"), "status", "closed_at", "missing_count")
+    postings = bound(spark, sf_dir, "job_postings").withColumn("description_html", F.concat(F.lit("<p>"), "description_text", F.lit("</p>")))
+    return maintenance.upsert_postings(postings, _polled(postings), AS_OF).select("id", "source_id", "external_id", "title", "description_text", "description_html", "posted_at", "posted_at_is_estimate", F.round("parse_confidence", 4).alias("parse_confidence"), "status", "closed_at", "missing_count")
 
 
 @query
@@ -332,33 +415,42 @@ def vocab_fold(spark, sf_dir):
 
 @query
 def title_similarity(spark, sf_dir):
-    names = raw(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    other = names.select(F.col("a").alias("b"))
-    # The names are a fixed list of 64.
-    return names.join(F.broadcast(other), F.col("a") < F.col("b")).select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    """Names that share a trigram, met by it; pairs without any have similarity 0 and are not listed."""
+    names = raw(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct().withColumn("grams", trigrams(F.col("a")))
+    posts = names.select("a", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    other = posts.select(F.col("a").alias("b"), F.col("n").alias("m"), "gram")
+    shared = posts.join(other, "gram").where("a < b").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("common"))
+    return shared.select("a", "b", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 6).alias("sim"))
+
+
+def _with_kind(spark, sf_dir, column: str, table: str) -> DataFrame:
+    """(kind, id, column) of all postings and of a table that has harder cases."""
+    postings = bound(spark, sf_dir, "job_postings").select(F.lit("posting").alias("kind"), "id", column)
+    return postings.unionByName(bound(spark, sf_dir, table).select(F.lit("document").alias("kind"), "id", column))
 
 
 @query
 def title_normalise(spark, sf_dir):
-    return extract.with_titles(bound(spark, sf_dir, "job_postings").select("id", "title")).select("id", "title_normalised", "seniority")
+    return extract.with_titles(_with_kind(spark, sf_dir, "title", "raw_titles")).select("kind", "id", "title_normalised", "seniority")
 
 
 @query
 def location_parse(spark, sf_dir):
-    rows = bound(spark, sf_dir, "companies").select("id", F.element_at(F.array(*map(F.lit, ("Bangalore / Remote", "Austin, TX", "Remote", "US-CA-Menlo Park", "Paris, TX", "München"))), (F.col("id") % 6 + 1).cast("int")).alias("location_raw"))
-    return extract.with_locations(rows).select("id", "country", "region", "city")
+    return extract.with_locations(bound(spark, sf_dir, "raw_places")).select("id", "country", "region", "city")
 
 
 @query
 def skill_sections(spark, sf_dir):
-    body = F.concat(F.lit("About us\nWe use Kafka.\nRequirements\nStrong Go\n5+ years of "), F.when(F.col("id") % 2 == 0, "Python").otherwise("C++"), F.lit("\nNice to have\nDocker and spring boot\nBenefits\ngo to market"))
-    rows = bound(spark, sf_dir, "job_postings").select("id", body.alias("description_text"))
-    return extract.with_skills(rows).select("id", F.explode("skills").alias("x")).select("id", "x.skill", "x.requirement", "x.confidence")
+    rows = extract.with_skills(_with_kind(spark, sf_dir, "description_text", "raw_bodies"))
+    return rows.select("kind", "id", F.explode("skills").alias("x")).select("kind", "id", "x.skill", "x.requirement", "x.confidence")
+
+
+SEARCH = 'engineer remote -"at least" or backend'
 
 
 @query
 def search_relevance(spark, sf_dir):
-    return search.search(bound(spark, sf_dir, "job_postings").where("status = 'live'"), 'engineer remote -"at least" or backend', "title", "description_text").select("id", F.round("rank", 4).alias("rank"))
+    return search.search(bound(spark, sf_dir, "job_postings").where("status = 'live'"), SEARCH, "title", "description_text").select("id", F.round("rank", 4).alias("rank"))
 
 
 @query

@@ -62,8 +62,8 @@ def test_field(spark, title, n, want):
 
 
 @pytest.mark.parametrize("title,want", [("Sr. Backend Engineer", ("backend engineer", "senior")), ("Data Engineer II", ("data engineer", "")), ("Senior Staff SDE", ("software engineer", "staff")), ("", ("", "")), (None, ("", "")), ("Leadership Coach", ("leadership coach", ""))])
-def test_title(title, want):
-    assert extract.normal_title(title) == want
+def test_title(spark, title, want):
+    assert tuple(one(spark, extract.normal_title(F.col("t").cast("string")), t=title)) == want
 
 
 @pytest.mark.parametrize(
@@ -73,14 +73,23 @@ def test_title(title, want):
         ("Vancouver, BC", ("CA", "BC", "")), ("Remote", ("", "", "")), ("United States (Remote)", ("US", "", "")), ("Springfield, IN", ("", "", "")), (None, ("", "", "")), ("*HQ - San Francisco, CA", ("US", "CA", "San Francisco")),
     ],
 )
-def test_place(raw, want):
-    assert extract.place(raw) == want
+def test_place(spark, raw, want):
+    assert tuple(one(spark, extract.place(F.col("r").cast("string")), r=raw)) == want
 
 
-def test_skills():
+def test_skills(spark):
     body = "We spark joy.\nRequirements\nStrong Go\nC++ and k8s\nNice to have\nDocker, go to market with sales teams around\nBenefits\nreact"
-    assert {(x["skill"], x["requirement"]) for x in extract.skills_of(body)} == {("go", "must_have"), ("c++", "must_have"), ("kubernetes", "must_have"), ("docker", "nice_to_have"), ("react", "mentioned")}
-    assert extract.skills_of(None) == extract.skills_of("") == []
+    skills = lambda t: {(x["skill"], x["requirement"]) for x in one(spark, extract.skills_of(F.col("t").cast("string")), t=t)}
+    assert skills(body) == {("go", "must_have"), ("c++", "must_have"), ("kubernetes", "must_have"), ("docker", "nice_to_have"), ("react", "mentioned")}
+    assert skills(None) == skills("") == set()
+    assert skills("react\n" * 30_000 + "you\n  REQUIREMENTS: rust\nrust") == {("react", "mentioned"), ("rust", "must_have")}
+
+
+def test_pay_windows_count_bytes(spark):
+    """100 bytes before the word: 40 signs of three bytes leave 33 of them, so a sum before these is out of sight."""
+    near, far = "Base $180k - $220k " + "₹" * 20 + " salary", "$180k - $220k " + "–" * 40 + " salary"
+    pay = lambda t: one(spark, text.compensation(F.col("t")), t=t)
+    assert pay(near)["min"] == 180000 and pay(far) is None and pay(far.replace("–", "-"))["min"] == 180000
 
 
 def test_similarity(spark):
