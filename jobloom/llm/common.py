@@ -20,6 +20,8 @@ TASK_ROWS, LEAST_HOT = 1_000_000, 500
 BROADCAST_KEYS = 1_000_000
 
 _own_dirs: dict[str, str] = {}
+#: Scratch paths of each application, in the order of their making.
+_made: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """The scratch paths made by this session so far."""
+    return _made.setdefault(spark.sparkContext.applicationId, [])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/jobloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/jobloom/{name}-{uuid.uuid4().hex}"
+    scratch_paths(spark).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -60,10 +69,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables; call it once the results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/jobloom")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def clear_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes scratch tables of this session, all or some; nothing may read them any more."""
+    made = scratch_paths(spark)
+    for name in list(made if paths is None else paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        made.remove(name)
 
 
 def hot_rows(spark: SparkSession, total: int) -> int:

@@ -23,15 +23,21 @@ WINDOW = 3
 LONG, PIECE = 50, 16
 
 _IN, _OUT = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
-#: A line of over LONG words; it begins at the line's start only, so a search is linear.
+#: A line of over LONG words, a sentence of over PIECE words; they begin at the start only, so a search is linear.
 LONG_LINE = rf"\A{_OUT}*(?:{_IN}+{_OUT}+){{{LONG}}}{_IN}"
-#: A unit of a long line: words that end no sentence, and one more word.
-UNIT = rf"{_OUT}*(?:{_IN}*[^\x20\x09-\x0D.!?]{_OUT}+){{0,{PIECE - 1}}}{_IN}+{_OUT}*"
+LONG_SENTENCE = rf"\A{_OUT}*(?:{_IN}+{_OUT}+){{{PIECE}}}{_IN}"
+#: Where a sentence ends: behind white space after closing punctuation (nine characters of it at most).
+SENTENCE_END = rf"(?<=[.!?]{_OUT}{{1,9}})(?!{_OUT})"
+#: PIECE words of a long sentence.
+UNIT = rf"{_OUT}*(?:{_IN}+{_OUT}+){{0,{PIECE - 1}}}{_IN}+{_OUT}*"
 
 
 def _units_of(line: Column) -> Column:
-    long = (F.char_length(line) > 2 * LONG) & line.rlike(LONG_LINE)
-    return F.when(long, F.regexp_extract_all(line, F.lit(UNIT), F.lit(0))).otherwise(F.array(line))
+    """A line, or the sentences and pieces of sentences of a long one; together they are the line."""
+    over = lambda x, words, pattern: (F.char_length(x) > 2 * words) & x.rlike(pattern)
+    pieces = lambda s: F.when(over(s, PIECE, LONG_SENTENCE), F.regexp_extract_all(s, F.lit(UNIT), F.lit(0))).otherwise(F.array(s))
+    sentences = F.filter(F.split(line, SENTENCE_END), lambda s: s != "")
+    return F.when(over(line, LONG, LONG_LINE), F.flatten(F.transform(sentences, pieces))).otherwise(F.array(line))
 
 
 def _lines(text: Column) -> Column:

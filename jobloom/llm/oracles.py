@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licences import ALONE, FIRST_NOTICE, KNOWN, LICENCES, NAMES, NOTICE, PART_OF, RULES, TAG
-from .line_dedup import LONG_LINE, UNIT
+from .line_dedup import LONG_LINE, LONG_SENTENCE, UNIT
 from .quality_rules import RULES as RULES_OF_QUALITY
 
 ORACLES: dict[str, str] = {}
@@ -83,7 +83,10 @@ lines0 AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS raw, unnest(string_split(text, chr(10))) AS line
   FROM (SELECT DISTINCT doc_id, text FROM docs0 WHERE doc_id IS NOT NULL AND text IS NOT NULL)
 ),
-cut0 AS (SELECT *, CASE WHEN regexp_matches(line, '{LONG_LINE}') THEN regexp_extract_all(line, '{UNIT}') ELSE [line] END AS u FROM lines0),
+cut0 AS (
+  SELECT *, CASE WHEN NOT regexp_matches(line, '{LONG_LINE}') THEN [line] ELSE flatten(list_transform(
+    list_filter(string_split(regexp_replace(line, '([.!?][\x20\x09-\x0D]{{1,9}})([^\x20\x09-\x0D])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda s: s <> ''),
+    lambda s: CASE WHEN regexp_matches(s, '{LONG_SENTENCE}') THEN regexp_extract_all(s, '{UNIT}') ELSE [s] END)) END AS u FROM lines0),
 units0 AS (SELECT doc_id, text, raw, generate_subscripts(u, 1) AS piece, unnest(u) AS unit FROM cut0),
 solid0 AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY raw, piece) AS pos FROM (
