@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.bpe import digests
-from jobloom.llm.common import fresh, materialise, table
+from jobloom.llm.common import clear_scratch, fresh, materialise, scratch_paths, table
 from jobloom.llm.decontamination import drop_contaminated
 from jobloom.llm.line_dedup import dedup_lines
 from jobloom.llm.ngram_join import keep_one
@@ -57,9 +57,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage over what the others kept. A stage's scratch tables go once its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), len(scratch_paths(spark))
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        *used, _output = scratch_paths(spark)[before:]
+        clear_scratch(spark, used)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
