@@ -35,6 +35,5 @@ def test_same_rows(spark, sf_dir, other, name):
     assert got == sorted((tuple(plain(x[i]) for i in at) for x in rel.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_others_run(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)

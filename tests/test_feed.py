@@ -148,3 +148,41 @@ def test_pages_read_query_skills_bands_dismissals_and_sorts(spark, rows):
             ids(query, **without)
     places = spark.createDataFrame([(5, 0), (99, 1), (2, 2)], "id long, place int")
     assert [r.id for r in feed.rehydrate(places, full).collect()] == [5, 2]
+
+
+def test_upsert_keeps_markup_and_gives_ids(spark):
+    schema = "id long, source_id long, external_id string, description_text string, description_html string, posted_at timestamp_ntz, posted_at_is_estimate boolean, parse_confidence double, status string"
+    old = spark.createDataFrame([(5, 1, "a", "text", "<p>text</p>", DAYS(3), False, 0.8, "closed")], schema)
+    seen = spark.createDataFrame([(1, "a", "", "", DAYS(1), False, 0.2), (1, "b", "new", "<b>new</b>", DAYS(1), True, 0.5)], "source_id long, external_id string, description_text string, description_html string, posted_at timestamp_ntz, posted_at_is_estimate boolean, parse_confidence double")
+    out = {r.external_id: r for r in maintenance.upsert_postings(old, seen, NOW.isoformat()).collect()}
+    assert (out["a"].id, out["a"].description_text, out["a"].description_html, out["a"].status, out["a"].parse_confidence, out["a"].posted_at) == (5, "text", "<p>text</p>", "live", 0.8, DAYS(3))
+    again = {r.external_id: r for r in maintenance.upsert_postings(old, seen, NOW.isoformat()).collect()}
+    assert out["b"].id is not None and out["b"].id == again["b"].id and out["b"].description_html == "<b>new</b>"
+
+
+def test_lists_and_profiles(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([([" Go", "go ", "", "SQL", "Go", "sql"],), ([],), (None,)], "x array<string>").select(account.ordered_distinct(F.col("x")).alias("x")).collect()
+    assert [r.x for r in row] == [["Go", "SQL"], [], None]
+    skills = spark.createDataFrame([(1, "sql", None, "manual"), (1, "go", 3.0, "resume"), (1, "go", 1.0, "resume")], "user_id long, skill string, years double, origin string")
+    r = account.profile_skills(skills).first()
+    assert (r.years, r.manual, r.resume) == ({"go": 3.0, "sql": 0.0}, ["sql"], ["go"])
+
+
+def test_due_polls_withdrawals_and_blanking(spark):
+    now = NOW.isoformat()
+    sources = spark.createDataFrame([(1, "a", DAYS(1), None, 3, DAYS(9)), (2, "paused", DAYS(1), None, 0, DAYS(9)), (3, "b", DAYS(2), DAYS(-1), 0, DAYS(9)), (4, "c", DAYS(-1), None, 0, DAYS(9)), (5, "b", DAYS(3), DAYS(1), 0, DAYS(9))],
+                                    "id long, tier string, next_poll_at timestamp_ntz, disabled_until timestamp_ntz, consecutive_errors int, last_changed_at timestamp_ntz")
+    due = maintenance.claim_due(sources, now, 5).collect()
+    assert [r.id for r in sorted(due, key=lambda r: -r.id)] == [5, 1]
+    assert all(0 <= (r.next_poll_at - NOW - dt.timedelta(hours={"a": 2, "b": 6}[r.tier])).total_seconds() < 300 for r in due)
+    after = {r.id: r for r in maintenance.poll_succeeded(sources, spark.createDataFrame([(1, True), (3, False)], "id long, changed boolean"), now).collect()}
+    assert after[1].consecutive_errors == 0 and after[1].last_changed_at == NOW and after[3].last_changed_at == DAYS(9) and after[3].disabled_until == DAYS(-1)
+    resumes = spark.createDataFrame([(1, DAYS(1), "t", "f"), (2, DAYS(-1), "t", "f"), (3, None, "t", "f")], "id long, retain_until timestamp_ntz, parsed_text string, file_name string")
+    assert {r.id: r.parsed_text for r in maintenance.blank_expired(resumes, now).collect()} == {1: None, 2: "t", 3: "t"}
+    consents = spark.createDataFrame([(1, 7, "mail", DAYS(3), None), (2, 7, "mail", DAYS(2), None), (3, 8, "mail", DAYS(2), None)], "id long, user_id long, purpose string, granted_at timestamp_ntz, withdrawn_at timestamp_ntz")
+    out = {r.id: r.withdrawn_at for r in account.withdraw(consents, spark.createDataFrame([(7, "mail")], "user_id long, purpose string"), now).collect()}
+    assert out == {1: None, 2: NOW, 3: None}
+    rows = spark.createDataFrame([(1, 1, "superseded", 2), (2, 1, "live", None), (3, 2, "superseded", 2)], "id long, source_id long, status string, canonical_id long")
+    assert {(r.id, r.status, r.canonical_id) for r in maintenance.undo_in_source(rows).collect()} == {(1, "live", None), (2, "live", None), (3, "superseded", 2)}
