@@ -464,4 +464,5 @@ def drop_contaminated(
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_passages", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import ANSWER, B, K1, LEAST_WORDS, NGRAM, QUESTION, SEGMENT, SLACK, THRESHOLD
 from .licences import ALONE, FIRST_NOTICE, KNOWN, LICENCES, NAMES, NOTICE, PART_OF, RULES, TAG
 from .line_dedup import LONG_LINE, LONG_SENTENCE, UNIT
 from .quality_rules import RULES as RULES_OF_QUALITY
@@ -68,6 +69,50 @@ ledger AS (
 )
 """
 
+_alnum = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format
+
+# Every passage against every segment, by joins. For items of LEAST_WORDS words or more and scripts with spaces, as in the tables.
+ORACLES["op1_decontamination"] = rf"""
+WITH items AS (SELECT row_number() OVER () AS k, item_id, trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+cut AS (SELECT *, string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)) AS p, string_split_regex(t, '\s+') AS w FROM items),
+asked AS (
+  SELECT k, item_id, CASE WHEN len(p) > 1 THEN left(t, length(t) - length(p[-1])) ELSE array_to_string(w[1:len(w) - greatest(1, len(w) // 3)], ' ') END AS q,
+    CASE WHEN len(p) > 1 THEN p[-1] ELSE array_to_string(w[len(w) - greatest(1, len(w) // 3) + 1:], ' ') END AS a FROM cut
+),
+worded AS (SELECT k, item_id, {_alnum("q")} AS qw, {_alnum("a")} AS aw, list_concat({_alnum("q")}, {_alnum("a")}) AS w FROM asked),
+counted AS (SELECT *, ((len(w) + {SEGMENT - 1}) // {SEGMENT}) AS n FROM worded WHERE len(w) >= {LEAST_WORDS}),
+segments AS (SELECT k, i, w[i * (len(w) // n) + least(i, len(w) % n) + 1:(i + 1) * (len(w) // n) + least(i + 1, len(w) % n)] AS w FROM (SELECT *, unnest(range(n)) AS i FROM counted)),
+whole AS (SELECT count(*) AS n, greatest(1, avg(len(w))) AS average FROM segments),
+tf AS (SELECT k, i, len, t, count(*) AS tf FROM (SELECT k, i, len(w) AS len, unnest(w) AS t FROM segments) GROUP BY k, i, len, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+weighed AS (SELECT k, i, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * len / average)) AS x FROM tf JOIN df USING (t), whole),
+impacts AS (SELECT k, i, t, x / sum(x) OVER (PARTITION BY k, i) AS x FROM weighed),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_alnum("text")} AS w FROM documents WHERE text IS NOT NULL),
+chunks AS (SELECT DISTINCT rid, (place - 1) // {SEGMENT} AS c, t FROM (SELECT rid, unnest(w) AS t, generate_subscripts(w, 1) AS place FROM docs) WHERE t IN (SELECT t FROM df)),
+passages AS (SELECT rid, c, t FROM chunks UNION SELECT rid, c - 1, t FROM chunks WHERE c > 0),
+hits AS (SELECT rid, c, k, sum(x) AS score FROM passages JOIN impacts USING (t) GROUP BY rid, c, k, i HAVING sum(x) >= {THRESHOLD - SLACK}),
+spans AS (SELECT rid, k, c, max(score) AS score FROM hits GROUP BY rid, k, c),
+parts AS (SELECT k, 'q' AS part, qw AS w FROM counted UNION ALL SELECT k, 'a', aw FROM counted),
+grams AS (
+  SELECT DISTINCT k, part, size, array_to_string(w[p:p + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM (SELECT *, least({NGRAM}, len(w)) AS size FROM parts) WHERE size > 0)
+),
+sizes AS (SELECT k, count(*) FILTER (part = 'q') AS q, count(*) FILTER (part = 'a') AS a FROM grams GROUP BY k),
+held AS (
+  SELECT rid, size, p - 1 AS p, array_to_string(w[p:p + size - 1], ' ') AS g
+  FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM docs, (SELECT DISTINCT size FROM grams) WHERE rid IN (SELECT rid FROM spans))
+),
+met AS (
+  SELECT rid, k, part, count(DISTINCT g) AS n FROM spans JOIN grams USING (k) JOIN held USING (rid, size, g)
+  WHERE p >= c * {SEGMENT} - {SEGMENT} AND p + size <= c * {SEGMENT} + {3 * SEGMENT} GROUP BY rid, k, part
+),
+shares AS (
+  SELECT rid, k, CASE WHEN q = 0 THEN 1.0 ELSE coalesce(max(n) FILTER (part = 'q'), 0)::DOUBLE / q END AS qs, CASE WHEN a = 0 THEN 1.0 ELSE coalesce(max(n) FILTER (part = 'a'), 0)::DOUBLE / a END AS answers
+  FROM (SELECT DISTINCT rid, k FROM spans) LEFT JOIN met USING (rid, k) JOIN sizes USING (k) GROUP BY rid, k, q, a
+)
+SELECT doc_id, item_id, count(*) AS n_passages, round(max(score), 6) AS score, round(any_value(qs), 6) AS question_overlap, round(any_value(answers), 6) AS answer_overlap
+FROM spans JOIN shares USING (rid, k) JOIN docs USING (rid) JOIN items USING (k) WHERE qs >= {QUESTION} AND answers >= {ANSWER} GROUP BY rid, k, doc_id, item_id
+"""
+
 ORACLES["op5_rule_ledger"] = f"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM ledger
 """

@@ -20,7 +20,8 @@ from jobloom.llm.sharding import assign_shards
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name_ in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     rel = db.sql(ORACLES[name])
