@@ -113,7 +113,7 @@ def test_empty_documents(spark, sf_dir):
 
 def test_odd_rows(spark, sf_dir):
     """Nulls in every column, empty and very long texts, repeated rows, and columns whose names operators use themselves."""
-    prose = " ".join(f"word{i} of a sentence that says number {i * 7}." for i in range(30))
+    prose = " ".join(f"word{i} says{i} things{i} here{i}." for i in range(30))
     rows = [(1, prose, None, None, None, "a"), (1, prose, None, None, None, "a"), (2, "", "en", "s", 0, "b"), (3, None, None, None, None, None), (None, prose + " End.", "en", "s", 1, "c"), (4, "long word " * 60_000, "en", "s", 5, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_units_removed string")
     for name, stage in corpus_pipeline.STAGES[:-1]:
