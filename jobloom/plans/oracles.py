@@ -10,6 +10,7 @@ from ..bindings import AS_OF, EVENTS_AS_OF, with_tables
 from ..functions import extract, places, search
 from ..functions.text import NOT_SOFTWARE, OTHER_ENGINEERING, PAY, PAY_WORD, SOFTWARE
 from ..operators.feed import USD_RATES
+from .feeds import SOURCE_SQL
 from .queries import FIRST_DAY, LAST_DAY, PROFILE, SEARCH, VIEWER
 
 ORACLES: dict[str, str] = {}
@@ -376,3 +377,5 @@ _sql("digest_replay", ("saved_searches", "job_postings"), f"""SELECT user_id, se
     FROM saved_searches s JOIN job_postings p ON p.status = 'live' AND coalesce(p.posted_at, p.first_seen_at) > s.last_seen_max_posted_at AND coalesce(p.posted_at, p.first_seen_at)::DATE <= {_NOW}::DATE
     WHERE (s.user_id % 3 <> 0 OR p.country IS NULL OR p.country IN ('N1', 'N2')) AND (s.user_id % 4 <> 0 OR p.mode = 'remote') AND (s.user_id % 5 <> 0 OR p.comp_min IS NULL OR p.comp_min >= 150000)
       AND (s.user_id % 2 = 0 OR p.field <> 'other'))) WHERE place <= 8""")
+
+ORACLES |= SOURCE_SQL

@@ -12,13 +12,14 @@ from ..functions import extract, search, text
 from ..functions.similarity import trigrams
 from ..operators import account, feed, maintenance, rollups, scoring
 from ..operators.feed import FeedFilter
+from .feeds import SOURCES
 
 VIEWER = 3
 FIRST_DAY, LAST_DAY = "2001-07-24", "2001-08-02"
 PROFILE = scoring.Profile(skills=("hot plate", "small ring", "postgresql"), total_yoe=5.0, countries=("N1", "N2"), modes=("remote", "hybrid"), comp_min=150000.0, currency="USD", parse_confidence=0.8)
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {**SOURCES}
 
 
 def query(function: Query) -> Query:

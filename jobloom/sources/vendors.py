@@ -16,7 +16,7 @@ from ..functions.text import employment, first_filled, pay_period, strip_html
 FIELDS = {
     "external_id": "string", "requisition_id": "string", "title": "string", "location_raw": "string", "description_html": "string", "apply_url": "string", "posting_url": "string", "department": "string",
     "posted_at": "timestamp_ntz", "posted_at_is_estimate": "boolean", "comp_min": "double", "comp_max": "double", "comp_currency": "string", "comp_period": "string", "workplace": "string",
-    "employment": "string", "raw": "string",
+    "employment": "string", "office": "string", "raw": "string",
 }
 
 
@@ -47,7 +47,7 @@ def _unescape_once(x: Column) -> Column:
 def greenhouse(feeds: DataFrame) -> DataFrame:
     """Pay ranges are cents; only those in the first range's currency count. A body that is still escaped is unescaped again."""
     schema = """jobs array<struct<id:string,title:string,requisition_id:string,updated_at:string,first_published:string,absolute_url:string,content:string,location:struct<name:string>,
-      departments:array<struct<name:string>>,pay_input_ranges:array<struct<min_cents:double,max_cents:double,currency_type:string>>>>"""
+      departments:array<struct<name:string>>,offices:array<struct<name:string,location:string>>,pay_input_ranges:array<struct<min_cents:double,max_cents:double,currency_type:string>>>>"""
     j = F.col("j")
     once = _unescape_once(j["content"])
     body = F.when(once.rlike("&lt;/?[a-z]"), _unescape_once(once)).otherwise(once)
@@ -57,7 +57,7 @@ def greenhouse(feeds: DataFrame) -> DataFrame:
     paid = low.isNotNull() | high.isNotNull()
     return _postings(
         _each(feeds, schema, "x.jobs"), external_id=j["id"], requisition_id=j["requisition_id"], title=j["title"], location_raw=j["location"]["name"], description_html=body, apply_url=j["absolute_url"],
-        posting_url=j["absolute_url"], department=F.get(j["departments"], F.lit(0))["name"], posted_at=F.coalesce(_time(j["first_published"]), _time(j["updated_at"])),
+        posting_url=j["absolute_url"], department=F.get(j["departments"], F.lit(0))["name"], office=first_filled(F.get(j["offices"], F.lit(0))["location"], F.get(j["offices"], F.lit(0))["name"]), posted_at=F.coalesce(_time(j["first_published"]), _time(j["updated_at"])),
         posted_at_is_estimate=_time(j["first_published"]).isNull(), comp_min=low, comp_max=high, comp_currency=F.when(paid, currency), comp_period=F.when(paid, "year"), raw=F.to_json(j),
     )
 
@@ -128,7 +128,7 @@ def personio(feeds: DataFrame) -> DataFrame:
     offices = F.array_distinct(F.concat(F.array(j["office"]), F.coalesce(j["additionalOffices"]["office"], F.array())))
     sections = F.transform(j["jobDescriptions"]["jobDescription"], lambda s: F.concat(F.lit("<h2>"), F.btrim(F.coalesce(s["name"], F.lit(""))), F.lit("</h2>"), F.coalesce(s["value"], F.lit(""))))
     kind = first_filled(F.when(F.lower(j["employmentType"]).contains("intern"), "intern"), employment(j["schedule"]), employment(j["employmentType"]))
-    return _postings(rows, external_id=j["id"], title=j["name"], location_raw=F.array_join(F.filter(offices, lambda o: F.coalesce(o, F.lit("")) != ""), " · "), description_html=F.array_join(sections, ""), department=j["department"], posted_at=_time(j["createdAt"]), posted_at_is_estimate=F.lit(False), employment=kind, raw=F.to_json(j))
+    return _postings(rows, external_id=j["id"], title=j["name"], office=F.btrim(j["office"]), location_raw=F.array_join(F.filter(offices, lambda o: F.coalesce(o, F.lit("")) != ""), " · "), description_html=F.array_join(sections, ""), department=j["department"], posted_at=_time(j["createdAt"]), posted_at_is_estimate=F.lit(False), employment=kind, raw=F.to_json(j))
 
 
 def recruitee(feeds: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def recruitee(feeds: DataFrame) -> DataFrame:
     period = pay_period(j["salary"]["period"])
     pay = lambda x: F.when(period != "", x)
     return _postings(
-        rows, external_id=j["id"], title=j["title"], location_raw=F.concat_ws(", ", *(F.nullif(j[c], F.lit("")) for c in ("city", "state_name", "country"))), description_html=F.concat_ws("", j["description"], j["requirements"]),
+        rows, external_id=j["id"], title=j["title"], office=F.btrim(j["city"]), location_raw=F.concat_ws(", ", *(F.nullif(j[c], F.lit("")) for c in ("city", "state_name", "country"))), description_html=F.concat_ws("", j["description"], j["requirements"]),
         apply_url=first_filled(j["careers_apply_url"], j["careers_url"]), posting_url=j["careers_url"], department=j["department"], posted_at=F.coalesce(_time(j["published_at"]), _time(j["created_at"])),
         posted_at_is_estimate=_time(j["published_at"]).isNull(), comp_min=pay(j["salary"]["min"].try_cast("double")), comp_max=pay(j["salary"]["max"].try_cast("double")), comp_currency=pay(j["salary"]["currency"]),
         comp_period=pay(period), workplace=F.when(j["remote"], "remote").when(j["hybrid"], "hybrid").when(j["on_site"], "onsite"), employment=F.nullif(employment(j["employment_type_code"]), F.lit("")), raw=F.to_json(j),
@@ -155,7 +155,7 @@ def workable(feeds: DataFrame) -> DataFrame:
     many = F.array_distinct(F.transform(j["locations"], lambda p: F.concat_ws(", ", *(F.nullif(p[c], F.lit("")) for c in ("city", "region", "country")))))
     own = F.concat_ws(", ", *(F.nullif(j[c], F.lit("")) for c in ("city", "state", "country")))
     return _postings(
-        _each(feeds, schema, "x.jobs"), external_id=j["shortcode"], requisition_id=j["code"], title=j["title"], location_raw=F.when(F.size(many) > 0, F.array_join(many, " / ")).otherwise(own), description_html=j["description"],
+        _each(feeds, schema, "x.jobs"), external_id=j["shortcode"], requisition_id=j["code"], title=j["title"], office=F.btrim(j["city"]), location_raw=F.when(F.size(many) > 0, F.array_join(many, " / ")).otherwise(own), description_html=j["description"],
         apply_url=first_filled(j["application_url"], j["url"]), posting_url=first_filled(j["url"], j["shortlink"]), department=j["department"], posted_at=F.coalesce(_time(j["published_on"]), _time(j["created_at"])),
         posted_at_is_estimate=F.lit(True), workplace=F.when(j["telecommuting"], "remote"), employment=F.nullif(employment(j["employment_type"]), F.lit("")), raw=F.to_json(j),
     )
@@ -168,7 +168,7 @@ def keka(feeds: DataFrame) -> DataFrame:
     j = F.col("j")
     skills = F.when(F.size(j["skillNames"]) > 0, F.concat(F.lit("<h2>Skills</h2><ul><li>"), F.array_join(j["skillNames"], "</li><li>"), F.lit("</li></ul>"))).otherwise("")
     places = F.transform(j["jobLocations"], lambda p: F.coalesce(F.nullif(F.concat_ws(", ", *(F.nullif(p[c], F.lit("")) for c in ("city", "state", "countryName"))), F.lit("")), p["name"]))
-    return _postings(rows, external_id=j["id"], requisition_id=j["jobNumber"], title=j["title"], location_raw=F.array_join(F.array_distinct(places), " / "), description_html=F.concat(F.coalesce(j["description"], F.lit("")), skills), department=j["departmentName"], posted_at=_time(j["publishedOn"]), posted_at_is_estimate=F.lit(False), raw=F.to_json(j))
+    return _postings(rows, external_id=j["id"], requisition_id=j["jobNumber"], title=j["title"], office=F.get(F.filter(F.transform(j["jobLocations"], lambda p: F.btrim(p["city"])), lambda c: F.coalesce(c, F.lit("")) != ""), F.lit(0)), location_raw=F.array_join(F.array_distinct(places), " / "), description_html=F.concat(F.coalesce(j["description"], F.lit("")), skills), department=j["departmentName"], posted_at=_time(j["publishedOn"]), posted_at_is_estimate=F.lit(False), raw=F.to_json(j))
 
 
 def bamboohr(lists: DataFrame, details: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def assemble(raw: DataFrame) -> DataFrame:
     from ..functions import extract, text
 
     rows = raw.withColumn("description_text", strip_html(F.coalesce("description_html", F.lit(""))))
-    rows = extract.with_skills(extract.with_locations(extract.with_titles(rows)))
+    rows = extract.with_skills(extract.with_offices(extract.with_locations(extract.with_titles(rows))))
     rows = rows.withColumn("_y", text.years_of_experience(F.col("description_text"), F.col("seniority"))).withColumn("_c", text.compensation(F.col("description_text")))
     rows = rows.withColumn("mode", text.work_mode(F.col("workplace"), F.col("location_raw"), F.col("description_text")))
     stated = F.col("comp_min").isNotNull() | F.col("comp_max").isNotNull()

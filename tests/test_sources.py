@@ -67,3 +67,14 @@ def test_personio_recruitee_workable_keka(spark):
 def test_assemble(spark):
     r = vendors.assemble(vendors.greenhouse(feeds(spark, {"jobs": [JOB]}))).first()
     assert (r.title_normalised, r.country, r.city, r.yoe_min, r.comp_src, r.field) == ("backend engineer", "DE", "Berlin", 3, "structured", "software")
+
+
+def test_office_says_where_a_location_does_not(spark):
+    offers = [{"id": i, "title": "T", "city": city, "state_name": state} for i, (city, state) in enumerate((("Berlin", ""), ("Austin", "TX"), ("Nowhere", ""), (" ", "")))]
+    raw = vendors.recruitee(feeds(spark, {"offers": offers}))
+    assert {(r.external_id, r.office) for r in raw.collect()} == {("0", "Berlin"), ("1", "Austin"), ("2", "Nowhere"), ("3", "")}
+    from pyspark.sql import functions as F
+
+    hybrid = raw.withColumn("location_raw", F.when(F.col("external_id") == "1", "Paris, TX").otherwise("Hybrid"))
+    got = {r.external_id: (r.location_raw, r.country, r.city) for r in vendors.assemble(hybrid).collect()}
+    assert got == {"0": ("Hybrid", "DE", "Berlin"), "1": ("Paris, TX", "US", "Paris"), "2": ("Hybrid", "", ""), "3": ("Hybrid", "", "")}
