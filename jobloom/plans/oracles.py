@@ -379,3 +379,8 @@ _sql("digest_replay", ("saved_searches", "job_postings"), f"""SELECT user_id, se
       AND (s.user_id % 2 = 0 OR p.field <> 'other'))) WHERE place <= 8""")
 
 ORACLES |= SOURCE_SQL
+_sql("posting_detail", (*RANKED, "applications"), """SELECT s.id, s.title, s.company, s.vendor, p.country, array_to_string(mu, ',') AS must, array_to_string(ni, ',') AS nice, s.id IN (SELECT posting_id FROM applications WHERE user_id = VIEWER) AS saved, score, band,
+  CASE WHEN NOT readable THEN 'Not enough detail in this posting to score it' WHEN NOT stated THEN 'Scored on location, experience and recency'
+    WHEN len(gaps) > 0 THEN concat(detail, '. Missing: ', array_to_string(gaps[1:3], ', '), CASE WHEN len(gaps) > 3 THEN concat(' +', len(gaps) - 3, ' more') ELSE '' END)
+    ELSE concat(detail, ' — you have everything listed') END AS headline
+FROM scored s JOIN job_postings p ON p.id = s.id WHERE s.status = 'live'""".replace("VIEWER", str(VIEWER)), f"{LIVE.replace('SELECT p.*', 'SELECT p.* REPLACE (NULL::VARCHAR AS country)')}, {SCORED}")

@@ -144,6 +144,13 @@ def feed_ranked(spark, sf_dir):
     return scoring.ranked(rows, PROFILE, AS_OF).select("id", "score", "band")
 
 
+@query
+def posting_detail(spark, sf_dir):
+    rows = with_skills(spark, sf_dir, live_feed(spark, sf_dir).where("status = 'live'"))
+    out = feed.with_saved(scoring.posting_detail(rows, PROFILE, AS_OF), bound(spark, sf_dir, "applications"), VIEWER)
+    return out.select("id", "title", "company", "vendor", "country", *(F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("must", "nice")), "saved", "score", "band", "headline")
+
+
 @query
 def band_counts(spark, sf_dir):
     rows = with_skills(spark, sf_dir, live_feed(spark, sf_dir).where("status = 'live'"))
