@@ -12,6 +12,7 @@ that the base patterns alone don't settle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,11 +70,17 @@ PATTERNS: dict[str, str] = {
         rf"|(?i:[0-9]{{1,4}}+,?\x20(?:rue|boulevard|avenue|place|quai)|calle|avenida|plaza|paseo)\x20(?:(?:de|du|des|del|la|las|los|el)\x20){{0,2}}+{_NAME}(?:\x20{_NAME}){{0,2}}+(?:,?\x20[0-9]{{1,4}}+)?)"
     ),
 }
-#: What a text must hold before a pattern is tried at all; the others need two digits close together.
-TRIGGERS = {
-    "email": "@", "phone": r"\+[0-9]", "secret": rf"(?i)key|secret|token|bearer|passw|passphrase|pwd|credential|(?-i:{_KEY_FORMS})", "iban": "[A-Z]{2}[0-9]{2}", "masked_email": r"(?i)[\[(]at[\])]",
-    "person": r"[A-Z][a-zß-öø-ÿ]*+\.?\x20[A-ZÀ-Þ][a-zß-ÿ]", "address": rf"(?:{_STREETS}|stra(?:ß|ss)e|weg|platz|allee|gasse)(?![A-Za-zß-ÿ])|(?i)(?<![A-Za-z])(?:rue|boulevard|avenue|place|quai|calle|avenida|plaza|paseo)\x20",
-}
+#: What a text must hold before a pattern is tried at all: a short pattern, or words, in lower case or as they stand.
+#: Persons are looked for at once; the other kinds need two digits close together.
+TRIGGERS = {"email": "@", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "masked_email": r"(?i)[\[(]at[\])]"}
+LOWER_WORDS = {
+    "secret": ("key", "secret", "token", "bearer", "passw", "passphrase", "pwd", "credential"),
+    "address": ("rue ", "boulevard ", "avenue ", "place ", "quai ", "calle ", "avenida ", "plaza ", "paseo "),
+}
+WORDS = {
+    "secret": ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "AIza", "sk_live_", "eyJ", "-----BEGIN "),
+    "address": (*_STREETS.split("|"), "straße ", "strasse ", "weg ", "platz ", "allee ", "gasse "),
+}
 DIGITS = r"[0-9](?:[\x20.-]?[0-9])"
 
 # Gazetteers: public code lists. Of domains all two-letter ones, which stand for countries.
@@ -113,11 +120,17 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def _may_hold(text: Column, kind: str) -> Column:
+    """Whether a text can hold a span of a kind, at little cost."""
+    if kind in WORDS:
+        any_of = lambda x, words: reduce(lambda a, b: a | b, [x.contains(w) for w in words])
+        return any_of(text, WORDS[kind]) | F.exists(F.array(F.lower(text)), lambda low: any_of(low, LOWER_WORDS[kind]))
+    return F.lit(True) if kind == "person" else text.rlike(TRIGGERS.get(kind, DIGITS))
+
+
 def _matches(text: Column, kind: str) -> Column:
     """Spans of one kind's pattern, in code points: what ``split`` leaves between the matches places them."""
     pattern = PATTERNS[kind]
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.char_length(gap).alias("gap")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def merge(acc: Column, x: Column) -> Column:
@@ -125,8 +138,13 @@ def _matches(text: Column, kind: str) -> Column:
         end = begin + F.char_length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
 
-    there = text.rlike(TRIGGERS.get(kind, DIGITS))
-    return F.when(there, F.aggregate(steps, start, merge, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.char_length(gap).alias("gap")))
+        return F.when(F.size(found) > 0, F.aggregate(steps, start, merge, lambda acc: acc["out"]))
+
+    # Bound to a name, what was found is not looked for again; only texts with a match are split.
+    spans = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed), F.lit(0))
+    return F.coalesce(F.when(_may_hold(text, kind), spans), F.array().cast(_SPANS))
 
 
 def _base_spans(text: Column) -> Column:
