@@ -26,8 +26,8 @@ _IN, _OUT = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 #: A line of over LONG words, a sentence of over PIECE words; they begin at the start only, so a search is linear.
 LONG_LINE = rf"\A{_OUT}*(?:{_IN}+{_OUT}+){{{LONG}}}{_IN}"
 LONG_SENTENCE = rf"\A{_OUT}*(?:{_IN}+{_OUT}+){{{PIECE}}}{_IN}"
-#: Where a sentence ends: behind white space after closing punctuation (nine characters of it at most).
-SENTENCE_END = rf"(?<=[.!?]{_OUT}{{1,9}})(?!{_OUT})"
+#: Where a sentence ends: behind the first white space after closing punctuation.
+SENTENCE_END = rf"(?<=[.!?]{_OUT})"
 #: PIECE words of a long sentence.
 UNIT = rf"{_OUT}*(?:{_IN}+{_OUT}+){{0,{PIECE - 1}}}{_IN}+{_OUT}*"
 

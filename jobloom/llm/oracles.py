@@ -130,7 +130,7 @@ lines0 AS (
 ),
 cut0 AS (
   SELECT *, CASE WHEN NOT regexp_matches(line, '{LONG_LINE}') THEN [line] ELSE flatten(list_transform(
-    list_filter(string_split(regexp_replace(line, '([.!?][\x20\x09-\x0D]{{1,9}})([^\x20\x09-\x0D])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda s: s <> ''),
+    list_filter(string_split(regexp_replace(line, '([.!?][\x20\x09-\x0D])', '\1' || chr(30), 'g'), chr(30)), lambda s: s <> ''),
     lambda s: CASE WHEN regexp_matches(s, '{LONG_SENTENCE}') THEN regexp_extract_all(s, '{UNIT}') ELSE [s] END)) END AS u FROM lines0),
 units0 AS (SELECT doc_id, text, raw, generate_subscripts(u, 1) AS piece, unnest(u) AS unit FROM cut0),
 solid0 AS (
