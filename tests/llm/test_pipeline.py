@@ -30,17 +30,18 @@ def good(text):
 
 
 def units(line):
-    """(words of) a line, cut at sentence ends and after 16 words if it has over 50; with what stands between them."""
+    """A line; one of over 50 words is cut behind the white space after a sentence, and after 16 words of a sentence."""
     words = list(test_ngram_join.WORD.finditer(line))
     if len(words) <= 50:
         return [line]
-    ends, n = [], 0
-    for w in words:
+    cuts, n = [], 0
+    for w, after in zip(words, [*words[1:], None], strict=True):
         n += 1
-        if w[0][-1] in ".!?" or n == 16:
-            ends, n = [*ends, w.end()], 0
-    starts = [0] + [next(w.start() for w in words if w.start() >= e) for e in ends if e < words[-1].end()]
-    return [line[a:b] for a, b in zip(starts, [*starts[1:], len(line)], strict=True)]
+        if w[0][-1] in ".!?" and w.end() < len(line):
+            cuts, n = [*cuts, w.end() + 1], 0
+        elif n == 16 and after:
+            cuts, n = [*cuts, after.start()], 0
+    return [line[x:y] for x, y in zip([0, *cuts], [*cuts, len(line)], strict=True) if x < y]
 
 
 def dedup(rows):
