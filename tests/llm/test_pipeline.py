@@ -30,16 +30,14 @@ def good(text):
 
 
 def units(line):
-    """A line; one of over 50 words is cut behind the white space after a sentence, and after 16 words of a sentence."""
+    """A line; one of over 50 words is cut before the word after a sentence, and after 16 words of a sentence."""
     words = list(test_ngram_join.WORD.finditer(line))
     if len(words) <= 50:
         return [line]
     cuts, n = [], 0
     for w, after in zip(words, [*words[1:], None], strict=True):
         n += 1
-        if w[0][-1] in ".!?" and w.end() < len(line):
-            cuts, n = [*cuts, w.end() + 1], 0
-        elif n == 16 and after:
+        if (w[0][-1] in ".!?" or n == 16) and after:
             cuts, n = [*cuts, after.start()], 0
     return [line[x:y] for x, y in zip([0, *cuts], [*cuts, len(line)], strict=True) if x < y]
 
