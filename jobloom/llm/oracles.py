@@ -229,3 +229,52 @@ FROM docs LEFT JOIN best USING (rid) LEFT JOIN final USING (rid)
 
 
 ORACLES["op10_license_rules"] = _licenses()
+
+#: Levels written out in SQL: trees of up to 8^7 leaves a group, and 8^3 groups.
+_DEEP, _WIDE = 7, 3
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c FROM range(256) r(n)))"""
+
+
+def _crc(text: str) -> str:
+    """crc32 of a text of ASCII characters, with ``t`` from crc_table."""
+    return f"xor(list_reduce(list_transform(range(length({text})), lambda i: ascii(substr({text}, i + 1, 1))::BIGINT), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    part = lambda null, x: f"CASE WHEN {null} IS NULL THEN '-' ELSE concat(octet_length(encode({x})), ':', {x}) END"
+    return "sha256(concat(" + ", ".join([*(part(c, f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars")), part("text", text)]) + "))"
+
+
+def _levels(name: str, key: str, count: int) -> str:
+    """Levels ``name``1, 2 ... over ``name``0 (key, i, n, h) with their runs' digests, and the nodes that groups end in."""
+    ups = [f"{name}{k + 1} AS (SELECT {key}, i // 8 AS i, (n + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY i)) AS h, list(h ORDER BY i) AS kids FROM {name}{k} WHERE n > 1 GROUP BY {key}, i // 8, (n + 7) // 8)" for k in range(count)]
+    ends = " UNION ALL ".join(f"SELECT {key}, h FROM {name}{k} WHERE n = 1" for k in range(count + 1))
+    return ",\n".join((*ups, f"{name}_end AS ({ends})"))
+
+
+def _step(kids: str, i: str, k: int) -> str:
+    place = f"({i} // {8**k} % 8)"
+    return f"CASE WHEN {kids} IS NOT NULL THEN concat(array_to_string({kids}[1:{place}], ''), '|', array_to_string({kids}[{place} + 2:], '')) END"
+
+
+_STEPS = ", ".join([*(_step(f"l{k + 1}.kids", "d.i", k) for k in range(_DEEP)), *(_step(f"t{k + 1}.kids", "g.i", k) for k in range(_WIDE))])
+ORACLES["op12_merkle_manifest"] = f"""
+WITH {_CRC_TABLE},
+leaves AS (
+  SELECT doc_id, coalesce(concat('=', lang), '-') AS lang, {_leaf("text")} AS h,
+    CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents, crc_table),
+l0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+{_levels("l", "lang", _DEEP)},
+t0 AS (SELECT 1 AS one, lang, h, row_number() OVER (ORDER BY lang) - 1 AS i, count(*) OVER () AS n FROM l_end),
+{_levels("t", "one", _WIDE)},
+steps AS (
+  SELECT d.doc_id, d.h AS leaf, d.changed, g.h AS subroot, list_filter([{_STEPS}], lambda s: s IS NOT NULL) AS s
+  FROM l0 d JOIN t0 g ON g.lang = d.lang {" ".join(f"LEFT JOIN l{k + 1} ON l{k + 1}.lang = d.lang AND l{k + 1}.i = d.i // {8 ** (k + 1)}" for k in range(_DEEP))}
+  {" ".join(f"LEFT JOIN t{k + 1} ON t{k + 1}.i = g.i // {8 ** (k + 1)}" for k in range(_WIDE))})
+SELECT *, folded_root = root AS verified FROM (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM t_end) AS root, sha256(replace(array_to_string(s, ''), '|', '')) AS proof_sha256,
+    list_reduce(s, lambda h, x: sha256(concat(split_part(x, '|', 1), h, split_part(x, '|', 2))), coalesce(changed, leaf)) AS folded_root FROM steps)
+"""

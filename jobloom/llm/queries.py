@@ -12,6 +12,7 @@ from .decontamination import op1_decontamination
 from .license_scan import op10_license_rules
 from .line_crf import op3_line_crf
 from .line_dedup import op9_window_line_dedup
+from .merkle import op12_merkle_manifest
 from .ngram_join import op8_ngram_join
 from .pii import op7_weak_supervision_pii
 from .quality_rules import op5_rule_ledger, rule_ablations
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_window_line_dedup": op9_window_line_dedup,
     "op10_license_rules": op10_license_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "rule_ablations": rule_ablations,
 }
 
