@@ -278,3 +278,19 @@ SELECT *, folded_root = root AS verified FROM (
   SELECT doc_id, leaf, subroot, (SELECT h FROM t_end) AS root, sha256(replace(array_to_string(s, ''), '|', '')) AS proof_sha256,
     list_reduce(s, lambda h, x: sha256(concat(split_part(x, '|', 1), h, split_part(x, '|', 2))), coalesce(changed, leaf)) AS folded_root FROM steps)
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH moved AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+rows0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY label, v) AS k FROM moved) WHERE k = 1),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM rows0 a JOIN rows0 b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM scored WHERE same) WHERE k <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .bpe import op6_forced_boundary_bpe
 from .decontamination import op1_decontamination
+from .hard_negatives import op11_hard_negatives
 from .license_scan import op10_license_rules
 from .line_crf import op3_line_crf
 from .line_dedup import op9_window_line_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_window_line_dedup": op9_window_line_dedup,
     "op10_license_rules": op10_license_rules,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
     "rule_ablations": rule_ablations,
 }

@@ -20,7 +20,7 @@ from jobloom.llm.sharding import assign_shards
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for name_ in ("documents", "benchmark"):
+    for name_ in ("documents", "benchmark", "embeddings"):
         db.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
