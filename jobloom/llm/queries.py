@@ -10,6 +10,7 @@ from . import oracles
 from .bpe import op6_forced_boundary_bpe
 from .decontamination import op1_decontamination
 from .hard_negatives import op11_hard_negatives
+from .language_id import op13_language_id
 from .license_scan import op10_license_rules
 from .line_crf import op3_line_crf
 from .line_dedup import op9_window_line_dedup
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_rules": op10_license_rules,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_language_id": op13_language_id,
     "rule_ablations": rule_ablations,
 }
 
