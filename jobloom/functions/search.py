@@ -1,62 +1,194 @@
-"""Lexical search: weighted tokens, web-style queries, a term-frequency rank."""
+"""Text search: web-style queries over postings of stemmed terms, with their places, and the rank of the hits.
+
+A hit list has (term, id, title, body): the places of a term in a document's title and body,
+counted over both; stop words have a place but no term. It comes from a ``TextIndex``, or from the rows
+themselves where there is none.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Weights of the title and of the body, and words that no query needs.
+from ..sources.store import written
+from .stemming import STOP, split_words, with_stems
+
+# Weights of the title and of the body, the sum of 1/k^2, the reach of two terms and how closeness counts.
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
-STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "we", "with", "you", "your")
-#: Endings that are cut from words of at least five letters, longest first; a light stemmer, the same on both sides.
-ENDINGS = "(?:ingly|edly|ing|ers|er|ed|ies|es|s|ly)$"
+SQUARES = 1.64493406685
+REACH, FAR = 100, 1e-20
+NEAR_BASE, NEAR_SLOPE, NEAR_SCALE, NEAR_SHIFT = 1.005, 0.05, 1.5, 2.0
+#: Distinct words of which a broadcast may hold the stems: under 100 MB.
+BROADCAST_WORDS = 1_000_000
+
+HITS = "term string, id long, title array<int>, body array<int>"
+
+
+@dataclass(frozen=True)
+class Part:
+    """Terms that must stand (or not stand) in a document, one or a phrase; ``gaps`` are the places from each to the next."""
+
+    negated: bool
+    terms: tuple[str, ...]
+    gaps: tuple[int, ...] = ()
+
+
+@dataclass(frozen=True)
+class Query:
+    """Alternatives of conjunctions."""
 
+    alternatives: tuple[tuple[Part, ...], ...]
 
-def tokens(x: Column) -> Column:
-    """Stemmed words in order, stop words left out."""
-    words = F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP))
-    return F.transform(words, lambda w: F.when(F.char_length(w) >= 5, F.regexp_replace(w, ENDINGS, "")).otherwise(w))
+    @property
+    def terms(self) -> list[str]:
+        return sorted({t for a in self.alternatives for p in a for t in p.terms})
 
+    @property
+    def by_nearness(self) -> bool:
+        """Whether all terms are asked for together; then their nearness makes the rank, not their number."""
+        joint = len(self.alternatives) == 1 and (len(self.alternatives[0]) > 1 or (not self.alternatives[0][0].negated and len(self.alternatives[0][0].terms) > 1))
+        return joint and len(self.terms) > 1
 
-def _stems(text: str) -> list[str]:
-    words = [w for w in re.split(r"[\W_]+", text.lower()) if w and w not in STOP]
-    return [re.sub(ENDINGS, "", w) if len(w) >= 5 else w for w in words]
 
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
-def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
-    """Alternatives of conjunctions of (negated, words); several words are a phrase."""
-    alternatives: list[list[tuple[bool, list[str]]]] = [[]]
+
+#: Stems of words that queries asked for before.
+_asked: dict[str, str] = {}
+
+
+def stems(spark: SparkSession, words: set[str]) -> dict[str, str]:
+    """Stems of a query's words, by the expressions that stem the documents."""
+    if new := sorted(words - _asked.keys()):
+        _asked.update({r["word"]: r["term"] for r in with_stems(spark.createDataFrame([(w,) for w in new], "word string")).collect()})
+    return {w: _asked[w] for w in words}
+
+
+def parse(spark: SparkSession, query: str) -> Query:
+    """Words are asked for together, ``or`` separates alternatives, ``-`` excludes, quotes make a phrase.
+
+    A word that splits into several is a phrase of them. Stop words count as places of a phrase
+    only. A query without any other word has no alternatives and matches nothing.
+    """
+    raw: list[list[tuple[bool, list[str]]]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
         if word.lower() == "or" and not minus:
-            alternatives.append([])
-        elif stems := _stems(phrase or word):
-            alternatives[-1].append((bool(minus), stems))
-    return [a for a in alternatives if a]
+            raw.append([])
+        elif found := _words(phrase or word):
+            raw[-1].append((bool(minus), found))
+    known = stems(spark, {w for a in raw for _, p in a for w in p if w not in STOP})
+    alternatives = []
+    for a in raw:
+        parts = []
+        for negated, words in a:
+            at = [(i, known[w]) for i, w in enumerate(words) if w in known]
+            if at:
+                parts.append(Part(negated, tuple(t for _, t in at), tuple(b - a for (a, _), (b, _) in zip(at, at[1:], strict=False))))
+        if parts:
+            alternatives.append(tuple(parts))
+    return Query(tuple(alternatives))
+
 
+def word_places(rows: DataFrame, id_col: str, title: str, body: str) -> DataFrame:
+    """(id, word, place, in_title): every word but stop words; the body's places go on from the title's last one."""
+    listed = lambda col, words: F.filter(F.transform(F.col(words), lambda w, i: F.struct(w.alias("word"), (i + 1).cast("int").alias("at"), F.lit(col == "title").alias("in_title"))), lambda x: ~x["word"].isin(*STOP))
+    cut = rows.select(F.col(id_col).cast("long").alias("id"), split_words(F.col(title)).alias("_t"), split_words(F.col(body)).alias("_b"))
+    both = cut.select("id", listed("title", "_t").alias("_t"), listed("body", "_b").alias("_b")).withColumn("_end", F.coalesce(F.array_max("_t.at"), F.lit(0)))
+    each = both.select("id", "_end", F.explode(F.concat("_t", "_b")).alias("x"))
+    return each.select("id", "x.word", F.when(F.col("x.in_title"), F.col("x.at")).otherwise(F.col("x.at") + F.col("_end")).alias("place"), "x.in_title")
 
-def _holds(words: Column, stems: list[str]) -> Column:
-    if len(stems) == 1:
-        return F.array_contains(words, stems[0])
-    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    return joined.contains(f" {' '.join(stems)} ")
 
+def hits_of(rows: DataFrame, id_col: str, title: str, body: str, terms: list[str] | None = None) -> DataFrame:
+    """The hit list of ``rows``, of all terms or of some."""
+    words = word_places(rows, id_col, title, body)
+    known = with_stems(words.select("word").distinct())
+    # Written first: a filter on stems would be pushed through all their steps and grow with each.
+    known = written(known, "stems")
+    known = known.where(F.col("term").isin(*terms)) if terms is not None else known
+    stemmed = words.join(F.broadcast(known) if known.count() <= BROADCAST_WORDS else known, "word")
+    of = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("place"))))
+    return stemmed.groupBy("term", "id").agg(of(F.col("in_title")).alias("title"), of(~F.col("in_title")).alias("body"))
 
-def search(rows: DataFrame, query: str, title: str, body: str) -> DataFrame:
-    """Rows that match, with ``rank``: weighted hits of the asked words, each after the first counting less.
 
-    An empty query matches nothing. All of it is Column expressions over the row.
+def _holds(part: Part, column: dict[str, str]) -> Column:
+    """Whether a document has all of a part's terms, and a phrase's in their places."""
+    there = reduce(lambda a, b: a & b, (F.col(column[t]).isNotNull() for t in part.terms))
+    if len(part.terms) > 1:
+        places = lambda t: F.concat(F.col(column[t])["title"], F.col(column[t])["body"])
+        run = places(part.terms[0])
+        for gap, term in zip(part.gaps, part.terms[1:], strict=True):
+            run = F.array_intersect(F.transform(run, lambda p: p + gap), places(term))  # noqa: B023
+        there &= F.size(run) > 0
+    there = F.coalesce(there, F.lit(False))
+    return ~there if part.negated else there
+
+
+def _count_rank(column: dict[str, str]) -> Column:
+    """The more hits of a term, the better, each one less than the one before; averaged over the terms."""
+
+    def of(name: str) -> Column:
+        n, m = F.size(F.col(name)["title"]), F.size(F.col(name)["body"])
+        part = lambda low, high, weight: F.when(high > low, F.aggregate(F.sequence(low + 1, high), F.lit(0.0), lambda a, k: a + F.lit(weight) / (k.cast("double") * k))).otherwise(0.0)
+        return F.coalesce((part(F.lit(0), n, TITLE_WEIGHT) + part(n, n + m, BODY_WEIGHT)) / SQUARES, F.lit(0.0))
+
+    total = sum((of(c) for c in column.values()), F.lit(0.0)) / len(column)
+    return F.when(total > 0, total).otherwise(FAR)
+
+
+def _near_rank(hits: DataFrame) -> DataFrame:
+    """(id, rank): every pair of places of two terms counts, the nearer the more. Pairs farther than REACH apart count nothing.
+
+    Places meet by document and stretch of REACH places, so a long document is many small groups.
     """
-    plan = parse(query)
-    words = rows.withColumn("_title", tokens(F.col(title))).withColumn("_body", tokens(F.col(body)))
-    if not plan:
-        return words.where(F.lit(False)).withColumn("rank", F.lit(0.0)).drop("_title", "_body")
-    either = lambda stems: _holds(F.col("_title"), stems) | _holds(F.col("_body"), stems)
-    match = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (~either(s) if no else either(s) for no, s in part)) for part in plan))
-    asked = sorted({s for part in plan for no, stems in part if not no for s in stems})
-    count = lambda col, s: F.size(F.filter(col, lambda w: w == s))
-    damped = lambda n: F.log1p(n.cast("double"))
-    rank = sum((damped(count("_title", s)) * TITLE_WEIGHT + damped(count("_body", s)) * BODY_WEIGHT for s in asked), F.lit(0.0))
-    return words.where(match).withColumn("rank", rank).drop("_title", "_body")
+    place = lambda col, weight: F.transform(col, lambda p: F.struct(p.alias("p"), F.lit(weight).alias("w")))
+    every = hits.select("id", "term", F.explode(F.concat(place("title", TITLE_WEIGHT), place("body", BODY_WEIGHT))).alias("x")).select("id", "term", "x.p", "x.w")
+    a = every.withColumn("block", F.floor(F.col("p") / REACH))
+    b = every.select("id", F.col("term").alias("o_term"), F.col("p").alias("o_p"), F.col("w").alias("o_w"), F.explode(F.sequence(F.floor(F.col("p") / REACH) - 1, F.floor(F.col("p") / REACH) + 1)).alias("block"))
+    far = F.abs(F.col("p") - F.col("o_p"))
+    met = a.join(b, ["id", "block"]).where((F.col("term") < F.col("o_term")) & (far > 0) & (far <= REACH))
+    near = F.sqrt(F.col("w") * F.col("o_w") / (NEAR_BASE + NEAR_SLOPE * F.exp(far / NEAR_SCALE - NEAR_SHIFT)))
+    return met.groupBy("id").agg((1 - F.exp(F.sum(F.log(1 - near)))).alias("rank"))
+
+
+def find(hits: DataFrame, query: Query, ids: DataFrame | None = None) -> DataFrame:
+    """(id, rank) of the documents that match. ``hits`` holds at least the query's terms.
+
+    ``ids`` (id), all documents, is asked for only where an alternative does nothing but exclude.
+    """
+    spark = hits.sparkSession
+    if not query.alternatives:
+        return spark.createDataFrame([], "id long, rank double")
+    column = {t: f"t{i}" for i, t in enumerate(query.terms)}
+    own = hits.where(F.col("term").isin(*query.terms))
+    wide = own.groupBy("id").agg(*(F.first(F.when(F.col("term") == t, F.struct("title", "body")), ignorenulls=True).alias(c) for t, c in column.items()))
+    if any(all(p.negated for p in a) for a in query.alternatives):
+        if ids is None:
+            raise ValueError("a query that only excludes needs all ids")
+        wide = ids.select("id").join(wide, "id", "left")
+    match = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (_holds(p, column) for p in a)) for a in query.alternatives))
+    matched = wide.where(match)
+    if not query.by_nearness:
+        return matched.select("id", _count_rank(column).alias("rank"))
+    near = _near_rank(own.join(matched.select("id"), "id", "left_semi"))
+    return matched.select("id").join(near, "id", "left").select("id", F.coalesce("rank", F.lit(FAR)).alias("rank"))
+
+
+def search(rows: DataFrame, query: str, title: str = "title", body: str = "description_text", index=None) -> DataFrame:
+    """Rows (with ``id``) that match, with ``rank``. With an ``index`` of their texts no text is read."""
+    plan = parse(rows.sparkSession, query)
+    if index is not None:
+        found = find(index.hits(plan.terms), plan, index.ids())
+    else:
+        found = find(hits_of(rows, "id", title, body, plan.terms), plan, rows.select("id"))
+    return rows.join(found, "id")
+
+
+def nearness(distance: float) -> float:
+    """What two title places at a distance add, for tests and notes."""
+    return math.sqrt(1 / (NEAR_BASE + NEAR_SLOPE * math.exp(distance / NEAR_SCALE - NEAR_SHIFT)))

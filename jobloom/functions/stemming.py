@@ -72,7 +72,10 @@ def _endings(x: Column, changes: dict[str, str], region: Column, special: dict[s
 
 
 def with_stems(words: DataFrame, word: str = "word", stem: str = "term") -> DataFrame:
-    """``words`` with the stem of each word; null has none. Words that differ in case differ."""
+    """``words`` with the stem of each word; null has none. Words that differ in case differ.
+
+    Filter on stems only once they are written: Spark pushes a filter through all steps, and it grows with each.
+    """
     x, r1, r2, length = F.col("_x"), F.col("_r1"), F.col("_r2"), F.char_length("_x")
     out = words.withColumn("_x", F.regexp_replace(F.regexp_replace(F.col(word), "^y", "Y"), f"({VOWEL})y", "$1Y"))
     region = F.char_length(F.regexp_extract("_x", REGION, 0))

@@ -188,14 +188,14 @@ def with_saved(postings: DataFrame, applications: DataFrame, viewer: int) -> Dat
     return postings.join(own, postings["id"] == own["saved_id"], "left").withColumn("saved", F.col("saved_id").isNotNull()).drop("saved_id")
 
 
-def matching(rows: DataFrame, f: FeedFilter, as_of: str | Column, *, posting_skills: DataFrame | None = None, dismissed: DataFrame | None = None, viewer: int | None = None) -> DataFrame:
-    """Rows that pass all of a filter but its bands: row-wise conditions, text query (adds ``rank``), skills, dismissals.
+def matching(rows: DataFrame, f: FeedFilter, as_of: str | Column, *, posting_skills: DataFrame | None = None, dismissed: DataFrame | None = None, viewer: int | None = None, index=None) -> DataFrame:
+    """Rows that pass all of a filter but its bands: row-wise conditions, text query (adds ``rank``; through ``index``, a ``TextIndex``, if given), skills, dismissals.
 
     A condition whose table is not given is an error, never left out. Without a viewer nothing is dismissed.
     """
     out = rows.where(predicate(f, as_of))
     if f.query:
-        out = search(out, f.query, "title", "description_text")
+        out = search(out, f.query, index=index)
     if f.skills:
         if posting_skills is None:
             raise FilterError("skills need the table of posting skills")
@@ -233,14 +233,14 @@ def after(key: Column, key_value: object, id_value: int, kind: str) -> Column:
     return (key < value) | ((key == value) & (F.col("id") < id_value))
 
 
-def page(rows: DataFrame, f: FeedFilter, as_of: str | Column, *, posting_skills: DataFrame | None = None, dismissed: DataFrame | None = None, viewer: int | None = None, profile=None) -> DataFrame:
+def page(rows: DataFrame, f: FeedFilter, as_of: str | Column, *, posting_skills: DataFrame | None = None, dismissed: DataFrame | None = None, viewer: int | None = None, profile=None, index=None) -> DataFrame:
     """One page plus one row, which says that there is more: filter, order, limit.
 
     Bands and the order by match need the viewer's ``profile`` (see ``scoring.Profile``) and
     the posting skills: they rank the CANDIDATES most recent rows, with an offset as cursor.
     All other pages are keyset pages.
     """
-    out = matching(rows, f, as_of, posting_skills=posting_skills, dismissed=dismissed, viewer=viewer)
+    out = matching(rows, f, as_of, posting_skills=posting_skills, dismissed=dismissed, viewer=viewer, index=index)
     if needs_ranking(f):
         from .scoring import ranked
 

@@ -7,11 +7,11 @@ both engines know.
 from __future__ import annotations
 
 from ..bindings import AS_OF, EVENTS_AS_OF, with_tables
-from ..functions import extract, places, search
+from ..functions import extract, places, stemming
 from ..functions.text import NOT_SOFTWARE, OTHER_ENGINEERING, PAY, PAY_WORD, SOFTWARE
 from ..operators.feed import USD_RATES
 from .feeds import SOURCE_SQL
-from .queries import FIRST_DAY, LAST_DAY, PROFILE, SEARCH, VIEWER
+from .queries import EXCLUDING, FIRST_DAY, LAST_DAY, PROFILE, SEARCH, VIEWER
 
 ORACLES: dict[str, str] = {}
 
@@ -253,32 +253,73 @@ def _values(pairs) -> str:
     return ", ".join(f"({', '.join(_literal(x) if isinstance(x, str) else str(x) for x in pair)})" for pair in pairs)
 
 
-def _asked(query: str) -> str:
-    """(matched, rank) of a search over the lists tt (title) and bb (body) of stemmed words."""
-    plan = search.parse(query)
-    holds = lambda col, stems: f"contains(' ' || array_to_string({col}, ' ') || ' ', ' {' '.join(stems)} ')"
-    either = lambda no, stems: f"{'NOT ' if no else ''}({holds('tt', stems)} OR {holds('bb', stems)})"
-    match = " OR ".join("(" + " AND ".join(either(no, stems) for no, stems in part) + ")" for part in plan)
-    asked = sorted({x for part in plan for no, stems in part if not no for x in stems})
-    count = lambda col, x: f"ln(1 + len(list_filter({col}, lambda w: w = '{x}')))"
-    return f"({match}) AS matched, " + " + ".join(f"{count('tt', x)} * {search.TITLE_WEIGHT}::DOUBLE + {count('bb', x)} * {search.BODY_WEIGHT}::DOUBLE" for x in asked) + " AS rank"
-
-
-_stop = ", ".join(f"'{w}'" for w in search.STOP)
-
-
-def _stemmed(x: str) -> str:
-    words = rf"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({_stop}))"
-    return f"list_transform({words}, lambda w: CASE WHEN length(w) >= 5 THEN regexp_replace(w, '{search.ENDINGS}', '') ELSE w END)"
-
-
-def _searched(query: str) -> str:
-    return f"{LIVE}, worded AS (SELECT *, {_stemmed('title')} AS tt, {_stemmed('description_text')} AS bb FROM feed WHERE status = 'live'), found AS (SELECT *, {_asked(query)} FROM worded)"
-
-
-_sql("search_relevance", FEED, "SELECT id, round(rank, 4) AS rank FROM found WHERE matched", _searched(SEARCH))
-_sql("feed_query", FEED, "SELECT id, title, fresh_at AS sort_key, round(rank, 6) AS rank FROM found WHERE matched ORDER BY fresh_at DESC, id DESC LIMIT 51", _searched('backend or "data engineer" -hybrid'))
-_sql("feed_sort_relevance", FEED, "SELECT id, round(rank, 6) AS rank FROM found WHERE matched AND field <> 'other' ORDER BY found.rank DESC, id DESC LIMIT 26", _searched("engineer remote"))
+def _ending(x: str, changes: dict[str, str], region: str, only: dict[str, str]) -> str:
+    """CASE over endings, longest first; one that matches but may not change ends the search."""
+    cases = []
+    for e in sorted(changes, key=lambda e: (-len(e), e)):
+        ok = " AND ".join([f"length({x}) - {len(e)} >= {region}", *([f"substr({x}, length({x}) - {len(e)}, 1) IN ({', '.join(repr(c) for c in stemming.BEFORE[e])})"] if e in stemming.BEFORE else []), *([only[e]] if e in only else [])])
+        cases.append(f"WHEN ends_with({x}, '{e}') THEN CASE WHEN {ok} THEN left({x}, length({x}) - {len(e)}) || '{changes[e]}' ELSE {x} END")
+    return f"CASE {' '.join(cases)} ELSE {x} END"
+
+
+_stop = ", ".join(f"'{w}'" for w in stemming.STOP)
+_drop = lambda x, n: f"left({x}, greatest(0, length({x}) - {n}))"
+_region = f"'{stemming.REGION}'"
+#: (word, term) from ``vocabulary`` (word), one step for each common table expression.
+STEMS = f"""marked AS (SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS m FROM vocabulary),
+r1 AS (SELECT *, CASE WHEN regexp_matches(m, '^({'|'.join(stemming.BEGINNINGS)})') THEN length(regexp_extract(m, '^({'|'.join(stemming.BEGINNINGS)})')) WHEN regexp_matches(m, {_region}) THEN length(regexp_extract(m, {_region})) ELSE length(m) END AS r1 FROM marked),
+r2 AS (SELECT *, CASE WHEN regexp_matches(substr(m, r1 + 1), {_region}) THEN r1 + length(regexp_extract(substr(m, r1 + 1), {_region})) ELSE length(m) END AS r2 FROM r1),
+s1 AS (SELECT word, r1, r2, CASE WHEN m LIKE '%sses' THEN {_drop('m', 2)} WHEN m LIKE '%ied' OR m LIKE '%ies' THEN CASE WHEN length(m) > 4 THEN {_drop('m', 2)} ELSE {_drop('m', 1)} END
+  WHEN m LIKE '%us' OR m LIKE '%ss' THEN m WHEN regexp_matches(m, '[aeiouy].+s$') THEN {_drop('m', 1)} ELSE m END AS a FROM r2),
+s2 AS (SELECT *, CASE WHEN a LIKE '%eedly' OR a LIKE '%eed' THEN NULL WHEN a LIKE '%ingly' THEN {_drop('a', 5)} WHEN a LIKE '%edly' THEN {_drop('a', 4)} WHEN a LIKE '%ing' THEN {_drop('a', 3)} WHEN a LIKE '%ed' THEN {_drop('a', 2)} END AS base FROM s1),
+s3 AS (SELECT *, CASE WHEN a LIKE '%eedly' THEN CASE WHEN length(a) - 5 >= r1 THEN {_drop('a', 3)} ELSE a END WHEN a LIKE '%eed' THEN CASE WHEN length(a) - 3 >= r1 THEN {_drop('a', 1)} ELSE a END
+  WHEN regexp_matches(base, '[aeiouy]') THEN CASE WHEN right(base, 2) IN ('at', 'bl', 'iz') THEN base || 'e' WHEN right(base, 2) IN ({', '.join(repr(d) for d in stemming.DOUBLES)}) THEN {_drop('base', 1)}
+    WHEN r1 >= length(base) AND regexp_matches(base, '{stemming.SHORT}') THEN base || 'e' ELSE base END ELSE a END AS b FROM s2),
+s4 AS (SELECT *, CASE WHEN regexp_matches(b, '^.+[^aeiouy][yY]$') THEN {_drop('b', 1)} || 'i' ELSE b END AS c FROM s3),
+s5 AS (SELECT *, {_ending('c', stemming.SECOND, 'r1', {})} AS d FROM s4),
+s6 AS (SELECT *, {_ending('d', stemming.THIRD, 'r1', {'ative': 'length(d) - 5 >= r2'})} AS e FROM s5),
+s7 AS (SELECT *, {_ending('e', dict.fromkeys(stemming.FOURTH, ''), 'r2', {})} AS f FROM s6),
+s8 AS (SELECT *, CASE WHEN f LIKE '%e' AND (length(f) - 1 >= r2 OR (length(f) - 1 >= r1 AND NOT regexp_matches({_drop('f', 1)}, '{stemming.SHORT}'))) THEN {_drop('f', 1)} WHEN f LIKE '%ll' AND length(f) - 1 >= r2 THEN {_drop('f', 1)} ELSE f END AS g FROM s7),
+stems AS (SELECT word, CASE {' '.join(f"WHEN word = '{w}' THEN '{s or w}'" for w, s in stemming.IRREGULAR.items())} WHEN length(word) <= 2 THEN word WHEN a IN ({', '.join(repr(w) for w in stemming.FINAL)}) THEN a ELSE replace(g, 'Y', 'y') END AS term FROM s8)"""
+_cut_words = lambda x: rf"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _places(source: str) -> str:
+    """``hits`` (id, term, p, w): every place of every term of ``source``, body places after the title's last one."""
+    return f"""cut AS (SELECT id, {_cut_words('title')} AS tt, {_cut_words('description_text')} AS bb FROM {source}),
+titles AS (SELECT id, unnest(tt) AS word, generate_subscripts(tt, 1) AS p, 1.0 AS w FROM cut), bodies AS (SELECT id, unnest(bb) AS word, generate_subscripts(bb, 1) AS p, 0.4 AS w FROM cut),
+ends AS (SELECT id, max(p) AS last FROM titles WHERE word NOT IN ({_stop}) GROUP BY id),
+placed AS (SELECT * FROM titles UNION ALL SELECT b.id, word, p + coalesce(last, 0), w FROM bodies b LEFT JOIN ends ON ends.id = b.id),
+vocabulary AS (SELECT DISTINCT word FROM placed WHERE word NOT IN ({_stop})), {STEMS},
+hits AS (SELECT id, term, p, w FROM placed JOIN stems USING (word))"""
+
+
+def _count_sql(terms: list[str]) -> str:
+    """``counted`` (id, rank) by the number of hits."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""counted AS (SELECT id, sum(w / (k * k)) / 1.64493406685 / {len(terms)} AS rank FROM (SELECT id, w, row_number() OVER (PARTITION BY id, term ORDER BY p) AS k FROM hits WHERE term IN ({listed})) GROUP BY id)"""
+
+
+def _having(*terms: str) -> str:
+    return f"id IN (SELECT id FROM hits WHERE term IN ({', '.join(repr(t) for t in terms)}) GROUP BY id HAVING count(DISTINCT term) = {len(terms)})"
+
+
+_following = lambda a, b, gap: f"id IN (SELECT x.id FROM hits x JOIN hits y ON x.id = y.id AND y.p = x.p + {gap} WHERE x.term = '{a}' AND y.term = '{b}')"
+_SEARCHED = f"({_having('engin', 'remot')} AND NOT {_following('year', 'experi', 2)}) OR {_having('backend')}"
+_TERMS = ["backend", "engin", "experi", "remot", "year"]
+_found = lambda source: f"{_places(source)}, {_count_sql(_TERMS)}"
+_sql("search_relevance", ("job_postings",), f"SELECT id, round(rank, 6) AS rank FROM counted WHERE {_SEARCHED}", "live AS (SELECT * FROM job_postings WHERE status = 'live'), " + _found("live"))
+_sql("feed_query", FEED, f"""SELECT id, title, fresh_at AS sort_key, round(rank, 6) AS rank FROM feed JOIN counted USING (id) WHERE status = 'live' AND ({_having('backend')} OR ({_following('data', 'engin', 1)} AND NOT {_having('hybrid')}))
+ORDER BY fresh_at DESC, id DESC LIMIT 51""", f"{LIVE}, {_places('feed')}, {_count_sql(['backend', 'data', 'engin', 'hybrid'])}")
+_NEARNESS = """near AS (SELECT x.id, 1 - exp(sum(ln(1 - sqrt(x.w * y.w / (1.005 + 0.05 * exp(abs(x.p - y.p) / 1.5 - 2)))))) AS rank FROM asked x JOIN asked y ON x.id = y.id AND x.term < y.term AND x.p <> y.p AND abs(x.p - y.p) <= 100 GROUP BY x.id)"""
+_sql("feed_sort_relevance", FEED, f"""SELECT id, round(coalesce(rank, 1e-20::DOUBLE), 6) AS rank FROM feed LEFT JOIN near USING (id) WHERE status = 'live' AND field <> 'other' AND {_having('engin', 'remot')} ORDER BY coalesce(rank, 1e-20::DOUBLE) DESC, id DESC LIMIT 26""",
+     f"{LIVE}, {_places('feed')}, asked AS (SELECT * FROM hits WHERE term IN ('engin', 'remot')), {_NEARNESS}")
+_sql("search_nearness", ("job_postings",), f"""SELECT id, round(coalesce(rank, 1e-20::DOUBLE), 6) AS rank FROM job_postings LEFT JOIN near USING (id) WHERE {_having('engin', 'm', 'f', 'd', 'work', 'experienc')}
+AND id IN (SELECT a.id FROM hits a JOIN hits b ON a.id = b.id AND b.p = a.p + 1 JOIN hits c ON a.id = c.id AND c.p = a.p + 2 JOIN hits d ON a.id = d.id AND d.p = a.p + 3 WHERE a.term = 'engin' AND b.term = 'm' AND c.term = 'f' AND d.term = 'd')""",
+     f"{_places('job_postings')}, asked AS (SELECT * FROM hits WHERE term IN ('engin', 'm', 'f', 'd', 'work', 'experienc')), {_NEARNESS}")
+_sql("search_after_changes", ("job_postings",), f"""SELECT '{EXCLUDING}' AS asked, id, round(coalesce(nullif(rank, 0), 1e-20::DOUBLE), 6) AS rank FROM now LEFT JOIN (SELECT id, 0.0::DOUBLE AS rank FROM hits WHERE false) USING (id) WHERE NOT {_having('engin')} AND NOT {_having('hybrid')}
+UNION ALL SELECT '{SEARCH}', id, round(rank, 6) FROM counted WHERE {_SEARCHED}""", f"""now AS (SELECT id, title, CASE WHEN comp_min IS NULL THEN concat('Hybrid work, no engineering. ', description_text) ELSE description_text END AS description_text FROM job_postings WHERE status = 'live' AND field <> 'unknown'), {_found('now')}""")
+_sql("word_stems", ("job_postings",), "SELECT word, term FROM stems", f"""vocabulary AS (SELECT DISTINCT unnest({_cut_words('x')}) AS word FROM (SELECT concat(title, ' ', description_text) AS x FROM job_postings UNION ALL SELECT text FROM documents)), {STEMS}""")
 
 _BEST = "ORDER BY score DESC, posted_at DESC NULLS LAST, fresh_at DESC, id DESC"
 

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, EVENTS_AS_OF, bound, raw
-from ..functions import extract, search, text
+from ..functions import extract, search, stemming, text
 from ..functions.similarity import trigrams
 from ..operators import account, feed, maintenance, rollups, scoring
 from ..operators.feed import FeedFilter
+from ..operators.text_index import TextIndex
+from ..sources import store
 from .feeds import SOURCES
 
 VIEWER = 3
@@ -31,6 +33,17 @@ def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.with_sources(*(bound(spark, sf_dir, t) for t in ("job_postings", "sources", "companies")))
 
 
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of all postings' texts, built once in a session: the original keeps it as a stored column."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = TextIndex.build(bound(spark, sf_dir, "job_postings"), store.fresh_dir(spark, "text-index"))
+    return _indexes[key]
+
+
 def with_skills(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     lists = feed.skill_arrays(bound(spark, sf_dir, "posting_skills"))
     return rows.join(lists, rows["id"] == lists["posting_id"], "left").drop("posting_id")
@@ -56,7 +69,7 @@ QUERIES.update({name: _filtered(f) for name, f in FILTERS.items()})
 
 
 def _page(spark: SparkSession, sf_dir: str, f: FeedFilter) -> DataFrame:
-    return feed.page(live_feed(spark, sf_dir), f, AS_OF)
+    return feed.page(live_feed(spark, sf_dir), f, AS_OF, index=text_index(spark, sf_dir) if f.query else None)
 
 
 @query
@@ -453,12 +466,49 @@ def skill_sections(spark, sf_dir):
     return rows.select("kind", "id", F.explode("skills").alias("x")).select("kind", "id", "x.skill", "x.requirement", "x.confidence")
 
 
-SEARCH = 'engineer remote -"at least" or backend'
+SEARCH = 'engineers remotely -"years of experience" or backend'
 
 
 @query
 def search_relevance(spark, sf_dir):
-    return search.search(bound(spark, sf_dir, "job_postings").where("status = 'live'"), SEARCH, "title", "description_text").select("id", F.round("rank", 4).alias("rank"))
+    return search.search(bound(spark, sf_dir, "job_postings").where("status = 'live'").select("id"), SEARCH, index=text_index(spark, sf_dir)).select("id", F.round("rank", 6).alias("rank"))
+
+
+NEAR = '"engineer (m/f/d)" working experienced'
+
+
+@query
+def search_nearness(spark, sf_dir):
+    """A phrase and words asked for together: the rank is how near they stand."""
+    index = text_index(spark, sf_dir)
+    plan = search.parse(spark, NEAR)
+    return search.find(index.hits(plan.terms), plan).select("id", F.round("rank", 6).alias("rank"))
+
+
+EXCLUDING = "-engineer -hybrid"
+
+
+@query
+def search_after_changes(spark, sf_dir):
+    """An index of the live postings, then of a poll that closes those of unknown field and gives those without pay another text."""
+    postings = bound(spark, sf_dir, "job_postings").where("status = 'live'")
+    index = TextIndex.build(postings, store.fresh_dir(spark, "text-index"), buckets=8)
+    changed = postings.where("comp_min IS NULL AND field <> 'unknown'").select("id", "title", F.concat(F.lit("Hybrid work, no engineering. "), F.col("description_text")).alias("description_text"))
+    index.apply(changed, removed=postings.where("field = 'unknown'").select("id"))
+    out = None
+    for asked in (EXCLUDING, SEARCH):
+        plan = search.parse(spark, asked)
+        found = search.find(index.hits(plan.terms), plan, index.ids()).select(F.lit(asked).alias("asked"), "id", F.round("rank", 6).alias("rank"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query
+def word_stems(spark, sf_dir):
+    """Stems of every word of all postings and documents."""
+    texts = bound(spark, sf_dir, "job_postings").select(F.concat_ws(" ", "title", "description_text").alias("x")).unionByName(raw(spark, sf_dir, "documents").select(F.col("text").alias("x")))
+    words = texts.select(F.explode(stemming.split_words(F.col("x"))).alias("word")).distinct()
+    return stemming.with_stems(words)
 
 
 @query
