@@ -10,6 +10,7 @@ from ..bindings import AS_OF, EVENTS_AS_OF, with_tables
 from ..functions import extract, places, stemming
 from ..functions.text import NOT_SOFTWARE, OTHER_ENGINEERING, PAY, PAY_WORD, SOFTWARE
 from ..operators.feed import USD_RATES
+from . import polling
 from .feeds import SOURCE_SQL
 from .queries import EXCLUDING, FIRST_DAY, LAST_DAY, PROFILE, SEARCH, VIEWER
 
@@ -419,7 +420,7 @@ _sql("digest_replay", ("saved_searches", "job_postings"), f"""SELECT user_id, se
     WHERE (s.user_id % 3 <> 0 OR p.country IS NULL OR p.country IN ('N1', 'N2')) AND (s.user_id % 4 <> 0 OR p.mode = 'remote') AND (s.user_id % 5 <> 0 OR p.comp_min IS NULL OR p.comp_min >= 150000)
       AND (s.user_id % 2 = 0 OR p.field <> 'other'))) WHERE place <= 8""")
 
-ORACLES |= SOURCE_SQL
+ORACLES |= SOURCE_SQL | polling.SQL
 _sql("posting_detail", (*RANKED, "applications"), """SELECT s.id, s.title, s.company, s.vendor, p.country, array_to_string(mu, ',') AS must, array_to_string(ni, ',') AS nice, s.id IN (SELECT posting_id FROM applications WHERE user_id = VIEWER) AS saved, score, band,
   CASE WHEN NOT readable THEN 'Not enough detail in this posting to score it' WHEN NOT stated THEN 'Scored on location, experience and recency'
     WHEN len(gaps) > 0 THEN concat(detail, '. Missing: ', array_to_string(gaps[1:3], ', '), CASE WHEN len(gaps) > 3 THEN concat(' +', len(gaps) - 3, ' more') ELSE '' END)

@@ -14,6 +14,7 @@ from ..operators import account, feed, maintenance, rollups, scoring
 from ..operators.feed import FeedFilter
 from ..operators.text_index import TextIndex
 from ..sources import store
+from . import polling
 from .feeds import SOURCES
 
 VIEWER = 3
@@ -21,7 +22,7 @@ FIRST_DAY, LAST_DAY = "2001-07-24", "2001-08-02"
 PROFILE = scoring.Profile(skills=("hot plate", "small ring", "postgresql"), total_yoe=5.0, countries=("N1", "N2"), modes=("remote", "hybrid"), comp_min=150000.0, currency="USD", parse_confidence=0.8)
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {**SOURCES}
+QUERIES: dict[str, Query] = {**SOURCES, **polling.QUERIES}
 
 
 def query(function: Query) -> Query:

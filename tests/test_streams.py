@@ -19,6 +19,12 @@ def run(spark, df, name, mode="append", sink=None):
     return None if sink else spark.table(name)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def rocksdb(spark):
+    """``transformWithState`` needs this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 @pytest.fixture(scope="module")
 def events(spark, sf_dir):
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
@@ -51,7 +57,7 @@ def test_absences_close_at_the_second_miss(spark, tmp_path):
     assert {tuple(r) for r in run(spark, streams.absences(stream), "absent").collect()} == {(1, "b", 1, False), (1, "b", 2, True), (2, "c", 1, False)}
 
 
-def test_unique_jobs_and_first_dates(spark, tmp_path):
+def test_unique_jobs(spark, tmp_path):
     stream = folder(tmp_path, spark, [("x", "2024-01-01 00:00:00"), ("x", "2024-01-01 00:05:00"), ("y", "2024-01-01 00:01:00")], "job string, at string").withColumn("ts", F.to_timestamp("at"))
     assert sorted(r.job for r in run(spark, streams.unique_jobs(stream, ["job"]), "jobs").collect()) == ["x", "y"]
 
