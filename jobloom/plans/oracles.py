@@ -426,3 +426,14 @@ _sql("posting_detail", (*RANKED, "applications"), """SELECT s.id, s.title, s.com
     WHEN len(gaps) > 0 THEN concat(detail, '. Missing: ', array_to_string(gaps[1:3], ', '), CASE WHEN len(gaps) > 3 THEN concat(' +', len(gaps) - 3, ' more') ELSE '' END)
     ELSE concat(detail, ' — you have everything listed') END AS headline
 FROM scored s JOIN job_postings p ON p.id = s.id WHERE s.status = 'live'""".replace("VIEWER", str(VIEWER)), f"{LIVE.replace('SELECT p.*', 'SELECT p.* REPLACE (NULL::VARCHAR AS country)')}, {SCORED}")
+
+_sql("backfill_urls", ("job_postings", "sources", "companies"), """SELECT p.id, CASE WHEN ours THEN coalesce(a, url) ELSE a END AS apply_url, CASE WHEN ours THEN coalesce(nullif(b, ''), url) ELSE b END AS posting_url FROM (
+  SELECT p.id, CASE WHEN comp_min > 300000 THEN 'https://a.example' END AS a, CASE WHEN comp_max IS NULL THEN '' ELSE 'https://b.example' END AS b, vendor = 'personio' AS ours, concat('https://jobs.smartrecruiters.com/', slug, '/', external_id) AS url
+  FROM job_postings p JOIN sources s ON s.id = p.source_id JOIN companies c ON c.id = s.company_id) p""")
+_sql("backfill_close_absent", ("job_postings",), f"""SELECT id, CASE WHEN gone THEN 'closed' ELSE status END AS status, CASE WHEN gone THEN {_NOW} ELSE closed_at END AS closed_at
+FROM (SELECT *, status = 'live' AND missing_count + (field = 'unknown')::INT >= 2 AS gone FROM job_postings)""")
+ORACLES["backfill_fields"] = f"SELECT id, guess AS field, confidence AS field_confidence, because AS field_because FROM ({ORACLES['field_classify']})"
+_PLACES = lambda source: ORACLES["location_parse"].replace("raw_places AS (", "raw_places0 AS (", 1).replace("\ncodes(name", f"\nraw_places AS ({source}),\ncodes(name", 1)
+_FILLED = "SELECT p.id, {} FROM job_postings p LEFT JOIN parsed x ON x.id = p.company_id".format(", ".join(f"CASE WHEN p.country IS NULL AND x.country <> '' THEN nullif(x.{c}, '') ELSE {'p.' + c if c != 'region' else 'NULL'} END AS {c}" for c in ("country", "region", "city")))
+_sql("backfill_locations", ("job_postings",), _FILLED, f"parsed AS ({_PLACES('SELECT * FROM raw_places0')})")
+_sql("backfill_locations_again", ("job_postings",), _FILLED, f"parsed AS ({_PLACES(chr(10) + 'SELECT id, CASE WHEN location_raw LIKE ' + _literal('Customer#%') + ' THEN regexp_replace(location_raw, ' + _literal('^Customer#0*') + ', ' + _literal('Berlin, ') + ') ELSE location_raw END AS location_raw FROM raw_places0')})")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..bindings import AS_OF, EVENTS_AS_OF, bound, raw
 from ..functions import extract, search, stemming, text
 from ..functions.similarity import trigrams
-from ..operators import account, feed, maintenance, rollups, scoring
+from ..operators import account, backfills, feed, maintenance, rollups, scoring
+from ..operators.backfills import Backfill
 from ..operators.feed import FeedFilter
 from ..operators.text_index import TextIndex
 from ..sources import store
@@ -394,6 +395,56 @@ def backfill_yoe_confidence(spark, sf_dir):
     return maintenance.backfill_yoe_confidence(bound(spark, sf_dir, "job_postings")).select("id", "yoe_confidence")
 
 
+def _backfilled(spark, sf_dir, table: DataFrame, rewrite) -> DataFrame:
+    """A table stored, then rewritten in some four ranges."""
+    stored = store.written(table, "backfill-input")
+    run = Backfill(spark, store.fresh_dir(spark, "backfill"), batch_rows=max(1, stored.count() // 4))
+    return run.run(stored, rewrite)
+
+
+@query
+def backfill_urls(spark, sf_dir):
+    """101. Boards are companies; what personio posts stands for the vendor without links. Dear postings have one already."""
+    postings = bound(spark, sf_dir, "job_postings").withColumns({"apply_url": F.when(F.col("comp_min") > 300000, "https://a.example"), "posting_url": F.when(F.col("comp_max").isNull(), "").otherwise("https://b.example")})
+    sources = bound(spark, sf_dir, "sources").join(bound(spark, sf_dir, "companies").select(F.col("id").alias("company_id"), "slug"), "company_id").select("id", F.when(F.col("vendor") == "personio", "smartrecruiters").otherwise(F.col("vendor")).alias("vendor"), F.col("slug").alias("board_token"))
+    return _backfilled(spark, sf_dir, postings, lambda batch: backfills.posting_urls(batch, sources)).select("id", "apply_url", "posting_url")
+
+
+@query
+def backfill_close_absent(spark, sf_dir):
+    """102, after a poll that showed none of the postings of unknown field."""
+    postings = bound(spark, sf_dir, "job_postings")
+    postings = postings.withColumn("missing_count", F.when(F.col("field") == "unknown", F.col("missing_count") + 1).otherwise(F.col("missing_count")))
+    return _backfilled(spark, sf_dir, postings, lambda batch: backfills.close_absent(batch, AS_OF)).select("id", "status", "closed_at")
+
+
+@query
+def backfill_fields(spark, sf_dir):
+    """103."""
+    postings = bound(spark, sf_dir, "job_postings").withColumns({"field_confidence": F.lit(0.0), "field_because": F.lit("")})
+    skills = bound(spark, sf_dir, "posting_skills")
+    return _backfilled(spark, sf_dir, postings, lambda batch: backfills.classify_fields(batch, skills)).select("id", "field", "field_confidence", "field_because")
+
+
+def _placed(spark, sf_dir) -> DataFrame:
+    """Postings with the place text of their company."""
+    places = bound(spark, sf_dir, "raw_places").select(F.col("id").alias("company_id"), "location_raw")
+    return bound(spark, sf_dir, "job_postings").join(places, "company_id", "left").withColumn("region", F.lit(None).cast("string"))
+
+
+@query
+def backfill_locations(spark, sf_dir):
+    """104."""
+    return _backfilled(spark, sf_dir, _placed(spark, sf_dir), backfills.reparse_locations).select("id", "country", "region", "city")
+
+
+@query
+def backfill_locations_again(spark, sf_dir):
+    """106 over what 104 left: only rows that still have no country are read again, after their text lost its first word."""
+    first = _backfilled(spark, sf_dir, _placed(spark, sf_dir), backfills.reparse_locations)
+    return _backfilled(spark, sf_dir, first.withColumn("location_raw", F.regexp_replace("location_raw", "^Customer#0*", "Berlin, ")), backfills.reparse_locations).select("id", "country", "region", "city")
+
+
 @query
 def strip_html(spark, sf_dir):
     return raw(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("text_md5"))

@@ -47,6 +47,12 @@ def children(spark: SparkSession, name: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
 
 
+def make(spark: SparkSession, name: str) -> None:
+    """Makes a folder and those above it where they are not there."""
+    path, fs = _path(spark, name)
+    fs.mkdirs(path)
+
+
 def delete(spark: SparkSession, name: str) -> None:
     path, fs = _path(spark, name)
     fs.delete(path, True)
