@@ -79,8 +79,8 @@ def workday_board(responses: DataFrame, cap: int = CAP, page_size: int = PAGE) -
     """Postings of boards read slice by slice, as ``vendors.workday`` gives them, with ``position``, their order on the board from 1.
 
     A slice is read page by page up to the first short one. Of a posting that comes again its first
-    position counts and its last content. Numbering sorts one board's keys at a time; a
-    board holds what its vendor's cap and facets let through.
+    position counts and its last content. Postings are numbered inside their slice, which the vendor's cap
+    and PAGES bound, and shifted by what the slices before hold.
     """
     schema = "jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string,bulletFields:array<string>>>"
     jobs = responses.select("source_id", "path", "page", F.from_json("body", schema)["jobPostings"].alias("jobs")).where(F.col("page") < PAGES)
@@ -92,7 +92,11 @@ def workday_board(responses: DataFrame, cap: int = CAP, page_size: int = PAGE) -
     each = pages.join(slices(responses, cap), ["source_id", "path"]).select("source_id", F.concat("place", F.array("page")).alias("at"), F.posexplode("good").alias("i", "j"))
     each = each.select("source_id", F.concat("at", F.array("i")).alias("at"), key(F.col("j")).alias("key"), "j")
     met = each.groupBy("source_id", "key").agg(F.max_by("j", "at").alias("j"), F.min("at").alias("first"))
-    placed = met.withColumn("position", F.row_number().over(Window.partitionBy("source_id").orderBy("first")).cast("int"))
+    met = met.withColumn("slice", F.slice("first", F.lit(1), F.size("first") - 2))
+    sizes = met.groupBy("source_id", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("source_id", "slice", (F.sum("n").over(Window.partitionBy("source_id").orderBy("slice")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("source_id", "slice").orderBy("first"))
+    placed = met.withColumn("inside", inside).join(before, ["source_id", "slice"]).withColumn("position", (F.col("before") + F.col("inside")).cast("int"))
     j = F.col("j")
     out = vendors._postings(placed, external_id=F.col("key"), requisition_id=F.get(j["bulletFields"], F.lit(0)), title=j["title"], location_raw=j["locationsText"], posting_url=j["externalPath"], apply_url=j["externalPath"], posted_at_is_estimate=F.lit(True), raw=F.to_json(j))
     return out.join(placed.select("source_id", F.col("key").alias("external_id"), "position"), ["source_id", "external_id"])
