@@ -90,6 +90,12 @@ SELECT doc_id AS id, concat('We spark joy with Kafka.', chr(10), coalesce(text,
   CASE doc_id % 7 WHEN 0 THEN 'Strong Go' WHEN 1 THEN '5+ years of Python or C++' WHEN 2 THEN 'Experience with swift payments and spring boot in a large java shop' WHEN 3 THEN 'Rust belt' WHEN 4 THEN 'Docker, k8s (helm charts) and node.js'
     WHEN 5 THEN 'knowledge of go modules, c/c++ and application security is what the whole team here needs' ELSE 'r and c, job security' END, chr(10),
   CASE WHEN doc_id % 3 = 0 THEN 'Bonus points' ELSE 'Benefits' END, chr(10), 'React, Kafka; go to market with all of our partners', chr(10), 'PostgreSQL') AS description_text
+FROM documents""",
+    "raw_resumes": """
+SELECT doc_id AS id, concat('Person ', CAST(doc_id AS STRING), chr(10), CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '+49 (030) 1234 5678' ELSE concat('mail: me', CAST(doc_id AS STRING), '@example.org | 555-1234, github.com/me', CAST(doc_id % 3 AS STRING), '/ https://github.com/ME0') END, chr(10),
+  CASE WHEN doc_id % 3 = 0 THEN 'About me' ELSE '' END, chr(10), CASE WHEN doc_id % 7 = 0 THEN '9+ years of it. ' ELSE '' END, coalesce(text, ''), chr(10), CASE doc_id % 4 WHEN 0 THEN '  TECHNICAL SKILLS & Tools: ' WHEN 1 THEN 'Tech  Stack' WHEN 2 THEN 'Proficiencies --' ELSE '' END, chr(10),
+  'Python (5+ years), docker, 3 yrs and PostgreSQL; react', chr(10), CASE WHEN doc_id % 6 < 4 THEN concat('Professional Experience', chr(10), CASE doc_id % 6 WHEN 0 THEN 'Jan 2015 - March 2018, then Feb. 2017 to 2019 with kafka - 2 years' WHEN 1 THEN '2010 until 2012; sept 2020 - present' WHEN 2 THEN '1949 - 1951 and 2030 - 2031' ELSE 'no dates, but docker' END) ELSE '' END, chr(10),
+  CASE WHEN doc_id % 2 = 0 THEN concat('Education and Training', chr(10), 'BSc 2001 - 2004, react') ELSE 'Hobbies' END, chr(10), 'kafka and kubernetes', chr(10), 'Side projects:', chr(10), 'java spring boot') AS text
 FROM documents""",
     "user_skills": """
 SELECT user_id, concat(event_type, ' ', CAST(event_id % 6 AS STRING)) AS skill, CASE WHEN max(event_id) % 3 = 0 THEN NULL ELSE CAST(max(event_id) % 9 AS DOUBLE) END AS years,

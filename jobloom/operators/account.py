@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .feed import as_of_column, freshness
+from ..functions.search import search
+from ..sources import store
+from .feed import FeedFilter, as_of_column, conditions, freshness
 
 # Stages in their order.
 STAGES = ("saved", "applied", "screening", "interviewing", "offer", "rejected")
@@ -178,21 +182,173 @@ def patch_applications(applications: DataFrame, patches: DataFrame, as_of: str |
     return joined.select(*((values[c].alias(c) if c in values else F.col(c)) for c in applications.columns)), events
 
 
-def digest(candidates: DataFrame, searches: DataFrame, live: DataFrame, as_of: str | Column, shown: int = 8) -> DataFrame:
-    """(user_id, search_id, place, id, more): for each candidate search its newest postings since its mark, at most ``shown``, and whether there are more.
+SEARCHES, SESSION_DAYS, THROTTLE_SECONDS = 50, 30, 60
+
+
+def create_searches(searches: DataFrame, requests: DataFrame, postings: DataFrame, as_of: str | Column, cap: int = SEARCHES) -> tuple[DataFrame, DataFrame]:
+    """(searches, refused) after requests (user_id, request_id, name, query, make_default) to save one, in the order of their ids.
 
-    ``searches`` has (search_id, countries, modes, comp_min, field) as columns, empty lists and
-    nulls ask for nothing; the feed's rule holds that what is unknown stays in. Searches meet
-    postings by day, from the day of their mark on, so a posting meets only searches of its days.
+    A user has at most ``cap`` searches; what comes later is refused. A new search has its mark at the latest live
+    posting, so it begins with nothing new. Its id is the request's. The last accepted request for a default takes it from the others.
+    ``searches`` has is_default beside id, user_id, name, query, created_at, last_run_at and last_seen_max_posted_at.
+    """
+    now = as_of_column(as_of)
+    held = searches.groupBy("user_id").agg(F.count(F.lit(1)).alias("_held"))
+    # Of any user only the first ``cap`` requests can fit.
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("request_id"))
+    first = requests.withColumn("_place", place).where(F.col("_place") <= cap)
+    taken = first.join(held, "user_id", "left").where(F.col("_place") + F.coalesce("_held", F.lit(0)) <= cap)
+    refused = requests.select("user_id", "request_id").join(taken.select("user_id", "request_id"), ["user_id", "request_id"], "left_anti")
+    chosen = taken.groupBy("user_id").agg(F.max(F.when(F.col("make_default"), F.col("request_id"))).alias("_default"))
+    mark = high_water(postings).withColumnRenamed("high_water", "_mark")
+    # One row, joined by a constant key.
+    new = taken.join(chosen, "user_id").withColumn("_one", F.lit(1)).join(F.broadcast(mark.withColumn("_one", F.lit(1))), "_one")
+    kinds = dict(searches.dtypes)
+    values = {"id": F.col("request_id"), "is_default": F.coalesce(F.col("request_id") == F.col("_default"), F.lit(False)), "created_at": now, "last_run_at": now, "last_seen_max_posted_at": F.col("_mark")}
+    fresh = new.select(*((values[c] if c in values else F.col(c) if c in requests.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in searches.columns))
+    lost = searches.join(chosen.where(F.col("_default").isNotNull()), "user_id", "left")
+    old = lost.select(*(F.when(F.col("_default").isNotNull(), F.lit(False)).otherwise(F.col(c)).alias(c) if c == "is_default" else F.col(c) for c in searches.columns))
+    return old.unionByName(fresh), refused
+
+
+def run_searches(searches: DataFrame, runs: DataFrame, postings: DataFrame, as_of: str | Column) -> DataFrame:
+    """Searches after runs (user_id, id): their mark moves to the latest live posting. Only a user's own searches run."""
+    hit = runs.select("user_id", "id").distinct().withColumn("_run", F.lit(1)).join(F.broadcast(high_water(postings).withColumn("_run", F.lit(1))), "_run")
+    joined = searches.join(hit, ["user_id", "id"], "left")
+    ran = F.col("_run").isNotNull()
+    values = {"last_run_at": F.when(ran, as_of_column(as_of)).otherwise(F.col("last_run_at")), "last_seen_max_posted_at": F.when(ran, F.col("high_water")).otherwise(F.col("last_seen_max_posted_at"))}
+    return joined.select(*(values[c].alias(c) if c in values else F.col(c) for c in searches.columns))
+
+
+def delete_searches(searches: DataFrame, requests: DataFrame) -> DataFrame:
+    """Searches without those of the requests (user_id, id)."""
+    return searches.join(requests.select("user_id", "id").distinct(), ["user_id", "id"], "left_anti").select(*searches.columns)
+
+
+def prune_sessions(sessions: DataFrame, as_of: str | Column, days: int = SESSION_DAYS) -> DataFrame:
+    """Sessions that have not been over for ``days`` days; those without an end stay."""
+    return sessions.where(F.coalesce(F.col("expires_at") >= as_of_column(as_of) - F.make_dt_interval(days=F.lit(days)), F.lit(True)))
+
+
+def record_visits(users: DataFrame, requests: DataFrame, gap_seconds: int, throttle_seconds: int = THROTTLE_SECONDS) -> DataFrame:
+    """Users (id, last_active_at, previous_visit_at, ...) after requests (user_id, at), taken in their order.
+
+    A request within ``throttle_seconds`` of the last one that counted does not count. One that counts after more than
+    ``gap_seconds`` moves previous_visit_at to the last activity before it. What counts depends on what counted
+    before: a user's requests stream, sorted, through one fold with three values of state.
     """
-    since = candidates.select("user_id", "search_id", "since").join(searches, "search_id")
-    days = since.withColumn("day", F.explode(F.sequence(F.to_date("since"), F.to_date(as_of_column(as_of)))))
-    posts = live.where(F.col("status") == "live").withColumn("at", freshness()).withColumn("day", F.to_date("at"))
-    met = days.join(posts.select("id", "at", "day", "country", "mode", F.col("comp_min").alias("pay"), F.col("field").alias("kind")), "day").where(F.col("at") > F.col("since"))
-    any_of = lambda wanted, value, unknown: (F.size(wanted) == 0) | F.array_contains(wanted, value) | unknown
-    met = met.where(any_of("countries", F.col("country"), F.col("country").isNull()) & any_of("modes", F.col("mode"), F.lit(False)))
-    met = met.where((F.col("comp_min").isNull() | F.col("pay").isNull() | (F.col("pay") >= F.col("comp_min"))) & F.when(F.col("field").isNull(), F.col("kind") != "other").otherwise((F.col("field") == "all") | (F.col("field") == F.col("kind"))))
-    w = Window.partitionBy("search_id").orderBy(F.desc("at"), F.desc("id"))
-    ranked = met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= shown + 1)
-    more = F.max("place").over(Window.partitionBy("search_id")) > shown
-    return ranked.withColumn("more", more).where(F.col("place") <= shown).select("user_id", "search_id", "place", "id", "more")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    start = users.select(F.col("id").alias("user_id"), micros("last_active_at").alias("active"), micros("previous_visit_at").alias("previous"), F.lit(None).cast("long").alias("at"))
+    asked = requests.select("user_id", F.lit(None).cast("long").alias("active"), F.lit(None).cast("long").alias("previous"), micros("at").alias("at"))
+    rows = start.unionByName(asked.where("at IS NOT NULL AND user_id IS NOT NULL"))
+    gap, throttle = gap_seconds * 1_000_000, throttle_seconds * 1_000_000
+
+    def fold(batches):
+        user, known, active, previous = None, False, None, None
+        out: list = []
+        for batch in batches:
+            for u, a, p, at in batch.itertuples(index=False):
+                if u != user:
+                    if known:
+                        out.append((user, active, previous))
+                    user, known, active, previous = u, False, None, None
+                if at != at or at is None:  # the user's own row comes first
+                    known, active, previous = True, None if a != a else int(a), None if p != p else int(p)
+                elif known and (active is None or active < at - throttle):
+                    if active is None or active < at - gap:
+                        previous = int(at) if active is None else active
+                    active = int(at)
+            yield _visits(out)
+            out = []
+        if known:
+            yield _visits([(user, active, previous)])
+
+    moved = rows.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_first("at")).mapInPandas(fold, "_id long, _active long, _previous long")
+    stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    joined = users.join(moved, users["id"] == moved["_id"])
+    values = {"last_active_at": stamp("_active"), "previous_visit_at": stamp("_previous")}
+    return joined.select(*(values[c].alias(c) if c in values else users[c] for c in users.columns))
+
+
+def _visits(rows: list):
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=["_id", "_active", "_previous"]).astype({"_active": "Int64", "_previous": "Int64"})
+
+
+#: Searches that one broadcast may hold, well under 100 MB; more are shuffled.
+BROADCAST_SEARCHES = 100_000
+
+
+def filters_frame(spark, filters: dict[int, FeedFilter]) -> DataFrame:
+    """The columns of ``digest`` from parsed searches by id. Bands need a profile and cannot be asked for in a digest."""
+    if any(f.bands for f in filters.values()):
+        raise ValueError("bands need the viewer's profile")
+    kind = "search_id long, countries array<string>, modes array<string>, yoe array<string>, comp_min double, disclosed_only boolean, field string, vendors array<string>, skills array<string>, query string, include_dismissed boolean"
+    rows = [(i, list(f.countries), list(f.modes), list(f.yoe), f.comp_min, f.disclosed_only, f.field, list(f.vendors), list(f.skills), f.query, f.include_dismissed) for i, f in filters.items()]
+    return spark.createDataFrame(rows, kind)
+
+
+def digest(candidates: DataFrame, searches: DataFrame, live: DataFrame, as_of: str | Column, *, posting_skills: DataFrame, dismissed: DataFrame, index=None, shown: int = 8) -> DataFrame:
+    """(user_id, search_id, place, id, more): for each candidate (user_id, search_id, since) its newest postings later than ``since``, at most ``shown``, and whether there are more.
+
+    ``searches`` has a search's filter as columns, see ``filters_frame``; the feed's own conditions hold
+    (``feed.conditions``), with the text query through ``index``, skills and the user's dismissals. ``live`` are the feed's rows,
+    with vendor. Postings are walked backwards, in stretches of 1, 2, 4 ... days from the latest on; a search
+    that has ``shown`` + 1 rows, or whose mark lies behind, drops out. Searches meet a stretch's postings by country and mode,
+    so a posting meets only those that ask for its own or for any.
+    """
+    spark = live.sparkSession
+    asked = store.written(candidates.select("user_id", "search_id", "since").join(searches, "search_id"), "digest-searches")
+    n = asked.count()
+    keyed = lambda col: F.when(F.size(col) > 0, col).otherwise(F.array(F.lit("*")))
+    with_null = F.when(F.size("countries") > 0, F.array_append("countries", F.lit("?"))).otherwise(F.array(F.lit("*")))
+    asked = asked.withColumn("_country", F.explode(F.array_distinct(with_null))).withColumn("_mode", F.explode(F.array_distinct(keyed(F.col("modes")))))
+    posts = live.where(F.col("status") == "live").withColumn("at", freshness())
+    bounds = posts.agg(F.max("at"), F.min("at")).first()
+    kept = spark.createDataFrame([], "search_id long, user_id long, id long, at timestamp_ntz")
+    if n and bounds[0] is not None:
+        hits = _query_hits(asked, live, index)
+        skill_sets = posting_skills.select("posting_id", "skill").distinct()
+        latest, day, span = bounds[0], timedelta(days=1), 1
+        while latest is not None:
+            earliest = latest - span * day
+            part = posts.where((F.col("at") <= as_of_column(str(latest))) & (F.col("at") > as_of_column(str(earliest))))
+            part = part.withColumn("_country", F.explode(F.array(F.coalesce("country", F.lit("?")), F.lit("*")))).withColumn("_mode", F.explode(F.array("mode", F.lit("*"))))
+            open_ = asked.where(F.col("since") < as_of_column(str(latest))).join(kept.groupBy("search_id").count().where(F.col("count") > shown), "search_id", "left_anti")
+            if open_.isEmpty():
+                break
+            side = open_.select("search_id", "user_id", "since", "_country", "_mode", *(F.col(c).alias(f"q_{c}") for c in ("countries", "modes", "yoe", "comp_min", "disclosed_only", "field", "vendors", "skills", "query", "include_dismissed")))
+            met = part.join(F.broadcast(side) if n <= BROADCAST_SEARCHES else side, ["_country", "_mode"]).where((F.col("at") > F.col("since")) & conditions())
+            met = met.select("search_id", "user_id", "id", "at", "q_skills", "q_query", "q_include_dismissed")
+            met = _all_there(met, hits, skill_sets, dismissed)
+            best = met.withColumn("_n", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("at"), F.desc("id")))).where(F.col("_n") <= shown + 1).drop("_n")
+            kept = store.written(kept.unionByName(best), "digest")
+            latest, span = (earliest, span * 2) if earliest >= bounds[1] else (None, span)
+    w = Window.partitionBy("search_id")
+    ranked = kept.withColumn("place", F.row_number().over(w.orderBy(F.desc("at"), F.desc("id")))).where(F.col("place") <= shown + 1)
+    return ranked.withColumn("more", F.max("place").over(w) > shown).where(F.col("place") <= shown).select("user_id", "search_id", "place", "id", "more")
+
+
+def _query_hits(asked: DataFrame, live: DataFrame, index) -> DataFrame:
+    """(q_query, id): what each distinct text query of the searches finds. A driver's loop over distinct queries, one index read each."""
+    out = asked.sparkSession.createDataFrame([], "q_query string, id long")
+    for row in asked.where(F.coalesce("query", F.lit("")) != "").select("query").distinct().toLocalIterator():
+        found = search(live.select("id") if index is not None else live.select("id", "title", "description_text"), row["query"], index=index)
+        out = out.unionByName(found.select(F.lit(row["query"]).alias("q_query"), "id"))
+    return out
+
+
+def _all_there(met: DataFrame, hits: DataFrame, skill_sets: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """Pairs whose query is found, whose skills are all named, and that the user has not dismissed."""
+    pair = ["search_id", "id"]
+    queried = F.coalesce("q_query", F.lit("")) != ""
+    skilled = F.size(F.coalesce("q_skills", F.array().cast("array<string>"))) > 0
+    with_query = met.where(queried).join(hits, ["q_query", "id"], "left_semi").select(*met.columns).unionByName(met.where(~queried))
+    need = with_query.where(skilled)
+    named = need.select(*pair, F.size("q_skills").alias("_need"), F.explode(F.array_distinct("q_skills")).alias("skill")).join(skill_sets.withColumnRenamed("posting_id", "id"), ["id", "skill"])
+    full = named.groupBy(*pair, "_need").agg(F.count(F.lit(1)).alias("_found")).where("_found = _need").select(*pair)
+    with_skills = need.join(full, pair, "left_semi").select(*met.columns).unionByName(with_query.where(~skilled))
+    hidden = dismissed.select("user_id", F.col("posting_id").alias("id")).distinct().withColumn("_hidden", F.lit(True))
+    seen = with_skills.join(hidden, ["user_id", "id"], "left").where(F.col("_hidden").isNull() | F.coalesce("q_include_dismissed", F.lit(False)))
+    return seen.select("search_id", "user_id", "id", "at")

@@ -120,6 +120,26 @@ def yoe_predicate(bands: tuple[str, ...]) -> Column | None:
     return keep
 
 
+def conditions() -> Column:
+    """The row-wise conditions of a filter that stands beside the row, in columns named ``q_`` and the field: empty lists, nulls and false ask for nothing.
+
+    ``predicate`` says the same of one filter with literals; a test holds the two together.
+    """
+    listed = lambda c: F.coalesce(F.col(f"q_{c}"), F.array().cast("array<string>"))
+    asks, has = lambda c: F.size(listed(c)) > 0, lambda c, value: F.array_contains(listed(c), value)
+    low = F.col("yoe_min")
+    in_band = F.lit(False)
+    for name, (lo, hi) in YOE_BANDS.items():
+        in_band |= has("yoe", F.lit(name)) & (low >= lo if hi is None else low <= hi if lo is None else low.between(lo, hi))
+    some_band = F.arrays_overlap(listed("yoe"), F.array(*map(F.lit, YOE_BANDS)))
+    floor, disclosed, kind = F.col("q_comp_min"), F.coalesce("q_disclosed_only", F.lit(False)), F.coalesce("q_field", F.lit(""))
+    keep = (~asks("countries") | has("countries", F.col("country")) | F.col("country").isNull()) & (~asks("modes") | has("modes", F.col("mode")))
+    keep &= ~some_band | (F.col("yoe_confidence") < 0.5) | low.isNull() | in_band
+    keep &= (floor.isNull() | (comp_usd() >= floor) | F.col("comp_min").isNull()) & (~disclosed | F.col("comp_min").isNotNull())
+    keep &= F.when(kind == "", F.col("field") != "other").otherwise((kind == "all") | (F.col("field") == kind))
+    return (F.col("status") == "live") & keep & (~asks("vendors") | has("vendors", F.col("vendor")))
+
+
 def predicate(f: FeedFilter, as_of: str | Column) -> Column:
     """All row-wise conditions of a filter; ``matching`` adds those that need other tables."""
     keep = F.col("status") == "live"

@@ -7,7 +7,7 @@ both engines know.
 from __future__ import annotations
 
 from ..bindings import AS_OF, EVENTS_AS_OF, with_tables
-from ..functions import extract, places, stemming
+from ..functions import extract, places, resume, stemming
 from ..functions.text import NOT_SOFTWARE, OTHER_ENGINEERING, PAY, PAY_WORD, SOFTWARE
 from ..operators.feed import USD_RATES
 from . import polling
@@ -392,14 +392,50 @@ _context = " ".join(
     f"WHEN '{k}' THEN (terse OR regexp_matches(low, '(?i){p}'))" + (f" AND NOT regexp_matches(low, '(?i){extract.NOT_IN_CONTEXT[k]}')" if k in extract.NOT_IN_CONTEXT else "") for k, p in extract.IN_CONTEXT.items()
 )
 _kinds = " ".join(f"WHEN regexp_matches(line, {_literal('(?i)^' + p)}) THEN {extract.STRENGTH[k]}" for k, p in extract.HEADINGS)
-_sql("skill_sections", ("job_postings", "raw_bodies"), f"""SELECT kind, id, skill, CASE max(section) WHEN 3 THEN 'must_have' WHEN 2 THEN 'nice_to_have' ELSE 'mentioned' END AS requirement, CASE max(section) WHEN 1 THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence
-FROM named WHERE CASE skill {_context} ELSE true END GROUP BY kind, id, skill""", rf"""
-names(name, pattern, skill) AS (VALUES {_values((n, extract.name_pattern(n), k) for n, k in extract.NAMES.items())}),
-bodies AS (SELECT 'posting' AS kind, id, description_text FROM job_postings UNION ALL SELECT 'document', id, description_text FROM raw_bodies),
+def _skill_ctes(bodies: str) -> str:
+    """``named`` (kind, id, skill, section, low, terse): names in the lines of ``bodies`` (kind, id, description_text)."""
+    return rf"""names(name, pattern, skill) AS (VALUES {_values((n, extract.name_pattern(n), k) for n, k in extract.NAMES.items())}),
+bodies AS ({bodies}),
 lined AS (SELECT kind, id, generate_subscripts(x, 1) AS pos, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS line FROM (SELECT kind, id, string_split(description_text, chr(10)) AS x FROM bodies)),
 headed AS (SELECT *, CASE {_kinds} END AS heading FROM lined),
 sectioned AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY kind, id ORDER BY pos), 1) AS section, lower(line) AS low FROM headed),
-named AS (SELECT s.*, skill, section > 1 AND len(string_split_regex(low, '\s+')) <= {extract.TERSE} AS terse FROM sectioned s JOIN names n ON contains(low, n.name) AND regexp_matches(low, n.pattern) WHERE heading IS NULL AND low <> '')""")
+named AS (SELECT s.*, skill, section > 1 AND len(string_split_regex(low, '\s+')) <= {extract.TERSE} AS terse FROM sectioned s JOIN names n ON contains(low, n.name) AND regexp_matches(low, n.pattern) WHERE heading IS NULL AND low <> '')"""
+
+
+_sql("skill_sections", ("job_postings", "raw_bodies"), f"""SELECT kind, id, skill, CASE max(section) WHEN 3 THEN 'must_have' WHEN 2 THEN 'nice_to_have' ELSE 'mentioned' END AS requirement, CASE max(section) WHEN 1 THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence
+FROM named WHERE CASE skill {_context} ELSE true END GROUP BY kind, id, skill""", _skill_ctes("SELECT 'posting' AS kind, id, description_text FROM job_postings UNION ALL SELECT 'document', id, description_text FROM raw_bodies"))
+
+_clean_heading = f"regexp_replace(line, '[{resume.HEADING_TAIL}]+$', '')"
+_section_of = "CASE WHEN len(string_split_regex(line, '\\s+')) > 6 THEN NULL " + " ".join(f"WHEN regexp_matches({_clean_heading}, {_literal(f'(?i)^(?:{p})$')}) THEN '{k}'" for k, p in resume.HEADINGS) + " END"
+_months = "[" + ", ".join(f"'{m}'" for m in resume.MONTHS) + "]"
+_fraction = lambda g: f"CASE WHEN regexp_extract(m, {_literal(resume.RANGE)}, {g}) <> '' THEN (list_position({_months}, lower(left(regexp_extract(m, {_literal(resume.RANGE)}, {g}), 3))) - 1) / 12.0::DOUBLE ELSE 0.0::DOUBLE END"
+_of = lambda g: f"regexp_extract(m, {_literal(resume.RANGE)}, {g})"
+_sql("resume_parse", ("raw_resumes",), """SELECT r.id, email, phone, links, coalesce(skills, '') AS skills, years AS years_of_experience,
+  CASE WHEN n_lines = 0 THEN 0.0 ELSE floor((CASE WHEN email IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN skills IS NOT NULL THEN 0.30 ELSE 0 END + CASE WHEN work IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN years IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN school THEN 0.05 ELSE 0 END + CASE WHEN n_lines >= 15 THEN 0.10 ELSE 0 END) * 100 + 0.5) / 100.0 END::DOUBLE AS confidence,
+  array_to_string(list_filter([CASE WHEN work IS NULL THEN 'no_experience_section' END, CASE WHEN skills IS NULL THEN 'no_skills' END, CASE WHEN email IS NULL THEN 'no_contact' END, CASE WHEN work IS NOT NULL AND years IS NULL THEN 'no_dates' END], lambda x: x IS NOT NULL), ',') AS diagnostics, n_lines
+FROM (SELECT p.*, s.skills, CASE WHEN work IS NULL THEN stated ELSE worked END AS years FROM people p LEFT JOIN skilled s USING (id) LEFT JOIN dated USING (id)) r""", rf"""
+cutl AS (SELECT id, generate_subscripts(x, 1) AS n, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS line FROM (SELECT id, string_split(text, chr(10)) AS x FROM raw_resumes)),
+marked AS (SELECT *, {_section_of} AS h FROM cutl WHERE line <> ''),
+seen AS (SELECT *, count(h) OVER (PARTITION BY id ORDER BY n) AS before FROM marked),
+placed AS (SELECT id, n, line, h, coalesce(last_value(coalesce(h, CASE WHEN before = 0 AND len(string_split_regex(line, '\s+')) > 12 THEN 'summary' END) IGNORE NULLS) OVER (PARTITION BY id ORDER BY n), 'contact') AS part FROM seen),
+parts AS (SELECT id, part, string_agg(line || chr(10), '' ORDER BY n) AS body FROM placed WHERE h IS NULL GROUP BY id, part),
+heads AS (SELECT id, string_agg(line || chr(10), '' ORDER BY n) AS head FROM placed WHERE h IS NULL AND part IN ('contact', 'summary') GROUP BY id),
+people AS (
+  SELECT r.id, coalesce(nullif(regexp_extract(coalesce(head, ''), {_literal(resume.EMAIL)}), ''), nullif(regexp_extract(text, {_literal(resume.EMAIL)}), '')) AS email, nullif(trim(regexp_extract(coalesce(head, ''), {_literal(resume.PHONE)})), '') AS phone,
+    (SELECT coalesce(string_agg(l, ' ' ORDER BY l), '') FROM (SELECT l FROM (SELECT unnest(list_slice(regexp_extract_all(text, {_literal(resume.LINK)}), 1, 8)) AS l, generate_subscripts(list_slice(regexp_extract_all(text, {_literal(resume.LINK)}), 1, 8), 1) AS i) QUALIFY row_number() OVER (PARTITION BY lower(rtrim(l, '/')) ORDER BY i) = 1)) AS links,
+    (SELECT body FROM parts p WHERE p.id = r.id AND part = 'experience') AS work, EXISTS (SELECT 1 FROM parts p WHERE p.id = r.id AND part = 'education') AS school, (SELECT count(*) FROM placed p WHERE p.id = r.id) AS n_lines,
+    (SELECT CASE WHEN y > 0 AND y < 60 THEN y END FROM (SELECT try_cast(regexp_extract(body, {_literal(resume.STATED)}, 1) AS DOUBLE) AS y FROM parts p WHERE p.id = r.id AND part = 'summary')) AS stated
+  FROM raw_resumes r LEFT JOIN heads USING (id)),
+ranges AS (SELECT id, unnest(regexp_extract_all(body, {_literal(resume.RANGE)})) AS m FROM parts WHERE part = 'experience'),
+spans AS (SELECT id, {_of(2)}::INT::DOUBLE + {_fraction(1)} AS a, CASE WHEN regexp_matches({_of(4)}, '^[0-9]+$') THEN try_cast({_of(4)} AS INT)::DOUBLE + {_fraction(3)} ELSE year({_NOW}) + (month({_NOW}) - 1) / 12.0::DOUBLE END AS b FROM ranges),
+reach AS (SELECT id, b, greatest(a, coalesce(max(b) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)) AS a FROM spans WHERE b >= a AND a >= 1950 AND b <= year({_NOW}) + 1),
+dated AS (SELECT id, floor(sum(greatest(b - a, 0)) * 10 + 0.5) / 10 AS worked FROM reach GROUP BY id HAVING sum(greatest(b - a, 0)) > 0),
+{_skill_ctes("SELECT part AS kind, id, body AS description_text FROM parts")},
+worth(part, r, label) AS (VALUES {_values((s, i, e) for i, (s, e) in enumerate(resume.EVIDENCE))}),
+strongest AS (SELECT id, skill, max(r) AS r FROM named JOIN worth ON part = kind WHERE CASE skill {_context} ELSE true END GROUP BY id, skill),
+yearly AS (SELECT s.id, s.skill, w.label, (SELECT first(y ORDER BY i) FROM (SELECT i, try_cast(regexp_extract(substr(low, strpos(low, s.skill)), {_literal(resume.SKILL_YEARS)}, 1) AS INT) AS y FROM (SELECT unnest(string_split(lower(p.body), chr(10))) AS low, generate_subscripts(string_split(p.body, chr(10)), 1) AS i) WHERE contains(low, s.skill)) WHERE y > 0 AND y < 60) AS y
+  FROM strongest s JOIN worth w USING (r) JOIN parts p ON p.id = s.id AND p.part = w.part),
+skilled AS (SELECT id, string_agg(concat(skill, ':', label, coalesce(':' || y::STRING, '')), ',' ORDER BY skill) AS skills FROM yearly GROUP BY id)""")
 
 
 _sql("profile_map", ("user_skills",), """SELECT user_id, string_agg(concat(skill, '=', coalesce(years, 0)::INT), ',' ORDER BY skill) AS years, coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (origin = 'manual'), '') AS manual,
@@ -413,12 +449,30 @@ WHERE status <> 'saved' OR NOT EXISTS (SELECT 1 FROM applications b WHERE b.next
 _sql("application_patch", ("applications",), f"""SELECT id, CASE WHEN hit AND status = 'saved' THEN 'applied' ELSE status END AS status, CASE WHEN hit THEN CASE WHEN status = 'screening' THEN 'referral' ELSE 'other' END END AS channel,
 CASE WHEN hit THEN {_EVENTS_NOW} END AS applied_at, CASE WHEN hit THEN {_EVENTS_NOW} ELSE last_activity_at END AS last_activity_at, next_action_at FROM (SELECT *, next_action_at IS NOT NULL AS hit FROM applications)""")
 _sql("application_patch_events", ("applications",), f"""SELECT id AS application_id, 'saved' AS from_status, 'applied' AS to_status, {_EVENTS_NOW} AS occurred_at FROM applications WHERE next_action_at IS NOT NULL AND status = 'saved'""")
-_sql("digest_replay", ("saved_searches", "job_postings"), f"""SELECT user_id, search_id, place::INTEGER AS place, id, most > 8 AS more FROM (
+_sql("digest_replay", (*FEED, "saved_searches", "posting_skills", "dismissed_postings"), f"""SELECT user_id, search_id, place::INTEGER AS place, id, most > 8 AS more FROM (
   SELECT *, max(place) OVER (PARTITION BY search_id) AS most FROM (
-    SELECT s.user_id, s.id AS search_id, p.id, row_number() OVER (PARTITION BY s.id ORDER BY coalesce(p.posted_at, p.first_seen_at) DESC, p.id DESC) AS place
-    FROM saved_searches s JOIN job_postings p ON p.status = 'live' AND coalesce(p.posted_at, p.first_seen_at) > s.last_seen_max_posted_at AND coalesce(p.posted_at, p.first_seen_at)::DATE <= {_NOW}::DATE
-    WHERE (s.user_id % 3 <> 0 OR p.country IS NULL OR p.country IN ('N1', 'N2')) AND (s.user_id % 4 <> 0 OR p.mode = 'remote') AND (s.user_id % 5 <> 0 OR p.comp_min IS NULL OR p.comp_min >= 150000)
-      AND (s.user_id % 2 = 0 OR p.field <> 'other'))) WHERE place <= 8""")
+    SELECT s.user_id, s.id AS search_id, p.id, row_number() OVER (PARTITION BY s.id ORDER BY fresh_at DESC, p.id DESC) AS place
+    FROM saved_searches s JOIN feed p ON p.status = 'live' AND fresh_at > s.last_seen_max_posted_at
+    WHERE (s.user_id % 3 <> 0 OR p.country IS NULL OR p.country IN ('N1', 'N2')) AND (s.user_id % 4 <> 0 OR p.mode = 'remote') AND (s.user_id % 5 <> 0 OR p.comp_min IS NULL OR {_USD} >= 150000) AND (s.user_id % 10 <> 0 OR p.comp_min IS NOT NULL)
+      AND (s.user_id % 2 = 0 OR p.field <> 'other') AND (s.user_id % 7 <> 0 OR yoe_confidence < 0.5 OR yoe_min IS NULL OR yoe_min BETWEEN 3 AND 5 OR yoe_min >= 9) AND (s.user_id % 11 <> 0 OR vendor IN ('ashby', 'workable'))
+      AND (s.user_id % 13 <> 1 OR p.id IN (SELECT posting_id FROM posting_skills WHERE skill = 'hot plate')) AND (s.user_id % 6 <> 1 OR (p.{_having('engin')} AND NOT p.{_having('remot')}))
+      AND (s.user_id % 9 = 0 OR NOT EXISTS (SELECT 1 FROM dismissed_postings d WHERE d.user_id = s.user_id AND d.posting_id = p.id)))) WHERE place <= 8""", f"{LIVE}, {_places('feed')}")
+_SEARCHES = """kept AS (SELECT id, user_id, name, '' AS query, id = min(id) OVER (PARTITION BY user_id) AS is_default, created_at, last_digest_at AS last_run_at, last_seen_max_posted_at FROM saved_searches),
+mark AS (SELECT max(coalesce(posted_at, first_seen_at)) AS newest FROM job_postings WHERE status = 'live')"""
+_ASKED = f"""{_SEARCHES}, wanted AS (SELECT user_id, event_id AS id, value > 70 AS make_default, row_number() OVER (PARTITION BY user_id ORDER BY event_id) + (SELECT count(*) FROM kept k WHERE k.user_id = e.user_id) AS place FROM events e WHERE event_type = 'signup'),
+def AS (SELECT user_id, max(id) AS id FROM wanted WHERE place <= 20 AND make_default GROUP BY user_id)"""
+_sql("saved_search_create", ("saved_searches", "job_postings"), f"""SELECT id, user_id, name, query, is_default AND user_id NOT IN (SELECT user_id FROM def) AS is_default, created_at, last_run_at, last_seen_max_posted_at FROM kept
+UNION ALL SELECT id, user_id, concat('new ', id), 'q=go', id IN (SELECT id FROM def), {_EVENTS_NOW}, {_EVENTS_NOW}, (SELECT newest FROM mark) FROM wanted WHERE place <= 20""", _ASKED)
+_sql("saved_search_refused", ("saved_searches", "job_postings"), "SELECT user_id, id AS request_id FROM wanted WHERE place > 20", _ASKED)
+_sql("saved_search_run", ("saved_searches", "job_postings"), f"""SELECT id, user_id, CASE WHEN ran THEN {_EVENTS_NOW} ELSE last_run_at END AS last_run_at, CASE WHEN ran THEN (SELECT newest FROM mark) ELSE last_seen_max_posted_at END AS last_seen_max_posted_at
+FROM (SELECT *, is_default AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 60) AS ran FROM kept k WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error' AND e.user_id = k.user_id AND e.event_id + floor(e.value)::BIGINT % 9 = k.id))""", _SEARCHES)
+_sql("visit_throttle", ("users",), """SELECT id, active AS last_active_at, previous AS previous_visit_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS last FROM walk) WHERE last = 1""",
+     """asked AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+walk AS (SELECT id, 0::BIGINT AS n, CASE WHEN deletion_requested_at IS NULL THEN created_at END AS active, NULL::TIMESTAMP AS previous FROM users
+  UNION ALL SELECT w.id, a.n, CASE WHEN active IS NULL OR active < ts - INTERVAL '6' HOUR THEN ts ELSE active END, CASE WHEN active IS NULL THEN ts WHEN active < ts - INTERVAL '6' HOUR AND active < ts - INTERVAL '1' DAY THEN active ELSE previous END
+  FROM walk w JOIN asked a ON a.user_id = w.id AND a.n = w.n + 1)""")
+ORACLES["visit_throttle"] = ORACLES["visit_throttle"].replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["session_prune"] = "SELECT event_id FROM events WHERE NOT coalesce(value > 5 AND ts + INTERVAL '12' HOUR < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL '30' DAY, false)"
 
 ORACLES |= SOURCE_SQL | polling.SQL
 _sql("posting_detail", (*RANKED, "applications"), """SELECT s.id, s.title, s.company, s.vendor, p.country, array_to_string(mu, ',') AS must, array_to_string(ni, ',') AS nice, s.id IN (SELECT posting_id FROM applications WHERE user_id = VIEWER) AS saved, score, band,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, EVENTS_AS_OF, bound, raw
-from ..functions import extract, search, stemming, text
+from ..functions import extract, resume, search, stemming, text
 from ..functions.similarity import trigrams
 from ..operators import account, backfills, feed, maintenance, rollups, scoring
 from ..operators.backfills import Backfill
@@ -301,17 +301,69 @@ def application_patch_events(spark, sf_dir):
     return _patched(spark, sf_dir)[1]
 
 
+def _digest_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Saved searches with marks, and filters that differ by user: countries, mode, pay in dollars, field, bands of years, vendor, query, skill."""
+    saved = bound(spark, sf_dir, "saved_searches").where("last_seen_max_posted_at IS NOT NULL")
+    some = lambda cond, *values: F.when(cond, F.array(*map(F.lit, values))).otherwise(F.array().cast("array<string>"))
+    by = lambda n, k=0: F.col("user_id") % n == k
+    searches = saved.select(
+        F.col("id").alias("search_id"), some(by(3), "N1", "N2").alias("countries"), some(by(4), "remote").alias("modes"), some(by(7), "3-5", "9+").alias("yoe"), F.when(by(5), 150000.0).alias("comp_min"), by(10).alias("disclosed_only"),
+        F.when(by(2), "all").otherwise("").alias("field"), some(by(11), "ashby", "workable").alias("vendors"), some(by(13, 1), "hot plate").alias("skills"), F.when(by(6, 1), "engineers -remote").otherwise("").alias("query"), by(9).alias("include_dismissed"),
+    )
+    return saved.select("user_id", F.col("id").alias("search_id"), F.col("last_seen_max_posted_at").alias("since")), searches
+
+
 @query
 def digest_replay(spark, sf_dir):
     """Each saved search over the feed since its mark."""
+    candidates, searches = _digest_inputs(spark, sf_dir)
+    return account.digest(candidates, searches, live_feed(spark, sf_dir), AS_OF, posting_skills=bound(spark, sf_dir, "posting_skills"), dismissed=bound(spark, sf_dir, "dismissed_postings"), index=text_index(spark, sf_dir))
+
+
+def _searches(spark, sf_dir) -> DataFrame:
+    """Saved searches as they are stored; a user's oldest is the default."""
     saved = bound(spark, sf_dir, "saved_searches")
-    empty = F.array().cast("array<string>")
-    searches = saved.select(
-        F.col("id").alias("search_id"), F.when(F.col("user_id") % 3 == 0, F.array(F.lit("N1"), F.lit("N2"))).otherwise(empty).alias("countries"), F.when(F.col("user_id") % 4 == 0, F.array(F.lit("remote"))).otherwise(empty).alias("modes"),
-        F.when(F.col("user_id") % 5 == 0, F.lit(150000.0)).alias("comp_min"), F.when(F.col("user_id") % 2 == 0, "all").alias("field"),
-    )
-    candidates = saved.where("last_seen_max_posted_at IS NOT NULL").select("user_id", F.col("id").alias("search_id"), F.col("last_seen_max_posted_at").alias("since"))
-    return account.digest(candidates, searches, bound(spark, sf_dir, "job_postings"), AS_OF)
+    oldest = saved.groupBy("user_id").agg(F.min("id").alias("_oldest"))
+    return saved.join(oldest, "user_id").select("id", "user_id", "name", F.lit("").alias("query"), (F.col("id") == F.col("_oldest")).alias("is_default"), "created_at", F.col("last_digest_at").alias("last_run_at"), "last_seen_max_posted_at")
+
+
+def _saved(spark, sf_dir):
+    """Every sign-up asks to save a search; a cap of 20 refuses some."""
+    asked = raw(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", F.col("event_id").alias("request_id"), F.concat(F.lit("new "), F.col("event_id").cast("string")).alias("name"), F.lit("q=go").alias("query"), (F.col("value") > 70).alias("make_default"))
+    return account.create_searches(_searches(spark, sf_dir), asked, bound(spark, sf_dir, "job_postings"), EVENTS_AS_OF, cap=20)
+
+
+@query
+def saved_search_create(spark, sf_dir):
+    return _saved(spark, sf_dir)[0]
+
+
+@query
+def saved_search_refused(spark, sf_dir):
+    return _saved(spark, sf_dir)[1]
+
+
+@query
+def saved_search_run(spark, sf_dir):
+    """Clicks run the user's oldest search; errors would delete searches of others, and delete nothing but their own."""
+    searches = _searches(spark, sf_dir)
+    clicks = raw(spark, sf_dir, "events").where("event_type = 'click' AND value > 60").select("user_id").distinct()
+    runs = searches.where("is_default").join(clicks, "user_id", "left_semi").select("user_id", "id")
+    gone = raw(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", (F.col("event_id") + F.floor("value").cast("long") % 9).alias("id"))
+    return account.delete_searches(account.run_searches(searches, runs, bound(spark, sf_dir, "job_postings"), EVENTS_AS_OF), gone).select("id", "user_id", "last_run_at", "last_seen_max_posted_at")
+
+
+@query
+def visit_throttle(spark, sf_dir):
+    """Every event is a request: one in six hours counts, and after a day it is another visit."""
+    users = bound(spark, sf_dir, "users").select("id", F.when(F.col("deletion_requested_at").isNull(), F.col("created_at")).alias("last_active_at"), F.lit(None).cast("timestamp_ntz").alias("previous_visit_at"))
+    return account.record_visits(users, raw(spark, sf_dir, "events").select("user_id", F.col("ts").alias("at")), 86400, 21600)
+
+
+@query
+def session_prune(spark, sf_dir):
+    sessions = raw(spark, sf_dir, "events").select("event_id", F.when(F.col("value") > 5, F.col("ts") + F.expr("INTERVAL '12' HOUR")).alias("expires_at"))
+    return account.prune_sessions(sessions, "2024-02-15 00:00:00").select("event_id")
 
 
 @query
@@ -518,6 +570,13 @@ def skill_sections(spark, sf_dir):
     return rows.select("kind", "id", F.explode("skills").alias("x")).select("kind", "id", "x.skill", "x.requirement", "x.confidence")
 
 
+@query
+def resume_parse(spark, sf_dir):
+    x = resume.parse(bound(spark, sf_dir, "raw_resumes"), AS_OF)
+    skill = F.transform("skills", lambda s: F.concat_ws(":", s["canonical"], s["evidence"], s["years"].cast("int").cast("string")))
+    return x.select("id", "email", "phone", F.array_join("links", " ").alias("links"), F.array_join(skill, ",").alias("skills"), "years_of_experience", "confidence", F.array_join("diagnostics", ",").alias("diagnostics"), "n_lines")
+
+
 SEARCH = 'engineers remotely -"years of experience" or backend'
 
 
