@@ -209,6 +209,27 @@ def register_boards(sources: DataFrame, boards: DataFrame) -> DataFrame:
     return merge_frames(kept, listed, ["vendor", "board_token"], {})
 
 
+def register_registry(companies: DataFrame, sources: DataFrame, postings: DataFrame, boards: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(companies, sources, postings) after a list of boards (slug, name, vendor, board_token) is the registry.
+
+    Companies are known by slug and take the listed name, sources by (vendor, board_token) and take the listed company, with
+    ids of hashes where they are new. Sources that are not listed go with their postings, and companies
+    without a source go. An empty list is refused. Of repeated boards and slugs the smallest row counts.
+    """
+    if boards.isEmpty():
+        raise ValueError("an empty board list would delete every source")
+    listed = boards.groupBy("vendor", "board_token").agg(F.min(F.struct("slug", "name")).alias("x")).select("vendor", "board_token", "x.slug", "x.name")
+    own = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 15), 16, 10).cast("long")
+    named = listed.groupBy("slug").agg(F.min("name").alias("name")).withColumn("id", own("slug"))
+    companies = merge_frames(companies, named, ["slug"], {"id": lambda o, n: o})
+    wanted = listed.join(companies.select("slug", F.col("id").alias("company_id")), "slug").withColumn("id", own("vendor", "board_token")).select("id", "vendor", "board_token", "company_id")
+    kept = sources.join(listed.select("vendor", "board_token"), ["vendor", "board_token"], "left_semi").select(*sources.columns)
+    sources = merge_frames(kept, wanted, ["vendor", "board_token"], {"id": lambda o, n: o}, {"tier": F.lit("a")})
+    postings = postings.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*postings.columns)
+    companies = companies.join(sources.select(F.col("company_id").alias("id")), "id", "left_semi").select(*companies.columns)
+    return companies, sources, postings
+
+
 def erase_users(users: DataFrame, as_of: str | Column, days: int = ERASURE_DAYS) -> DataFrame:
     """Users who asked for deletion ``days`` days ago are anonymised: address gone, deleted_at set."""
     now = as_of_column(as_of)

@@ -140,7 +140,7 @@ OUT = """gaps AS (SELECT hr AS ends, lag(hr) OVER (ORDER BY hr) AS starts FROM (
 outages AS (SELECT starts, ends FROM gaps WHERE ends - starts > INTERVAL '3' HOUR)"""
 _sql("outages", ("job_postings",), "SELECT starts, ends FROM outages", OUT)
 _LATENCY = """SELECT tier, vendor, count(*) AS postings, round(quantile_cont(m, 0.5), 1) AS p50_min, round(quantile_cont(m, 0.9), 1) AS p90_min, round(quantile_cont(m, 0.99), 1) AS p99_min,
-CASE WHEN count(*) < 100 THEN 'too few rows to call' WHEN tier <> 'a' THEN '—' WHEN quantile_cont(m, 0.5) > 90 THEN 'OVER BUDGET (tier A median > 90 min)' ELSE 'within budget' END AS verdict
+CASE WHEN count(*) < 100 THEN 'no verdict: not enough rows' WHEN tier <> 'a' THEN 'no budget for this tier' WHEN quantile_cont(m, 0.5) > 90 THEN 'late: median over 90 minutes' ELSE 'on time' END AS verdict
 FROM measured GROUP BY tier, vendor"""
 _measured = lambda extra: f"""{OUT}, watch AS (SELECT source_id, min(first_seen_at) AS started FROM job_postings GROUP BY source_id),
 measured AS (SELECT s.vendor, s.tier, (epoch_us(first_seen_at) - epoch_us(posted_at)) / 60e6 AS m FROM job_postings p JOIN sources s ON s.id = p.source_id JOIN watch w ON w.source_id = p.source_id
@@ -491,3 +491,16 @@ _PLACES = lambda source: ORACLES["location_parse"].replace("raw_places AS (", "r
 _FILLED = "SELECT p.id, {} FROM job_postings p LEFT JOIN parsed x ON x.id = p.company_id".format(", ".join(f"CASE WHEN p.country IS NULL AND x.country <> '' THEN nullif(x.{c}, '') ELSE {'p.' + c if c != 'region' else 'NULL'} END AS {c}" for c in ("country", "region", "city")))
 _sql("backfill_locations", ("job_postings",), _FILLED, f"parsed AS ({_PLACES('SELECT * FROM raw_places0')})")
 _sql("backfill_locations_again", ("job_postings",), _FILLED, f"parsed AS ({_PLACES(chr(10) + 'SELECT id, CASE WHEN location_raw LIKE ' + _literal('Customer#%') + ' THEN regexp_replace(location_raw, ' + _literal('^Customer#0*') + ', ' + _literal('Berlin, ') + ') ELSE location_raw END AS location_raw FROM raw_places0')})")
+
+_hash_id = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
+_sql("registry_after", ("companies", "sources", "job_postings"), """SELECT 'company' AS kind, id, slug AS a, name AS b, NULL::BIGINT AS of FROM new_companies WHERE id IN (SELECT company_id FROM new_sources)
+UNION ALL SELECT 'source', id, board_token, concat(vendor, '/', tier), company_id FROM new_sources UNION ALL SELECT 'posting', id, NULL, NULL, source_id FROM job_postings WHERE source_id IN (SELECT id FROM new_sources)""", f"""
+stored AS (SELECT s.id, s.vendor, concat(slug, '-', vendor) AS board_token, s.company_id, tier, slug, name FROM sources s JOIN companies c ON c.id = s.company_id),
+listed AS (SELECT slug, upper(name) AS name, vendor, board_token FROM stored WHERE tier IN ('a', 'b') UNION ALL SELECT 'supplier#moved', 'Moved', vendor, board_token FROM stored WHERE tier = 'c' AND vendor = 'ashby'
+  UNION ALL SELECT lower(s_name), s_name, 'keka', concat('new-', lower(s_name)) FROM supplier),
+new_companies AS (SELECT coalesce(c.id, {_hash_id('l.slug')}) AS id, coalesce(l.slug, c.slug) AS slug, coalesce(l.name, c.name) AS name FROM companies c FULL JOIN (SELECT slug, min(name) AS name FROM listed GROUP BY slug) l ON l.slug = c.slug),
+new_sources AS (SELECT coalesce(s.id, {_hash_id("l.vendor || '/' || l.board_token")}) AS id, l.vendor, l.board_token, c.id AS company_id, coalesce(s.tier, 'a') AS tier FROM listed l JOIN new_companies c ON c.slug = l.slug LEFT JOIN stored s ON s.vendor = l.vendor AND s.board_token = l.board_token)""")
+_sql("replayed_feed", ("sources",), """SELECT s.id AS source_id, s.vendor, payload, CASE WHEN s.tier = 'b' AND payload LIKE 'board%' THEN 304 ELSE 200 END AS status, CASE WHEN s.tier = 'b' AND payload LIKE 'board%' THEN NULL ELSE md5(html) END AS body_md5
+FROM (SELECT *, CASE WHEN vendor = 'greenhouse' AND tier = 'c' THEN 'detail-pay-ranges.json' WHEN vendor = 'workday' AND tier <> 'a' THEN 'detail.json' WHEN vendor = 'personio' THEN 'board-full.xml' ELSE 'board-full.json' END AS payload FROM sources) s
+JOIN (VALUES (0, 'greenhouse', 'board-full.json'), (1, 'greenhouse', 'detail-pay-ranges.json'), (2, 'ashby', 'board-full.json'), (6, 'workable', 'board-full.json'), (7, 'workday', 'board-full.json'), (8, 'workday', 'detail.json'), (9, 'personio', 'board-full.xml')) k(page, v, name) ON v = s.vendor AND name = payload
+JOIN pages ON page_id = page""")

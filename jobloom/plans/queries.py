@@ -14,7 +14,7 @@ from ..operators import account, backfills, feed, maintenance, rollups, scoring
 from ..operators.backfills import Backfill
 from ..operators.feed import FeedFilter
 from ..operators.text_index import TextIndex
-from ..sources import store
+from ..sources import store, vendors
 from . import polling
 from .feeds import SOURCES
 
@@ -431,6 +431,45 @@ def changed_boards(spark, sf_dir):
     return maintenance.changed_boards(snapshots, last).select("source_id", "content_hash")
 
 
+def _boards(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Companies, sources and postings, and a list of boards: those of tiers a and b under capital names, those of companies of tier c with suppliers' slugs, and new ones of suppliers."""
+    companies, sources = bound(spark, sf_dir, "companies").select("id", "slug", "name"), bound(spark, sf_dir, "sources")
+    tokens = sources.join(companies.select(F.col("id").alias("company_id"), "slug", "name"), "company_id")
+    token = F.concat(F.col("slug"), F.lit("-"), F.col("vendor"))
+    stored = tokens.select("id", "vendor", token.alias("board_token"), "company_id", "tier")
+    kept = tokens.where("tier IN ('a', 'b')").select("slug", F.upper("name").alias("name"), "vendor", token.alias("board_token"))
+    supplier = raw(spark, sf_dir, "supplier").select(F.lower("s_name").alias("slug"), F.col("s_name").alias("name"))
+    moved = tokens.where("tier = 'c' AND vendor = 'ashby'").select(F.lit("supplier#moved").alias("slug"), F.lit("Moved").alias("name"), "vendor", token.alias("board_token"))
+    fresh = supplier.select("slug", "name", F.lit("keka").alias("vendor"), F.concat(F.lit("new-"), "slug").alias("board_token"))
+    return companies, stored, bound(spark, sf_dir, "job_postings").select("id", "source_id"), kept.unionByName(moved).unionByName(fresh)
+
+
+@query
+def registry_after(spark, sf_dir):
+    """Companies, sources and postings after the list became the registry, one table."""
+    companies, sources, postings = maintenance.register_registry(*_boards(spark, sf_dir))
+    null = F.lit(None).cast("string")
+    rows = [companies.select(F.lit("company").alias("kind"), "id", F.col("slug").alias("a"), F.col("name").alias("b"), F.lit(None).cast("long").alias("of"))]
+    rows.append(sources.select(F.lit("source").alias("kind"), "id", F.col("board_token").alias("a"), F.concat_ws("/", "vendor", "tier").alias("b"), F.col("company_id").alias("of")))
+    rows.append(postings.select(F.lit("posting").alias("kind"), "id", null.alias("a"), null.alias("b"), F.col("source_id").alias("of")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query
+def replayed_feed(spark, sf_dir):
+    """Requests of all sources, lists and details, answered from pages kept as payloads; those of tier b name what they have."""
+    sources, companies = bound(spark, sf_dir, "sources"), bound(spark, sf_dir, "companies").select(F.col("id").alias("company_id"), "slug")
+    hosts = {"greenhouse": "'https://boards-api.greenhouse.io/v1/boards/'", "ashby": "'https://api.ashbyhq.com/posting-api/job-board/'", "workday": "concat('https://', replace(slug, '#', '-'), '.wd5.myworkdayjobs.com/wday/cxs/')", "personio": "concat('https://', replace(slug, '#', '-'), '.jobs.personio.de/xml?')", "workable": "'https://apply.workable.com/api/'"}
+    url = "CASE vendor " + " ".join(f"WHEN '{v}' THEN {x}" for v, x in hosts.items()) + " END"
+    rest = "concat(replace(slug, '#', '-'), CASE WHEN tier = 'c' AND vendor = 'greenhouse' THEN concat('/jobs/', CAST(consecutive_errors AS STRING)) WHEN tier = 'a' OR vendor = 'greenhouse' THEN '/jobs' ELSE '/job/1' END)"
+    pages = raw(spark, sf_dir, "pages").select("page_id", "html")
+    names = spark.createDataFrame([(i, r[2], p) for i, (r, p) in enumerate((r, p) for r in vendors.ROUTES for p in (r[3], r[5]) if p)], "page_id long, vendor string, payload string")
+    payloads = names.join(pages, "page_id").select("vendor", "payload", F.col("html").alias("body"))
+    known = payloads.select(F.col("vendor").alias("_v"), F.sha2("body", 256).alias("_tag"), "payload").where("payload LIKE 'board%'")
+    requests = sources.join(companies, "company_id").withColumn("url", F.concat(F.expr(url), F.expr(rest))).join(known, F.col("vendor") == F.col("_v")).select(F.col("id").alias("source_id"), "url", F.when(F.col("tier") == "b", F.col("_tag")).alias("etag"))
+    return vendors.replayed(requests, payloads).select("source_id", "vendor", "payload", "status", F.md5("body").alias("body_md5"))
+
+
 @query
 def retention_after(spark, sf_dir):
     return maintenance.erase_users(bound(spark, sf_dir, "users"), "2024-02-10 00:00:00").select("id", "email", "deleted_at")

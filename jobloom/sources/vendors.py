@@ -194,6 +194,48 @@ def replay(spark, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
+# Hosts (a whole name, an ending or a part), and the payloads of lists and details; a mark in the path tells a detail.
+ROUTES = (
+    ("is", "boards-api.greenhouse.io", "greenhouse", "board-full.json", "after:/jobs/", "detail-pay-ranges.json"),
+    ("is", "api.ashbyhq.com", "ashby", "board-full.json", "", ""),
+    ("is", "api.smartrecruiters.com", "smartrecruiters", "list.json", "after:/postings/", "detail.json"),
+    ("ends", ".recruitee.com", "recruitee", "board-full.json", "", ""),
+    ("is", "apply.workable.com", "workable", "board-full.json", "", ""),
+    ("has", ".myworkdayjobs.com", "workday", "board-full.json", "not ends:/jobs", "detail.json"),
+    ("ends", ".jobs.personio.de", "personio", "board-full.xml", "", ""),
+    ("ends", ".keka.com", "keka", "board-full.json", "", ""),
+    ("ends", ".bamboohr.com", "bamboohr", "board-full.json", "ends:/detail", "detail-35.json"),
+)
+
+
+def routed(url: Column) -> Column:
+    """Struct (vendor, payload): the kept payload that answers a request; null for a host that none answers."""
+    host, path = F.try_parse_url(url, F.lit("HOST")), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    out = F.lit(None).cast("struct<vendor:string,payload:string>")
+    for how, name, vendor, board, mark, detail in reversed(ROUTES):
+        meets = host == name if how == "is" else host.endswith(name) if how == "ends" else F.contains(host, F.lit(name))
+        kind, _, part = mark.partition(":")
+        behind = F.contains(path, F.lit(part)) & (F.char_length(path) > F.locate(part, path) + len(part) - 1)
+        is_detail = {"after": behind, "ends": path.endswith(part), "not ends": ~path.endswith(part), "": F.lit(False)}[kind]
+        out = F.when(meets, F.struct(F.lit(vendor).alias("vendor"), F.when(is_detail, detail).otherwise(board).alias("payload"))).otherwise(out)
+    return out
+
+
+def replayed(requests: DataFrame, payloads: DataFrame) -> DataFrame:
+    """``requests`` (url, etag, ...) with vendor, payload, status, new_etag and body, answered from ``payloads`` (vendor, payload, body).
+
+    A payload's validator is a hash of it; a request that names it is answered 304 without a body. Nothing is fetched: a
+    host without a route, or a route whose payload is not kept, is an error of the whole query.
+    """
+    kept = payloads.select(F.col("vendor").alias("_vendor"), F.col("payload").alias("_payload"), "body", F.sha2(F.coalesce("body", F.lit("")), 256).alias("new_etag"))
+    asked = requests.withColumn("_to", routed(F.col("url")))
+    joined = asked.join(kept, (F.col("_to.vendor") == F.col("_vendor")) & (F.col("_to.payload") == F.col("_payload")), "left")
+    lost = F.raise_error(F.concat(F.lit("no kept payload answers "), F.coalesce("url", F.lit("a request without an address"))))
+    tag = F.when(F.col("new_etag").isNull(), lost.cast("string")).otherwise(F.col("new_etag"))
+    same = F.coalesce(F.col("etag") == tag, F.lit(False))
+    return joined.select(*requests.columns, F.col("_to.vendor").alias("vendor"), F.col("_to.payload").alias("payload"), F.when(same, 304).otherwise(200).alias("status"), tag.alias("new_etag"), F.when(~same, F.col("body")).alias("body"))
+
+
 def assemble(raw: DataFrame) -> DataFrame:
     """Raw postings with text, title, place, mode, years, pay, skills, field and parse confidence."""
     from ..functions import extract, text
