@@ -62,9 +62,9 @@ FROM events GROUP BY user_id""",
 SELECT event_id AS id, user_id, event_id % (SELECT max(o_orderkey) FROM orders) + 1 AS posting_id, ts AS created_at, ts AS last_activity_at,
   CASE event_type WHEN 'view' THEN 'saved' WHEN 'click' THEN 'applied' WHEN 'signup' THEN 'screening' WHEN 'purchase' THEN 'interviewing' ELSE 'rejected' END AS status,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS next_action_at
-FROM events WHERE event_id % 2 = 0""",
+FROM events WHERE value > 20""",
     "application_events": """
-SELECT event_id AS id, user_id AS application_id, lower(event_type) AS to_status, ts AS occurred_at FROM events WHERE event_id % 2 = 1""",
+SELECT event_id AS id, user_id AS application_id, lower(event_type) AS to_status, ts AS occurred_at FROM events""",
     "dismissed_postings": """
 SELECT user_id, event_id % (SELECT max(o_orderkey) FROM orders) + 1 AS posting_id, max(ts) AS dismissed_at FROM events WHERE event_type = 'error' GROUP BY user_id, event_id % (SELECT max(o_orderkey) FROM orders) + 1""",
     "user_consents": """
@@ -77,9 +77,9 @@ SELECT event_id AS id, user_id, concat('search ', CAST(event_id AS STRING)) AS n
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts + INTERVAL '12' HOUR END AS last_digest_at
 FROM events WHERE event_type = 'purchase'""",
     "raw_titles": """
-SELECT doc_id AS id, concat(CASE doc_id % 9 WHEN 0 THEN 'Sr. ' WHEN 1 THEN 'Senior Staff SDE, ' WHEN 2 THEN 'Head of ' WHEN 3 THEN 'Entry-Level ' WHEN 4 THEN 'Leadership ' WHEN 5 THEN 'Jr '
-  WHEN 6 THEN 'Associate Director: ' WHEN 7 THEN 'Lead Eng. / ' ELSE '' END, substr(coalesce(text, ''), 1, 60), CASE doc_id % 5 WHEN 0 THEN ' II' WHEN 1 THEN ' (m/f/d)' WHEN 2 THEN ' 3 ' WHEN 3 THEN ' intern' ELSE '' END) AS title
-FROM documents""",
+SELECT p_partkey AS id, concat(CASE p_partkey % 9 WHEN 0 THEN 'Sr. ' WHEN 1 THEN 'Senior Staff SDE, ' WHEN 2 THEN 'Head of ' WHEN 3 THEN 'Entry-Level ' WHEN 4 THEN 'Leadership ' WHEN 5 THEN 'Jr '
+  WHEN 6 THEN 'Associate Director: ' WHEN 7 THEN 'Lead Eng. / ' ELSE '' END, p_name, CASE p_partkey % 5 WHEN 0 THEN ' II' WHEN 1 THEN ' (m/f/d)' WHEN 2 THEN ' 3 ' WHEN 3 THEN ' intern' ELSE '' END) AS title
+FROM part""",
     "raw_places": """
 SELECT c_custkey AS id, CASE c_custkey % 14 WHEN 0 THEN 'Bangalore / Remote' WHEN 1 THEN 'Austin, TX' WHEN 2 THEN concat('Remote - ', n_name) WHEN 3 THEN concat('Paris, ', n_name) WHEN 4 THEN 'US-CA-Menlo Park'
   WHEN 5 THEN concat('Berlin, ', n_name) WHEN 6 THEN 'Springfield, IN' WHEN 7 THEN concat('Hybrid: ', n_name, ' or Berlin') WHEN 8 THEN concat(n_name, ' (Remote)') WHEN 9 THEN 'Vancouver, BC' WHEN 10 THEN c_name

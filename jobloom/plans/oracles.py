@@ -95,14 +95,14 @@ scored AS (
   SELECT *, CASE WHEN NOT readable THEN 'unlikely' WHEN score >= 70 AND evidence >= 1 THEN 'strong' WHEN score >= 50 THEN 'plausible' WHEN score >= 30 THEN 'stretch' ELSE 'unlikely' END AS band,
     CASE WHEN NOT readable THEN 0.0 WHEN evidence >= 1 THEN least({PROFILE.parse_confidence}, parse_confidence) ELSE least({PROFILE.parse_confidence}, parse_confidence) * (0.5 + 0.5 * evidence) END AS confidence,
     concat(CASE WHEN len(mu) > 0 THEN concat({_hits('mu')}, ' of ', len(mu), ' must-haves') ELSE concat({_hits('ni')}, ' of ', len(ni), ' preferred skills') END,
-      CASE WHEN evidence < 1 THEN ' — this posting says little about what it needs' ELSE '' END) AS detail
+      CASE WHEN evidence < 1 THEN ' (few requirements stated)' ELSE '' END) AS detail
   FROM scored0)"""
 _sql("feed_scored", (*FEED, "posting_skills"), """SELECT id, round(CASE WHEN readable THEN skill END, 4) AS skills_score, round(CASE WHEN readable THEN experience END, 4) AS experience_score,
   round(CASE WHEN readable THEN place END, 4) AS location_score, round(CASE WHEN readable THEN pay END, 4) AS compensation_score, round(CASE WHEN readable THEN fresh END, 4) AS freshness_score,
   score, band, round(confidence, 4) AS confidence, array_to_string(gaps, ',') AS missing,
-  CASE WHEN NOT readable THEN 'Not enough detail in this posting to score it' WHEN NOT stated THEN 'Scored on location, experience and recency'
-    WHEN len(gaps) > 0 THEN concat(detail, '. Missing: ', array_to_string(gaps[1:3], ', '), CASE WHEN len(gaps) > 3 THEN concat(' +', len(gaps) - 3, ' more') ELSE '' END)
-    ELSE concat(detail, ' — you have everything listed') END AS headline
+  CASE WHEN NOT readable THEN 'Unscored: too little could be read' WHEN NOT stated THEN 'No skills named; scored on the other parts'
+    WHEN len(gaps) > 0 THEN concat(detail, '; lacks ', array_to_string(gaps[1:3], ', '), CASE WHEN len(gaps) > 3 THEN concat(' +', len(gaps) - 3, ' more') ELSE '' END)
+    ELSE concat(detail, '; nothing is missing') END AS headline
 FROM scored WHERE status = 'live'""", f"{LIVE}, {SCORED}")
 _sql("feed_ranked", (*FEED, "posting_skills"), """SELECT id, score, band FROM (SELECT * FROM scored WHERE status = 'live' AND field <> 'other' ORDER BY fresh_at DESC, id DESC LIMIT 2000)
 ORDER BY score DESC, posted_at DESC NULLS LAST, fresh_at DESC, id DESC LIMIT 25""", f"{LIVE}, {SCORED}")
@@ -191,18 +191,18 @@ _sql("upsert_after", ("job_postings",), f"""SELECT coalesce(o.id, ('0x' || subst
   round(CASE WHEN n.source_id IS NULL THEN o.parse_confidence WHEN n.body <> '' OR o.source_id IS NULL THEN n.conf ELSE greatest(o.parse_confidence, n.conf) END, 4) AS parse_confidence,
   CASE WHEN n.source_id IS NULL THEN o.status ELSE 'live' END AS status, CASE WHEN n.source_id IS NULL THEN o.closed_at END AS closed_at, CASE WHEN n.source_id IS NULL THEN o.missing_count ELSE 0 END AS missing_count
 FROM job_postings o FULL JOIN seen n ON o.source_id = n.source_id AND o.external_id = n.external_id""", """seen AS (
-  SELECT source_id, external_id, upper(title) AS title, CASE WHEN id % 5 = 0 THEN 'new body' ELSE '' END AS body, posted_at + INTERVAL '1' DAY AS posted_at, parse_confidence / 2 + 0.3::DOUBLE AS conf FROM job_postings WHERE id % 2 = 0
-  UNION ALL SELECT source_id, concat('n', external_id), upper(title), '', posted_at + INTERVAL '1' DAY, parse_confidence / 2 + 0.3::DOUBLE FROM job_postings WHERE id % 10 = 1)""")
-_sql("reconcile_after", ("job_postings",), f"""SELECT id, CASE WHEN gone AND missing_count + 1 >= 2 THEN 'closed' ELSE status END AS status, CASE WHEN gone THEN missing_count + 1 ELSE missing_count END AS missing_count,
-  CASE WHEN gone AND missing_count + 1 >= 2 THEN {_NOW} ELSE closed_at END AS closed_at FROM (SELECT *, status = 'live' AND source_id % 3 = 0 AND id % 2 <> 0 AS gone FROM job_postings)""")
+  SELECT source_id, external_id, upper(title) AS title, CASE WHEN field = 'software' THEN 'new body' ELSE '' END AS body, posted_at + INTERVAL '1' DAY AS posted_at, parse_confidence / 2 + 0.3::DOUBLE AS conf FROM job_postings WHERE comp_max IS NOT NULL
+  UNION ALL SELECT source_id, concat('n', external_id), upper(title), '', posted_at + INTERVAL '1' DAY, parse_confidence / 2 + 0.3::DOUBLE FROM job_postings WHERE mode = 'hybrid')""")
+_sql("reconcile_after", ("job_postings", "sources"), f"""SELECT id, CASE WHEN gone AND missing_count + 1 >= 2 THEN 'closed' ELSE status END AS status, CASE WHEN gone THEN missing_count + 1 ELSE missing_count END AS missing_count,
+  CASE WHEN gone AND missing_count + 1 >= 2 THEN {_NOW} ELSE closed_at END AS closed_at FROM (SELECT *, status = 'live' AND source_id IN (SELECT id FROM sources WHERE vendor <> 'ashby') AND comp_max IS NULL AS gone FROM job_postings)""")
 _sql("retier_after", ("sources", "watched_companies"), f"""SELECT id, CASE WHEN tier = 'paused' THEN tier WHEN EXISTS (SELECT 1 FROM watched_companies w WHERE w.company_id = s.company_id) THEN 'a'
   WHEN last_changed_at > {_NOW} - INTERVAL '7' DAY THEN 'a' WHEN last_changed_at > {_NOW} - INTERVAL '30' DAY THEN 'b' ELSE 'c' END AS tier FROM sources s""")
-_sql("poll_failed_after", ("sources",), f"""SELECT id, CASE WHEN id % 2 = 0 THEN consecutive_errors + 1 ELSE consecutive_errors END AS consecutive_errors,
-  CASE WHEN id % 4 = 0 THEN {_NOW} + INTERVAL '1' HOUR WHEN id % 2 = 0 AND consecutive_errors + 1 >= 5 THEN {_NOW} + INTERVAL '6' HOUR END AS disabled_until FROM sources""")
-ORACLES["changed_boards"] = "SELECT page_id AS source_id, sha256(coalesce(html, '')) AS content_hash FROM pages WHERE page_id % 3 = 0"
+_sql("poll_failed_after", ("sources",), f"""SELECT id, CASE WHEN tier IN ('a', 'b') THEN consecutive_errors + 1 ELSE consecutive_errors END AS consecutive_errors,
+  CASE WHEN tier IN ('a', 'b') AND vendor = 'ashby' THEN {_NOW} + INTERVAL '1' HOUR WHEN tier IN ('a', 'b') AND consecutive_errors + 1 >= 5 THEN {_NOW} + INTERVAL '6' HOUR END AS disabled_until FROM sources""")
+ORACLES["changed_boards"] = "SELECT page_id AS source_id, sha256(coalesce(html, '')) AS content_hash FROM pages WHERE contains(url, '7')"
 _sql("retention_after", ("users",), """SELECT id, CASE WHEN due THEN concat('deleted-', id::STRING, '@invalid') ELSE email END AS email, CASE WHEN due THEN TIMESTAMP '2024-02-10 00:00:00' ELSE deleted_at END AS deleted_at
 FROM (SELECT *, coalesce(deleted_at IS NULL AND deletion_requested_at < TIMESTAMP '2024-02-10 00:00:00' - INTERVAL '7' DAY, false) AS due FROM users)""")
-_sql("prune_after", ("job_postings", "applications"), """SELECT a.id, CASE WHEN p.id IS NULL THEN a.posting_id END AS posting_id FROM applications a LEFT JOIN job_postings p ON p.id = a.posting_id AND p.status = 'closed' AND p.id % 2 = 0""")
+_sql("prune_after", ("job_postings", "applications"), """SELECT a.id, CASE WHEN p.id IS NULL THEN a.posting_id END AS posting_id FROM applications a LEFT JOIN job_postings p ON p.id = a.posting_id AND p.status = 'closed' AND p.comp_max IS NULL""")
 _sql("backfill_yoe_confidence", ("job_postings",), "SELECT id, CASE WHEN yoe_confidence IS NOT NULL THEN yoe_confidence WHEN yoe_min IS NOT NULL THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS yoe_confidence FROM job_postings")
 
 _html = "html"
@@ -476,9 +476,9 @@ ORACLES["session_prune"] = "SELECT event_id FROM events WHERE NOT coalesce(value
 
 ORACLES |= SOURCE_SQL | polling.SQL
 _sql("posting_detail", (*RANKED, "applications"), """SELECT s.id, s.title, s.company, s.vendor, p.country, array_to_string(mu, ',') AS must, array_to_string(ni, ',') AS nice, s.id IN (SELECT posting_id FROM applications WHERE user_id = VIEWER) AS saved, score, band,
-  CASE WHEN NOT readable THEN 'Not enough detail in this posting to score it' WHEN NOT stated THEN 'Scored on location, experience and recency'
-    WHEN len(gaps) > 0 THEN concat(detail, '. Missing: ', array_to_string(gaps[1:3], ', '), CASE WHEN len(gaps) > 3 THEN concat(' +', len(gaps) - 3, ' more') ELSE '' END)
-    ELSE concat(detail, ' — you have everything listed') END AS headline
+  CASE WHEN NOT readable THEN 'Unscored: too little could be read' WHEN NOT stated THEN 'No skills named; scored on the other parts'
+    WHEN len(gaps) > 0 THEN concat(detail, '; lacks ', array_to_string(gaps[1:3], ', '), CASE WHEN len(gaps) > 3 THEN concat(' +', len(gaps) - 3, ' more') ELSE '' END)
+    ELSE concat(detail, '; nothing is missing') END AS headline
 FROM scored s JOIN job_postings p ON p.id = s.id WHERE s.status = 'live'""".replace("VIEWER", str(VIEWER)), f"{LIVE.replace('SELECT p.*', 'SELECT p.* REPLACE (NULL::VARCHAR AS country)')}, {SCORED}")
 
 _sql("backfill_urls", ("job_postings", "sources", "companies"), """SELECT p.id, CASE WHEN ours THEN coalesce(a, url) ELSE a END AS apply_url, CASE WHEN ours THEN coalesce(nullif(b, ''), url) ELSE b END AS posting_url FROM (

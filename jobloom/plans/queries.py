@@ -388,11 +388,11 @@ def dedupe_after(spark, sf_dir):
 
 
 def _polled(postings: DataFrame) -> DataFrame:
-    """A poll: half of the postings again, one in five with a new body, some with other dates, and new ones."""
-    again = postings.where("id % 2 = 0")
-    fresh = postings.where("id % 10 = 1").withColumn("id", F.lit(None).cast("long")).withColumn("external_id", F.concat(F.lit("n"), F.col("external_id")))
+    """A poll: postings with a stated maximum again, those of software with a new body, all with other dates, and new ones beside the hybrid ones."""
+    again = postings.where("comp_max IS NOT NULL")
+    fresh = postings.where("mode = 'hybrid'").withColumn("id", F.lit(None).cast("long")).withColumn("external_id", F.concat(F.lit("n"), F.col("external_id")))
     rows = again.unionByName(fresh)
-    body = F.when(F.col("id") % 5 == 0, "new body").otherwise("")
+    body = F.when((F.col("field") == "software") & F.col("id").isNotNull(), "new body").otherwise("")
     markup = F.when(body != "", F.concat(F.lit("<p>"), body, F.lit("</p>"))).otherwise("")
     return rows.select("company_id", "source_id", "external_id", F.upper("title").alias("title"), body.alias("description_text"), markup.alias("description_html"), (F.col("posted_at") + F.expr("INTERVAL '1' DAY")).alias("posted_at"), F.lit(False).alias("posted_at_is_estimate"), (F.col("parse_confidence") / 2 + 0.3).alias("parse_confidence"))
 
@@ -406,8 +406,8 @@ def upsert_after(spark, sf_dir):
 @query
 def reconcile_after(spark, sf_dir):
     postings = bound(spark, sf_dir, "job_postings")
-    polled = bound(spark, sf_dir, "sources").where("id % 3 = 0").select(F.col("id").alias("source_id"))
-    seen = postings.where("id % 2 = 0").select("source_id", "external_id")
+    polled = bound(spark, sf_dir, "sources").where("vendor <> 'ashby'").select(F.col("id").alias("source_id"))
+    seen = postings.where("comp_max IS NOT NULL").select("source_id", "external_id")
     return maintenance.reconcile_absent(postings, seen, polled, AS_OF).select("id", "status", "missing_count", "closed_at")
 
 
@@ -419,7 +419,7 @@ def retier_after(spark, sf_dir):
 @query
 def poll_failed_after(spark, sf_dir):
     sources = bound(spark, sf_dir, "sources").withColumn("disabled_until", F.lit(None).cast("timestamp_ntz"))
-    failed = sources.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("retry_hours"))
+    failed = sources.where("tier IN ('a', 'b')").select("id", F.when(F.col("vendor") == "ashby", 1).otherwise(0).alias("retry_hours"))
     return maintenance.poll_failed(sources, failed, AS_OF).select("id", "consecutive_errors", "disabled_until")
 
 
@@ -427,7 +427,7 @@ def poll_failed_after(spark, sf_dir):
 def changed_boards(spark, sf_dir):
     pages = raw(spark, sf_dir, "pages")
     snapshots = pages.select(F.col("page_id").alias("source_id"), "html").withColumnRenamed("html", "body")
-    last = pages.select(F.col("page_id").alias("source_id"), F.sha2(F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")), 256).alias("content_hash"))
+    last = pages.select(F.col("page_id").alias("source_id"), F.sha2(F.when(F.col("url").contains("7"), F.concat("html", F.lit("!"))).otherwise(F.col("html")), 256).alias("content_hash"))
     return maintenance.changed_boards(snapshots, last).select("source_id", "content_hash")
 
 
@@ -477,7 +477,7 @@ def retention_after(spark, sf_dir):
 
 @query
 def prune_after(spark, sf_dir):
-    gone = bound(spark, sf_dir, "job_postings").where("status = 'closed' AND id % 2 = 0").select("id")
+    gone = bound(spark, sf_dir, "job_postings").where("status = 'closed' AND comp_max IS NULL").select("id")
     return maintenance.prune_postings(bound(spark, sf_dir, "applications"), gone).select("id", "posting_id")
 
 

@@ -88,7 +88,7 @@ def test_score_arithmetic(spark):
     p = scoring.Profile(skills=("go", "postgresql"), total_yoe=4, countries=("US",), modes=("onsite",), comp_min=90000, currency="USD")
     got = scoring.score(spark.createDataFrame([row], schema), p, NOW.isoformat()).first()
     assert got.skills_score == pytest.approx(40 * 1.5 / 3) and got.experience_score == 16 and got.location_score == 7.5 and got.compensation_score == 12 and got.freshness_score == pytest.approx(5)
-    assert got.score == pytest.approx(round((20 + 16 + 7.5 + 12 + 5) / 100 * 1000) / 10) and got.missing == ["x"] and got.headline == "2 of 3 must-haves. Missing: x"
+    assert got.score == pytest.approx(round((20 + 16 + 7.5 + 12 + 5) / 100 * 1000) / 10) and got.missing == ["x"] and got.headline == "2 of 3 must-haves; lacks x"
 
 
 def test_duplicates_are_antisymmetric(spark, sf_dir):
