@@ -42,3 +42,14 @@ DISPLAY = {
     "spa": "SPA", "ssr": "SSR", "seo": "SEO", "dsl": "DSL", "cqrs": "CQRS", "ddd": "DDD", "ipc": "IPC", "rpc": "RPC", "vue.js": "Vue.js",
     "next.js": "Next.js", "nuxt.js": "Nuxt.js",
 }
+
+# How skills are written where raising the first letter of each word is not enough.
+DISPLAY = {
+    "aws": "AWS", "gcp": "GCP", "sql": "SQL", "nosql": "NoSQL", "html": "HTML", "css": "CSS", "http": "HTTP", "json": "JSON", "yaml": "YAML", "xml": "XML", "jwt": "JWT", "oauth": "OAuth", "rest": "REST", "grpc": "gRPC",
+    "graphql": "GraphQL", "api": "API", "llm": "LLM", "nlp": "NLP", "ml": "ML", "ai": "AI", "mlops": "MLOps", "ci/cd": "CI/CD", "tdd": "TDD", "etl": "ETL", "orm": "ORM", "crm": "CRM", "saas": "SaaS", "ui": "UI", "ux": "UX",
+    "ios": "iOS", "macos": "macOS", "postgresql": "PostgreSQL", "mysql": "MySQL", "mongodb": "MongoDB", "javascript": "JavaScript", "typescript": "TypeScript", "node.js": "Node.js", "nodejs": "Node.js", "c++": "C++", "c#": "C#",
+    ".net": ".NET", "php": "PHP", "k8s": "Kubernetes", "github actions": "GitHub Actions", "gitlab ci": "GitLab CI", "dynamodb": "DynamoDB", "redis": "Redis", "elasticsearch": "Elasticsearch", "rabbitmq": "RabbitMQ",
+    "kafka": "Kafka", "grafana": "Grafana", "prometheus": "Prometheus", "opentelemetry": "OpenTelemetry", "webrtc": "WebRTC", "websockets": "WebSockets", "wasm": "WebAssembly", "cdn": "CDN", "dns": "DNS", "tls": "TLS",
+    "ssl": "SSL", "vpc": "VPC", "iam": "IAM", "s3": "S3", "ec2": "EC2", "rds": "RDS", "sre": "SRE", "qa": "QA", "abac": "ABAC", "rbac": "RBAC", "spa": "SPA", "ssr": "SSR", "seo": "SEO", "dsl": "DSL", "cqrs": "CQRS",
+    "ddd": "DDD", "ipc": "IPC", "rpc": "RPC", "vue.js": "Vue.js", "next.js": "Next.js", "nuxt.js": "Nuxt.js",
+}

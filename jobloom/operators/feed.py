@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.search import search
+from ..functions.text import display_name
+from ..functions.vocabulary import DISPLAY
 
 # Units of a currency for one US dollar; others count as 1.
 USD_RATES = {"GBP": 0.738359, "EUR": 0.861401, "CAD": 1.386295, "SGD": 1.271737, "AUD": 1.395860, "JPY": 159.787727, "SEK": 9.580693, "INR": 95.201365}
@@ -172,7 +174,7 @@ def with_sources(postings: DataFrame, sources: DataFrame, companies: DataFrame)
 
     Sources and companies grow with the boards; Spark broadcasts them only under its size limit.
     """
-    return postings.join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company")), "company_id").join(
+    return postings.join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"), "slug"), "company_id").join(
         sources.select(F.col("id").alias("source_id"), "vendor", "tier"), "source_id"
     )
 
@@ -286,6 +288,32 @@ def _offset(f: FeedFilter) -> int:
     return offset
 
 
+#: The columns of a feed item that come from the feed's rows, with their kinds; those that the rows lack are null.
+ITEM = {
+    "id": "long", "title": "string", "company": "string", "slug": "string", "location_raw": "string", "city": "string", "country": "string", "mode": "string", "apply_url": "string", "vendor": "string", "comp_min": "double", "comp_max": "double",
+    "comp_currency": "string", "comp_period": "string", "comp_src": "string", "yoe_min": "int", "yoe_max": "int", "yoe_confidence": "double", "posted_at": "timestamp_ntz", "posted_at_is_estimate": "boolean", "first_seen_at": "timestamp_ntz",
+    "ai_screening_disclosed": "boolean", "ai_opt_out_url": "string", "parse_confidence": "double", "sort_key": None,
+}
+
+
+def items(rows: DataFrame, posting_skills: DataFrame, applications: DataFrame, viewer: int | None = None) -> DataFrame:
+    """The whole feed items of ``rows``, a page or any part of the feed: ITEM, skills for readers and for the score, and ``saved``.
+
+    must_have and nice_to_have are display names in their own order; must_canon and nice_canon are canonical names, where
+    the mentioned ones stand for the nice ones if there is neither. Only the skills of these rows are read into lists.
+    An unknown place is an empty text, an unknown confidence of years 0.
+    """
+    shown = rows.select(*((F.col(c) if c in rows.columns else F.lit(None).cast(kind)).alias(c) for c, kind in ITEM.items() if kind or c in rows.columns))
+    shown = shown.withColumns({"location_raw": F.coalesce("location_raw", F.lit("")), "yoe_confidence": F.coalesce("yoe_confidence", F.lit(0.0))})
+    own = posting_skills.join(shown.select(F.col("id").alias("posting_id")), "posting_id", "left_semi").withColumn("_name", display_name(F.col("skill"), DISPLAY))
+    of = lambda kind, c: F.array_sort(F.collect_list(F.when(F.col("requirement") == kind, F.col(c))))
+    lists = own.groupBy(F.col("posting_id").alias("id")).agg(of("must_have", "_name").alias("must_have"), of("nice_to_have", "_name").alias("nice_to_have"), of("must_have", "skill").alias("must_canon"), of("nice_to_have", "skill").alias("_nice"), of("mentioned", "skill").alias("_mentioned"))
+    lists = lists.withColumn("nice_canon", F.when((F.size("must_canon") > 0) | (F.size("_nice") > 0), F.col("_nice")).otherwise(F.col("_mentioned"))).drop("_nice", "_mentioned")
+    none = F.array().cast("array<string>")
+    out = shown.join(lists, "id", "left").withColumns({c: F.coalesce(c, none) for c in ("must_have", "nice_to_have", "must_canon", "nice_canon")})
+    return with_saved(out, applications, viewer) if viewer is not None else out.withColumn("saved", F.lit(False))
+
+
 def rehydrate(places: DataFrame, postings: DataFrame) -> DataFrame:
     """Postings of a ranked page (id, place) in its order; ids that are gone are dropped."""
     return places.select("id", "place").join(postings, "id").orderBy("place")

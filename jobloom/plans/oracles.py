@@ -24,7 +24,7 @@ def _sql(name: str, tables: tuple[str, ...], body: str, more: str = "") -> None:
 
 FEED = ("job_postings", "sources", "companies")
 LIVE = """feed AS (
-  SELECT p.*, c.name AS company, s.vendor, s.tier, coalesce(p.posted_at, p.first_seen_at) AS fresh_at
+  SELECT p.*, c.name AS company, c.slug, s.vendor, s.tier, coalesce(p.posted_at, p.first_seen_at) AS fresh_at
   FROM job_postings p JOIN companies c ON p.company_id = c.id JOIN sources s ON p.source_id = s.id)"""
 _USD = "coalesce(comp_min, 0) / CASE comp_currency " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in USD_RATES.items()) + " ELSE 1.0::DOUBLE END"
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -504,3 +504,14 @@ _sql("replayed_feed", ("sources",), """SELECT s.id AS source_id, s.vendor, paylo
 FROM (SELECT *, CASE WHEN vendor = 'greenhouse' AND tier = 'c' THEN 'detail-pay-ranges.json' WHEN vendor = 'workday' AND tier <> 'a' THEN 'detail.json' WHEN vendor = 'personio' THEN 'board-full.xml' ELSE 'board-full.json' END AS payload FROM sources) s
 JOIN (VALUES (0, 'greenhouse', 'board-full.json'), (1, 'greenhouse', 'detail-pay-ranges.json'), (2, 'ashby', 'board-full.json'), (6, 'workable', 'board-full.json'), (7, 'workday', 'board-full.json'), (8, 'workday', 'detail.json'), (9, 'personio', 'board-full.xml')) k(page, v, name) ON v = s.vendor AND name = payload
 JOIN pages ON page_id = page""")
+
+_shown = "list_aggregate(list_transform(string_split({}, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')".format("skill")
+_of_kind = lambda kind, x: f"coalesce(string_agg({x}, ',' ORDER BY {x}) FILTER (requirement = '{kind}'), '')"
+_sql("feed_items", (*FEED, "posting_skills", "applications", "raw_places"), f"""SELECT f.id, f.title, f.company, f.slug, coalesce(location_raw, '') AS location_raw, f.city, f.country, f.mode, NULL::VARCHAR AS apply_url, f.vendor, comp_min, comp_max, comp_currency, NULL::VARCHAR AS comp_period, NULL::VARCHAR AS comp_src,
+  yoe_min, yoe_max, coalesce(yoe_confidence, 0) AS yoe_confidence, posted_at, posted_at_is_estimate, first_seen_at, NULL::BOOLEAN AS ai_screening_disclosed, NULL::VARCHAR AS ai_opt_out_url, parse_confidence, fresh_at AS sort_key,
+  coalesce(must_have, '') AS must_have_, coalesce(nice_to_have, '') AS nice_to_have_, coalesce(must_canon, '') AS must_canon_, coalesce(CASE WHEN must_canon = '' AND nice = '' THEN mentioned ELSE nice END, '') AS nice_canon_,
+  f.id IN (SELECT posting_id FROM applications WHERE user_id = {VIEWER}) AS saved
+FROM feed f LEFT JOIN raw_places r ON r.id = f.company_id LEFT JOIN chips ON posting_id = f.id WHERE status = 'live' AND field <> 'other'""", f"""{LIVE},
+chips AS (SELECT posting_id, {_of_kind('must_have', 'shown')} AS must_have, {_of_kind('nice_to_have', 'shown')} AS nice_to_have, {_of_kind('must_have', 'skill')} AS must_canon, {_of_kind('nice_to_have', 'skill')} AS nice, {_of_kind('mentioned', 'skill')} AS mentioned
+  FROM (SELECT *, {_shown} AS shown FROM posting_skills) GROUP BY posting_id)""")
+_sql("value_lists", ("job_postings", "sources"), "SELECT kind, string_agg(DISTINCT value, ',' ORDER BY value) AS listed FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS kind, {c} AS value FROM {t}" for t, cs in (("job_postings", ("mode", "status", "field", "comp_currency")), ("sources", ("vendor", "tier"))) for c in cs) + ") WHERE value IS NOT NULL GROUP BY kind")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,6 +117,23 @@ def feed_rehydrated(spark, sf_dir):
     return feed.rehydrate(places, live_feed(spark, sf_dir).where("mode <> 'onsite'")).select("id", "place", "company", "title")
 
 
+@query
+def feed_items(spark, sf_dir):
+    """Whole items of all live postings of the default field, with their companies' place texts."""
+    places = bound(spark, sf_dir, "raw_places").select(F.col("id").alias("company_id"), "location_raw")
+    rows = live_feed(spark, sf_dir).where(feed.predicate(FeedFilter(), AS_OF)).join(places, "company_id", "left").withColumn("sort_key", feed.freshness())
+    lists = ("must_have", "nice_to_have", "must_canon", "nice_canon")
+    return feed.items(rows, bound(spark, sf_dir, "posting_skills"), bound(spark, sf_dir, "applications"), VIEWER).select("*", *(F.array_join(c, ",").alias(f"{c}_") for c in lists)).drop(*lists)
+
+
+@query
+def value_lists(spark, sf_dir):
+    """(kind, listed): the distinct values of the feed's closed vocabularies, joined in order."""
+    postings, sources = bound(spark, sf_dir, "job_postings"), bound(spark, sf_dir, "sources")
+    values = [postings.select(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("mode", "status", "field", "comp_currency")] + [sources.select(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("vendor", "tier")]
+    return rollups.value_lists(reduce(DataFrame.unionByName, values))
+
+
 @query
 def feed_keyset_page2(spark, sf_dir):
     cursor = feed.encode_cursor({"k": "2001-07-01 00:00:00", "i": 1000})

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from jobloom.bindings import AS_OF, bound
 from jobloom.operators import account, feed, maintenance, scoring
@@ -186,3 +187,26 @@ def test_due_polls_withdrawals_and_blanking(spark):
     assert out == {1: None, 2: NOW, 3: None}
     rows = spark.createDataFrame([(1, 1, "superseded", 2), (2, 1, "live", None), (3, 2, "superseded", 2)], "id long, source_id long, status string, canonical_id long")
     assert {(r.id, r.status, r.canonical_id) for r in maintenance.undo_in_source(rows).collect()} == {(1, "live", None), (2, "live", None), (3, "superseded", 2)}
+
+
+def test_display_names(spark):
+    from jobloom.functions.text import display_name
+    from jobloom.functions.vocabulary import DISPLAY
+
+    names = {"postgresql": "PostgreSQL", "node.js": "Node.js", "docker": "Docker", "distributed systems": "Distributed Systems", " big  data": "Big Data", "éclair": "Éclair", "": "", "SQL": "SQL"}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", display_name(F.col("n"), DISPLAY).alias("d")).collect()
+    assert {r.n: r.d for r in rows} == names
+
+
+def test_dismissals_keep_a_reason_that_is_not_given_again(spark):
+    old = spark.createDataFrame([(1, 1, "far"), (1, 2, None), (2, 1, "old")], "user_id int, posting_id int, reason string")
+    new = spark.createDataFrame([(1, 1, None), (1, 2, "pay"), (2, 1, "new"), (3, 9, None)], "user_id int, posting_id int, reason string")
+    assert {tuple(r) for r in account.dismiss(old, new).collect()} == {(1, 1, "far"), (1, 2, "pay"), (2, 1, "new"), (3, 9, None)}
+
+
+def test_items_of_rows_that_lack_columns(spark):
+    rows = spark.createDataFrame([(1, "t"), (2, None)], "id long, title string")
+    skills = spark.createDataFrame([(1, "sql", "must_have"), (1, "aws", "must_have"), (1, "go", "mentioned"), (2, "go", "mentioned"), (3, "go", "must_have")], "posting_id long, skill string, requirement string")
+    got = {r.id: r for r in feed.items(rows, skills, spark.createDataFrame([(7, 2)], "user_id long, posting_id long"), 7).collect()}
+    assert (got[1].must_have, got[1].must_canon, got[1].nice_canon, got[1].saved) == (["AWS", "SQL"], ["aws", "sql"], [], False)
+    assert (got[2].must_have, got[2].nice_canon, got[2].saved, got[2].location_raw, got[2].yoe_confidence, got[2].comp_min) == ([], ["go"], True, "", 0.0, None)
