@@ -118,14 +118,14 @@ def source_fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polls.fetch_outcomes(fetch_log(spark, sf_dir))
 
 
-_FOLDED = f"""WITH RECURSIVE log0 AS ({FETCHES}, CASE WHEN value < 25 THEN floor(value * 1000)::BIGINT WHEN value < 40 THEN epoch(date_trunc('second', ts + INTERVAL '9' HOUR))::BIGINT - floor(epoch_us(ts) / 1000000.0)::BIGINT ELSE 0 END AS wait, epoch_us(ts) AS us FROM events),
-log AS (SELECT *, CASE WHEN wait > 0 AND wait <> 0 THEN wait ELSE 0 END AS retry, CASE WHEN body IS NOT NULL THEN sha256(body) END AS h, row_number() OVER (PARTITION BY source_id ORDER BY us, fetch_id) AS n FROM log0),
+_FOLDED = f"""WITH RECURSIVE log0 AS ({FETCHES}, CASE WHEN value < 25 THEN floor(value * 1000)::BIGINT * 1000000 WHEN value < 40 THEN epoch_us(date_trunc('second', ts + INTERVAL '9' HOUR)) - epoch_us(ts) ELSE 0 END AS retry, epoch_us(ts) AS us FROM events),
+log AS (SELECT *, CASE WHEN body IS NOT NULL THEN sha256(body) END AS h, row_number() OVER (PARTITION BY source_id ORDER BY us, fetch_id) AS n FROM log0),
 run AS (
   SELECT source_id, 0::BIGINT AS n, NULL::BIGINT AS us, NULL::BIGINT AS fetch_id, NULL::VARCHAR AS outcome, 0 AS errors, NULL::BIGINT AS until, NULL::VARCHAR AS etag, NULL::VARCHAR AS modified, NULL::VARCHAR AS hash FROM log WHERE n = 1
   UNION ALL
   SELECT source_id, n, us, fetch_id, what,
     CASE what WHEN 'paused' THEN errors WHEN 'unchanged' THEN 0 WHEN 'changed' THEN 0 ELSE errors + 1 END,
-    CASE what WHEN 'paused' THEN until WHEN 'unchanged' THEN until WHEN 'changed' THEN NULL WHEN 'gone' THEN us + 86400000000 WHEN 'limited' THEN us + CASE WHEN retry > 0 THEN retry ELSE 900 END * 1000000 ELSE CASE WHEN errors + 1 >= 5 THEN us + 21600000000 ELSE until END END,
+    CASE what WHEN 'paused' THEN until WHEN 'unchanged' THEN until WHEN 'changed' THEN NULL WHEN 'gone' THEN us + 86400000000 WHEN 'limited' THEN us + CASE WHEN retry > 0 THEN retry ELSE 900000000 END ELSE CASE WHEN errors + 1 >= 5 THEN us + 21600000000 ELSE until END END,
     CASE what WHEN 'changed' THEN nullif(new_etag, '') WHEN 'unchanged' THEN coalesce(nullif(trim(new_etag), ''), etag) ELSE etag END,
     CASE what WHEN 'changed' THEN nullif(new_modified, '') WHEN 'unchanged' THEN coalesce(nullif(trim(new_modified), ''), modified) ELSE modified END,
     CASE what WHEN 'changed' THEN h ELSE hash END

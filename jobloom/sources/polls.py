@@ -149,16 +149,17 @@ def ring_requests(listing: DataFrame, cursors: DataFrame, budget: int) -> DataFr
     return rows.where(F.pmod(F.col("place") - F.col("_s"), F.col("total")) < n).withColumn("next_cursor", F.when(end > F.col("total"), end - F.col("total")).otherwise(end).cast("int")).drop("_c", "_s")
 
 
-def retry_seconds(header: Column, at: Column) -> Column:
-    """Seconds that a Retry-After header asks for: a number, or a date later than ``at``; 0 where it says nothing usable."""
+def retry_micros(header: Column, at: Column) -> Column:
+    """Microseconds that a Retry-After header asks for: a number of seconds, or until a date later than ``at``; 0 where it says nothing usable."""
     text = F.btrim(header)
     day = F.regexp_replace(text, r"^[A-Za-z]+,?\s+", "")
     # Years of two digits are 1969 to 2068.
     day = F.regexp_replace(F.regexp_replace(day, r"^(\d\d-[A-Za-z]{3}-)(\d\d )", "$120$2"), r"^(\d\d-[A-Za-z]{3}-)20(69|[789]\d) ", "$119$2 ")
     layouts = ("dd MMM yyyy HH:mm:ss 'GMT'", "dd-MMM-yyyy HH:mm:ss 'GMT'", "MMM d HH:mm:ss yyyy")
     date = F.coalesce(*(F.try_to_timestamp(F.regexp_replace(day, r"\s+", " "), F.lit(x)).cast("timestamp_ntz") for x in layouts))
-    ahead = F.timestamp_diff("SECOND", at, date)
-    return F.coalesce(F.when(text.rlike(r"^\+?\d+$"), text.try_cast("bigint")), F.when(ahead > 0, ahead), F.lit(0)).cast("long")
+    ahead = F.timestamp_diff("MICROSECOND", at, date)
+    # At most some thousand years, which still fit.
+    return F.coalesce(F.when(text.rlike(r"^\+?\d{1,11}$"), text.try_cast("bigint") * 1_000_000), F.when(ahead > 0, ahead), F.lit(0)).cast("long")
 
 
 #: What a fetch log holds and what the fold adds; ``micros`` is the instant of the fetch.
@@ -183,12 +184,12 @@ def fetch_step(state: tuple, micros: int, status: int | None, etag: str | None,
         return "changed", (0, None, etag or None, last_modified or None, body_hash)
     pause, outcome = 0, "failed"
     if status in (404, 410):
-        pause, outcome = GONE_HOURS * 3600, "gone"
+        pause, outcome = GONE_HOURS * 3_600_000_000, "gone"
     elif status == 429:
-        pause, outcome = retry if retry > 0 else LIMITED_MINUTES * 60, "limited"
+        pause, outcome = retry if retry > 0 else LIMITED_MINUTES * 60_000_000, "limited"
     errors += 1
     if pause:
-        until = micros + pause * 1_000_000
+        until = micros + pause
     elif errors >= BREAKER:
         until = micros + BREAKER_HOURS * 3_600_000_000
     return outcome, (errors, until, old_etag, old_modified, old_hash)
@@ -198,7 +199,7 @@ def prepared_log(fetches: DataFrame) -> DataFrame:
     """The columns of the fold from (source_id, fetched_at, fetch_id, status, etag, last_modified, body, retry_after); no status is a failed connection."""
     at = F.unix_micros(F.col("fetched_at").cast("timestamp"))
     body = F.when(F.col("body").isNotNull(), F.sha2("body", 256))
-    return fetches.select("source_id", at.alias("micros"), "fetch_id", "status", "etag", "last_modified", body.alias("body_hash"), retry_seconds(F.col("retry_after"), F.col("fetched_at")).alias("retry"))
+    return fetches.select("source_id", at.alias("micros"), "fetch_id", "status", "etag", "last_modified", body.alias("body_hash"), retry_micros(F.col("retry_after"), F.col("fetched_at")).alias("retry"))
 
 
 def _fold(rows: pd.DataFrame, state: tuple, out: list) -> tuple:

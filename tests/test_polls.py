@@ -62,8 +62,8 @@ def test_sweep(spark):
     [("120", 120), (" 7 ", 7), ("0", 0), ("-3", 0), ("soon", 0), (None, 0), ("", 0), ("Sun, 06 Nov 1994 08:50:37 GMT", 60), ("Sunday, 06-Nov-94 08:50:37 GMT", 60), ("Sun Nov  6 08:50:37 1994", 60), ("Sun, 06 Nov 1994 08:49:00 GMT", 0)],
 )
 def test_retry_after(spark, header, seconds):
-    row = spark.range(1).select(polls.retry_seconds(F.lit(header).cast("string"), F.lit("1994-11-06 08:49:37").cast("timestamp_ntz")).alias("s")).first()
-    assert row.s == seconds
+    row = spark.range(1).select(polls.retry_micros(F.lit(header).cast("string"), F.lit("1994-11-06 08:49:37").cast("timestamp_ntz")).alias("s")).first()
+    assert row.s == seconds * 1_000_000
 
 
 LOG = [
