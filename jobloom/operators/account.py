@@ -294,7 +294,7 @@ def digest(candidates: DataFrame, searches: DataFrame, live: DataFrame, as_of: s
 
     ``searches`` has a search's filter as columns, see ``filters_frame``; the feed's own conditions hold
     (``feed.conditions``), with the text query through ``index``, skills and the user's dismissals. ``live`` are the feed's rows,
-    with vendor. Postings are walked backwards, in stretches of 1, 2, 4 ... days from the latest on; a search
+    with vendor. Postings are walked backwards, in stretches of 1, 4, 16 ... days from the latest on; a search
     that has ``shown`` + 1 rows, or whose mark lies behind, drops out. Searches meet a stretch's postings by country and mode,
     so a posting meets only those that ask for its own or for any.
     """
@@ -324,7 +324,7 @@ def digest(candidates: DataFrame, searches: DataFrame, live: DataFrame, as_of: s
             met = _all_there(met, hits, skill_sets, dismissed)
             best = met.withColumn("_n", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("at"), F.desc("id")))).where(F.col("_n") <= shown + 1).drop("_n")
             kept = store.written(kept.unionByName(best), "digest")
-            latest, span = (earliest, span * 2) if earliest >= bounds[1] else (None, span)
+            latest, span = (earliest, span * 4) if earliest >= bounds[1] else (None, span)
     w = Window.partitionBy("search_id")
     ranked = kept.withColumn("place", F.row_number().over(w.orderBy(F.desc("at"), F.desc("id")))).where(F.col("place") <= shown + 1)
     return ranked.withColumn("more", F.max("place").over(w) > shown).where(F.col("place") <= shown).select("user_id", "search_id", "place", "id", "more")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,14 @@ def test_search(spark):
     rows = spark.createDataFrame([(1, "Backend Engineer", "writing services"), (2, "Clerk", "an engineer sits near"), (3, "Engineers wanted", "sales of services"), (4, None, None)], "id int, t string, b string")
     ids = lambda q: [r.id for r in search.search(rows, q, "t", "b").orderBy(F.desc("rank"), "id").collect()]
     assert ids("engineer") == [1, 3, 2] and ids("engineer -sales") == [1, 2] and ids('"backend engineer" or clerk') == [1, 2] and ids("") == [] and ids("engineer services") == [1, 3]
+
+
+def test_names_that_overlap(spark):
+    """Every name that stands alone is found: inside another, at its start, across its end, one after another."""
+    known = lambda t: {s["skill"] for s in one(spark, extract.skills_of(F.col("t")), t=t)}
+    every = sorted(extract.NAMES)
+    for line in (" ".join(every), ",".join(reversed(every)), "; ".join(f"{a} {b}" for a, b in zip(every, every[7:], strict=False))):
+        text_ = f"requirements\n{line}"
+        low = line.lower()
+        plain = {skill for name, skill in extract.NAMES.items() if re.search(extract.name_pattern(name), low)}
+        assert plain - known(text_) <= set(extract.IN_CONTEXT) and known(text_) <= plain
