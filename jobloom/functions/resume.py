@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from .extract import once, skills_of
 
 # Headings, first match first, and how many words a heading may have.
@@ -49,10 +50,14 @@ def _ascii(pattern: str) -> str:
     return pattern.replace(r"\b", _EDGE)
 
 
+#: Any heading with what may follow it: most lines are told apart by this one pattern.
+_ANY_HEADING = "(?i)^(?:" + "|".join(p for _, p in HEADINGS) + f")[{HEADING_TAIL}]*$"
+
+
 def _heading(line: Column) -> Column:
     clean = F.regexp_replace(line, rf"[{HEADING_TAIL}]+$", "")
     named = reduce(lambda rest, h: F.when(clean.rlike(rf"(?i)^(?:{h[1]})$"), h[0]).otherwise(rest), reversed(HEADINGS), F.lit(None).cast("string"))
-    return F.when((F.size(F.split(line, r"\s+")) <= HEADING_WORDS) & (clean != ""), named)
+    return F.when(line.rlike(_ANY_HEADING), F.when((F.size(F.split(line, r"\s+")) <= HEADING_WORDS) & (clean != ""), named))
 
 
 def lines(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -107,7 +112,8 @@ def parse(rows: DataFrame, as_of: str, id_col: str = "id", text_col: str = "text
     a text without lines nothing is known.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
-    own = lines(rows, id_col, text_col)
+    # Written once, as it is read for sections, heads and counts.
+    own = store.written(lines(rows, id_col, text_col), "resume-lines")
     in_order = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
     said = ~F.col("heading")
     bodies = own.where(said).groupBy("id", "section").agg(in_order(F.lit(True)).alias("body"), F.count(F.lit(1)).alias("n"))
@@ -121,8 +127,9 @@ def parse(rows: DataFrame, as_of: str, id_col: str = "id", text_col: str = "text
     texts = bodies.groupBy("id").agg(body("experience").alias("_work"), body("summary").alias("_summary"), F.max((F.col("section") == "education").cast("int")).alias("_school"))
     per = own.groupBy("id").agg(in_order(head).alias("_head"), F.count(F.lit(1)).alias("n_lines"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    email = lambda x: F.nullif(F.regexp_extract(x, _ascii(EMAIL), 0), F.lit(""))
-    whole = rows.select(F.col(id_col).alias("id"), email(text).alias("_email"), F.slice(F.regexp_extract_all(text, F.lit(_ascii(LINK)), F.lit(0)), 1, LINKS).alias("_links"))
+    email = lambda x: F.when(F.contains(x, F.lit("@")), F.nullif(F.regexp_extract(x, _ascii(EMAIL), 0), F.lit("")))
+    linked = F.when(F.contains(F.lower(text), F.lit(".com/")), F.slice(F.regexp_extract_all(text, F.lit(_ascii(LINK)), F.lit(0)), 1, LINKS)).otherwise(F.array().cast("array<string>"))
+    whole = rows.select(F.col(id_col).alias("id"), email(text).alias("_email"), linked.alias("_links"))
     bare = lambda x: F.lower(F.regexp_replace(x, "/+$", ""))
     links = once(F.col("_links"), lambda xs: F.array_sort(F.filter(xs, lambda x, i: F.array_position(F.transform(xs, bare), bare(x)) == i + 1)))
     joined = whole.join(per, "id", "left").join(texts, "id", "left").join(listed, "id", "left")
