@@ -42,7 +42,7 @@ _indexes: dict[tuple[str, str], TextIndex] = {}
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The index of all postings' texts, built once in a session: the original keeps it as a stored column."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
+    if key not in _indexes or not _indexes[key].segments():
         _indexes[key] = TextIndex.build(bound(spark, sf_dir, "job_postings"), store.fresh_dir(spark, "text-index"))
     return _indexes[key]
 
