@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import importable, table
+from .common import BROADCAST_KEYS, importable, table
 from .shingles import text_steps
 
 #: Bound of the training sample: texts in all and texts of a language at least, pieces of a text and words of a piece.
@@ -355,12 +355,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit(""))) % FOLDS != 0))
     counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"))
-    share = max(LEAST_DOCS, sample_docs // max(1, counts.count()))
+    n_languages = counts.count()
+    share = max(LEAST_DOCS, sample_docs // max(1, n_languages))
+    # A row for each language, and for each chosen text.
+    small = F.broadcast if n_languages * share <= BROADCAST_KEYS else lambda df: df
     # A hash leaves some eight times as many ids as are wanted; these are ranked.
-    hashed = rows.select("_id", "_lang", F.xxhash64("_id", "_lang").alias("_h")).join(F.broadcast(counts), "_lang").where(F.pmod(F.shiftright("_h", 20), F.lit(1 << 20)) < F.lit(8 * share << 20) / F.col("n"))
+    hashed = rows.select("_id", "_lang", F.xxhash64("_id", "_lang").alias("_h")).join(small(counts), "_lang").where(F.pmod(F.shiftright("_h", 20), F.lit(1 << 20)) < F.lit(8 * share << 20) / F.col("n"))
     ranked = hashed.select("_id", "_lang", "_h").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id")))
     chosen = ranked.where((F.col("_k") <= share) & F.col("_id").isNotNull())
-    picked = rows.join(F.broadcast(chosen.select("_id", "_lang", "_h")), ["_lang", "_id"])
+    picked = rows.join(small(chosen.select("_id", "_lang", "_h")), ["_lang", "_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
