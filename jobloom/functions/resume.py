@@ -104,6 +104,10 @@ def _skill_years(body: Column, skill: Column) -> Column:
     return F.get(F.filter(every, lambda n: (n > 0) & (n < MOST_YEARS)), F.lit(0))
 
 
+def _is(section: str):
+    return lambda x: x == section
+
+
 def parse(rows: DataFrame, as_of: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, email, phone, links, skills, years_of_experience, confidence, diagnostics, n_lines) of each text.
 
@@ -112,36 +116,38 @@ def parse(rows: DataFrame, as_of: str, id_col: str = "id", text_col: str = "text
     a text without lines nothing is known.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
-    # Written once, as it is read for sections, heads and counts.
-    own = store.written(lines(rows, id_col, text_col), "resume-lines")
-    in_order = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    said = ~F.col("heading")
-    bodies = own.where(said).groupBy("id", "section").agg(in_order(F.lit(True)).alias("body"), F.count(F.lit(1)).alias("n"))
-    rank = reduce(lambda rest, x: F.when(F.col("section") == x[1][0], x[0]).otherwise(rest), enumerate(EVIDENCE), F.lit(0))
-    found = bodies.select("id", "body", rank.alias("rank"), F.explode(F.transform(skills_of(F.col("body")), lambda s: s["skill"])).alias("skill"))
-    best = found.groupBy("id", "skill").agg(F.max_by(F.struct("rank", "body"), "rank").alias("x"))
+    # The lines of a text stay together from the window on; its sections are cut out of them in place.
+    own = lines(rows, id_col, text_col).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "section", "line", "heading"))).alias("_ls"))
+    joined_lines = lambda cond: F.array_join(F.transform(F.filter("_ls", lambda x: ~x["heading"] & cond(x["section"])), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    email = lambda x: F.when(F.contains(x, F.lit("@")), F.nullif(F.regexp_extract(x, _ascii(EMAIL), 0), F.lit("")))
+    parts = F.array(*(F.struct(F.lit(i).alias("rank"), joined_lines(_is(s)).alias("body")) for i, (s, _) in enumerate(EVIDENCE)))
+    cut = own.select("id", F.size("_ls").alias("n_lines"), joined_lines(lambda x: x.isin("contact", "summary")).alias("_head"), parts.alias("_parts"))
+    cut = store.written(cut.select("id", "n_lines", email(F.col("_head")).alias("_head_email"), F.btrim(F.regexp_extract("_head", PHONE, 0)).alias("_phone"), "_parts"), "resume-sections")
+    found = cut.select("id", F.explode("_parts").alias("p")).where("p.body <> ''").select("id", "p.rank", "p.body", F.explode(F.transform(skills_of(F.col("p.body")), lambda s: s["skill"])).alias("skill"))
+    # Years are read where the text is; what is shuffled is short.
+    said = found.select("id", "skill", "rank", _skill_years(F.col("body"), F.col("skill")).alias("years"))
+    best = said.groupBy("id", "skill").agg(F.max_by(F.struct("rank", "years"), "rank").alias("x"))
     name = F.get(F.array(*(F.lit(e) for _, e in EVIDENCE)), F.col("x.rank"))
-    listed = best.select("id", F.struct(F.col("skill").alias("canonical"), name.alias("evidence"), _skill_years(F.col("x.body"), F.col("skill")).alias("years")).alias("s")).groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("skills"))
-    head = F.col("section").isin("contact", "summary") & said
-    body = lambda s: F.max(F.when(F.col("section") == s, F.col("body")))
-    texts = bodies.groupBy("id").agg(body("experience").alias("_work"), body("summary").alias("_summary"), F.max((F.col("section") == "education").cast("int")).alias("_school"))
-    per = own.groupBy("id").agg(in_order(head).alias("_head"), F.count(F.lit(1)).alias("n_lines"))
+    listed = best.select("id", F.struct(F.col("skill").alias("canonical"), name.alias("evidence"), F.col("x.years").alias("years")).alias("s")).groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("skills"))
+    place = {s: i for i, (s, _) in enumerate(EVIDENCE)}
+    body = lambda s: F.get("_parts", F.lit(place[s]))["body"]
+    worked_years = F.when(body("experience") != "", _worked(body("experience"), F.year(now), F.month(now))).otherwise(_stated(body("summary")))
+    per = cut.select("id", "n_lines", "_head_email", "_phone", (body("experience") != "").alias("_work"), (body("education") != "").alias("_school"), worked_years.alias("_years"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    email = lambda x: F.when(F.contains(x, F.lit("@")), F.nullif(F.regexp_extract(x, _ascii(EMAIL), 0), F.lit("")))
     linked = F.when(F.contains(F.lower(text), F.lit(".com/")), F.slice(F.regexp_extract_all(text, F.lit(_ascii(LINK)), F.lit(0)), 1, LINKS)).otherwise(F.array().cast("array<string>"))
     whole = rows.select(F.col(id_col).alias("id"), email(text).alias("_email"), linked.alias("_links"))
     bare = lambda x: F.lower(F.regexp_replace(x, "/+$", ""))
     links = once(F.col("_links"), lambda xs: F.array_sort(F.filter(xs, lambda x, i: F.array_position(F.transform(xs, bare), bare(x)) == i + 1)))
-    joined = whole.join(per, "id", "left").join(texts, "id", "left").join(listed, "id", "left")
+    joined = whole.join(per, "id", "left").join(listed, "id", "left")
     there = F.coalesce("n_lines", F.lit(0)) > 0
-    worked = F.coalesce("_work", F.lit("")) != ""
+    worked = F.coalesce("_work", F.lit(False))
     joined = joined.withColumns({
-        "email": F.when(there, F.coalesce(email(F.coalesce("_head", F.lit(""))), "_email")), "phone": F.nullif(F.btrim(F.regexp_extract(F.coalesce("_head", F.lit("")), PHONE, 0)), F.lit("")), "links": F.when(there, links).otherwise(F.array().cast("array<string>")),
+        "email": F.when(there, F.coalesce("_head_email", "_email")), "phone": F.nullif("_phone", F.lit("")), "links": F.when(there, links).otherwise(F.array().cast("array<string>")),
         "skills": F.coalesce("skills", F.array().cast("array<struct<canonical:string,evidence:string,years:double>>")), "n_lines": F.coalesce("n_lines", F.lit(0)),
-        "years_of_experience": F.when(worked, _worked(F.col("_work"), F.year(now), F.month(now))).otherwise(_stated(F.coalesce("_summary", F.lit("")))),
+        "years_of_experience": F.col("_years"),
     })
     some = F.size("skills") > 0
-    checks = {"email": F.col("email").isNotNull(), "skills": some, "experience": worked, "years": F.col("years_of_experience").isNotNull(), "education": F.coalesce("_school", F.lit(0)) > 0, "lines": F.col("n_lines") >= ENOUGH_LINES}
+    checks = {"email": F.col("email").isNotNull(), "skills": some, "experience": worked, "years": F.col("years_of_experience").isNotNull(), "education": F.coalesce("_school", F.lit(False)), "lines": F.col("n_lines") >= ENOUGH_LINES}
     weight = sum((F.when(ok, WEIGHTS[k]).otherwise(0.0) for k, ok in checks.items()), F.lit(0.0))
     codes = F.array(F.when(~worked, "no_experience_section"), F.when(~some, "no_skills"), F.when(F.col("email").isNull(), "no_contact"), F.when(worked & F.col("years_of_experience").isNull(), "no_dates"))
     return joined.select(
