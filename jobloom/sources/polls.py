@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import store, vendors
 
-# What a capped total shows at most, postings of a page, pages of a slice.
-CAP, PAGE, PAGES = 2000, 20, 110
+# What a capped total shows at most, postings of a page, pages of a slice beyond those that the cap fills.
+CAP, PAGE, SPARE_PAGES = 2000, 20, 10
 # Pauses after a board is gone and after a rate limit without a usable time; failures in a row and the pause they bring.
 GONE_HOURS, LIMITED_MINUTES, BREAKER, BREAKER_HOURS = 24, 15, 5, 6
 #: The cursor of a finished sweep; 0 is one that has not begun.
@@ -78,12 +78,12 @@ def missing_slices(responses: DataFrame, cap: int = CAP) -> DataFrame:
 def workday_board(responses: DataFrame, cap: int = CAP, page_size: int = PAGE) -> DataFrame:
     """Postings of boards read slice by slice, as ``vendors.workday`` gives them, with ``position``, their order on the board from 1.
 
-    A slice is read page by page up to the first short one. Of a posting that comes again its first
-    position counts and its last content. Postings are numbered inside their slice, which the vendor's cap
-    and PAGES bound, and shifted by what the slices before hold.
+    A slice is read page by page up to the first short one, and no farther than ``cap`` postings and SPARE_PAGES
+    pages: 110 pages at the vendor's cap. Of a posting that comes again its first position counts and its last
+    content. Postings are numbered inside their slice, which the cap bounds, and shifted by what the slices before hold.
     """
     schema = "jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string,bulletFields:array<string>>>"
-    jobs = responses.select("source_id", "path", "page", F.from_json("body", schema)["jobPostings"].alias("jobs")).where(F.col("page") < PAGES)
+    jobs = responses.select("source_id", "path", "page", F.from_json("body", schema)["jobPostings"].alias("jobs")).where(F.col("page") < -(-cap // page_size) + SPARE_PAGES)
     key = lambda j: F.coalesce(F.get(j["bulletFields"], F.lit(0)), j["externalPath"])
     good = F.filter("jobs", lambda j: (F.coalesce(key(j), F.lit("")) != "") & (F.btrim(F.coalesce(j["title"], F.lit(""))) != ""))
     w = Window.partitionBy("source_id", "path").orderBy("page")

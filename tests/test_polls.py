@@ -31,6 +31,13 @@ def test_a_complete_board_is_read_to_its_first_short_page(spark):
     assert got == [("5", "t5"), ("4", "t4"), ("3", "t3")]
 
 
+def test_a_slice_is_read_as_far_as_its_cap(spark):
+    """Postings of a slice below a high cap are all read; at the vendor's cap a slice ends after 110 pages."""
+    rows = [answer("", page, 300, [2 * page + 1, 2 * page + 2]) for page in range(150)]
+    assert [int(k) for k, _ in board(spark, rows, cap=1000)[1]] == list(range(1, 301))
+    assert [int(k) for k, _ in board(spark, rows, cap=200)[1]] == list(range(1, 221))
+
+
 def test_slices_of_slices(spark):
     """The facet with most counted values cuts; a slice at the cap is cut by the other one; repeats keep place and take content."""
     two, three = ("b", [("x", 4), ("y", 3)]), ("a", [("1", 5), ("2", 1), ("3", 1)])
