@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 RAW = ("region", "nation", "customer", "orders", "lineitem", "part", "events", "supplier", "pages", "documents", "labels")
+#: Tables that do not grow.
+FIXED = ("region", "nation")
 
 #: The instants that stand for "now" over the bound data.
 AS_OF = "2001-08-02 00:00:00"
@@ -115,10 +117,16 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One canonical table; only the raw tables that it names are read."""
+def bound(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One canonical table; only the raw tables that it names are read.
+
+    ``spread`` shuffles the joins of tables that grow. Otherwise Spark broadcasts what it takes for small by the size of
+    compressed files, and such a table goes through the driver many times larger.
+    """
     sql = TABLES[name]
     used = {t: raw(spark, sf_dir, t) for t in RAW if any(f" {t}{end}" in f"{sql} ".replace("\n", " ") for end in " )")}
+    if spread:
+        used = {t: df if t in FIXED else df.hint("merge") for t, df in used.items()}
     for t in used:
         for word in ("FROM", "JOIN"):
             for end in (" ", ")"):

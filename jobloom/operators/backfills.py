@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
@@ -30,7 +30,8 @@ Rewrite = Callable[[DataFrame], DataFrame]
 def posting_urls(postings: DataFrame, sources: DataFrame, base: str = PUBLIC_BASE, vendor: str = "smartrecruiters") -> DataFrame:
     """101. Missing links of a vendor's postings, from board and id; ``sources`` has (id, vendor, board_token)."""
     boards = sources.where(F.col("vendor") == vendor).select(F.col("id").alias("source_id"), F.col("board_token").alias("_board"))
-    joined = postings.join(boards, "source_id", "left")
+    # A side that grows with the boards is shuffled: the driver never holds it.
+    joined = postings.join(boards.hint("merge"), "source_id", "left")
     known = (F.coalesce("_board", F.lit("")) != "") & (F.coalesce("external_id", F.lit("")) != "")
     link = F.when(known, F.concat_ws("/", F.lit(base), "_board", "external_id"))
     filled = lambda c: F.when(known, F.coalesce(F.nullif(c, F.lit("")), link)).otherwise(F.col(c)).alias(c)
@@ -44,10 +45,14 @@ def close_absent(postings: DataFrame, as_of: str | Column, limit: int = ABSENCES
     return postings.select(*(values[c].alias(c) if c in values else F.col(c) for c in postings.columns))
 
 
-def classify_fields(postings: DataFrame, posting_skills: DataFrame) -> DataFrame:
-    """103. Field, its confidence and its reason, from the title and the number of skills."""
-    n = posting_skills.groupBy(F.col("posting_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    guessed = postings.join(n, "id", "left").withColumn("_x", text.classify_field(F.col("title"), F.coalesce("_n", F.lit(0))))
+def skill_counts(posting_skills: DataFrame) -> DataFrame:
+    """(id, n): the number of skills of each posting that has any."""
+    return posting_skills.groupBy(F.col("posting_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def classify_fields(postings: DataFrame, counts: DataFrame) -> DataFrame:
+    """103. Field, its confidence and its reason, from the title and the number of skills (``skill_counts``, stored where ranges share it)."""
+    guessed = postings.join(counts.select("id", F.col("n").alias("_n")).hint("merge"), "id", "left").withColumn("_x", text.classify_field(F.col("title"), F.coalesce("_n", F.lit(0))))
     values = {"field": F.col("_x.field"), "field_confidence": F.col("_x.confidence"), "field_because": F.col("_x.because")}
     return guessed.select(*(values[c].alias(c) if c in values else F.col(c) for c in postings.columns))
 
@@ -55,16 +60,14 @@ def classify_fields(postings: DataFrame, posting_skills: DataFrame) -> DataFrame
 def reparse_locations(postings: DataFrame) -> DataFrame:
     """104 and, with wider tables of places, 106. Places of postings without a country whose text names one; what cannot be read stays null."""
     asked = F.col("country").isNull() & (F.coalesce("location_raw", F.lit("")) != "")
-    read = extract.with_locations(postings.where(asked).select("id", "location_raw")).where(F.coalesce("country", F.lit("")) != "")
-    read = read.select("id", F.col("country").alias("_country"), F.nullif("region", F.lit("")).alias("_region"), F.nullif("city", F.lit("")).alias("_city"))
-    joined = postings.join(read, "id", "left")
-    found = F.col("_country").isNotNull()
-    return joined.select(*(F.when(found, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in ("country", "region", "city") else F.col(c) for c in postings.columns))
+    read = postings.withColumn("_p", F.when(asked, extract.place(F.col("location_raw"))))
+    found = F.coalesce(F.col("_p.country"), F.lit("")) != ""
+    return read.select(*(F.when(found, F.nullif(F.col(f"_p.{c}"), F.lit(""))).otherwise(F.col(c)).alias(c) if c in ("country", "region", "city") else F.col(c) for c in postings.columns))
 
 
 @dataclass
 class Backfill:
-    """A rewrite of a table by ranges of its long ``key``, which is unique; rows keep their columns."""
+    """A rewrite of a table by ranges of its long ``key``, which is unique; rows keep their columns, also one that the rewrite does not know."""
 
     spark: SparkSession
     folder: str
@@ -98,12 +101,14 @@ class Backfill:
             # Rows without a key go with the first range.
             batch = table.where(inside | at.isNull() if low is None else inside)
             work = f"{self.folder}/work/range={k}"
-            rewrite(batch).select(*table.columns).write.mode("overwrite").parquet(work)
-            new = self.spark.read.schema(table.schema).parquet(work)
-            other = [c for c in table.columns if c != self.key]
-            changed = new.select(self.key, F.xxhash64(*other).alias("_now")).join(batch.select(self.key, F.xxhash64(*other).alias("_was")), self.key).where("_now <> _was")
-            counts = new.agg(F.count(F.lit(1)).alias("rows")).withColumns({"range": F.lit(k), "changed": F.lit(changed.count())})
-            counts.select("range", "rows", "changed").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/progress/part={k}")
+            # A row carries the hash of what it was, so what changed is counted as it is written and no side of a join goes through the driver.
+            values = F.xxhash64(*(c for c in table.columns if c != self.key))
+            after = rewrite(batch.withColumn("_was", values))
+            seen = Observation()
+            counted = after.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_was") != values).alias("changed"))
+            counted.select(*table.columns).write.mode("overwrite").parquet(work)
+            row = (k, seen.get.get("rows", 0), seen.get.get("changed", 0))
+            self.spark.createDataFrame([row], "range int, rows long, changed long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/progress/part={k}")
             if before_commit:
                 before_commit(k)
             if not store.rename(self.spark, work, f"{self.folder}/table/range={k}"):

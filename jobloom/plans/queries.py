@@ -514,15 +514,16 @@ def _backfilled(spark, sf_dir, table: DataFrame, rewrite) -> DataFrame:
 @query
 def backfill_urls(spark, sf_dir):
     """101. Boards are companies; what personio posts stands for the vendor without links. Dear postings have one already."""
-    postings = bound(spark, sf_dir, "job_postings").withColumns({"apply_url": F.when(F.col("comp_min") > 300000, "https://a.example"), "posting_url": F.when(F.col("comp_max").isNull(), "").otherwise("https://b.example")})
-    sources = bound(spark, sf_dir, "sources").join(bound(spark, sf_dir, "companies").select(F.col("id").alias("company_id"), "slug"), "company_id").select("id", F.when(F.col("vendor") == "personio", "smartrecruiters").otherwise(F.col("vendor")).alias("vendor"), F.col("slug").alias("board_token"))
+    postings = bound(spark, sf_dir, "job_postings", spread=True).withColumns({"apply_url": F.when(F.col("comp_min") > 300000, "https://a.example"), "posting_url": F.when(F.col("comp_max").isNull(), "").otherwise("https://b.example")})
+    sources = bound(spark, sf_dir, "sources").join(bound(spark, sf_dir, "companies").select(F.col("id").alias("company_id"), "slug").hint("merge"), "company_id").select("id", F.when(F.col("vendor") == "personio", "smartrecruiters").otherwise(F.col("vendor")).alias("vendor"), F.col("slug").alias("board_token"))
+    sources = store.written(sources, "backfill-sources")
     return _backfilled(spark, sf_dir, postings, lambda batch: backfills.posting_urls(batch, sources)).select("id", "apply_url", "posting_url")
 
 
 @query
 def backfill_close_absent(spark, sf_dir):
     """102, after a poll that showed none of the postings of unknown field."""
-    postings = bound(spark, sf_dir, "job_postings")
+    postings = bound(spark, sf_dir, "job_postings", spread=True)
     postings = postings.withColumn("missing_count", F.when(F.col("field") == "unknown", F.col("missing_count") + 1).otherwise(F.col("missing_count")))
     return _backfilled(spark, sf_dir, postings, lambda batch: backfills.close_absent(batch, AS_OF)).select("id", "status", "closed_at")
 
@@ -530,15 +531,15 @@ def backfill_close_absent(spark, sf_dir):
 @query
 def backfill_fields(spark, sf_dir):
     """103."""
-    postings = bound(spark, sf_dir, "job_postings").withColumns({"field_confidence": F.lit(0.0), "field_because": F.lit("")})
-    skills = bound(spark, sf_dir, "posting_skills")
-    return _backfilled(spark, sf_dir, postings, lambda batch: backfills.classify_fields(batch, skills)).select("id", "field", "field_confidence", "field_because")
+    postings = bound(spark, sf_dir, "job_postings", spread=True).withColumns({"field_confidence": F.lit(0.0), "field_because": F.lit("")})
+    counts = store.written(backfills.skill_counts(bound(spark, sf_dir, "posting_skills", spread=True)), "backfill-skills")
+    return _backfilled(spark, sf_dir, postings, lambda batch: backfills.classify_fields(batch, counts)).select("id", "field", "field_confidence", "field_because")
 
 
 def _placed(spark, sf_dir) -> DataFrame:
     """Postings with the place text of their company."""
-    places = bound(spark, sf_dir, "raw_places").select(F.col("id").alias("company_id"), "location_raw")
-    return bound(spark, sf_dir, "job_postings").join(places, "company_id", "left").withColumn("region", F.lit(None).cast("string"))
+    places = bound(spark, sf_dir, "raw_places").select(F.col("id").alias("company_id"), "location_raw").hint("merge")
+    return bound(spark, sf_dir, "job_postings", spread=True).join(places, "company_id", "left").withColumn("region", F.lit(None).cast("string"))
 
 
 @query
