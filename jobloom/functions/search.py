@@ -23,6 +23,8 @@ TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 SQUARES = 1.64493406685
 REACH, FAR = 100, 1e-20
 NEAR_BASE, NEAR_SLOPE, NEAR_SCALE, NEAR_SHIFT = 1.005, 0.05, 1.5, 2.0
+#: Hits of a task, about: arrays of places compress well, so the size of shuffled data says little about memory.
+TASK_HITS = 500_000
 #: Distinct words of which a broadcast may hold the stems: under 100 MB.
 BROADCAST_WORDS = 1_000_000
 
@@ -104,16 +106,35 @@ def word_places(rows: DataFrame, id_col: str, title: str, body: str) -> DataFram
     return each.select("id", "x.word", F.when(F.col("x.in_title"), F.col("x.at")).otherwise(F.col("x.at") + F.col("_end")).alias("place"), "x.in_title")
 
 
-def hits_of(rows: DataFrame, id_col: str, title: str, body: str, terms: list[str] | None = None) -> DataFrame:
-    """The hit list of ``rows``, of all terms or of some."""
+def _stemmed(rows: DataFrame, id_col: str, title: str, body: str, terms: list[str] | None = None) -> tuple[DataFrame, int]:
+    """(id, word, place, in_title, term) of each word that has a term, or one of some terms, and how many words there are."""
     words = word_places(rows, id_col, title, body)
-    known = with_stems(words.select("word").distinct())
+    known = with_stems(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     # Written first: a filter on stems would be pushed through all their steps and grow with each.
     known = written(known, "stems")
     known = known.where(F.col("term").isin(*terms)) if terms is not None else known
-    stemmed = words.join(F.broadcast(known) if known.count() <= BROADCAST_WORDS else known, "word")
-    of = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("place"))))
-    return stemmed.groupBy("term", "id").agg(of(F.col("in_title")).alias("title"), of(~F.col("in_title")).alias("body"))
+    size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    known = known.select("word", "term")
+    return words.join(F.broadcast(known) if size[0] <= BROADCAST_WORDS else known, "word"), size[1]
+
+
+def _merged(words: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, title and body: the ordered places. Those of the title come before all of the body, so one list is cut in two."""
+    lists = words.groupBy(*keys).agg(F.sort_array(F.collect_list("place")).alias("_p"), F.count_if("in_title").cast("int").alias("_n"))
+    return lists.select(*keys, F.slice("_p", F.lit(1), F.col("_n")).alias("title"), F.slice("_p", F.col("_n") + 1, F.size("_p") - F.col("_n")).alias("body"))
+
+
+def hits_of(rows: DataFrame, id_col: str, title: str, body: str, terms: list[str] | None = None) -> DataFrame:
+    """The hit list of ``rows``, of all terms or of some."""
+    return _stemmed(rows, id_col, title, body, terms)[0].transform(_merged, "term", "id")
+
+
+def dealt_hits(rows: DataFrame, id_col: str, title: str, body: str, deal) -> DataFrame:
+    """The hit list of ``rows`` in the groups of ``deal`` (a number of words -> columns over term and id, by name): words are shuffled once, and hits are made where they are written."""
+    stemmed, n = _stemmed(rows, id_col, title, body)
+    keys = deal(n)
+    dealt = stemmed.withColumns(keys).select(*keys, "term", "id", "place", "in_title").repartition(max(1, -(-n // TASK_HITS)), *keys)
+    return _merged(dealt, *keys, "term", "id")
 
 
 def _holds(part: Part, column: dict[str, str]) -> Column:
@@ -141,19 +162,23 @@ def _count_rank(column: dict[str, str]) -> Column:
     return F.when(total > 0, total).otherwise(FAR)
 
 
-def _near_rank(hits: DataFrame) -> DataFrame:
+def _near_rank(matched: DataFrame, column: dict[str, str]) -> DataFrame:
     """(id, rank): every pair of places of two terms counts, the nearer the more. Pairs farther than REACH apart count nothing.
 
-    Places meet by document and stretch of REACH places, so a long document is many small groups.
+    Places meet inside their document by stretch of REACH places, so a long document is many short rows and nothing is shuffled.
     """
-    place = lambda col, weight: F.transform(col, lambda p: F.struct(p.alias("p"), F.lit(weight).alias("w")))
-    every = hits.select("id", "term", F.explode(F.concat(place("title", TITLE_WEIGHT), place("body", BODY_WEIGHT))).alias("x")).select("id", "term", "x.p", "x.w")
-    a = every.withColumn("block", F.floor(F.col("p") / REACH))
-    b = every.select("id", F.col("term").alias("o_term"), F.col("p").alias("o_p"), F.col("w").alias("o_w"), F.explode(F.sequence(F.floor(F.col("p") / REACH) - 1, F.floor(F.col("p") / REACH) + 1)).alias("block"))
-    far = F.abs(F.col("p") - F.col("o_p"))
-    met = a.join(b, ["id", "block"]).where((F.col("term") < F.col("o_term")) & (far > 0) & (far <= REACH))
-    near = F.sqrt(F.col("w") * F.col("o_w") / (NEAR_BASE + NEAR_SLOPE * F.exp(far / NEAR_SCALE - NEAR_SHIFT)))
-    return met.groupBy("id").agg((1 - F.exp(F.sum(F.log(1 - near)))).alias("rank"))
+    weighed = lambda c, k, part, weight: F.coalesce(F.transform(F.col(c)[part], lambda p: F.struct(p.alias("p"), F.lit(weight).alias("w"), F.lit(k).alias("k"))), F.array().cast("array<struct<p:int,w:double,k:int>>"))
+    every = F.concat(*(weighed(c, k, part, weight) for k, c in enumerate(column.values()) for part, weight in (("title", TITLE_WEIGHT), ("body", BODY_WEIGHT))))
+    block = lambda x: F.floor(x["p"] / REACH)
+    cut = matched.select("id", every.alias("_e")).select("id", "_e", F.explode_outer(F.array_distinct(F.transform("_e", block))).alias("_b"))
+    met = cut.select("id", F.filter("_e", lambda x: block(x) == F.col("_b")).alias("_a"), F.filter("_e", lambda x: F.abs(block(x) - F.col("_b")) <= 1).alias("_o"))
+    far = lambda a, o: F.abs(a["p"] - o["p"])
+    near = lambda a, o: F.sqrt(a["w"] * o["w"] / (NEAR_BASE + NEAR_SLOPE * F.exp(far(a, o) / NEAR_SCALE - NEAR_SHIFT)))
+    others = lambda a: F.filter("_o", lambda o: (o["k"] > a["k"]) & (far(a, o) > 0) & (far(a, o) <= REACH))
+    of_block = F.aggregate("_a", F.lit(0.0), lambda total, a: total + F.aggregate(others(a), F.lit(0.0), lambda s, o: s + F.log(1 - near(a, o))))
+    # Every pair's logarithm is below 0, so 0 means none.
+    total = met.select("id", of_block.alias("x")).groupBy("id").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"))
+    return total.select("id", F.when(F.col("x") < 0, 1 - F.exp("x")).otherwise(FAR).alias("rank"))
 
 
 def find(hits: DataFrame, query: Query, ids: DataFrame | None = None) -> DataFrame:
@@ -175,8 +200,7 @@ def find(hits: DataFrame, query: Query, ids: DataFrame | None = None) -> DataFra
     matched = wide.where(match)
     if not query.by_nearness:
         return matched.select("id", _count_rank(column).alias("rank"))
-    near = _near_rank(own.join(matched.select("id"), "id", "left_semi"))
-    return matched.select("id").join(near, "id", "left").select("id", F.coalesce("rank", F.lit(FAR)).alias("rank"))
+    return _near_rank(matched, column)
 
 
 def search(rows: DataFrame, query: str, title: str = "title", body: str = "description_text", index=None) -> DataFrame:

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.search import HITS, hits_of
+from ..functions.search import HITS, TASK_HITS, dealt_hits
 from ..sources import store
 
 BUCKETS = 64
@@ -40,12 +40,14 @@ class TextIndex:
         names = [x for x in store.children(self.spark, f"{self.folder}/documents") if x.startswith("segment=")]
         return sorted(int(x.split("=")[1]) for x in names if store.exists(self.spark, f"{self.folder}/documents/{x}/_SUCCESS"))
 
-    def _write(self, hits: DataFrame, documents: DataFrame, segment: int) -> None:
-        hits = hits.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(self.buckets)).cast("int"))
-        # Files of a bucket are split by document, so that no task writes all hits of a term.
-        files = max(1, -(-hits.count() // FILE_ROWS))
-        dealt = hits.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("bucket", "term", "id")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/hits/segment={segment}")
+    def _deal(self, n: int) -> dict[str, Column]:
+        """Where a hit is written: files of a bucket are split by document, so that no task writes all hits of a term."""
+        files = max(1, -(-n // FILE_ROWS))
+        return {"bucket": F.pmod(F.crc32("term"), F.lit(self.buckets)).cast("int"), "slot": F.pmod(F.xxhash64("id"), F.lit(files))}
+
+    def _write(self, dealt: DataFrame, documents: DataFrame, segment: int) -> None:
+        rows = dealt.select("term", "id", "title", "body", "bucket").sortWithinPartitions("bucket", "term", "id")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/hits/segment={segment}")
         documents.write.mode("overwrite").parquet(f"{self.folder}/documents/segment={segment}")
 
     def apply(self, changed: DataFrame | None, title: str = "title", body: str = "description_text", id_col: str = "id", removed: DataFrame | None = None) -> int:
@@ -53,9 +55,9 @@ class TextIndex:
         segment = max(self.segments(), default=-1) + 1
         gone = [removed.select(F.col("id").cast("long").alias("id"), F.lit(False).alias("there"))] if removed is not None else []
         if changed is None:
-            hits, documents = self.spark.createDataFrame([], HITS), []
+            hits, documents = self.spark.createDataFrame([], HITS).withColumns(self._deal(0)), []
         else:
-            hits = store.written(hits_of(changed, id_col, title, body), "index-hits")
+            hits = dealt_hits(changed, id_col, title, body, self._deal)
             documents = [changed.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("there"))]
         every = [*documents, *gone]
         self._write(hits, every[0] if len(every) == 1 else every[0].unionByName(every[1]), segment)
@@ -88,13 +90,17 @@ class TextIndex:
             # The first segment makes no other out of date.
             later = self._documents(segments[1:]).groupBy("id").agg(F.max("segment").alias("newest"))
             rows = rows.join(later, "id", "left").where(F.col("newest").isNull() | (F.col("segment") >= F.col("newest")))
-        return rows.select("term", "id", "title", "body")
+        rows = rows.select("term", "id", "title", "body")
+        # The hits of a query meet by document, in tasks of a bounded number.
+        return rows if terms is None else rows.repartition(max(1, -(-rows.count() // TASK_HITS)), "id")
 
     def compact(self) -> int:
         """Writes all current hits and documents as one segment; earlier ones stay until ``vacuum``, for readers that are under way."""
         segment = max(self.segments(), default=-1) + 1
         hits, documents = store.written(self.hits(), "index-hits"), store.written(self.ids().withColumn("there", F.lit(True)), "index-documents")
-        self._write(hits, documents, segment)
+        n = hits.count()
+        dealt = hits.withColumns(self._deal(n)).repartition(max(1, -(-n // TASK_HITS)), "bucket", "slot")
+        self._write(dealt, documents, segment)
         return segment
 
     def vacuum(self, before: int) -> None:

@@ -71,3 +71,32 @@ def test_plan_reads_two_columns_of_terms_from_their_buckets(spark, rows, tmp_pat
     found = search.find(index.hits(plan.terms), plan)
     text = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "description_text" not in text and "PartitionFilters: [bucket" in text and "In(term" in text
+
+
+def test_words_and_hits_are_shuffled_once(spark, rows, tmp_path, monkeypatch):
+    """A build writes no hits aside, a query's hits meet in tasks of a bounded number, and nearness needs no join."""
+    from jobloom.functions import search as functions
+    from jobloom.operators import text_index
+
+    written, store = [], text_index.store.written
+    for module in (text_index.store, functions):
+        monkeypatch.setattr(module, "written", lambda df, name: (written.append(name), store(df, name))[1])
+    index = TextIndex.build(rows, str(tmp_path / "index"), buckets=4)
+    assert "index-hits" not in written
+    monkeypatch.setattr(text_index, "TASK_HITS", 2)
+    plan = search.parse(spark, "engineer services")
+    hits = index.hits(plan.terms)
+    assert hits.count() == 8 and hits.rdd.getNumPartitions() == 4
+    assert "Join" not in search.find(hits, plan)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearness_across_stretches(spark):
+    """Pairs count over the ends of stretches of places, once each, up to their reach."""
+    rows = spark.createDataFrame([(1, "x", " ".join(["alpha", *["z"] * 97, "alpha", "beta", *["z"] * 40, "beta"]))], "id long, title string, description_text string")
+    at_a, at_b = (2, 100), (101, 142)
+    rest = 1.0
+    for a in at_a:
+        for b in at_b:
+            if b - a <= search.REACH:
+                rest *= 1 - 0.4 * search.nearness(b - a)
+    assert [r.rank for r in search.search(rows, "alpha beta").collect()] == [pytest.approx(1 - rest)]
