@@ -278,6 +278,8 @@ def _visits(rows: list):
 
 #: Searches that one broadcast may hold, well under 100 MB; more are shuffled.
 BROADCAST_SEARCHES = 100_000
+#: What the conditions of a digest's searches read of a posting.
+DIGEST_COLUMNS = ("id", "status", "country", "mode", "yoe_min", "yoe_confidence", "comp_min", "comp_currency", "field", "vendor")
 
 
 def filters_frame(spark, filters: dict[int, FeedFilter]) -> DataFrame:
@@ -304,12 +306,15 @@ def digest(candidates: DataFrame, searches: DataFrame, live: DataFrame, as_of: s
     keyed = lambda col: F.when(F.size(col) > 0, col).otherwise(F.array(F.lit("*")))
     with_null = F.when(F.size("countries") > 0, F.array_append("countries", F.lit("?"))).otherwise(F.array(F.lit("*")))
     asked = asked.withColumn("_country", F.explode(F.array_distinct(with_null))).withColumn("_mode", F.explode(F.array_distinct(keyed(F.col("modes")))))
-    posts = live.where(F.col("status") == "live").withColumn("at", freshness())
+    # What every stretch reads is made once: the columns that the conditions need, the skills that are asked for, the dismissals of those who ask.
+    posts = store.written(live.where(F.col("status") == "live").select(*DIGEST_COLUMNS, freshness().alias("at")), "digest-posts")
     bounds = posts.agg(F.max("at"), F.min("at")).first()
     kept = spark.createDataFrame([], "search_id long, user_id long, id long, at timestamp_ntz")
     if n and bounds[0] is not None:
-        hits = _query_hits(asked, live, index)
-        skill_sets = posting_skills.select("posting_id", "skill").distinct()
+        hits = store.written(_query_hits(asked, posts if index is not None else live.where(F.col("status") == "live"), index), "digest-hits")
+        wanted = asked.select(F.explode("skills").alias("skill")).distinct()
+        skill_sets = store.written(posting_skills.select("posting_id", "skill").join(wanted, "skill", "left_semi").distinct(), "digest-skills")
+        dismissed = store.written(dismissed.select("user_id", "posting_id").join(asked.select("user_id").distinct(), "user_id", "left_semi").distinct(), "digest-dismissed")
         latest, day, span = bounds[0], timedelta(days=1), 1
         while latest is not None:
             earliest = latest - span * day

@@ -42,3 +42,15 @@ def test_floors_are_dollars(spark):
     assert ask(rows) == [(2, 1, False)] and ask(rows.where("id = 1")) == [] and ask(rows.where("false")) == []
     with pytest.raises(ValueError):
         account.filters_frame(spark, {1: FeedFilter(bands=("strong",))})
+
+
+def test_postings_are_read_once(spark, sf_dir, monkeypatch):
+    """However many stretches are walked, the joins below the feed and the shared tables are stored once, before the first."""
+    names, written = [], account.store.written
+    monkeypatch.setattr(account.store, "written", lambda df, name: (names.append(name), written(df, name))[1])
+    candidates = spark.sql("SELECT 3L AS user_id, 7L AS search_id, CAST('1990-01-01' AS TIMESTAMP_NTZ) AS since")
+    none = spark.createDataFrame([], "posting_id long, skill string"), spark.createDataFrame([], "user_id long, posting_id long")
+    asked = account.filters_frame(spark, {7: FeedFilter(vendors=("nobody",), field="all")})
+    assert account.digest(candidates, asked, live_feed(spark, sf_dir), AS_OF, posting_skills=none[0], dismissed=none[1]).count() == 0
+    assert names[:5] == ["digest-searches", "digest-posts", "digest-hits", "digest-skills", "digest-dismissed"]
+    assert len(names) > 6 and set(names[5:]) == {"digest"}
