@@ -1,17 +1,16 @@
 """Résumés: sections, contacts, skills by section, years of experience, diagnostics, confidence; all as columns.
 
-Lines are exploded; a heading starts a section that runs to the next one, the last mark that is not null.
+A text stays one row from its lines to its result: a heading's place and the next one's cut its section out of the lines.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import store
-from .extract import once, skills_of
+from .extract import SPACE, lines_of, mark, once, skills_in, spaced, stretches
 
 # Headings, first match first, and how many words a heading may have.
 HEADINGS = (
@@ -28,6 +27,8 @@ HEADINGS = (
     ("other", r"(awards?|achievements?|interests?|hobbies|languages?|references?|volunteer\w*|activities):?"),
 )
 HEADING_WORDS, SUMMARY_WORDS, HEADING_TAIL = 6, 12, ":—–_= \t-"
+#: What every heading begins with.
+STEMS = "skill tech tool core area profic work prof empl relev exper hist back career posit educ acad qualif degree certif train pers side select proj open port publ research summ about obj contact detail award achiev inter hobb lang refer volunt activ".split()
 # Contacts, dates and stated years.
 EMAIL = r"(?i)\b[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}\b"
 PHONE = r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)?\d{3,5}[ .\-]\d{3,5}(?:[ .\-]\d{2,5})?"
@@ -42,37 +43,49 @@ LINKS, OLDEST, MOST_YEARS, ENOUGH_LINES = 8, 1950, 60, 15
 EVIDENCE = (("contact", "unlabelled"), ("other", "other"), ("education", "education"), ("summary", "summary"), ("skills", "skills"), ("projects", "projects"), ("experience", "experience"))
 WEIGHTS = {"email": 0.15, "skills": 0.30, "experience": 0.25, "years": 0.15, "education": 0.05, "lines": 0.10}
 
-#: A boundary of ASCII words: the engine's own one knows more letters.
+#: Boundaries of ASCII words, as the engine's own one knows more letters: before a pattern that begins with a word's sign, behind one that ends with it, and any.
+_START, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
-def _ascii(pattern: str) -> str:
-    return pattern.replace(r"\b", _EDGE)
+def _ascii(pattern: str, start: str = _START) -> str:
+    return spaced(pattern).replace(r"(?i)\b", f"(?i){start}").replace(r"\b", _END)
 
 
 #: Any heading with what may follow it: most lines are told apart by this one pattern.
-_ANY_HEADING = "(?i)^(?:" + "|".join(p for _, p in HEADINGS) + f")[{HEADING_TAIL}]*$"
+_ANY_HEADING = _ascii("(?i)^(?:" + "|".join(p for _, p in HEADINGS) + rf")[{HEADING_TAIL}]*\z")
+
+
+def _more_words(line: Column, n: int) -> Column:
+    """Whether a trimmed line has more than ``n`` words; what follows them is not read."""
+    return line.rlike(_ascii(rf"^(?:[^{SPACE}]*+\s++){{{n}}}"))
 
 
 def _heading(line: Column) -> Column:
-    clean = F.regexp_replace(line, rf"[{HEADING_TAIL}]+$", "")
-    named = reduce(lambda rest, h: F.when(clean.rlike(rf"(?i)^(?:{h[1]})$"), h[0]).otherwise(rest), reversed(HEADINGS), F.lit(None).cast("string"))
-    return F.when(line.rlike(_ANY_HEADING), F.when((F.size(F.split(line, r"\s+")) <= HEADING_WORDS) & (clean != ""), named))
+    clean = F.regexp_replace(line, rf"[{HEADING_TAIL}]+\z", "")
+    named = lambda x: reduce(lambda rest, h: F.when(x.rlike(_ascii(rf"(?i)^(?:{h[1]})\z")), h[0]).otherwise(rest), reversed(HEADINGS), F.lit(None).cast("string"))
+    # The first signs rule most lines out before the rest of them is read.
+    like = F.substring(line, 1, max(map(len, STEMS))).rlike(f"(?i)^(?:{'|'.join(STEMS)})")
+    return F.when(like & line.rlike(_ANY_HEADING) & ~_more_words(line, HEADING_WORDS), once(clean, named))
 
 
-def lines(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, pos, line, section, heading): the filled lines of each text with their section. Ids are unique.
+def sections(text: Column) -> Column:
+    """Struct (n_lines, parts): the number of filled lines, and the stretches (section, own, lines) in their order, without the headings.
 
     What stands before the first heading is contact, and from a line of over twelve words on summary.
     """
-    cut = rows.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    cut = cut.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''").withColumn("_h", _heading(F.col("line")))
-    w = Window.partitionBy("id").orderBy("pos")
-    none_yet = F.count("_h").over(w) == 0
-    mark = F.coalesce("_h", F.when(none_yet & (F.size(F.split("line", r"\s+")) > SUMMARY_WORDS), "summary"))
-    marked = cut.withColumn("_mark", mark)
-    section = F.coalesce(F.last("_mark", ignorenulls=True).over(w), F.lit("contact"))
-    return marked.select("id", "pos", "line", section.alias("section"), F.col("_h").isNotNull().alias("heading"))
+    filled = F.filter(lines_of(text), lambda x: x != "")
+
+    def marked(lines: Column, headings: Column) -> Column:
+        until = F.get(F.filter(F.transform(headings, lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull()), F.lit(0))
+        # A heading's section begins behind it, a long line's with the line.
+        long = lambda n: F.transform(F.slice(lines, F.lit(1), n), lambda x, i: F.when(_more_words(x, SUMMARY_WORDS), mark(i, i, F.lit("summary"), "section")))
+        named = F.transform(headings, lambda h, i: F.when(h.isNotNull(), mark(i, i + 1, h, "section")))
+        there = lambda xs: F.filter(xs, lambda m: m.isNotNull())
+        begin = F.array(mark(F.lit(0), F.lit(0), F.lit("contact"), "section"))
+        return stretches(lines, F.concat(begin, F.slice(there(once(F.coalesce(until, F.size(lines)), long)), 1, 1), there(named)), "section")
+
+    return once(filled, lambda ls: F.struct(F.size(ls).alias("n_lines"), once(F.transform(ls, _heading), lambda hs: marked(ls, hs)).alias("parts")))
 
 
 def _month(name: Column) -> Column:
@@ -94,18 +107,27 @@ def _worked(body: Column, year: Column, month: Column) -> Column:
 
 def _stated(body: Column) -> Column:
     n = F.regexp_extract(body, _ascii(STATED), 1).try_cast("double")
-    return F.when((n > 0) & (n < MOST_YEARS), n)
+    return F.when(body.rlike("(?i)years?|yrs?"), once(n, lambda n: F.when((n > 0) & (n < MOST_YEARS), n)))
 
 
-def _skill_years(body: Column, skill: Column) -> Column:
-    """Years stated behind a skill's name, in the first line that does so."""
-    behind = lambda low: F.regexp_extract(F.substring(low, F.instr(low, skill), F.length(low)), SKILL_YEARS, 1).try_cast("double")
-    every = F.transform(F.filter(F.split(F.lower(body), "\n"), lambda x: F.contains(x, skill)), behind)
+def _skill_years(said: Column, skill: Column) -> Column:
+    """Years stated behind a skill's name, in the first of the lines that does so."""
+    behind = lambda low: F.regexp_extract(F.substring(low, F.instr(low, skill), F.length(low)), _ascii(SKILL_YEARS), 1).try_cast("double")
+    every = F.transform(F.filter(said, lambda x: F.contains(x, skill)), behind)
     return F.get(F.filter(every, lambda n: (n > 0) & (n < MOST_YEARS)), F.lit(0))
 
 
-def _is(section: str):
-    return lambda x: x == section
+def _skills(bodies: Column) -> Column:
+    """Array of (canonical, evidence, years), sorted: the skills of the sections' lines, each from its strongest section. ``bodies`` stand as in EVIDENCE."""
+    said = lambda lines: F.transform(F.filter(lines, lambda x: x.rlike(_ascii(SKILL_YEARS))), F.lower)
+    name = lambda i: F.get(F.array(*(F.lit(e) for _, e in EVIDENCE)), i)
+    of_body = lambda i: lambda x: F.struct(x["skill"].alias("skill"), i.alias("rank"))
+    found = F.flatten(F.reverse(F.transform(bodies, lambda lines, i: F.transform(skills_in(lines), of_body(i)))))
+    strongest = lambda xs: once(F.transform(xs, lambda x: x["skill"]), lambda names: F.filter(xs, lambda x, i: F.array_position(names, x["skill"]) == i + 1))
+    # Lines that state years are looked for where a section's skill counts, once for all of its skills.
+    stated = lambda best: F.transform(bodies, lambda lines, i: F.when(F.exists(best, lambda x: x["rank"] == i), said(lines)))
+    row = lambda x, lines: F.struct(x["skill"].alias("canonical"), name(x["rank"]).alias("evidence"), _skill_years(F.get(lines, x["rank"]), x["skill"]).alias("years"))
+    return once(once(found, strongest), lambda best: once(stated(best), lambda lines: F.array_sort(F.transform(best, lambda x: row(x, lines)))))
 
 
 def parse(rows: DataFrame, as_of: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -116,41 +138,34 @@ def parse(rows: DataFrame, as_of: str, id_col: str = "id", text_col: str = "text
     a text without lines nothing is known.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
-    # The lines of a text stay together from the window on; its sections are cut out of them in place.
-    own = lines(rows, id_col, text_col).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "section", "line", "heading"))).alias("_ls"))
-    joined_lines = lambda cond: F.array_join(F.transform(F.filter("_ls", lambda x: ~x["heading"] & cond(x["section"])), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    email = lambda x: F.when(F.contains(x, F.lit("@")), F.nullif(F.regexp_extract(x, _ascii(EMAIL), 0), F.lit("")))
-    parts = F.array(*(F.struct(F.lit(i).alias("rank"), joined_lines(_is(s)).alias("body")) for i, (s, _) in enumerate(EVIDENCE)))
-    cut = own.select("id", F.size("_ls").alias("n_lines"), joined_lines(lambda x: x.isin("contact", "summary")).alias("_head"), parts.alias("_parts"))
-    cut = store.written(cut.select("id", "n_lines", email(F.col("_head")).alias("_head_email"), F.btrim(F.regexp_extract("_head", PHONE, 0)).alias("_phone"), "_parts"), "resume-sections")
-    found = cut.select("id", F.explode("_parts").alias("p")).where("p.body <> ''").select("id", "p.rank", "p.body", F.explode(F.transform(skills_of(F.col("p.body")), lambda s: s["skill"])).alias("skill"))
-    # Years are read where the text is; what is shuffled is short.
-    said = found.select("id", "skill", "rank", _skill_years(F.col("body"), F.col("skill")).alias("years"))
-    best = said.groupBy("id", "skill").agg(F.max_by(F.struct("rank", "years"), "rank").alias("x"))
-    name = F.get(F.array(*(F.lit(e) for _, e in EVIDENCE)), F.col("x.rank"))
-    listed = best.select("id", F.struct(F.col("skill").alias("canonical"), name.alias("evidence"), F.col("x.years").alias("years")).alias("s")).groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("skills"))
+    # However few files or row groups hold the texts, the work on them is spread; each text is shuffled once, and nothing that is made of it.
+    spread = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    cut = spread.select("id", sections(F.col("_text")).alias("_cut"))
+    of = lambda cond: F.flatten(F.transform(F.filter("_cut.parts", lambda p: cond(p["section"])), lambda p: p["lines"]))
+    bodies = F.array(*(of(lambda x, s=s: x == s) for s, _ in EVIDENCE))
+    cut = cut.select("id", F.col("_cut.n_lines").alias("n_lines"), of(lambda x: F.lit(True)).alias("_all"), of(lambda x: x.isin("contact", "summary")).alias("_head"), bodies.alias("_bodies"))
     place = {s: i for i, (s, _) in enumerate(EVIDENCE)}
-    body = lambda s: F.get("_parts", F.lit(place[s]))["body"]
-    worked_years = F.when(body("experience") != "", _worked(body("experience"), F.year(now), F.month(now))).otherwise(_stated(body("summary")))
-    per = cut.select("id", "n_lines", "_head_email", "_phone", (body("experience") != "").alias("_work"), (body("education") != "").alias("_school"), worked_years.alias("_years"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    linked = F.when(F.contains(F.lower(text), F.lit(".com/")), F.slice(F.regexp_extract_all(text, F.lit(_ascii(LINK)), F.lit(0)), 1, LINKS)).otherwise(F.array().cast("array<string>"))
-    whole = rows.select(F.col(id_col).alias("id"), email(text).alias("_email"), linked.alias("_links"))
+    body = lambda s: F.get("_bodies", F.lit(place[s]))
+    joined = lambda s: F.array_join(body(s), "\n")
+    # Contacts and links are within a line, and not in headings.
+    first = lambda lines, like, pattern: F.get(F.filter(F.transform(F.filter(lines, like), lambda x: F.btrim(F.regexp_extract(x, pattern, 0))), lambda x: x != ""), F.lit(0))
+    email = lambda lines: first(lines, lambda x: F.contains(x, F.lit("@")), _ascii(EMAIL, _EDGE))
+    phone = first(F.col("_head"), lambda x: x.rlike(r"\d{3}[ .\-]\d{3}"), PHONE)
+    linked = F.transform(F.filter("_all", lambda x: x.rlike(r"(?i)\.com/")), lambda x: F.regexp_extract_all(x, F.lit(_ascii(LINK, f"(?=[hwgls]){_START}")), F.lit(0)))
     bare = lambda x: F.lower(F.regexp_replace(x, "/+$", ""))
-    links = once(F.col("_links"), lambda xs: F.array_sort(F.filter(xs, lambda x, i: F.array_position(F.transform(xs, bare), bare(x)) == i + 1)))
-    joined = whole.join(per, "id", "left").join(listed, "id", "left")
-    there = F.coalesce("n_lines", F.lit(0)) > 0
-    worked = F.coalesce("_work", F.lit(False))
-    joined = joined.withColumns({
-        "email": F.when(there, F.coalesce("_head_email", "_email")), "phone": F.nullif("_phone", F.lit("")), "links": F.when(there, links).otherwise(F.array().cast("array<string>")),
-        "skills": F.coalesce("skills", F.array().cast("array<struct<canonical:string,evidence:string,years:double>>")), "n_lines": F.coalesce("n_lines", F.lit(0)),
-        "years_of_experience": F.col("_years"),
-    })
+    unlike = lambda xs: once(F.transform(xs, bare), lambda names: F.filter(xs, lambda x, i: F.array_position(names, F.get(names, i)) == i + 1))
+    links = F.array_sort(once(F.slice(F.flatten(linked), 1, LINKS), unlike))
+    there, worked = F.col("n_lines") > 0, F.size(body("experience")) > 0
+    found = cut.select(
+        "id", "n_lines", F.coalesce(email(F.col("_head")), email(F.col("_all"))).alias("email"), phone.alias("phone"), links.alias("links"), _skills(F.col("_bodies")).alias("skills"),
+        F.when(worked, _worked(joined("experience"), F.year(now), F.month(now))).otherwise(once(joined("summary"), _stated)).alias("years_of_experience"),
+        worked.alias("_work"), (F.size(body("education")) > 0).alias("_school"),
+    )
     some = F.size("skills") > 0
-    checks = {"email": F.col("email").isNotNull(), "skills": some, "experience": worked, "years": F.col("years_of_experience").isNotNull(), "education": F.coalesce("_school", F.lit(False)), "lines": F.col("n_lines") >= ENOUGH_LINES}
+    checks = {"email": F.col("email").isNotNull(), "skills": some, "experience": F.col("_work"), "years": F.col("years_of_experience").isNotNull(), "education": F.col("_school"), "lines": F.col("n_lines") >= ENOUGH_LINES}
     weight = sum((F.when(ok, WEIGHTS[k]).otherwise(0.0) for k, ok in checks.items()), F.lit(0.0))
-    codes = F.array(F.when(~worked, "no_experience_section"), F.when(~some, "no_skills"), F.when(F.col("email").isNull(), "no_contact"), F.when(worked & F.col("years_of_experience").isNull(), "no_dates"))
-    return joined.select(
+    codes = F.array(F.when(~F.col("_work"), "no_experience_section"), F.when(~some, "no_skills"), F.when(F.col("email").isNull(), "no_contact"), F.when(F.col("_work") & F.col("years_of_experience").isNull(), "no_dates"))
+    return found.select(
         "id", "email", "phone", "links", "skills", "years_of_experience", F.when(there, F.floor(weight * 100 + 0.5) / 100).otherwise(0.0).alias("confidence"),
         F.when(there, F.array_compact(codes)).otherwise(F.array(F.lit("empty"))).alias("diagnostics"), "n_lines",
     )

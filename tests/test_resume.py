@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobloom.functions import resume
 
@@ -48,3 +49,44 @@ def test_cases(parsed, name):
 
 def test_empty_table(spark):
     assert resume.parse(spark.createDataFrame([], "id long, text string"), "2022-01-15 00:00:00").count() == 0
+
+
+HEADINGS = {
+    "skills": "Technical Skills|skill|skills & tools|Skills and competencies:|Technology|Tech  Stack|tooling|Core Competencies|AREAS OF EXPERTISE|Proficiency",
+    "experience": "Experience|work history|Professional background|Employment  experience and others|relevant experience|Career|Position held|positions held|Work",
+    "education": "Education|Education & Training|Academic qualification|academic background|Qualifications|Degree|Certifications:|training --",
+    "projects": "Project|personal projects|Side Projects|selected projects|Open Source|Portfolio|Publications|research",
+    "summary": "Summary|Profile|about|About me|Objective|Professional summary|Career objective",
+    "contact": "Contact|contact details|Contact info|Details|Personal information",
+    "other": "Award|achievements|Interests|Hobbies|language|References|volunteering|Activities =",
+}
+
+
+def test_every_heading_is_known(spark):
+    named = [(s, x) for s, xs in HEADINGS.items() for x in xs.split("|")]
+    rows = spark.createDataFrame([(i, x + "\nkafka", s) for i, (s, x) in enumerate(named)], "id long, text string, s string")
+    wrong = rows.select("text", "s", resume.sections(F.col("text"))["parts"].alias("p")).where("element_at(p, -1).section <> s OR element_at(p, -1).lines <> array('kafka')")
+    assert wrong.collect() == []
+
+
+def test_a_text_is_shuffled_once_and_nothing_else_is(spark):
+    plan = resume.parse(spark.createDataFrame([(1, FULL)], "id long, text string"), "2022-01-15 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert not any(x in plan for x in ("Window", "Generate", "Join", "Aggregate"))
+
+
+@pytest.mark.parametrize(("text", "n_lines", "sections"), [
+    ("Skills\u0085\nkafka", 2, ["contact"]),  # more than a heading
+    ("\x0b\nkafka", 2, ["contact"]),  # no white space to the SQL
+    ("\tSkills\r\n\r\nkafka\f", 2, ["contact", "skills"]),
+])
+def test_white_space_is_that_of_the_sql(spark, text, n_lines, sections):
+    r = spark.createDataFrame([(text,)], "text string").select(resume.sections(F.col("text")).alias("x")).first().x
+    assert (r.n_lines, [p.section for p in r.parts]) == (n_lines, sections)
+
+
+def test_work_grows_with_the_number_of_lines(spark):
+    """Headings and names in every other line of one long text."""
+    text = "me@x.org\n" + "Skills\nkafka (3 yrs)\nRequirements\ngo\n" * 20_000
+    r = resume.parse(spark.createDataFrame([(1, text)], "id long, text string"), "2022-01-15 00:00:00").first()
+    assert ({tuple(s) for s in r.skills}, r.n_lines) == ({("kafka", "skills", 3.0), ("go", "skills", None)}, 80_001)
