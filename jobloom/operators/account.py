@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.search import search
+from ..functions.search import find, hits_of, parse
 from ..sources import store
 from .feed import FeedFilter, as_of_column, conditions, freshness
 
@@ -276,10 +274,14 @@ def _visits(rows: list):
     return pd.DataFrame(rows, columns=["_id", "_active", "_previous"]).astype({"_active": "Int64", "_previous": "Int64"})
 
 
-#: Searches that one broadcast may hold, well under 100 MB; more are shuffled.
-BROADCAST_SEARCHES = 100_000
+#: Filters, or rows of their lists, that one broadcast may hold, well under 100 MB; more are shuffled.
+BROADCAST_FILTERS = 100_000
+#: Postings of a digest's first stretch, about; each later one ends at this many times as many.
+FIRST_STRETCH, STRETCH_GROWTH = 256, 8
 #: What the conditions of a digest's searches read of a posting.
 DIGEST_COLUMNS = ("id", "status", "country", "mode", "yoe_min", "yoe_confidence", "comp_min", "comp_currency", "field", "vendor")
+#: What makes a filter, apart from the user's dismissals.
+FILTER_COLUMNS = ("countries", "modes", "yoe", "comp_min", "disclosed_only", "field", "vendors", "skills", "query")
 
 
 def filters_frame(spark, filters: dict[int, FeedFilter]) -> DataFrame:
@@ -295,65 +297,106 @@ def digest(candidates: DataFrame, searches: DataFrame, live: DataFrame, as_of: s
     """(user_id, search_id, place, id, more): for each candidate (user_id, search_id, since) its newest postings later than ``since``, at most ``shown``, and whether there are more.
 
     ``searches`` has a search's filter as columns, see ``filters_frame``; the feed's own conditions hold
-    (``feed.conditions``), with the text query through ``index``, skills and the user's dismissals. ``live`` are the feed's rows,
-    with vendor. Postings are walked backwards, in stretches of 1, 4, 16 ... days from the latest on; a search
-    that has ``shown`` + 1 rows, or whose mark lies behind, drops out. Searches meet a stretch's postings by country and mode,
-    so a posting meets only those that ask for its own or for any.
+    (``feed.conditions``), with the text query through ``index`` or the texts themselves, skills and the user's dismissals.
+    ``live`` are the feed's rows, with vendor; those before the oldest mark can be in no digest and are left out.
+
+    Searches with one filter have one list of postings, of which a user sees all but the dismissed: what a search gets
+    is the part of its user's list (its asker's) that is later than its mark. So filters meet postings, by country and mode, and searches only
+    meet the ends of lists. Postings are walked backwards in stretches of growing numbers; an asker that
+    has ``shown`` + 1 rows, or whose oldest mark lies behind, drops out, and so does a filter without askers.
     """
     spark = live.sparkSession
-    asked = store.written(candidates.select("user_id", "search_id", "since").join(searches, "search_id"), "digest-searches")
-    n = asked.count()
-    keyed = lambda col: F.when(F.size(col) > 0, col).otherwise(F.array(F.lit("*")))
-    with_null = F.when(F.size("countries") > 0, F.array_append("countries", F.lit("?"))).otherwise(F.array(F.lit("*")))
-    asked = asked.withColumn("_country", F.explode(F.array_distinct(with_null))).withColumn("_mode", F.explode(F.array_distinct(keyed(F.col("modes")))))
+    named = lambda *cols: F.sha2(F.to_json(F.struct(*cols)), 256)
+    asked = candidates.select("user_id", "search_id", "since").join(searches, "search_id").withColumn("include_dismissed", F.coalesce("include_dismissed", F.lit(False)))
+    asked = store.written(asked.withColumns({"filter": named(*FILTER_COLUMNS), "asker": named("user_id", "include_dismissed", *FILTER_COLUMNS)}), "digest-searches")
+    oldest = asked.agg(F.min("since")).first()[0]
+    filters = asked.select("filter", *FILTER_COLUMNS).distinct()
+    queries = [r["query"] for r in filters.where(F.coalesce("query", F.lit("")) != "").select("query").distinct().toLocalIterator()]
     # What every stretch reads is made once: the columns that the conditions need, the skills that are asked for, the dismissals of those who ask.
-    posts = store.written(live.where(F.col("status") == "live").select(*DIGEST_COLUMNS, freshness().alias("at")), "digest-posts")
-    bounds = posts.agg(F.max("at"), F.min("at")).first()
-    kept = spark.createDataFrame([], "search_id long, user_id long, id long, at timestamp_ntz")
-    if n and bounds[0] is not None:
-        hits = store.written(_query_hits(asked, posts if index is not None else live.where(F.col("status") == "live"), index), "digest-hits")
-        wanted = asked.select(F.explode("skills").alias("skill")).distinct()
-        skill_sets = store.written(posting_skills.select("posting_id", "skill").join(wanted, "skill", "left_semi").distinct(), "digest-skills")
-        dismissed = store.written(dismissed.select("user_id", "posting_id").join(asked.select("user_id").distinct(), "user_id", "left_semi").distinct(), "digest-dismissed")
-        latest, day, span = bounds[0], timedelta(days=1), 1
-        while latest is not None:
-            earliest = latest - span * day
-            part = posts.where((F.col("at") <= as_of_column(str(latest))) & (F.col("at") > as_of_column(str(earliest))))
-            part = part.withColumn("_country", F.explode(F.array(F.coalesce("country", F.lit("?")), F.lit("*")))).withColumn("_mode", F.explode(F.array("mode", F.lit("*"))))
-            open_ = asked.where(F.col("since") < as_of_column(str(latest))).join(kept.groupBy("search_id").count().where(F.col("count") > shown), "search_id", "left_anti")
+    texts = ("title", "description_text") if queries and index is None else ()
+    recent = live.where((F.col("status") == "live") & (freshness() > as_of_column(oldest and str(oldest))))
+    posts = store.written(recent.select(*DIGEST_COLUMNS, *texts, freshness().alias("at")), "digest-posts")
+    kept = spark.createDataFrame([], "asker string, id long, at timestamp_ntz")
+    if stretches := _stretches(posts):
+        ids = posts.select("id")
+        hits = store.written(_query_hits(queries, posts, index), "digest-hits")
+        wanted = filters.select(F.explode("skills").alias("skill")).distinct()
+        skill_sets = posting_skills.select(F.col("posting_id").alias("id"), "skill").join(wanted, "skill", "left_semi").join(ids, "id", "left_semi")
+        skill_sets = store.written(skill_sets.distinct(), "digest-skills")
+        hidden = dismissed.select("user_id", F.col("posting_id").alias("id")).join(asked.select("user_id").distinct(), "user_id", "left_semi").join(ids, "id", "left_semi")
+        hidden = store.written(hidden.distinct(), "digest-dismissed")
+        hides = hidden.groupBy("user_id").agg(F.count(F.lit(1)).alias("_hides"))
+        most, n = hides.agg(F.coalesce(F.max("_hides"), F.lit(0))).first()[0], filters.count()
+        askers = asked.groupBy("asker", "user_id", "filter", "include_dismissed").agg(F.min("since").alias("since"))
+        askers = askers.join(hides, "user_id", "left").withColumn("_deep", F.when(F.col("include_dismissed"), 0).otherwise(F.coalesce("_hides", F.lit(0))) + shown + 1).drop("_hides")
+        for high, low in stretches:
+            open_ = askers.where(F.col("since") < as_of_column(str(high))).join(kept.groupBy("asker").count().where(F.col("count") > shown), "asker", "left_anti")
             if open_.isEmpty():
                 break
-            side = open_.select("search_id", "user_id", "since", "_country", "_mode", *(F.col(c).alias(f"q_{c}") for c in ("countries", "modes", "yoe", "comp_min", "disclosed_only", "field", "vendors", "skills", "query", "include_dismissed")))
-            met = part.join(F.broadcast(side) if n <= BROADCAST_SEARCHES else side, ["_country", "_mode"]).where((F.col("at") > F.col("since")) & conditions())
-            met = met.select("search_id", "user_id", "id", "at", "q_skills", "q_query", "q_include_dismissed")
-            met = _all_there(met, hits, skill_sets, dismissed)
-            best = met.withColumn("_n", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("at"), F.desc("id")))).where(F.col("_n") <= shown + 1).drop("_n")
+            part = posts.where(F.col("at") <= as_of_column(str(high)))
+            part = part if low is None else part.where(F.col("at") > as_of_column(str(low)))
+            met = _matched(part, filters.join(open_.groupBy("filter").agg(F.min("since").alias("since")), "filter"), n <= BROADCAST_FILTERS)
+            met = _all_there(met, hits, skill_sets)
+            # Of a list's first rows a user has dismissed no more than of all.
+            lists = met.withColumn("_n", F.row_number().over(Window.partitionBy("filter").orderBy(F.desc("at"), F.desc("id")))).where(F.col("_n") <= shown + 1 + most)
+            lists = F.broadcast(lists) if n * (shown + 1 + most) <= BROADCAST_FILTERS else lists
+            seen = open_.join(lists, "filter").where((F.col("at") > F.col("since")) & (F.col("_n") <= F.col("_deep")))
+            seen = seen.join(hidden.withColumn("_hidden", F.lit(True)), ["user_id", "id"], "left").where(F.col("_hidden").isNull() | F.col("include_dismissed")).select("asker", "id", "at")
+            best = seen.withColumn("_n", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("at"), F.desc("id")))).where(F.col("_n") <= shown + 1).drop("_n")
             kept = store.written(kept.unionByName(best), "digest")
-            latest, span = (earliest, span * 4) if earliest >= bounds[1] else (None, span)
-    w = Window.partitionBy("search_id")
-    ranked = kept.withColumn("place", F.row_number().over(w.orderBy(F.desc("at"), F.desc("id")))).where(F.col("place") <= shown + 1)
-    return ranked.withColumn("more", F.max("place").over(w) > shown).where(F.col("place") <= shown).select("user_id", "search_id", "place", "id", "more")
-
-
-def _query_hits(asked: DataFrame, live: DataFrame, index) -> DataFrame:
-    """(q_query, id): what each distinct text query of the searches finds. A driver's loop over distinct queries, one index read each."""
-    out = asked.sparkSession.createDataFrame([], "q_query string, id long")
-    for row in asked.where(F.coalesce("query", F.lit("")) != "").select("query").distinct().toLocalIterator():
-        found = search(live.select("id") if index is not None else live.select("id", "title", "description_text"), row["query"], index=index)
-        out = out.unionByName(found.select(F.lit(row["query"]).alias("q_query"), "id"))
+    w = Window.partitionBy("asker")
+    places = kept.withColumn("place", F.row_number().over(w.orderBy(F.desc("at"), F.desc("id"))))
+    places = places.withColumn("_next", F.max(F.when(F.col("place") == shown + 1, F.col("at"))).over(w)).where(F.col("place") <= shown)
+    own = asked.select("asker", "user_id", "search_id", "since").join(places, "asker").where(F.col("at") > F.col("since"))
+    return own.select("user_id", "search_id", "place", "id", F.coalesce(F.col("_next") > F.col("since"), F.lit(False)).alias("more"))
+
+
+def _stretches(posts: DataFrame) -> list[tuple]:
+    """(latest instant, instant before the earliest) of each stretch, newest first; the last one has no end. Edges come from approximate ranks, as only the work depends on them."""
+    n, newest = posts.agg(F.count(F.lit(1)), F.max("at")).first()
+    if newest is None:
+        return []
+    sizes = []
+    while (size := FIRST_STRETCH * STRETCH_GROWTH ** len(sizes)) < n:
+        sizes.append(size)
+    edges = [newest]
+    for edge in posts.agg(F.percentile_approx("at", F.array(*(F.lit(1 - size / n) for size in sizes)))).first()[0] if sizes else []:
+        if edge < edges[-1]:
+            edges.append(edge)
+    return list(zip(edges, [*edges[1:], None], strict=True))
+
+
+def _query_hits(queries: list[str], posts: DataFrame, index) -> DataFrame:
+    """(q_query, id): what each distinct text query of the searches finds. A driver's loop over distinct queries; without an index the texts are cut once, for the terms of all."""
+    spark = posts.sparkSession
+    out, plans = spark.createDataFrame([], "q_query string, id long"), {q: parse(spark, q) for q in queries}
+    ids, words = posts.select("id"), None
+    if plans and index is None:
+        words = store.written(hits_of(posts, "id", "title", "description_text", sorted({t for plan in plans.values() for t in plan.terms})), "digest-words")
+    for query, plan in plans.items():
+        found = find(words, plan, ids) if index is None else find(index.hits(plan.terms), plan, index.ids())
+        out = out.unionByName(ids.join(found, "id").select(F.lit(query).alias("q_query"), "id"))
     return out
 
 
-def _all_there(met: DataFrame, hits: DataFrame, skill_sets: DataFrame, dismissed: DataFrame) -> DataFrame:
-    """Pairs whose query is found, whose skills are all named, and that the user has not dismissed."""
-    pair = ["search_id", "id"]
+def _matched(part: DataFrame, filters: DataFrame, small: bool) -> DataFrame:
+    """(filter, id, at, q_query, q_skills): postings later than a filter's ``since`` that meet its conditions. A posting meets only filters that ask for its own country and mode, or for any."""
+    keyed = lambda col: F.when(F.size(col) > 0, col).otherwise(F.array(F.lit("*")))
+    with_null = F.when(F.size("countries") > 0, F.array_append("countries", F.lit("?"))).otherwise(F.array(F.lit("*")))
+    side = filters.withColumn("_country", F.explode(F.array_distinct(with_null))).withColumn("_mode", F.explode(F.array_distinct(keyed(F.col("modes")))))
+    side = side.select("filter", "since", "_country", "_mode", *(F.col(c).alias(f"q_{c}") for c in FILTER_COLUMNS))
+    part = part.withColumn("_country", F.explode(F.array(F.coalesce("country", F.lit("?")), F.lit("*")))).withColumn("_mode", F.explode(F.array("mode", F.lit("*"))))
+    met = part.join(F.broadcast(side) if small else side, ["_country", "_mode"]).where((F.col("at") > F.col("since")) & conditions())
+    return met.select("filter", "id", "at", "q_query", "q_skills")
+
+
+def _all_there(met: DataFrame, hits: DataFrame, skill_sets: DataFrame) -> DataFrame:
+    """(filter, id, at) of the pairs whose query is found and whose skills are all named."""
+    pair = ["filter", "id"]
     queried = F.coalesce("q_query", F.lit("")) != ""
     skilled = F.size(F.coalesce("q_skills", F.array().cast("array<string>"))) > 0
     with_query = met.where(queried).join(hits, ["q_query", "id"], "left_semi").select(*met.columns).unionByName(met.where(~queried))
     need = with_query.where(skilled)
-    named = need.select(*pair, F.size("q_skills").alias("_need"), F.explode(F.array_distinct("q_skills")).alias("skill")).join(skill_sets.withColumnRenamed("posting_id", "id"), ["id", "skill"])
+    named = need.select(*pair, F.size("q_skills").alias("_need"), F.explode(F.array_distinct("q_skills")).alias("skill")).join(skill_sets, ["id", "skill"])
     full = named.groupBy(*pair, "_need").agg(F.count(F.lit(1)).alias("_found")).where("_found = _need").select(*pair)
-    with_skills = need.join(full, pair, "left_semi").select(*met.columns).unionByName(with_query.where(~skilled))
-    hidden = dismissed.select("user_id", F.col("posting_id").alias("id")).distinct().withColumn("_hidden", F.lit(True))
-    seen = with_skills.join(hidden, ["user_id", "id"], "left").where(F.col("_hidden").isNull() | F.coalesce("q_include_dismissed", F.lit(False)))
-    return seen.select("search_id", "user_id", "id", "at")
+    return need.join(full, pair, "left_semi").select(*met.columns).unionByName(with_query.where(~skilled)).select(*pair, "at")

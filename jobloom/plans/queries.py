@@ -335,7 +335,7 @@ def _digest_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def digest_replay(spark, sf_dir):
     """Each saved search over the feed since its mark."""
     candidates, searches = _digest_inputs(spark, sf_dir)
-    return account.digest(candidates, searches, live_feed(spark, sf_dir), AS_OF, posting_skills=bound(spark, sf_dir, "posting_skills"), dismissed=bound(spark, sf_dir, "dismissed_postings"), index=text_index(spark, sf_dir))
+    return account.digest(candidates, searches, live_feed(spark, sf_dir), AS_OF, posting_skills=bound(spark, sf_dir, "posting_skills"), dismissed=bound(spark, sf_dir, "dismissed_postings"))
 
 
 def _searches(spark, sf_dir) -> DataFrame:

@@ -54,3 +54,39 @@ def test_postings_are_read_once(spark, sf_dir, monkeypatch):
     assert account.digest(candidates, asked, live_feed(spark, sf_dir), AS_OF, posting_skills=none[0], dismissed=none[1]).count() == 0
     assert names[:5] == ["digest-searches", "digest-posts", "digest-hits", "digest-skills", "digest-dismissed"]
     assert len(names) > 6 and set(names[5:]) == {"digest"}
+
+
+def test_searches_of_one_filter_share_its_list(spark, sf_dir, monkeypatch):
+    """Filters meet postings, not searches; what a user dismissed, and a search's mark, cut their own parts of the list."""
+    met = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda _: (met.add(1), True)[1], "boolean").asNondeterministic()
+    conditions = account.conditions
+    monkeypatch.setattr(account, "conditions", lambda: conditions() & counted("id"))
+    rows = live_feed(spark, sf_dir).where("status = 'live'").withColumn("at", feed.freshness()).select("id", "at", "mode").orderBy(F.desc("at"), F.desc("id")).collect()
+    filters, candidates, users = {}, [], range(1, 11)
+    for i in range(400):
+        user, remote, everything = i % 10 + 1, i % 3 == 0, i % 4 == 0
+        filters[i] = FeedFilter(modes=("remote",) if remote else (), field="all", include_dismissed=everything)
+        candidates.append((user, i, rows[(i * 7) % 300 + 3].at))
+    hidden = {user: {r.id for r in rows[: 6 * user]} for user in users}
+    dismissed = spark.createDataFrame([(user, i) for user in users for i in hidden[user]], "user_id long, posting_id long")
+    skills = spark.createDataFrame([], "posting_id long, skill string")
+    asked = spark.createDataFrame(candidates, "user_id long, search_id long, since timestamp_ntz")
+    got = account.digest(asked, account.filters_frame(spark, filters), live_feed(spark, sf_dir), AS_OF, posting_skills=skills, dismissed=dismissed).collect()
+    for user, i, since in candidates:
+        f = filters[i]
+        want = [r.id for r in rows if r.at > since and (not f.modes or r.mode == "remote") and (f.include_dismissed or r.id not in hidden[user])]
+        own = sorted((r for r in got if r.search_id == i), key=lambda r: r.place)
+        assert [(r.user_id, r.place, r.id, r.more) for r in own] == [(user, k + 1, x, len(want) > 8) for k, x in enumerate(want[:8])], i
+    assert 0 < met.value < 20 * len(rows)
+
+
+def test_texts_before_the_oldest_mark_are_not_read(spark, sf_dir):
+    mark = F.lit("2001-01-01").cast("timestamp_ntz")
+    poisoned = live_feed(spark, sf_dir).withColumn("description_text", F.when(feed.freshness() > mark, F.col("description_text")).otherwise(F.raise_error(F.lit("an old text was read"))))
+    candidates = spark.sql("SELECT 3L AS user_id, 7L AS search_id, CAST('2001-01-01' AS TIMESTAMP_NTZ) AS since")
+    none = spark.createDataFrame([], "posting_id long, skill string"), spark.createDataFrame([], "user_id long, posting_id long")
+    f = FeedFilter(query="engineers -remote", field="all")
+    got = account.digest(candidates, account.filters_frame(spark, {7: f}), poisoned, AS_OF, posting_skills=none[0], dismissed=none[1]).orderBy("place").collect()
+    want = feed.page(live_feed(spark, sf_dir), FeedFilter(**{**f.__dict__, "posted_after": "2001-01-01 00:00:00", "limit": 8}), AS_OF).collect()
+    assert got and [r.id for r in got] == [r.id for r in want[:8]]
