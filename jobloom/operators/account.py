@@ -276,6 +276,8 @@ def _visits(rows: list):
 
 #: Filters, or rows of their lists, that one broadcast may hold, well under 100 MB; more are shuffled.
 BROADCAST_FILTERS = 100_000
+#: Ids of postings that one broadcast may hold.
+BROADCAST_IDS = 1_000_000
 #: Postings of a digest's first stretch, about; each later one ends at this many times as many.
 FIRST_STRETCH, STRETCH_GROWTH = 256, 8
 #: What the conditions of a digest's searches read of a posting.
@@ -318,29 +320,31 @@ def digest(candidates: DataFrame, searches: DataFrame, live: DataFrame, as_of: s
     posts = store.written(recent.select(*DIGEST_COLUMNS, *texts, freshness().alias("at")), "digest-posts")
     kept = spark.createDataFrame([], "asker string, id long, at timestamp_ntz")
     if stretches := _stretches(posts):
-        ids = posts.select("id")
+        # Broadcast semi-joins reach below what ``posting_skills`` and ``dismissed`` join and group; others meet its rows.
+        small = lambda df, most: F.broadcast(df) if df.count() <= most else df
+        ids = small(posts.select("id"), BROADCAST_IDS)
         hits = store.written(_query_hits(queries, posts, index), "digest-hits")
-        wanted = filters.select(F.explode("skills").alias("skill")).distinct()
+        wanted = small(filters.select(F.explode("skills").alias("skill")).distinct(), BROADCAST_FILTERS)
         skill_sets = posting_skills.select(F.col("posting_id").alias("id"), "skill").join(wanted, "skill", "left_semi").join(ids, "id", "left_semi")
-        skill_sets = store.written(skill_sets.distinct(), "digest-skills")
+        skill_sets = store.written(skill_sets.groupBy("id").agg(F.collect_set("skill").alias("_skills")), "digest-skills")
         hidden = dismissed.select("user_id", F.col("posting_id").alias("id")).join(asked.select("user_id").distinct(), "user_id", "left_semi").join(ids, "id", "left_semi")
         hidden = store.written(hidden.distinct(), "digest-dismissed")
         hides = hidden.groupBy("user_id").agg(F.count(F.lit(1)).alias("_hides"))
         most, n = hides.agg(F.coalesce(F.max("_hides"), F.lit(0))).first()[0], filters.count()
-        askers = asked.groupBy("asker", "user_id", "filter", "include_dismissed").agg(F.min("since").alias("since"))
-        askers = askers.join(hides, "user_id", "left").withColumn("_deep", F.when(F.col("include_dismissed"), 0).otherwise(F.coalesce("_hides", F.lit(0))) + shown + 1).drop("_hides")
+        askers = asked.groupBy("asker", "user_id", "filter", "include_dismissed", *FILTER_COLUMNS).agg(F.min("since").alias("since")).join(hides, "user_id", "left")
+        askers = store.written(askers.withColumn("_deep", F.when(F.col("include_dismissed"), 0).otherwise(F.coalesce("_hides", F.lit(0))) + shown + 1).drop("_hides"), "digest")
         for high, low in stretches:
             open_ = askers.where(F.col("since") < as_of_column(str(high))).join(kept.groupBy("asker").count().where(F.col("count") > shown), "asker", "left_anti")
             if open_.isEmpty():
                 break
             part = posts.where(F.col("at") <= as_of_column(str(high)))
             part = part if low is None else part.where(F.col("at") > as_of_column(str(low)))
-            met = _matched(part, filters.join(open_.groupBy("filter").agg(F.min("since").alias("since")), "filter"), n <= BROADCAST_FILTERS)
-            met = _all_there(met, hits, skill_sets)
+            part = part.join(hits, "id", "left").join(skill_sets, "id", "left")
+            met = _matched(part, open_.groupBy("filter", *FILTER_COLUMNS).agg(F.min("since").alias("since")), n <= BROADCAST_FILTERS)
             # Of a list's first rows a user has dismissed no more than of all.
             lists = met.withColumn("_n", F.row_number().over(Window.partitionBy("filter").orderBy(F.desc("at"), F.desc("id")))).where(F.col("_n") <= shown + 1 + most)
             lists = F.broadcast(lists) if n * (shown + 1 + most) <= BROADCAST_FILTERS else lists
-            seen = open_.join(lists, "filter").where((F.col("at") > F.col("since")) & (F.col("_n") <= F.col("_deep")))
+            seen = open_.drop(*FILTER_COLUMNS).join(lists, "filter").where((F.col("at") > F.col("since")) & (F.col("_n") <= F.col("_deep")))
             seen = seen.join(hidden.withColumn("_hidden", F.lit(True)), ["user_id", "id"], "left").where(F.col("_hidden").isNull() | F.col("include_dismissed")).select("asker", "id", "at")
             best = seen.withColumn("_n", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("at"), F.desc("id")))).where(F.col("_n") <= shown + 1).drop("_n")
             kept = store.written(kept.unionByName(best), "digest")
@@ -367,7 +371,7 @@ def _stretches(posts: DataFrame) -> list[tuple]:
 
 
 def _query_hits(queries: list[str], posts: DataFrame, index) -> DataFrame:
-    """(q_query, id): what each distinct text query of the searches finds. A driver's loop over distinct queries; without an index the texts are cut once, for the terms of all."""
+    """(id, _queries): the text queries of the searches that find a posting. A driver's loop over distinct queries; without an index the texts are cut once, for the terms of all."""
     spark = posts.sparkSession
     out, plans = spark.createDataFrame([], "q_query string, id long"), {q: parse(spark, q) for q in queries}
     ids, words = posts.select("id"), None
@@ -376,27 +380,19 @@ def _query_hits(queries: list[str], posts: DataFrame, index) -> DataFrame:
     for query, plan in plans.items():
         found = find(words, plan, ids) if index is None else find(index.hits(plan.terms), plan, index.ids())
         out = out.unionByName(ids.join(found, "id").select(F.lit(query).alias("q_query"), "id"))
-    return out
+    return out.groupBy("id").agg(F.collect_set("q_query").alias("_queries"))
 
 
 def _matched(part: DataFrame, filters: DataFrame, small: bool) -> DataFrame:
-    """(filter, id, at, q_query, q_skills): postings later than a filter's ``since`` that meet its conditions. A posting meets only filters that ask for its own country and mode, or for any."""
+    """(filter, id, at): postings later than a filter's ``since`` that meet its conditions, with its query and all of its skills. A posting meets only filters that ask for its own country and mode, or for any."""
     keyed = lambda col: F.when(F.size(col) > 0, col).otherwise(F.array(F.lit("*")))
     with_null = F.when(F.size("countries") > 0, F.array_append("countries", F.lit("?"))).otherwise(F.array(F.lit("*")))
     side = filters.withColumn("_country", F.explode(F.array_distinct(with_null))).withColumn("_mode", F.explode(F.array_distinct(keyed(F.col("modes")))))
     side = side.select("filter", "since", "_country", "_mode", *(F.col(c).alias(f"q_{c}") for c in FILTER_COLUMNS))
     part = part.withColumn("_country", F.explode(F.array(F.coalesce("country", F.lit("?")), F.lit("*")))).withColumn("_mode", F.explode(F.array("mode", F.lit("*"))))
-    met = part.join(F.broadcast(side) if small else side, ["_country", "_mode"]).where((F.col("at") > F.col("since")) & conditions())
-    return met.select("filter", "id", "at", "q_query", "q_skills")
-
-
-def _all_there(met: DataFrame, hits: DataFrame, skill_sets: DataFrame) -> DataFrame:
-    """(filter, id, at) of the pairs whose query is found and whose skills are all named."""
-    pair = ["filter", "id"]
-    queried = F.coalesce("q_query", F.lit("")) != ""
-    skilled = F.size(F.coalesce("q_skills", F.array().cast("array<string>"))) > 0
-    with_query = met.where(queried).join(hits, ["q_query", "id"], "left_semi").select(*met.columns).unionByName(met.where(~queried))
-    need = with_query.where(skilled)
-    named = need.select(*pair, F.size("q_skills").alias("_need"), F.explode(F.array_distinct("q_skills")).alias("skill")).join(skill_sets, ["id", "skill"])
-    full = named.groupBy(*pair, "_need").agg(F.count(F.lit(1)).alias("_found")).where("_found = _need").select(*pair)
-    return need.join(full, pair, "left_semi").select(*met.columns).unionByName(with_query.where(~skilled)).select(*pair, "at")
+    query, skills = F.coalesce("q_query", F.lit("")), F.coalesce("q_skills", F.array().cast("array<string>"))
+    # A skill that is asked for twice is there once at most, so it matches nothing.
+    there = F.coalesce((query == "") | F.array_contains("_queries", query), F.lit(False))
+    there &= F.coalesce((F.size(skills) == 0) | (F.size(F.array_intersect(skills, F.col("_skills"))) == F.size(skills)), F.lit(False))
+    met = part.join(F.broadcast(side) if small else side, ["_country", "_mode"]).where((F.col("at") > F.col("since")) & conditions() & there)
+    return met.select("filter", "id", "at")
